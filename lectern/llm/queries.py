@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.llm import url_filter
+from lectern.llm.media import media_columns
 from lectern.llm.ngram_join import near_duplicates
+from lectern.llm.packing import pack
+from lectern.llm.range_join import range_join
 from lectern.llm.workspace import read
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url."""
+    return url_filter.filter_urls(read(spark, sf_dir, "pages"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: three-word shingles, linked from 90 of 100 on."""
     return near_duplicates(spark, read(spark, sf_dir, "documents"), n=3, num=9, den=10)
 
 
-QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens, each closed by id 1."""
+    return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), window=2048, end=1)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as stored media, read back."""
+    return media_columns(spark, read(spark, sf_dir, "documents"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, linked within a label from cosine 0.98 on."""
+    return range_join(spark, read(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+QUERIES = {f.__name__: f for f in (op4_url_filters, op5_ngram_jaccard_join, op8_packing, op9_media_columns, op10_embedding_near_dedup)}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filter.filter_sql()}

@@ -28,7 +28,7 @@ from lectern.llm.components import connected_components
 from lectern.llm.workspace import Workspace, small_batches
 
 #: Pivots picked over all vectors, and vectors of a block: both bounds hold at every size.
-PIVOTS, BLOCK = 24, 2_048
+PIVOTS, BLOCK = 24, 1_024
 _FAR = np.iinfo(np.int64).max
 
 
