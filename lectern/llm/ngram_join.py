@@ -17,15 +17,17 @@ the first 2a segments at least a differ, so one of these differs by exactly one,
 and a deletion neighbour meets the other's subset.  (If more than half of a
 set's segments are empty, it indexes the empty ones too.)
 
-Equal sets are one class from the start.  In each bucket the smallest class is
-verified exactly against every other; classes that are still in different
-components are then verified against each other, so no pair of a bucket stays
-undecided, while copies are never expanded into all pairs.
+Equal sets are one class from the start.  In each bucket the smallest class, the
+hub, is verified exactly against every other.  Members of a hub that are then
+still in different components are verified against each other in blocks of
+bounded size, from their differences to the hub; so no pair of a bucket stays
+undecided, while copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +40,9 @@ from lectern.llm.workspace import Workspace, checked_broadcast, small_batches
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words remembered with their hash by a worker, and the longest that is.
 MEMO_WORDS, MEMO_BYTES = 400_000, 64
+#: Members of a block, and hashes of a slice, when the members of one hub are compared.
+BLOCK, SLICE = 1_024, 2_048
+_FAR = np.iinfo(np.int64).max
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -168,6 +173,63 @@ def _linked(num: int, den: int):
     return run
 
 
+def _apart(batches):
+    """The symmetric difference of a member's set and its hub's."""
+    for b in batches:
+        out, sizes = [], []
+        for x, y in zip(b.column("x"), b.column("y")):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            out.append(np.setxor1d(x, y, assume_unique=True).tobytes())
+            sizes.append(len(y))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("hub", "cls", "outside", "parts")), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["hub", "cls", "outside", "parts", "size", "apart"])
+
+
+def _blocks(num: int, den: int):
+    """Links between two blocks of a hub's members, as one link into its component for each member that has any.
+
+    With D(x) = x xor hub: |x xor y| = |D(x)| + |D(y)| - 2 |D(x) and D(y)|, and the
+    last term, for all pairs of the blocks, is a product of 0/1 matrices over
+    slices of the hashes that both blocks hold.
+    """
+
+    def table(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        d = [np.frombuffer(x, np.uint64) for x in t.apart]
+        n = np.array([len(x) for x in d], np.int64)
+        return np.repeat(np.arange(len(d)), n), np.concatenate([*d, np.empty(0, np.uint64)]), n, t["size"].to_numpy(np.int64)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        l, r = pdf[pdf.side == 0].drop_duplicates("cls"), pdf[pdf.side == 1].drop_duplicates("cls")
+        if not len(l) or not len(r):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        lid, rid = l.cls.to_numpy(), r.cls.to_numpy()
+        (lr, lt, ln, ls), (rr, rt, rn, rs) = table(l), table(r)
+        words = np.intersect1d(lt, rt)
+        li, ri = np.isin(lt, words), np.isin(rt, words)
+        lr, lt, rr, rt = lr[li], np.searchsorted(words, lt[li]), rr[ri], np.searchsorted(words, rt[ri])
+        both = np.zeros((len(lid), len(rid)), np.float32)
+        for at in range(0, len(words), SLICE):
+            x, y = np.zeros((len(lid), SLICE), np.float32), np.zeros((len(rid), SLICE), np.float32)
+            k = (lt >= at) & (lt < at + SLICE)
+            x[lr[k], lt[k] - at] = 1
+            k = (rt >= at) & (rt < at + SLICE)
+            y[rr[k], rt[k] - at] = 1
+            both += x @ y.T
+        apart = ln[:, None] + rn - 2 * both.astype(np.int64)
+        near = apart * (den + num) <= (ls[:, None] + rs) * (den - num)
+        near &= lid[:, None] != rid
+        low, top = lid.copy(), rid.copy()
+        while near.any():
+            a = np.minimum(low, np.where(near, top, _FAR).min(1))
+            c = np.minimum(top, np.where(near, a[:, None], _FAR).min(0))
+            if (a == low).all() and (c == top).all():
+                break
+            low, top = a, c
+        i, j = near.any(1), near.any(0)
+        return pd.DataFrame({"a": np.concatenate([lid[i], rid[j]]), "b": np.concatenate([low[i], top[j]])}).astype("int64")
+
+    return run
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -205,15 +267,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
 
     links = verified(first, "links")
     roots = ws.write(connected_components(ws, links, "a", "b"), "roots")
-    placed = ws.write(bucket.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", "n_low", "n_top", F.coalesce("root", "cls").alias("root")), "placed")
-    # What is left: members of one bucket in different components.  The most common component of a bucket needs no pairs within.
-    counted = placed.groupBy("sig", "root").agg(F.count("*").alias("k")).withColumn("main", F.max(F.struct("k", "root")).over(by_sig)["root"]).withColumn("parts", F.count("*").over(by_sig)).where("parts > 1 AND root != main").select("sig", F.col("root").alias("out_root"))
-    out = placed.join(counted, (placed["sig"] == counted["sig"]) & (placed["root"] == counted["out_root"]), "left_semi")
-    l, r = out.alias("l"), placed.alias("r")
-    rest = near(l.join(r, F.expr("l.sig = r.sig AND l.root != r.root")).select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b"), F.when(F.expr("l.cls < r.cls"), F.struct(F.expr("l.n_low lo"), F.expr("l.n_top to"), F.expr("r.n_low lo2"), F.expr("r.n_top to2"))).otherwise(F.struct(F.expr("r.n_low lo"), F.expr("r.n_top to"), F.expr("l.n_low lo2"), F.expr("l.n_top to2"))).alias("s")).select("a", "b", F.col("s.lo").alias("a_low"), F.col("s.to").alias("a_top"), F.col("s.lo2").alias("b_low"), F.col("s.to2").alias("b_top"))).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    rest = ws.write(rest, "rest")
-    if not rest.isEmpty():
-        more = verified(rest, "more")
+    # Left to decide: members of one hub's buckets in different components.  Their differences to the hub are short and give theirs to each other.
+    hubbed = bucket.where("cls != hub").select("hub", "cls").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("hub", "cls", F.coalesce("root", "cls").alias("root"))
+    sized = hubbed.groupBy("hub", "root").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("k").alias("k")).where("roots > 1")
+    open_ = ws.write(hubbed.join(sized, "hub").select("hub", "cls", (F.col("root") != F.col("main")).alias("outside"), F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "open")
+    if not open_.isEmpty():
+        x, y = sets.select(F.col("cls").alias("hub"), F.col("set").alias("x")), sets.select("cls", F.col("set").alias("y"))
+        apart = ws.write(open_.join(y, "cls").join(x, "hub").mapInArrow(_apart, "hub long, cls long, outside boolean, parts int, size long, apart binary"), "apart")
+        apart = apart.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        left = apart.where("outside").withColumn("j", F.explode(every)).select("hub", F.col("part").alias("i"), "j", F.lit(0).alias("side"), "cls", "size", "apart")
+        right = apart.withColumn("i", F.explode(every)).select("hub", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "cls", "size", "apart")
+        more = ws.write(left.unionByName(right).groupBy("hub", "i", "j").applyInPandas(_blocks(num, den), "a long, b long"), "more")
         if not more.isEmpty():
             roots = ws.write(connected_components(ws, links.unionByName(more), "a", "b"), "roots")
     found = member.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
