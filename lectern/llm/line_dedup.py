@@ -72,11 +72,11 @@ cut_lines AS (SELECT doc_id, pos, list_transform(string_split_regex(line, '[ \\t
 placed_lines AS MATERIALIZED (SELECT doc_id, pos, array_to_string(tokens, ' ') AS line, len(tokens) || ' ' || array_to_string(tokens[1:{LEAD}], ' ') AS leaf FROM cut_lines WHERE len(tokens) >= {MIN_TOKENS}),
 found_lines AS MATERIALIZED (SELECT * FROM placed_lines WHERE leaf IN (SELECT leaf FROM placed_lines GROUP BY leaf HAVING count(*) >= {MIN_DOCS})),
 distinct_lines AS (SELECT leaf, line, count(*) AS w FROM found_lines GROUP BY ALL),
-spread AS MATERIALIZED (SELECT leaf, line, w, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS at FROM distinct_lines),
-constant AS (SELECT leaf, at, token FROM spread WHERE token <> '<*>' GROUP BY ALL HAVING sum(w) >= {MIN_DOCS}),
-shaped AS MATERIALIZED (SELECT s.leaf, s.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY s.at) AS template FROM spread s LEFT JOIN constant c USING (leaf, at, token) GROUP BY ALL HAVING count(c.token) >= {MIN_TOKENS} AND count(c.token) >= {CONSTANT} * count(*)),
+spread AS MATERIALIZED (SELECT leaf, line, w, unnest(string_split(line, ' ')) AS token, generate_subscripts(string_split(line, ' '), 1) AS k FROM distinct_lines),
+constant AS (SELECT leaf, k, token FROM spread WHERE token <> '<*>' GROUP BY ALL HAVING sum(w) >= {MIN_DOCS}),
+shaped AS MATERIALIZED (SELECT s.leaf, s.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY s.k) AS template FROM spread s LEFT JOIN constant c USING (leaf, k, token) GROUP BY ALL HAVING count(c.token) >= {MIN_TOKENS} AND count(c.token) >= {CONSTANT} * count(*)),
 held AS MATERIALIZED (SELECT doc_id, pos, template FROM found_lines JOIN shaped USING (leaf, line)),
 recurring AS (SELECT template, min(doc_id) AS first FROM held GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-starts AS (SELECT template, doc_id AS first, min(pos) AS at FROM held GROUP BY ALL),
-drops AS MATERIALIZED (SELECT doc_id, list(DISTINCT pos) AS drops FROM held JOIN recurring USING (template) JOIN starts USING (template, first) WHERE doc_id <> first OR pos <> at GROUP BY doc_id),
+starts AS (SELECT template, doc_id AS first, min(pos) AS k FROM held GROUP BY ALL),
+drops AS MATERIALIZED (SELECT doc_id, list(DISTINCT pos) AS drops FROM held JOIN recurring USING (template) JOIN starts USING (template, first) WHERE doc_id <> first OR pos <> k GROUP BY doc_id),
 deduped AS MATERIALIZED (SELECT d.* REPLACE (CASE WHEN drops IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(drops, i - 1)), chr(10)) END AS text), CASE WHEN length(d.text) > 0 THEN len(string_split(d.text, chr(10))) ELSE 0 END AS _lines, coalesce(len(drops), 0) AS _dropped FROM {source} d LEFT JOIN drops USING (doc_id))"""

@@ -30,6 +30,8 @@ from lectern.llm.workspace import Workspace, small_batches
 #: Bytes of an image row; payloads are padded to a positive multiple.
 WIDTH, PAD = 576, b"\xff"
 HEADER = 33
+#: Stored bytes that a task reads back.
+TASK_BYTES = 64 << 20
 _SIGN = b"\x89PNG\r\n\x1a\n"
 
 
@@ -161,5 +163,7 @@ def media_columns(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id",
     row.  No rows: no shards and an empty result.
     """
     places, folder = store_media(spark, docs, Workspace(spark, "media"), doc_id, text)
-    near = places.repartitionByRange("shard", "at", "doc_id").sortWithinPartitions("shard", "at", "doc_id")
+    # rows are narrow, what they point at is not: tasks are counted by stored bytes
+    tasks = max(spark.sparkContext.defaultParallelism, (places.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] or 0) // TASK_BYTES + 1)
+    near = places.repartitionByRange(tasks, "shard", "at", "doc_id").sortWithinPartitions("shard", "at", "doc_id")
     return near.mapInArrow(_inspect(folder), _OUT)

@@ -134,11 +134,24 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
 
+def _matrix(texts) -> np.ndarray:
+    return np.array([features(t.as_py() or b"") for t in texts], np.float64).reshape(-1, len(FEATURES))
+
+
 def _score(model: Additive):
     def run(batches):
         for b in batches:
-            x = np.array([features(t.as_py() or b"") for t in b.column("text")], np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), pa.array(model.score(x), pa.float64())], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(_matrix(b.column("text"))), pa.float64())], ["doc_id", "score"])
+
+    return run
+
+
+def _keep(model: Additive, cut: float):
+    def run(batches):
+        for b in batches:
+            texts = [t.as_py().encode() if t.is_valid else b"" for t in b.column("text")]
+            x = np.array([features(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
+            yield b.filter(pa.array(model.score(x) >= cut, pa.bool_()))
 
     return run
 
@@ -163,22 +176,15 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str =
     return fit(x, np.array([r.y for r in rows], np.float64))
 
 
-def score_quality(spark: SparkSession, docs: DataFrame, model: Additive, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default doc_id) of every row, and its score; null texts score as empty ones.
-
-    keep may name the whole row; a column called score is then refused by Spark as
-    ambiguous only if asked for.
-    """
+def keep_quality(spark: SparkSession, docs: DataFrame, model: Additive, cut: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores at least cut; a null text scores as an empty one."""
     small_batches(spark)
-    keep = keep or ["doc_id"]
-    cols = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
-    sub = docs.select(*cols, F.col("text").cast("binary").alias("text"))
-    fields = ", ".join(f"k{i} {sub.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    out = sub.mapInArrow(_score(model), f"{fields}, text binary, score double")
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("score").alias("_score"))
+    return docs.mapInArrow(_keep(model, cut), docs.schema)
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = 0.7, max_train: int = MAX_TRAIN) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs; repeated rows and null ids are kept row by row."""
-    scored = score_quality(spark, docs, train(spark, docs, labels, "quality", max_train))
-    return scored.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= cut).cast("int").alias("predicted"))
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    scored = rows.mapInArrow(_score(train(spark, docs, labels, "quality", max_train)), "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
