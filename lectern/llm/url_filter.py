@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.workspace import Workspace
+
 #: Levels of the tree, children beyond which a node's branches all merge, standard errors, pseudo-counts, least purity.
 DEPTH, CHILDREN, Z, KAPPA, CUT = 3, 32, 1.96, 4.0, 0.5
 #: The contract's rules.
@@ -61,12 +63,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dep
     the tree as such.  Repeated rows and null ids are kept row by row; no rows,
     or no labelled rows, are fine (purity is then one half and allows).
     """
+    ws = Workspace(pages.sparkSession, "urls")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     host, path = host_and_path(F.col("url"))
     base = base.select("page_id", host.alias("host"), path.alias("path"))
     base = base.select("*", fitting_rule(F.col("host"), F.col("path"), rules).alias("best"), *segments(F.col("path"), depth))
     names = [f"s{i + 1}" for i in range(depth)]
     tree = base.groupBy("host", *names).agg(F.count("best.rule").alias("n"), F.count_if(F.col("best.verdict") == "allow").alias("a")).withColumn("t0", F.lit(""))
+    tree = ws.write(tree, "paths")
     for d in range(1, depth + 1):
         at = ["host", f"t{d - 1}"]
         child = tree.groupBy(*at, f"s{d}").agg(F.sum("n").alias("cn"), F.sum("a").alias("ca"))
@@ -74,7 +78,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dep
         q = (F.col("pa") + 1.0) / (F.col("pn") + 2.0)
         own = (F.col("children") <= CHILDREN) & (F.abs(F.col("ca") - F.col("cn") * q) > Z * F.sqrt(F.col("cn") * q * (1.0 - q)))
         named = child.join(node, at).select(*at, f"s{d}", F.concat(f"t{d - 1}", F.lit("/"), F.when(own, F.col(f"s{d}")).otherwise("*")).alias(f"t{d}"))
-        tree = tree.join(named, [*at, f"s{d}"])
+        tree = ws.write(tree.join(named, [*at, f"s{d}"]), "tree")
     total = tree.agg(((F.coalesce(F.sum("a"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("p"))
     # one row, so this broadcast has a fixed size
     scored = tree.groupBy("host", *(f"t{d}" for d in range(depth + 1))).agg(F.sum("n").alias("n"), F.sum("a").alias("a")).crossJoin(F.broadcast(total))
@@ -82,6 +86,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dep
         at = ["host", f"t{d}"]
         here = scored.groupBy(*at).agg(F.sum("n").alias("hn"), F.sum("a").alias("ha"))
         scored = scored.join(here, at).withColumn("p", (F.col("ha") + KAPPA * F.col("p")) / (F.col("hn") + KAPPA)).drop(*(("hn", "ha") if d < depth else ()))
+    scored = ws.write(scored, "purity")
     last = tree.select("host", *names, f"t{depth}").join(scored.select("host", f"t{depth}", "p", "hn", "ha"), ["host", f"t{depth}"])
     judged = base.join(last, ["host", *names], "left")
     by_tree = F.when(F.col("p") < CUT, "block").otherwise("allow")
