@@ -1 +1 @@
-"""Part of lectern."""
+"""Readers of the JSON documents, uploads and glossary, and the versioned store."""
