@@ -41,8 +41,10 @@ def words_of(text: bytes) -> set[bytes]:
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept, not penalised."""
+    """Ridge logistic regression by Newton steps; the last weight is the intercept, not penalised.  Without a positive row: next to nothing for every text."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    if not y.any():
+        return np.append(np.zeros(x.shape[1] - 1), -10.0)
     w, pen = np.zeros(x.shape[1]), np.full(x.shape[1], RIDGE)
     pen[-1] = 1e-3
     for _ in range(12):
