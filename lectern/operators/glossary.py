@@ -81,8 +81,8 @@ def apply_hits(cleaned: DataFrame, hits: DataFrame, selected: DataFrame) -> Data
 def applied_counts(edited: DataFrame, selected: DataFrame) -> DataFrame:
     """A-GLOS."""
     changed = edited.where(~F.col("new_text").eqNullSafe(F.col("text")))
-    n = changed.agg(F.count("*").alias("changed_sentences"), F.count_distinct("partition", "video_id").alias("changed_videos"))
-    return selected.agg(F.count_distinct("hit_id").alias("selected")).crossJoin(F.broadcast(n))  # one row each
+    n = selected.agg(F.count_distinct("hit_id")).first()[0]
+    return changed.agg(F.lit(n).cast("long").alias("selected"), F.count("*").alias("changed_sentences"), F.count_distinct("partition", "video_id").alias("changed_videos"))
 
 
 def upsert(stored: DataFrame, entries: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class ConflictError(RuntimeError):
@@ -52,7 +53,7 @@ class Store:
         return done
 
     def pointer(self) -> dict:
-        """{"revision": n, "relations": {name: directory}} of the newest commit."""
+        """{"revision": n, "relations": {name: [directory, schema]}} of the newest commit."""
         fs, p = self._fs(f"{self.root}/_commits")
         if not fs.exists(p):
             return {"revision": 0, "relations": {}}
@@ -64,7 +65,8 @@ class Store:
         where = (at or self.pointer())["relations"].get(relation)
         if where is None:
             raise FileNotFoundError(relation)
-        return self.spark.read.parquet(f"{self.root}/{where}")
+        path, schema = where
+        return self.spark.read.schema(StructType.fromJson(schema)).parquet(f"{self.root}/{path}")  # an empty relation has no files to tell its schema
 
     def commit(self, changes: dict[str, DataFrame], expected_revision: int) -> int:
         """SNK2: write the changed relations and publish them together; the new revision."""
@@ -73,9 +75,10 @@ class Store:
             raise ConflictError(f"revision is {now['revision']}, not {expected_revision}")
         relations = dict(now["relations"])
         for name, df in changes.items():
-            relations[name] = f"{name}/v-{uuid.uuid4().hex}"
+            path = f"{name}/v-{uuid.uuid4().hex}"
+            relations[name] = [path, json.loads(df.schema.json())]
             parts = ["partition"] if "partition" in df.columns and len(df.columns) > 1 else []
-            df.write.partitionBy(*parts).parquet(f"{self.root}/{relations[name]}")
+            df.write.partitionBy(*parts).parquet(f"{self.root}/{path}")
         revision = expected_revision + 1
         # the name is the lock: of two writers with one expectation, one finds it taken
         if not self._put(f"{self.root}/_commits/{revision:012d}.json", json.dumps({"revision": revision, "relations": relations})):
@@ -92,7 +95,7 @@ class Store:
 
     def vacuum(self) -> int:
         """SNK3: delete version directories that the newest pointer does not name (no reader may be on an older one)."""
-        kept, n = set(self.pointer()["relations"].values()), 0
+        kept, n = {path for path, _ in self.pointer()["relations"].values()}, 0
         fs, p = self._fs(self.root)
         for s in fs.listStatus(p) if fs.exists(p) else []:
             name = s.getPath().getName()
