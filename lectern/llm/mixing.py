@@ -11,8 +11,6 @@ a hash of its id falls below its cell's probability.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,8 +51,8 @@ def rake(ws: Workspace, cells: DataFrame, powers: dict[str, float], given: dict[
             goal = own.join(given[m], m, "left").select(m, F.coalesce("share", F.lit(0.0)).alias("goal"))
         else:
             raised = own.select(m, F.when(F.col("mt") > 0, F.pow(F.col("mt") / total, F.lit(powers[m]))).otherwise(0.0).alias("r"))
-            whole = raised.agg(F.sum("r").alias("rs"))  # one row
-            goal = raised.crossJoin(F.broadcast(whole)).select(m, F.when(F.col("rs") > 0, F.col("r") / F.col("rs")).otherwise(0.0).alias("goal"))
+            whole = float(raised.agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0])
+            goal = raised.select(m, (F.col("r") / whole if whole > 0 else F.lit(0.0)).alias("goal"))
         fitted = fitted.join(goal.withColumnRenamed("goal", f"goal_{m}"), m)
     fitted = ws.write(fitted, "cells")
     for _ in range(sweeps):
@@ -96,6 +94,7 @@ def mix(spark: SparkSession, docs: DataFrame, take: float = TAKE, powers: dict[s
     cells = ws.write(keyed.groupBy("_m0", "_m1", "_m2").agg(F.sum("_tokens").alias("t")).toDF(*MARGINS, "t"), "counts")
     fitted = calibrate(rake(ws, cells, powers, given), take)
     odds = ws.write(fitted.select(*(F.col(m).alias(f"_m{i}") for i, m in enumerate(MARGINS)), F.col("p").alias("_p")), "odds")
+    ws.drop_all_but(odds)
     out = keyed.join(checked_broadcast(odds), ["_m0", "_m1", "_m2"])
     return out.withColumn("_kept", draw_of(F.col("doc_id"), seed) < F.col("_p")).drop("_m0", "_m1", "_m2")
 

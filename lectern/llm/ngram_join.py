@@ -18,10 +18,13 @@ and a deletion neighbour meets the other's subset.  (If more than half of a
 set's segments are empty, it indexes the empty ones too.)
 
 Equal sets are one class from the start.  In each bucket the smallest class, the
-hub, is verified exactly against every other.  Members of a hub that are then
-still in different components are verified against each other in blocks of
-bounded size, from their differences to the hub; so no pair of a bucket stays
-undecided, while copies are never expanded into pairs.
+hub, is verified exactly against every other whose size and odd sketch (a lower
+bound of the difference) allow a link.  Members of a hub that are then still in
+different components are decided in blocks of bounded size: those near the hub
+exactly, from their differences to it; those far from it by their sketches first,
+and what these allow exactly.  Near and far members cannot link, by the triangle
+inequality, and some count as both.  So no pair of a bucket stays undecided, while
+copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from lectern.llm.workspace import Workspace, checked_broadcast, small_batches
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Words remembered with their hash by a worker, and the longest that is.
-MEMO_WORDS, MEMO_BYTES = 400_000, 64
+MEMO_WORDS, MEMO_BYTES = 150_000, 64
 #: Members of a block, and hashes of a slice, when the members of one hub are compared.
 BLOCK, SLICE = 1_024, 2_048
 _FAR = np.iinfo(np.int64).max
@@ -149,17 +152,66 @@ def _index(n: int, num: int, den: int):
     return run
 
 
-def _sets(n: int):
+def sketch(u: np.ndarray, bits: int) -> np.ndarray:
+    """Odd sketch: bit i tells whether an odd number of members falls on i.  The sketches of two sets differ in at most |x xor y| bits; folding halves a sketch."""
+    out = np.zeros(bits, np.uint8)
+    np.bitwise_xor.at(out, ((u * _P) >> np.uint64(40)).astype(np.int64) & (bits - 1), 1)
+    return np.packbits(out)
+
+
+def fold(s: np.ndarray, size: int) -> np.ndarray:
+    while len(s) > size:
+        s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+    return s
+
+
+def _bits(n: int, bands: Bands) -> int:
+    """Sketch bits of a set of n: enough that unrelated sets differ in more than the threshold allows."""
+    return max(256, 1 << (4 * bands.most(n)).bit_length())
+
+
+def _sets(n: int, num: int, den: int, whole: bool):
+    """(cls, size, x): the set of a class's text, or its sketch; rows of the same id and another text are passed over."""
+
     def run(batches):
-        memo = _Memo()
+        memo, bands = _Memo(), Bands(num, den)
         for b in batches:
             u = [shingle_set(x.as_py() or b"", n, memo) for x in b.column("text")]
-            same = [xxhash.xxh3_128_digest(x.tobytes()) == f.as_py() for x, f in zip(u, b.column("fp"))]
-            yield pa.RecordBatch.from_arrays([b.column("cls").filter(pa.array(same, pa.bool_())), pa.array([x.tobytes() for x, s in zip(u, same) if s], pa.binary())], ["cls", "set"])
+            same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) == f.as_py() for x, f in zip(u, b.column("fp"))], pa.bool_())
+            cols = [b.column("cls"), pa.array([len(x) for x in u], pa.int64()), pa.array([(x if whole else sketch(x, _bits(len(x), bands))).tobytes() for x in u], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(same) for c in cols], ["cls", "size", "x"])
+
+    return run
+
+
+def _bounded(num: int, den: int):
+    """For pairs with their sketches: whether sizes and the sketches' difference allow a link, and whether they allow b to be near a."""
+
+    def run(batches):
+        bands = Bands(num, den)
+        for b in batches:
+            maybe, near = [], []
+            for n, m, x, y in zip(b.column("n").to_pylist(), b.column("m").to_pylist(), b.column("x"), b.column("y")):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                k = min(len(x), len(y))
+                low = max(abs(n - m), int(np.bitwise_count(fold(x, k) ^ fold(y, k)).sum()))
+                maybe.append(low * (den + num) <= (n + m) * (den - num))
+                near.append(low <= _reach(m, bands))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(maybe, pa.bool_()), pa.array(near, pa.bool_())], ["a", "b", "maybe", "near"])
 
     return run
 
 
+def _reach(n: int, bands: Bands) -> int:
+    """A member of n farther from its hub than this is far: with M its threshold, a partner is more than this less M from the hub."""
+    return bands.most(n) + bands.most(n) * 3 // 5
+
+
+def _edge(n: int, bands: Bands) -> int:
+    """A member of n must be farther from its hub than this to link with a far one, whose threshold is at least (M - 2) num / den."""
+    return bands.most(n) * 3 * bands.num // (5 * bands.den) - 4
+
+
 def _linked(num: int, den: int):
     def run(batches):
         for b in batches:
@@ -173,15 +225,42 @@ def _linked(num: int, den: int):
     return run
 
 
-def _apart(batches):
-    """The symmetric difference of a member's set and its hub's."""
-    for b in batches:
-        out, sizes = [], []
-        for x, y in zip(b.column("x"), b.column("y")):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            out.append(np.setxor1d(x, y, assume_unique=True).tobytes())
-            sizes.append(len(y))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("hub", "cls", "outside", "parts")), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["hub", "cls", "outside", "parts", "size", "apart"])
+def _apart(num: int, den: int):
+    """Of a member near its hub: the symmetric difference of their sets, and whether far members may link with it."""
+
+    def run(batches):
+        bands = Bands(num, den)
+        for b in batches:
+            out, far = [], []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                d = np.setxor1d(x, y, assume_unique=True)
+                out.append(d.tobytes())
+                far.append(len(d) > _edge(len(y), bands))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("hub", "cls", "root", "outside", "parts", "size")), pa.array(out, pa.binary()), pa.array(far, pa.bool_())], ["hub", "cls", "root", "outside", "parts", "size", "apart", "far"])
+
+    return run
+
+
+def _far_blocks(num: int, den: int):
+    """Pairs of two blocks of a hub's far members whose sizes and sketches allow a link, from different components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        l, r = pdf[pdf.side == 0].drop_duplicates("cls"), pdf[pdf.side == 1].drop_duplicates("cls")
+        if not len(l) or not len(r):
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        k = min(len(x) for x in pdf.apart)
+        bits = lambda t: np.unpackbits(np.stack([fold(np.frombuffer(x, np.uint8), k) for x in t.apart]), axis=1).astype(np.float32)
+        x, y = bits(l), bits(r)
+        apart = (x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)).astype(np.int64)
+        ls, rs = l["size"].to_numpy(np.int64)[:, None], r["size"].to_numpy(np.int64)
+        near = np.maximum(apart, abs(ls - rs)) * (den + num) <= (ls + rs) * (den - num)
+        near &= l.root.to_numpy()[:, None] != r.root.to_numpy()
+        i, j = np.nonzero(near)
+        a, b = l.cls.to_numpy()[i], r.cls.to_numpy()[j]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).astype("int64")
+
+    return run
 
 
 def _blocks(num: int, den: int):
@@ -216,7 +295,7 @@ def _blocks(num: int, den: int):
             both += x @ y.T
         apart = ln[:, None] + rn - 2 * both.astype(np.int64)
         near = apart * (den + num) <= (ls[:, None] + rs) * (den - num)
-        near &= lid[:, None] != rid
+        near &= l.root.to_numpy()[:, None] != r.root.to_numpy()
         low, top = lid.copy(), rid.copy()
         while near.any():
             a = np.minimum(low, np.where(near, top, _FAR).min(1))
@@ -248,38 +327,60 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
 
     by_sig = W.partitionBy("sig")
     shared = index.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "doc_id").withColumn("low", F.min("doc_id").over(by_sig)).withColumn("top", F.max("doc_id").over(by_sig)).where("low != top").select("sig", "doc_id")
-    names = member.where("cls IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("cls"), F.min("n").alias("n_low"), F.max("n").alias("n_top"))
-    bucket = ws.write(ws.write(shared, "shared").join(names, "doc_id").select("sig", "cls", "n_low", "n_top").distinct().withColumn("hub", F.min("cls").over(by_sig)).withColumn("most", F.max("cls").over(by_sig)).where("hub != most").drop("most"), "buckets")
-    # hub's size is checked when the sets are compared
-    near = lambda p: p.where(f"b_low * {num} <= a_top * {den} AND a_low * {num} <= b_top * {den}")
-    hubs = bucket.where("cls = hub").groupBy(F.col("hub").alias("a")).agg(F.min("n_low").alias("a_low"), F.max("n_top").alias("a_top"))
-    first = near(bucket.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"), F.col("n_low").alias("b_low"), F.col("n_top").alias("b_top")).distinct().join(hubs, "a")).select("a", "b")
-    first = ws.write(first, "pairs")
-
-    wanted = bucket.select("cls").distinct()
-    own = member.where("doc_id = cls").select("cls", "fp").distinct()
-    wanted = ws.write(wanted.join(own, "cls"), "wanted")
-    sets = ws.write(rows.join(checked_broadcast(wanted.withColumnRenamed("cls", "doc_id")), "doc_id").select(F.col("doc_id").alias("cls"), "text", "fp").mapInArrow(_sets(n), "cls long, set binary").dropDuplicates(["cls", "set"]), "sets")
+    names = member.where("cls IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("cls"))
+    shared = ws.write(shared, "shared")
+    ws.drop(index)
+    named = shared.join(names, "doc_id").select("sig", "cls").distinct()
+    bucket = named.withColumn("hub", F.min("cls").over(by_sig)).where("cls != hub").select("hub", "cls").distinct()
+    bucket = ws.write(bucket, "buckets")  # every member of every bucket, with the bucket's hub
+    ws.drop(shared)
+
+    own = ws.write(member.where("doc_id = cls").select("cls", "fp").distinct(), "own")
+
+    def texts(ids: DataFrame, whole: bool, tag: str) -> DataFrame:
+        """Sets or sketches of some classes, from their texts; sets of all documents would be larger than the texts."""
+        some = ws.write(ids.toDF("cls").distinct().join(own, "cls"), "ids")
+        held = rows.join(checked_broadcast(some.withColumnRenamed("cls", "doc_id")), "doc_id").select(F.col("doc_id").alias("cls"), "text", "fp")
+        return ws.write(held.mapInArrow(_sets(n, num, den, whole), "cls long, size long, x binary").dropDuplicates(["cls"]), tag)
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        x, y = sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), sets.select(F.col("cls").alias("b"), F.col("set").alias("y"))
+        sets = texts(pairs.select("a").union(pairs.select("b")), True, "sets")
+        x, y = sets.select(F.col("cls").alias("a"), "x"), sets.select(F.col("cls").alias("b"), F.col("x").alias("y"))
         return ws.write(pairs.join(y, "b").join(x, "a").mapInArrow(_linked(num, den), "a long, b long"), tag)
 
-    links = verified(first, "links")
+    # sizes and sketches bound the difference from below; only pairs that they allow move their sets
+    drawn = texts(bucket.select("cls").union(bucket.select("hub")), False, "sketches")
+    x, y = drawn.select(F.col("cls").alias("a"), F.col("size").alias("n"), "x"), drawn.select(F.col("cls").alias("b"), F.col("size").alias("m"), F.col("x").alias("y"))
+    first = ws.write(bucket.toDF("a", "b").join(y, "b").join(x, "a").mapInArrow(_bounded(num, den), "a long, b long, maybe boolean, near boolean"), "pairs")
+    links = verified(first.where("maybe").select("a", "b").distinct(), "links")
     roots = ws.write(connected_components(ws, links, "a", "b"), "roots")
-    # Left to decide: members of one hub's buckets in different components.  Their differences to the hub are short and give theirs to each other.
-    hubbed = bucket.where("cls != hub").select("hub", "cls").distinct().join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("hub", "cls", F.coalesce("root", "cls").alias("root"))
+
+    # Left to decide: members of one hub's buckets in different components, by blocks.
+    hubbed = first.groupBy(F.col("a").alias("hub"), F.col("b").alias("cls")).agg(F.max("near").alias("near")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("hub", "cls", F.coalesce("root", "cls").alias("root"), "near")
     sized = hubbed.groupBy("hub", "root").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("k").alias("k")).where("roots > 1")
-    open_ = ws.write(hubbed.join(sized, "hub").select("hub", "cls", (F.col("root") != F.col("main")).alias("outside"), F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "open")
+    open_ = ws.write(hubbed.join(sized, "hub").select("hub", "cls", "root", "near", (F.col("root") != F.col("main")).alias("outside"), F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "open")
     if not open_.isEmpty():
-        x, y = sets.select(F.col("cls").alias("hub"), F.col("set").alias("x")), sets.select("cls", F.col("set").alias("y"))
-        apart = ws.write(open_.join(y, "cls").join(x, "hub").mapInArrow(_apart, "hub long, cls long, outside boolean, parts int, size long, apart binary"), "apart")
-        apart = apart.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
-        left = apart.where("outside").withColumn("j", F.explode(every)).select("hub", F.col("part").alias("i"), "j", F.lit(0).alias("side"), "cls", "size", "apart")
-        right = apart.withColumn("i", F.explode(every)).select("hub", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "cls", "size", "apart")
-        more = ws.write(left.unionByName(right).groupBy("hub", "i", "j").applyInPandas(_blocks(num, den), "a long, b long"), "more")
-        if not more.isEmpty():
-            roots = ws.write(connected_components(ws, links.unionByName(more), "a", "b"), "roots")
+        keys = ["hub", "cls", "root", "outside", "parts", "size"]
+
+        def blocks(t: DataFrame, compare, tag: str) -> DataFrame:
+            t = t.withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+            every = F.sequence(F.lit(0), F.col("parts") - 1)
+            left = t.where("outside").withColumn("j", F.explode(every)).select("hub", F.col("part").alias("i"), "j", F.lit(0).alias("side"), "cls", "root", "size", "apart")
+            right = t.withColumn("i", F.explode(every)).select("hub", "i", F.col("part").alias("j"), F.lit(1).alias("side"), "cls", "root", "size", "apart")
+            return ws.write(left.unionByName(right).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long"), tag)
+
+        close = open_.where("near")
+        sets = texts(close.select("cls").union(close.select("hub")), True, "near_sets")
+        x, y = sets.select(F.col("cls").alias("hub"), "x"), sets.select("cls", "size", F.col("x").alias("y"))
+        apart = ws.write(close.join(y, "cls").join(x, "hub").select(*keys, "x", "y").mapInArrow(_apart(num, den), "hub long, cls long, root long, outside boolean, parts int, size long, apart binary, far boolean"), "apart")
+        more = blocks(apart, _blocks(num, den), "more")
+        marks = drawn.withColumnRenamed("x", "apart")
+        far = open_.where("NOT near").join(marks, "cls").select(*keys, "apart").unionByName(apart.where("far").drop("apart", "far", "size").join(marks, "cls").select(*keys, "apart"))
+        rest = ws.write(blocks(far, _far_blocks(num, den), "rest").distinct(), "rest")
+        for found in (more, verified(rest, "rest_links")):
+            links = links.unionByName(found)
+        if not more.isEmpty() or not rest.isEmpty():
+            roots = ws.write(connected_components(ws, links, "a", "b"), "roots")
+    ws.drop_all_but(member, roots)
     found = member.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls", "doc_id").alias("component_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch handed to Python; bounds a worker's memory on very long texts.
 ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
 #: A side with at most this many (narrow) rows may be broadcast, after counting.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +43,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        self.tables: list[DataFrame] = []
 
     def path(self, tag: str) -> str:
         self.n += 1
@@ -54,6 +55,7 @@ class Workspace:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lectern_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -65,6 +67,13 @@ class Workspace:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Delete this call's tables that its result does not read."""
+        paths = {t._lectern_path for t in kept}
+        self.drop(*(t for t in self.tables if t._lectern_path not in paths))
+        self.tables = list(kept)
+
+
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast only when the counted rows are within BROADCAST_ROWS; else Spark shuffles."""
     n = df.count() if rows is None else rows
