@@ -27,25 +27,30 @@ _BLANK = r"[ \t\r\f\x0b]+"
 
 def drop_lists(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(rk, drops): the places of the lines to drop, for each row key that loses any.  docs: doc_id, rk, text."""
-    line = F.regexp_replace(F.regexp_replace("raw", f"^{_BLANK}", ""), f"{_BLANK}$", "")
-    tokens = F.transform(F.split("line", _BLANK), lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
-    lines = docs.where(F.length("text") > 0).select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).select("doc_id", "rk", "pos", line.alias("line")).where(F.length("line") > 0)
-    lines = lines.select("doc_id", "rk", "pos", tokens.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    lines = lines.select("doc_id", "rk", "pos", "tokens", F.concat_ws(" ", F.size("tokens").cast("string"), F.slice("tokens", 1, LEAD)).alias("leaf"))
-    leaves = ws.write(lines.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select("leaf"), "leaves")
-    found = ws.write(lines.join(checked_broadcast(leaves), "leaf", "left_semi").select("doc_id", "rk", "pos", "leaf", F.array_join("tokens", " ").alias("line")), "candidates")
+    # Canonical lines (one space between tokens, a wildcard for those with a digit) are made before they are exploded, each once;
+    # expressions above an explode would be evaluated anew by every filter and column that uses them.
+    even = lambda c: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, _BLANK, " ")), "[^ ]*[0-9][^ ]*", "<*>"), "^ +| +$", "")
+    odd = lambda c: c.rlike("[0-9\t\r\f\x0b]") | F.contains(c, F.lit("  ")) | F.startswith(c, F.lit(" ")) | F.endswith(c, F.lit(" "))
+    made = F.transform(F.split("text", "\n", -1), lambda c: F.when(odd(c), even(c)).otherwise(c))
+    lines = docs.where(F.length("text") > 0).select("doc_id", "rk", F.posexplode(made).alias("pos", "line"))
+    lines = lines.select("doc_id", "rk", "pos", "line", F.concat_ws(" ", F.size(F.split("line", " ", -1)).cast("string"), F.substring_index("line", " ", LEAD)).alias("leaf"))
+    # short lines leave with their leaves
+    leaves = ws.write(lines.groupBy("leaf").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.substring_index("leaf", " ", 1).cast("int") >= MIN_TOKENS)).select("leaf"), "leaves")
+    found = ws.write(lines.join(checked_broadcast(leaves), "leaf", "left_semi").withColumn("lid", F.md5("line")), "candidates")
 
-    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("w"))
-    spread = ws.write(distinct.select("leaf", "line", "w", F.posexplode(F.split("line", " ", -1)).alias("at", "token")), "tokens")
+    distinct = found.groupBy("leaf", "lid").agg(F.count("*").alias("w"), F.first("line").alias("line"))
+    spread = ws.write(distinct.select("leaf", "lid", "w", F.posexplode(F.split("line", " ", -1)).alias("at", "token")), "tokens")
     constant = spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != "<*>")).select("leaf", "at", "token", F.lit(1).alias("own"))
-    shaped = spread.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "line").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("own") == 1, F.col("token")).otherwise("<*>").alias("t")))), lambda s: s["t"]), " ").alias("template"), F.count("own").alias("constants"), F.count("*").alias("tokens"))
-    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("tokens"))).select("leaf", "line", "template")
-    held = ws.write(found.join(shaped, ["leaf", "line"]).select("doc_id", "rk", "pos", "template"), "templates")
+    shaped = spread.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "lid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("own") == 1, F.col("token")).otherwise("<*>").alias("t")))), lambda s: s["t"]), " ").alias("template"), F.count("own").alias("constants"), F.count("*").alias("tokens"))
+    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("tokens"))).select("leaf", "lid", "template")
+    held = ws.write(found.join(shaped, ["leaf", "lid"]).select("doc_id", "rk", "pos", "template"), "templates")
     # one row a document first: a template of a third of all rows then meets in partial counts
     each = held.groupBy("template", "rk").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"))
     recurring = each.groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= MIN_DOCS)
     again = held.join(recurring, "template").where((F.col("rk") != F.col("first.rk")) | (F.col("pos") != F.col("first.pos")))
-    return ws.write(again.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
+    drops = ws.write(again.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
+    ws.drop_all_but(drops)
+    return drops
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
