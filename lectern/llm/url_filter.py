@@ -79,9 +79,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dep
         own = (F.col("children") <= CHILDREN) & (F.abs(F.col("ca") - F.col("cn") * q) > Z * F.sqrt(F.col("cn") * q * (1.0 - q)))
         named = child.join(node, at).select(*at, f"s{d}", F.concat(f"t{d - 1}", F.lit("/"), F.when(own, F.col(f"s{d}")).otherwise("*")).alias(f"t{d}"))
         tree = ws.write(tree.join(named, [*at, f"s{d}"]), "tree")
-    total = tree.agg(((F.coalesce(F.sum("a"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("p"))
-    # one row, so this broadcast has a fixed size
-    scored = tree.groupBy("host", *(f"t{d}" for d in range(depth + 1))).agg(F.sum("n").alias("n"), F.sum("a").alias("a")).crossJoin(F.broadcast(total))
+    total = tree.agg(((F.coalesce(F.sum("a"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("p")).first()[0]
+    scored = tree.groupBy("host", *(f"t{d}" for d in range(depth + 1))).agg(F.sum("n").alias("n"), F.sum("a").alias("a")).withColumn("p", F.lit(float(total)))
     for d in range(depth + 1):
         at = ["host", f"t{d}"]
         here = scored.groupBy(*at).agg(F.sum("n").alias("hn"), F.sum("a").alias("ha"))
