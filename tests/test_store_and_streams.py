@@ -125,3 +125,15 @@ def test_recordings(spark, tmp_path):
     assert r[0].start == 0 and r[-1].stop == 200_000 and len(r) == 2
     with pytest.raises(ValueError):
         alignment.wav_samples(wav(2))
+
+
+def test_config(tmp_path):
+    from lectern.sources.config import load_config
+
+    put(tmp_path / "conf/c.json", '{"data_root": "d"}')
+    c = load_config(tmp_path / "conf/c.json")
+    assert c.path("x") == str(tmp_path / "conf/x") and c.path("s3://b/x") == "s3://b/x"
+    assert load_config(tmp_path / "conf/c.json", tmp_path).stage_root("asr_raw", "2026-09") == str(tmp_path / "d/asr_raw/2026-09")
+    put(tmp_path / "l.json", "[]")
+    with pytest.raises(ValueError):
+        load_config(tmp_path / "l.json")
