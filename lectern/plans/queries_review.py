@@ -48,7 +48,7 @@ _CATALOG = """n AS MATERIALIZED (SELECT sha256(conv_id::VARCHAR) AS id, conv_id,
 up AS (SELECT sha256(page_id::VARCHAR) AS id, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS name, '2026-0' || (length(url) % 9 + 1) AS uploaded_at FROM pages),
 rec AS MATERIALIZED (SELECT coalesce(n.id, up.id) AS id, coalesce(CASE WHEN n > 6 THEN 'clean ' || conv_id END, CASE WHEN s > 0 THEN 'note ' || conv_id END, CASE WHEN n > 4 THEN 'talk ' || conv_id END, nullif(name, ''), left(coalesce(n.id, up.id), 12)) AS title, up.id IS NOT NULL AS uploaded, true AS has_video, n.id IS NOT NULL AS has_raw, coalesce(n > 2, false) AS has_cleaned, coalesce(n > 3, false) AS has_segments, coalesce(s > 0, false) AS has_business, coalesce(n > 2 AND m > 3, false) AS has_history,
 CASE WHEN n > 3 THEN CASE WHEN q = 1 THEN 'confirmed' ELSE 'pending_review' END ELSE 'not_ready' END AS review_status, coalesce(ms, 0) AS duration_ms, coalesce(n, 0) AS sentence_count, CASE WHEN n > 3 THEN n // 3 ELSE 0 END AS segment_count, CASE WHEN s > 0 THEN s ELSE 0 END AS business_annotation_count, coalesce('2026-0' || (n % 9 + 1), '') AS processed_at, coalesce(uploaded_at, '') AS uploaded_at FROM n FULL JOIN up USING (id)),
-pri AS MATERIALIZED (SELECT *, CASE WHEN uploaded AND NOT has_raw THEN 0 WHEN NOT (has_raw AND has_cleaned AND has_segments) THEN 1 WHEN review_status <> 'confirmed' THEN 2 ELSE 3 END AS priority FROM rec)"""
+pri AS MATERIALIZED (SELECT *, (CASE WHEN uploaded AND NOT has_raw THEN 0 WHEN NOT (has_raw AND has_cleaned AND has_segments) THEN 1 WHEN review_status <> 'confirmed' THEN 2 ELSE 3 END)::BIGINT AS priority FROM rec)"""
 
 
 def _records(spark, d):
@@ -158,7 +158,7 @@ def j1_raw_clean_diff(spark, d):
     return _v2(spark, d).where("rule = 'cleaned.anchor'").select("video_id", F.col("pos").alias("id"))
 
 
-@query(f"WITH {_DAMAGED}, n AS (SELECT count(DISTINCT video_id) AS total, (SELECT count(DISTINCT video_id) FROM v2) AS failed FROM raw) SELECT total - failed AS passed, failed, total, CASE WHEN failed > 0 THEN 1 ELSE 0 END AS exit_code FROM n")
+@query(f"WITH {_DAMAGED}, n AS (SELECT count(DISTINCT video_id) AS total, (SELECT count(DISTINCT video_id) FROM v2) AS failed FROM raw) SELECT total - failed AS passed, failed, total, (CASE WHEN failed > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code FROM n")
 def a_validation_totals(spark, d):
     return validation.totals(R.raw(spark, d).select(*KEY).distinct(), _v2(spark, d))
 
