@@ -250,9 +250,11 @@ def _far_blocks(num: int, den: int):
         if not len(l) or not len(r):
             return pd.DataFrame({"a": [], "b": []}).astype("int64")
         k = min(len(x) for x in pdf.apart)
-        bits = lambda t: np.unpackbits(np.stack([fold(np.frombuffer(x, np.uint8), k) for x in t.apart]), axis=1).astype(np.float32)
-        x, y = bits(l), bits(r)
-        apart = (x.sum(1)[:, None] + y.sum(1) - 2 * (x @ y.T)).astype(np.int64)
+        x, y = (np.stack([fold(np.frombuffer(s, np.uint8), k) for s in t.apart]) for t in (l, r))
+        apart = np.zeros((len(l), len(r)), np.int32)
+        for at in range(0, k, SLICE // 8):  # sketches of long texts are unpacked a slice at a time
+            u, v = (np.unpackbits(s[:, at : at + SLICE // 8], axis=1).astype(np.float32) for s in (x, y))
+            apart += (u.sum(1)[:, None] + v.sum(1) - 2 * (u @ v.T)).astype(np.int32)
         ls, rs = l["size"].to_numpy(np.int64)[:, None], r["size"].to_numpy(np.int64)
         near = np.maximum(apart, abs(ls - rs)) * (den + num) <= (ls + rs) * (den - num)
         near &= l.root.to_numpy()[:, None] != r.root.to_numpy()
