@@ -8,6 +8,13 @@ enough constants that occur in at least MIN_DOCS documents are recurring.  Their
 lines are dropped from every document but the first that has one (smallest id,
 then place), so no content vanishes from the corpus altogether.
 
+MIN_DOCS is an absolute count, which the values of a variable word field pass too
+once there is enough data.  So a line has a wide template besides: where several
+values of a place pass, only the most frequent are constants, as few as the limits
+of a template allow (ties stay together); the one value that passes at its place is
+a constant as before.  A line whose own template does not recur goes if its wide
+one does.
+
 Leaves are counted on narrow rows with partial sums; only lines of leaves that
 recur, each distinct line once, are ever spread by token.  A document's text
 moves only if too many documents change to broadcast their drop lists.
@@ -22,9 +29,18 @@ from lectern.llm.workspace import Workspace, checked_broadcast
 
 #: Leading tokens of a leaf; least tokens of a line, documents of a template, share of constants.
 LEAD, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 4, 5, 0.7
+#: Stands for the count of a value that alone passes at its place.
+ALONE = 1 << 62
 _BLANK = r"[ \t\r\f\x0b]+"
 
 
+def _recurring(held: DataFrame, template: str) -> DataFrame:
+    """(template, docs, first): templates in at least MIN_DOCS documents, with their first line."""
+    # one row a document first: a template of a third of all rows then meets in partial counts
+    each = held.groupBy(template, "rk").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"))
+    return each.groupBy(template).agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= MIN_DOCS)
+
+
 def drop_lists(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(rk, drops): the places of the lines to drop, for each row key that loses any.  docs: doc_id, rk, text."""
     # Canonical lines (one space between tokens, a wildcard for those with a digit) are made before they are exploded, each once;
@@ -40,15 +56,23 @@ def drop_lists(ws: Workspace, docs: DataFrame) -> DataFrame:
 
     distinct = found.groupBy("leaf", "lid").agg(F.count("*").alias("w"), F.first("line").alias("line"))
     spread = ws.write(distinct.select("leaf", "lid", "w", F.posexplode(F.split("line", " ", -1)).alias("at", "token")), "tokens")
-    constant = spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != "<*>")).select("leaf", "at", "token", F.lit(1).alias("own"))
-    shaped = spread.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "lid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("own") == 1, F.col("token")).otherwise("<*>").alias("t")))), lambda s: s["t"]), " ").alias("template"), F.count("own").alias("constants"), F.count("*").alias("tokens"))
-    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("tokens"))).select("leaf", "lid", "template")
-    held = ws.write(found.join(shaped, ["leaf", "lid"]).select("doc_id", "rk", "pos", "template"), "templates")
-    # one row a document first: a template of a third of all rows then meets in partial counts
-    each = held.groupBy("template", "rk").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"))
-    recurring = each.groupBy("template").agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= MIN_DOCS)
+    passing = ws.write(spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != "<*>")), "passing")
+    alone = passing.groupBy("leaf", "at").agg(F.count("*").alias("values")).where("values = 1").select("leaf", "at", F.lit(ALONE).alias("alone"))
+    constant = passing.join(alone, ["leaf", "at"], "left").select("leaf", "at", "token", F.coalesce("alone", "n").alias("n"))
+    shaped = spread.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "lid").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("row"), F.count("n").alias("constants"), F.count("*").alias("tokens"))
+    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("tokens")))
+    template = lambda least: F.array_join(F.transform("row", lambda s: F.when(s["n"] >= least, s["token"]).otherwise("<*>")), " ")
+    least = F.get(F.sort_array(F.transform("row", lambda s: s["n"]), False), F.greatest(F.lit(MIN_TOKENS), F.ceil(CONSTANT * F.col("tokens"))).cast("int") - 1)
+    # a wide template is only ever compared, so its digest with the leaf will do
+    shaped = shaped.select("leaf", "lid", template(F.lit(MIN_DOCS)).alias("template"), F.md5(F.concat("leaf", F.lit("\n"), template(least))).alias("wide"))
+    held = ws.write(found.join(shaped, ["leaf", "lid"]).select("doc_id", "rk", "pos", "template", "wide"), "templates")
+    recurring = ws.write(_recurring(held, "template"), "recurring")
     again = held.join(recurring, "template").where((F.col("rk") != F.col("first.rk")) | (F.col("pos") != F.col("first.pos")))
-    drops = ws.write(again.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
+    rest = ws.write(held.join(recurring, "template", "left_anti").select("rk", "pos", "wide"), "rest")
+    # lines of recurring templates count for a wide one too; of all its lines the first stays, which is the first of its own template as well
+    wide = _recurring(held.join(rest.select("wide").distinct(), "wide", "left_semi"), "wide")
+    beside = rest.join(wide, "wide").where((F.col("rk") != F.col("first.rk")) | (F.col("pos") != F.col("first.pos")))
+    drops = ws.write(again.select("rk", "pos").unionAll(beside.select("rk", "pos")).groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
     ws.drop_all_but(drops)
     return drops
 

@@ -274,6 +274,15 @@ def test_lines(spark, none):
     assert line_dedup.dedup_lines(spark, none).collect() == []
 
 
+def test_lines_with_variable_words(spark):
+    """Values of a field that stand in many lines of the leaf are no constants of its template."""
+    name = lambda i: chr(97 + i) * 3
+    rows = [(20 * i + j, f"{name(i)}{name(j)}\nLogged in user {name(i)} from city {name(j).upper()}") for i in range(20) for j in range(20)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1] and out[0]._dropped == 0
+    assert all(out[i].text == rows[i][1].split("\n")[0] and out[i]._dropped == 1 for i in range(1, 400))
+
+
 def test_lines_odd(spark, odd):
     out = line_dedup.dedup_lines(spark, odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
