@@ -3,10 +3,13 @@
 URLs that a rule fits are the labelled ones.  Paths are first counted as whole
 (host, segments) rows, so everything later works on distinct paths.  Segments that
 look like numbers or hex ids become wildcards by their shape.  Then, level by
-level from the host down, a branch keeps its own name only if its node has few
-children and its labelled share of allowed URLs differs from the node's by more
-than Z standard errors; the other branches, alike in statistics or not labelled
-enough, merge into '*'.  A template's purity is its share of allowed among
+level from the host down, a branch keeps its own name only if its labelled share of
+allowed URLs differs from the node's by more than Z standard errors; the other
+branches, alike in statistics or not labelled enough, merge into '*'.  Beyond
+CHILDREN children chance would name more and more branches, so that a branch must
+also be less likely by chance (Chernoff's bound) than CHILDREN in all children: at
+any width about as many are named by chance, and significant ones keep their node.
+A template's purity is its share of allowed among
 labelled URLs, smoothed towards its parent's with KAPPA pseudo-counts, up to the
 host and then to all hosts; templates below CUT are rejected.
 """
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.workspace import Workspace
 
-#: Levels of the tree, children beyond which a node's branches all merge, standard errors, pseudo-counts, least purity.
+#: Levels of the tree, children beyond which the test of a branch gets stricter, standard errors, pseudo-counts, least purity.
 DEPTH, CHILDREN, Z, KAPPA, CUT = 3, 32, 1.96, 4.0, 0.5
 #: The contract's rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -56,6 +59,14 @@ def segments(path: Column, depth: int) -> list[Column]:
     return [F.coalesce(F.get(shaped, F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(depth)]
 
 
+def _own(children: Column, cn: Column, ca: Column, pn: Column, pa: Column) -> Column:
+    """Whether a branch of cn labelled and ca allowed URLs keeps its name in a node of pn and pa."""
+    q, share = (pa + 1.0) / (pn + 2.0), ca / F.greatest(cn, F.lit(1))
+    part = lambda x, y: F.when(x > 0, x * F.ln(x / y)).otherwise(0.0)
+    rare = cn * (part(share, q) + part(1.0 - share, 1.0 - q)) >= F.ln(F.greatest(children, F.lit(CHILDREN)) / CHILDREN)
+    return (F.abs(ca - cn * q) > Z * F.sqrt(cn * q * (1.0 - q))) & ((children <= CHILDREN) | rare)
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, template, n_labelled, n_allowed) for every row.
 
@@ -75,8 +86,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dep
         at = ["host", f"t{d - 1}"]
         child = tree.groupBy(*at, f"s{d}").agg(F.sum("n").alias("cn"), F.sum("a").alias("ca"))
         node = child.groupBy(*at).agg(F.count("*").alias("children"), F.sum("cn").alias("pn"), F.sum("ca").alias("pa"))
-        q = (F.col("pa") + 1.0) / (F.col("pn") + 2.0)
-        own = (F.col("children") <= CHILDREN) & (F.abs(F.col("ca") - F.col("cn") * q) > Z * F.sqrt(F.col("cn") * q * (1.0 - q)))
+        own = _own(*map(F.col, ("children", "cn", "ca", "pn", "pa")))
         named = child.join(node, at).select(*at, f"s{d}", F.concat(f"t{d - 1}", F.lit("/"), F.when(own, F.col(f"s{d}")).otherwise("*")).alias(f"t{d}"))
         tree = ws.write(tree.join(named, [*at, f"s{d}"]), "tree")
     total = tree.agg(((F.coalesce(F.sum("a"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("p")).first()[0]

@@ -341,6 +341,14 @@ def test_url_tree_learns_branches(spark):
     assert {r.l: (r.lo, r.hi) for r in got} == {"fr": ("allow", "allow"), "it": ("allow", "allow")}
 
 
+@pytest.mark.parametrize("width", [32, 33, 400])
+def test_url_tree_keeps_significant_branches_of_wide_nodes(spark, width):
+    urls = [f"http://x.com/d{k}/page{i}" for k in range(width - 1) for i in range(2)] + [f"http://x.com/bad/page{i}" for i in range(60)] + ["http://x.com/bad/free"]
+    rules = [("block", "x.com", "/bad/page"), ("allow", "x.com", "/d")]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    assert [(r.verdict, r.template.split("/")[1], r.n_labelled, r.n_allowed) for r in got if r.rule is None] == [("block", "bad", 60, 0)]
+
+
 HEAD = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string"
 
 
