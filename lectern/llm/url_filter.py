@@ -12,6 +12,11 @@ any width about as many are named by chance, and significant ones keep their nod
 A template's purity is its share of allowed among
 labelled URLs, smoothed towards its parent's with KAPPA pseudo-counts, up to the
 host and then to all hosts; templates below CUT are rejected.
+
+The first DEPTH levels are built for every path.  Below them a node whose labelled
+URLs disagree is split for as long as paths go on; one of a single verdict has
+nothing left to tell.  Segments that all paths going on there share are one level,
+and a level that leaves a node's labelled URLs together adds no evidence.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.workspace import Workspace
 
-#: Levels of the tree, children beyond which the test of a branch gets stricter, standard errors, pseudo-counts, least purity.
+#: Levels of the tree for every path, children beyond which the test of a branch gets stricter, standard errors, pseudo-counts, least purity.
 DEPTH, CHILDREN, Z, KAPPA, CUT = 3, 32, 1.96, 4.0, 0.5
 #: The contract's rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -54,9 +59,11 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def segments(path: Column, depth: int) -> list[Column]:
+    """s1 to s<depth>, and the further ones as `rest`, joined by '/'; empty where there are none."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
     shaped = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9]+(\.[A-Za-z]{1,5})?$", "<n>$1"), r"^[0-9a-fA-F-]{8,}$", "<h>"))
-    return [F.coalesce(F.get(shaped, F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(depth)]
+    rest = F.array_join(F.slice(shaped, F.lit(depth + 1), F.greatest(F.size(shaped) - depth, F.lit(0))), "/")
+    return [*(F.coalesce(F.get(shaped, F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(depth)), F.coalesce(rest, F.lit("")).alias("rest")]
 
 
 def _own(children: Column, cn: Column, ca: Column, pn: Column, pa: Column) -> Column:
@@ -67,6 +74,35 @@ def _own(children: Column, cn: Column, ca: Column, pn: Column, pa: Column) -> Co
     return (F.abs(ca - cn * q) > Z * F.sqrt(cn * q * (1.0 - q))) & ((children <= CHILDREN) | rare)
 
 
+def _deepen(ws: Workspace, tree: DataFrame) -> DataFrame:
+    """tree (host, t, p, hn, ha, rest, left, n, a) with t, p, hn and ha of the last levels; left: what of rest is below t."""
+    done, at = [], ["host", "t"]
+    while True:
+        more = F.when(F.col("left") != "", F.split("left", "/", -1))
+        nodes = tree.groupBy(*at).agg(F.sum("n").alias("pn"), F.sum("a").alias("pa"), F.min(more).alias("lo"), F.max(more).alias("hi"))
+        nodes = nodes.where(F.col("lo").isNotNull() & (F.col("pa") > 0) & (F.col("pa") < F.col("pn")))
+        # what the least and the greatest path share, all share; if nothing, one segment is a level
+        same = F.size(F.filter(F.transform("lo", lambda s, i: F.slice("lo", F.lit(1), i + 1) == F.slice("hi", F.lit(1), i + 1)), lambda x: x))
+        nodes = ws.write(nodes.select(*at, "pn", "pa", F.greatest(same, F.lit(1)).alias("take")), "nodes")
+        if nodes.isEmpty():
+            break
+        done.append(ws.write(tree.join(nodes, at, "left_anti"), "done"))
+        parts = F.split("left", "/", -1)
+        cut = tree.join(nodes, at).withColumns({"head": F.array_join(F.slice(parts, F.lit(1), F.col("take")), "/"), "left": F.array_join(F.slice(parts, F.col("take") + 1, F.greatest(F.size(parts) - F.col("take"), F.lit(0))), "/")})
+        cut = ws.write(cut, "cut")
+        child = cut.groupBy(*at, "head").agg(F.sum("n").alias("cn"), F.sum("a").alias("ca"), F.first("pn").alias("pn"), F.first("pa").alias("pa"))
+        width = child.groupBy(*at).agg(F.count("*").alias("children"))
+        named = child.join(width, at).select(*at, "head", F.concat("t", F.lit("/"), F.when(_own(*map(F.col, ("children", "cn", "ca", "pn", "pa"))), F.col("head")).otherwise("*")).alias("to"), "cn", "ca")
+        named = ws.write(named, "named")
+        sums = named.groupBy("host", "t", "to").agg(F.sum("cn").alias("tn"), F.sum("ca").alias("ta"))
+        below = cut.drop("pn", "pa", "take").join(named.select(*at, "head", "to"), [*at, "head"]).join(sums, [*at, "to"])
+        p = F.when(F.col("tn") == F.col("hn"), F.col("p")).otherwise((F.col("ta") + KAPPA * F.col("p")) / (F.col("tn") + KAPPA))
+        tree = ws.write(below.select("host", F.col("to").alias("t"), p.alias("p"), F.col("tn").alias("hn"), F.col("ta").alias("ha"), *(c for c in tree.columns if c not in ("host", "t", "p", "hn", "ha"))), "deeper")
+    for d in done:
+        tree = tree.unionByName(d)
+    return tree
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, template, n_labelled, n_allowed) for every row.
 
@@ -80,7 +116,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dep
     base = base.select("page_id", host.alias("host"), path.alias("path"))
     base = base.select("*", fitting_rule(F.col("host"), F.col("path"), rules).alias("best"), *segments(F.col("path"), depth))
     names = [f"s{i + 1}" for i in range(depth)]
-    tree = base.groupBy("host", *names).agg(F.count("best.rule").alias("n"), F.count_if(F.col("best.verdict") == "allow").alias("a")).withColumn("t0", F.lit(""))
+    tree = base.groupBy("host", *names, "rest").agg(F.count("best.rule").alias("n"), F.count_if(F.col("best.verdict") == "allow").alias("a")).withColumn("t0", F.lit(""))
     tree = ws.write(tree, "paths")
     for d in range(1, depth + 1):
         at = ["host", f"t{d - 1}"]
@@ -96,10 +132,11 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, dep
         here = scored.groupBy(*at).agg(F.sum("n").alias("hn"), F.sum("a").alias("ha"))
         scored = scored.join(here, at).withColumn("p", (F.col("ha") + KAPPA * F.col("p")) / (F.col("hn") + KAPPA)).drop(*(("hn", "ha") if d < depth else ()))
     scored = ws.write(scored, "purity")
-    last = tree.select("host", *names, f"t{depth}").join(scored.select("host", f"t{depth}", "p", "hn", "ha"), ["host", f"t{depth}"])
-    judged = base.join(last, ["host", *names], "left")
+    last = tree.select("host", *names, "rest", F.col(f"t{depth}").alias("t"), "n", "a").join(scored.select("host", F.col(f"t{depth}").alias("t"), "p", "hn", "ha"), ["host", "t"])
+    last = _deepen(ws, last.withColumn("left", F.col("rest"))).select("host", *names, "rest", "t", "p", "hn", "ha")
+    judged = base.join(last, ["host", *names, "rest"], "left")
     by_tree = F.when(F.col("p") < CUT, "block").otherwise("allow")
-    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_tree).alias("verdict"), F.col(f"t{depth}").alias("template"), F.col("hn").alias("n_labelled"), F.col("ha").alias("n_allowed"))
+    return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_tree).alias("verdict"), F.col("t").alias("template"), F.col("hn").alias("n_labelled"), F.col("ha").alias("n_allowed"))
 
 
 def filter_sql(rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH) -> str:

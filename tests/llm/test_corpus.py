@@ -349,6 +349,20 @@ def test_url_tree_keeps_significant_branches_of_wide_nodes(spark, width):
     assert [(r.verdict, r.template.split("/")[1], r.n_labelled, r.n_allowed) for r in got if r.rule is None] == [("block", "bad", 60, 0)]
 
 
+def test_url_tree_learns_below_its_first_levels(spark):
+    """Labels that differ after the third segment, after a long common run, and a path far longer than the others."""
+    kinds = {"/a/b/c/casino/": "block", "/a/b/c/news/": "allow", "/blog/2024/05/x/y/z/casino/": "block", "/blog/2024/05/x/y/z/news/": "allow"}
+    urls = [f"http://x.com{k}{w}" for k in kinds for w in [f"page{i}" for i in range(30)] + ["free"]]
+    urls += ["http://x.com/a/b/c/news/free" + "/a" * 300, "http://x.com/a/b/c", "http://y.com/a/b/c/d/e/f"]
+    rules = [(v, "x.com", k + "page") for k, v in kinds.items()]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    assert len(got) == len(urls)
+    by = {r.path: r for r in got if r.rule is None}
+    for k, v in kinds.items():
+        assert by[k + "free"].verdict == v and (by[k + "free"].n_labelled, by[k + "free"].n_allowed) in ((30, 30 * (v == "allow")), (60, 60 * (v == "allow")))
+    assert by["/a/b/c/news/free" + "/a" * 300].verdict == "allow" and by["/a/b/c/d/e/f"].template.count("/") == 3
+
+
 HEAD = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string"
 
 
