@@ -15,6 +15,9 @@ of a template allow (ties stay together); the one value that passes at its place
 a constant as before.  A line whose own template does not recur goes if its wide
 one does.
 
+A line with too many digits for any template is dropped only as a whole: if it
+stands in MIN_DOCS documents, but for blanks between tokens.
+
 Leaves are counted on narrow rows with partial sums; only lines of leaves that
 recur, each distinct line once, are ever spread by token.  A document's text
 moves only if too many documents change to broadcast their drop lists.
@@ -31,6 +34,9 @@ from lectern.llm.workspace import Workspace, checked_broadcast
 LEAD, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 4, 5, 0.7
 #: Stands for the count of a value that alone passes at its place.
 ALONE = 1 << 62
+#: Begins the digests of lines that keep their digits.
+DIGITS = "#"
+_DIGITS = "[^ ]*[0-9][^ ]*"
 _BLANK = r"[ \t\r\f\x0b]+"
 
 
@@ -45,24 +51,30 @@ def drop_lists(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(rk, drops): the places of the lines to drop, for each row key that loses any.  docs: doc_id, rk, text."""
     # Canonical lines (one space between tokens, a wildcard for those with a digit) are made before they are exploded, each once;
     # expressions above an explode would be evaluated anew by every filter and column that uses them.
-    even = lambda c: F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, _BLANK, " ")), "[^ ]*[0-9][^ ]*", "<*>"), "^ +| +$", "")
+    spaced = lambda c: F.trim(F.regexp_replace(c, _BLANK, " "))
+    tokens = lambda c: F.size(F.split(c, " ", -1))
+    # with too many wildcards for any template a line keeps its digits, by which it is told below, and recurs only as a whole
+    few = lambda c: tokens(c) - F.regexp_count(c, F.lit(_DIGITS)) < F.greatest(F.lit(MIN_TOKENS), CONSTANT * tokens(c))
+    even = lambda c: F.when(c.rlike("[0-9]") & few(spaced(c)), spaced(c)).otherwise(F.regexp_replace(spaced(c), _DIGITS, "<*>"))
     odd = lambda c: c.rlike("[0-9\t\r\f\x0b]") | F.contains(c, F.lit("  ")) | F.startswith(c, F.lit(" ")) | F.endswith(c, F.lit(" "))
     made = F.transform(F.split("text", "\n", -1), lambda c: F.when(odd(c), even(c)).otherwise(c))
+    digits = lambda c: F.col(c).rlike("[0-9]")
     lines = docs.where(F.length("text") > 0).select("doc_id", "rk", F.posexplode(made).alias("pos", "line"))
-    lines = lines.select("doc_id", "rk", "pos", "line", F.concat_ws(" ", F.size(F.split("line", " ", -1)).cast("string"), F.substring_index("line", " ", LEAD)).alias("leaf"))
+    lines = lines.select("doc_id", "rk", "pos", "line", F.concat_ws(" ", F.size(F.split("line", " ", -1)).cast("string"), F.when(digits("line"), F.regexp_replace(F.substring_index("line", " ", LEAD), _DIGITS, "<*>")).otherwise(F.substring_index("line", " ", LEAD))).alias("leaf"))
     # short lines leave with their leaves
     leaves = ws.write(lines.groupBy("leaf").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.substring_index("leaf", " ", 1).cast("int") >= MIN_TOKENS)).select("leaf"), "leaves")
-    found = ws.write(lines.join(checked_broadcast(leaves), "leaf", "left_semi").withColumn("lid", F.md5("line")), "candidates")
+    found = ws.write(lines.join(checked_broadcast(leaves), "leaf", "left_semi").withColumn("lid", F.concat(F.when(digits("line"), DIGITS).otherwise(""), F.md5("line"))), "candidates")
 
     distinct = found.groupBy("leaf", "lid").agg(F.count("*").alias("w"), F.first("line").alias("line"))
     spread = ws.write(distinct.select("leaf", "lid", "w", F.posexplode(F.split("line", " ", -1)).alias("at", "token")), "tokens")
     passing = ws.write(spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != "<*>")), "passing")
-    alone = passing.groupBy("leaf", "at").agg(F.count("*").alias("values")).where("values = 1").select("leaf", "at", F.lit(ALONE).alias("alone"))
+    alone = passing.where(~digits("token")).groupBy("leaf", "at").agg(F.count("*").alias("values")).where("values = 1").select("leaf", "at", F.lit(ALONE).alias("alone"))
     constant = passing.join(alone, ["leaf", "at"], "left").select("leaf", "at", "token", F.coalesce("alone", "n").alias("n"))
     shaped = spread.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "lid").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("row"), F.count("n").alias("constants"), F.count("*").alias("tokens"))
-    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("tokens")))
+    whole = F.startswith(F.col("lid"), F.lit(DIGITS))
+    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("tokens")) & (~whole | (F.col("constants") == F.col("tokens"))))
     template = lambda least: F.array_join(F.transform("row", lambda s: F.when(s["n"] >= least, s["token"]).otherwise("<*>")), " ")
-    least = F.get(F.sort_array(F.transform("row", lambda s: s["n"]), False), F.greatest(F.lit(MIN_TOKENS), F.ceil(CONSTANT * F.col("tokens"))).cast("int") - 1)
+    least = F.when(whole, F.lit(MIN_DOCS)).otherwise(F.get(F.sort_array(F.transform("row", lambda s: s["n"]), False), F.greatest(F.lit(MIN_TOKENS), F.ceil(CONSTANT * F.col("tokens"))).cast("int") - 1))
     # a wide template is only ever compared, so its digest with the leaf will do
     shaped = shaped.select("leaf", "lid", template(F.lit(MIN_DOCS)).alias("template"), F.md5(F.concat("leaf", F.lit("\n"), template(least))).alias("wide"))
     held = ws.write(found.join(shaped, ["leaf", "lid"]).select("doc_id", "rk", "pos", "template", "wide"), "templates")

@@ -283,6 +283,14 @@ def test_lines_with_variable_words(spark):
     assert all(out[i].text == rows[i][1].split("\n")[0] and out[i]._dropped == 1 for i in range(1, 400))
 
 
+def test_lines_of_digits_go_as_a_whole(spark):
+    own = lambda i: f"Row {i} 1{i} 2{i} 3{i}"
+    rows = [(i, f"Copyright 2021 Acme Corp\n{own(i)}\nPage 3  of 10\n555-0100 555-0101 555-0102 555-0103") for i in range(6)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1]
+    assert all((out[i].text, out[i]._dropped) == (own(i), 3) for i in range(1, 6))
+
+
 def test_lines_odd(spark, odd):
     out = line_dedup.dedup_lines(spark, odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
