@@ -6,7 +6,8 @@ its position if at least MIN_DOCS lines have it there, and a variable field
 otherwise; the line's constants and wildcards are its template.  Templates with
 enough constants that occur in at least MIN_DOCS documents are recurring.  Their
 lines are dropped from every document but the first that has one (smallest id,
-then place), so no content vanishes from the corpus altogether.
+then place).  What a template holds thus stays in the corpus once; the values of its
+variable fields go with their lines.
 
 MIN_DOCS is an absolute count, which the values of a variable word field pass too
 once there is enough data.  So a line has a wide template besides: where several
@@ -19,38 +20,47 @@ A line with too many digits for any template is dropped only as a whole: if it
 stands in MIN_DOCS documents, but for blanks between tokens.
 
 Leaves are counted on narrow rows with partial sums; only lines of leaves that
-recur, each distinct line once, are ever spread by token.  A document's text
-moves only if too many documents change to broadcast their drop lists.
+recur, each distinct line once, are ever spread by token.  Rows, leaves, lines and
+templates are told by 128-bit digests.  A document's text moves only if too many
+documents change to broadcast their drop lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.workspace import Workspace, checked_broadcast
+from lectern.llm.workspace import Workspace, checked_broadcast, free_names
 
 #: Leading tokens of a leaf; least tokens of a line, documents of a template, share of constants.
 LEAD, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 4, 5, 0.7
 #: Stands for the count of a value that alone passes at its place.
 ALONE = 1 << 62
-#: Begins the digests of lines that keep their digits.
-DIGITS = "#"
 _DIGITS = "[^ ]*[0-9][^ ]*"
 _BLANK = r"[ \t\r\f\x0b]+"
+_ROW, _LEAF, _LINE = ("k1", "k2"), ("size", "l1", "l2"), ("h1", "h2")
+
+
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    """128 bits of a row's id and text."""
+    return [F.xxhash64(doc_id, text), F.xxhash64(text, F.lit(1), doc_id)]
 
 
 def _recurring(held: DataFrame, template: str) -> DataFrame:
     """(template, docs, first): templates in at least MIN_DOCS documents, with their first line."""
     # one row a document first: a template of a third of all rows then meets in partial counts
-    each = held.groupBy(template, "rk").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"))
-    return each.groupBy(template).agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= MIN_DOCS)
+    each = held.groupBy(template, "doc_id", *_ROW).agg(F.min("pos").alias("pos"))
+    return each.groupBy(template).agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", *_ROW, "pos")).alias("first")).where(F.col("docs") >= MIN_DOCS)
 
 
-def drop_lists(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """(rk, drops): the places of the lines to drop, for each row key that loses any.  docs: doc_id, rk, text."""
-    # Canonical lines (one space between tokens, a wildcard for those with a digit) are made before they are exploded, each once;
-    # expressions above an explode would be evaluated anew by every filter and column that uses them.
+def _not_first() -> Column:
+    return (F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2")) | (F.col("pos") != F.col("first.pos"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, k1, k2, pos, line, size, l1, l2): canonical lines of at least MIN_TOKENS tokens, with 128 bits of their leaf."""
+    # All that needs a line's text is computed before lines are exploded, each once: expressions above an explode would be
+    # evaluated anew by every filter and column that uses them.
     spaced = lambda c: F.trim(F.regexp_replace(c, _BLANK, " "))
     tokens = lambda c: F.size(F.split(c, " ", -1))
     # with too many wildcards for any template a line keeps its digits, by which it is told below, and recurs only as a whole
@@ -58,52 +68,65 @@ def drop_lists(ws: Workspace, docs: DataFrame) -> DataFrame:
     even = lambda c: F.when(c.rlike("[0-9]") & few(spaced(c)), spaced(c)).otherwise(F.regexp_replace(spaced(c), _DIGITS, "<*>"))
     odd = lambda c: c.rlike("[0-9\t\r\f\x0b]") | F.contains(c, F.lit("  ")) | F.startswith(c, F.lit(" ")) | F.endswith(c, F.lit(" "))
     made = F.transform(F.split("text", "\n", -1), lambda c: F.when(odd(c), even(c)).otherwise(c))
-    digits = lambda c: F.col(c).rlike("[0-9]")
-    lines = docs.where(F.length("text") > 0).select("doc_id", "rk", F.posexplode(made).alias("pos", "line"))
-    lines = lines.select("doc_id", "rk", "pos", "line", F.concat_ws(" ", F.size(F.split("line", " ", -1)).cast("string"), F.when(digits("line"), F.regexp_replace(F.substring_index("line", " ", LEAD), _DIGITS, "<*>")).otherwise(F.substring_index("line", " ", LEAD))).alias("leaf"))
-    # short lines leave with their leaves
-    leaves = ws.write(lines.groupBy("leaf").agg(F.count("*").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.substring_index("leaf", " ", 1).cast("int") >= MIN_TOKENS)).select("leaf"), "leaves")
-    found = ws.write(lines.join(checked_broadcast(leaves), "leaf", "left_semi").withColumn("lid", F.concat(F.when(digits("line"), DIGITS).otherwise(""), F.md5("line"))), "candidates")
-
-    distinct = found.groupBy("leaf", "lid").agg(F.count("*").alias("w"), F.first("line").alias("line"))
-    spread = ws.write(distinct.select("leaf", "lid", "w", F.posexplode(F.split("line", " ", -1)).alias("at", "token")), "tokens")
-    passing = ws.write(spread.groupBy("leaf", "at", "token").agg(F.sum("w").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != "<*>")), "passing")
-    alone = passing.where(~digits("token")).groupBy("leaf", "at").agg(F.count("*").alias("values")).where("values = 1").select("leaf", "at", F.lit(ALONE).alias("alone"))
-    constant = passing.join(alone, ["leaf", "at"], "left").select("leaf", "at", "token", F.coalesce("alone", "n").alias("n"))
-    shaped = spread.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "lid").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("row"), F.count("n").alias("constants"), F.count("*").alias("tokens"))
-    whole = F.startswith(F.col("lid"), F.lit(DIGITS))
-    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("tokens")) & (~whole | (F.col("constants") == F.col("tokens"))))
+    made = F.transform(made, lambda c, i: F.struct(i.alias("pos"), c.alias("line"), tokens(c).alias("size"), F.substring_index(c, " ", LEAD).alias("lead")))
+    long = F.filter(made, lambda x: x["size"] >= MIN_TOKENS)
+    lines = docs.where(F.length("text") > 0).select("doc_id", *_ROW, F.inline(long))
+    lead = F.when(F.col("lead").rlike("[0-9]"), F.regexp_replace("lead", _DIGITS, "<*>")).otherwise(F.col("lead"))
+    return lines.select("doc_id", *_ROW, "pos", "line", "size", F.xxhash64(lead).alias("l1"), F.xxhash64(F.lit(1), lead).alias("l2"))
+
+
+def drop_lists(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """(k1, k2, drops): the places of the lines to drop, for each row key that loses any.  docs: doc_id, k1, k2, text."""
+    lines = _lines(docs)
+    leaves = ws.write(lines.groupBy(*_LEAF).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS).select(*_LEAF), "leaves")
+    found = ws.write(lines.join(checked_broadcast(leaves), list(_LEAF), "left_semi").withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")}), "candidates")
+
+    distinct = found.groupBy(*_LEAF, *_LINE, "line").agg(F.count("*").alias("w"))
+    spread = ws.write(distinct.select(*_LEAF, *_LINE, "w", F.col("line").rlike("[0-9]").alias("whole"), F.posexplode(F.split("line", " ", -1)).alias("at", "token")), "tokens")
+    passing = ws.write(spread.groupBy(*_LEAF, "at", "token").agg(F.sum("w").alias("n")).where((F.col("n") >= MIN_DOCS) & (F.col("token") != "<*>")), "passing")
+    alone = passing.where(~F.col("token").rlike("[0-9]")).groupBy(*_LEAF, "at").agg(F.count("*").alias("values")).where("values = 1").select(*_LEAF, "at", F.lit(ALONE).alias("alone"))
+    constant = ws.write(passing.join(alone, [*_LEAF, "at"], "left").select(*_LEAF, "at", "token", F.coalesce("alone", "n").alias("n")), "constants")
+    shaped = spread.join(constant, [*_LEAF, "at", "token"], "left").groupBy(*_LEAF, *_LINE, "whole").agg(F.sort_array(F.collect_list(F.struct("at", "token", "n"))).alias("row"), F.count("n").alias("constants"))
+    shaped = shaped.where((F.col("constants") >= MIN_TOKENS) & (F.col("constants") >= CONSTANT * F.col("size")) & (~F.col("whole") | (F.col("constants") == F.col("size"))))
     template = lambda least: F.array_join(F.transform("row", lambda s: F.when(s["n"] >= least, s["token"]).otherwise("<*>")), " ")
-    least = F.when(whole, F.lit(MIN_DOCS)).otherwise(F.get(F.sort_array(F.transform("row", lambda s: s["n"]), False), F.greatest(F.lit(MIN_TOKENS), F.ceil(CONSTANT * F.col("tokens"))).cast("int") - 1))
-    # a wide template is only ever compared, so its digest with the leaf will do
-    shaped = shaped.select("leaf", "lid", template(F.lit(MIN_DOCS)).alias("template"), F.md5(F.concat("leaf", F.lit("\n"), template(least))).alias("wide"))
-    held = ws.write(found.join(shaped, ["leaf", "lid"]).select("doc_id", "rk", "pos", "template", "wide"), "templates")
+    least = F.when(F.col("whole"), F.lit(MIN_DOCS)).otherwise(F.get(F.sort_array(F.transform("row", lambda s: s["n"]), False), F.greatest(F.lit(MIN_TOKENS), F.ceil(CONSTANT * F.col("size"))).cast("int") - 1))
+    # templates are only ever compared, so digests will do; a wide one counts within its leaf
+    shaped = ws.write(shaped.select(*_LEAF, *_LINE, F.unhex(F.md5(template(F.lit(MIN_DOCS)))).alias("template"), F.unhex(F.md5(F.concat_ws(" ", "l1", "l2", template(least)))).alias("wide")), "shapes")
+    ws.drop(leaves, spread, passing, constant)
+    held = ws.write(found.drop("line").join(shaped, [*_LEAF, *_LINE]).select("doc_id", *_ROW, "pos", "template", "wide"), "templates")
+    ws.drop(found, shaped)
     recurring = ws.write(_recurring(held, "template"), "recurring")
-    again = held.join(recurring, "template").where((F.col("rk") != F.col("first.rk")) | (F.col("pos") != F.col("first.pos")))
-    rest = ws.write(held.join(recurring, "template", "left_anti").select("rk", "pos", "wide"), "rest")
+    again = held.join(recurring, "template").where(_not_first())
+    rest = ws.write(held.join(recurring, "template", "left_anti").select(*_ROW, "pos", "wide"), "rest")
     # lines of recurring templates count for a wide one too; of all its lines the first stays, which is the first of its own template as well
-    wide = _recurring(held.join(rest.select("wide").distinct(), "wide", "left_semi"), "wide")
-    beside = rest.join(wide, "wide").where((F.col("rk") != F.col("first.rk")) | (F.col("pos") != F.col("first.pos")))
-    drops = ws.write(again.select("rk", "pos").unionAll(beside.select("rk", "pos")).groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
+    some = ws.write(rest.select("wide").distinct(), "wide")
+    wide = ws.write(_recurring(held.join(some, "wide", "left_semi"), "wide"), "recurring_wide")
+    beside = rest.join(wide, "wide").where(_not_first())
+    drops = ws.write(again.select(*_ROW, "pos").unionAll(beside.select(*_ROW, "pos")).groupBy(*_ROW).agg(F.sort_array(F.collect_set("pos")).alias("drops")), "drops")
     ws.drop_all_but(drops)
     return drops
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the recurring lines taken out of `text`, and the columns _lines and _dropped (long).
+def dedup_lines(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "_lines", n_dropped: str = "_dropped") -> DataFrame:
+    """docs with the recurring lines taken out of `text`, and the columns n_lines and n_dropped (long).
 
     Null and empty texts stay as they are (0 lines).  Rows that repeat both id and
     text are treated alike; a null id is an id.  Lines are cut at line feeds only;
-    blank and short lines are never dropped.  Other columns pass through.
+    blank and short lines are never dropped; a line may be as long as its text.
+    Columns called as n_lines or n_dropped are replaced; all others pass through,
+    whatever their names.
     """
     ws = Workspace(spark, "lines")
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
-    drops = drop_lists(ws, keyed).withColumnsRenamed({"rk": "_rk", "drops": "_drops"})
-    out = docs.withColumn("_rk", F.xxhash64(F.col(doc_id), F.col(text).cast("string"))).join(checked_broadcast(drops), "_rk", "left")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    keyed = keyed.withColumns(dict(zip(_ROW, _row_key(F.col("doc_id"), F.col("text")))))
+    k1, k2, drop = free_names([*docs.columns, n_lines, n_dropped], "k1", "k2", "drops")
+    drops = drop_lists(ws, keyed).toDF(k1, k2, drop)
+    drops._lectern_path = ws.tables[-1]._lectern_path
+    out = docs.withColumns(dict(zip((k1, k2), _row_key(F.col(doc_id), F.col(text).cast("string"))))).join(checked_broadcast(drops), [k1, k2], "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drops"), i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n")
     size = F.when(F.length(F.col(text)) > 0, F.size(lines)).otherwise(0).cast("long")
-    return out.withColumns({"_lines": size, "_dropped": F.coalesce(F.size("_drops"), F.lit(0)).cast("long"), text: F.when(F.col("_drops").isNull(), F.col(text)).otherwise(kept)}).drop("_rk", "_drops")
+    return out.withColumns({n_lines: size, n_dropped: F.coalesce(F.size(drop), F.lit(0)).cast("long"), text: F.when(F.col(drop).isNull(), F.col(text)).otherwise(kept)}).drop(k1, k2, drop)
 
 
 def dedup_sql(source: str = "documents") -> str:

@@ -2,8 +2,8 @@
 
 Intermediate results that cut lineage are Parquet tables in the folder that the
 session names in ``spark.checkpoint.dir``: executors can be lost at any time and
-the table is still there.  Only where the setting is absent (tests, a laptop) a
-temporary folder is made and set.
+the table is still there.  Only where the setting is absent and the master is local
+(tests, a laptop) a temporary folder is made and set; a cluster must name one.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch handed to Python; bounds a worker's memory on very long texts.
 ARROW_ROWS, ARROW_BYTES = 512, 32 << 20
-#: A side with at most this many (narrow) rows may be broadcast, after counting.
-BROADCAST_ROWS = 300_000
+#: A side of at most so many rows, and bytes where it is a working table, may be broadcast, after counting.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -75,9 +77,29 @@ class Workspace:
 
 
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Hint a broadcast only when the counted rows are within BROADCAST_ROWS; else Spark shuffles."""
+    """Hint a broadcast only when counted rows and, of a working table, stored bytes are within the bounds; else Spark shuffles."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= BROADCAST_ROWS and stored_bytes(df) <= BROADCAST_BYTES else df
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the working table that df is; 0 for other frames, which are narrow wherever they are checked."""
+    if not (path := getattr(df, "_lectern_path", None)):
+        return 0
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores before it until no taken one equals it (letter case aside)."""
+    known, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name = "_" + name
+        known.add(name.lower())
+        out.append(name)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
