@@ -3,28 +3,35 @@
 A document is the set of hashes of its distinct word n-grams.  For two sets with
 Jaccard similarity of at least J = num/den the symmetric difference d obeys
 ``d <= (|x|+|y|) (den-num)/(den+num)``.  Sizes are cut into bands; for a band the
-largest such d is H, and the hash universe is cut into m = H+1 segments.  Then two
-linked sets of that band agree on at least one segment's whole subset
-(pigeonhole).  A set indexes the subsets under its own band and, where a smaller
-partner may live there, under a band below.
-
-Cost-based allocation: an empty subset costs most, since every set that misses
-the segment shares it.  It is therefore not indexed.  A set with e empty subsets
-indexes, for the first min(2e, m) segments, the subset and all its one-deletion
-neighbours instead.  If linked x and y agree on empty subsets only, on a of
-them, the other m-a segments differ and at most a-1 of them by two or more; among
-the first 2a segments at least a differ, so one of these differs by exactly one,
-and a deletion neighbour meets the other's subset.  (If more than half of a
-set's segments are empty, it indexes the empty ones too.)
-
-Equal sets are one class from the start.  In each bucket the smallest class, the
-hub, is verified exactly against every other whose size and odd sketch (a lower
-bound of the difference) allow a link.  Members of a hub that are then still in
-different components are decided in blocks of bounded size: those near the hub
-exactly, from their differences to it; those far from it by their sketches first,
-and what these allow exactly.  Near and far members cannot link, by the triangle
-inequality, and some count as both.  So no pair of a bucket stays undecided, while
-copies are never expanded into pairs.
+largest such d is H, and the hash universe is cut into m segments.  A set indexes
+its segments' subsets under its own band and, where a smaller partner may live
+there, under bands below.
+
+An empty subset would cost most, since every set that misses the segment shares
+it; it is never indexed.  Instead a set must have units for H+1: linked sets
+differ by one in at most H places, so if a set has H+1 filled segments, one of
+these agrees.  A set that has fewer indexes a finer cut of the universe too, until
+it has enough.  Of two linked sets the one that stops first has its units at a cut
+that both index, so one of its filled segments agrees there.  (Sets that find no
+cut, as small ones may below a similarity of 2/3, index a plain cut of H+1 segments
+with its empty subsets, by which they meet each other.)
+
+Cost-based allocation: a band's segments are either short, with their subset alone
+(one unit each), or about half as many and twice as long, with the subset and all
+its one-deletion neighbours (two units where a subset has two members or more).
+Long ones cost more rows and meet far less often by chance.  Both are counted over
+all documents, in a hash-picked part of the buckets of a segment of each band: rows,
+members beyond the first of a bucket, and pairs in buckets; the cheaper one is
+taken, band by band.
+
+Equal sets are one class from the start, named by a hash of the set.  In each
+bucket the smallest class, the hub, is verified exactly against every other whose
+size and odd sketch (a lower bound of the difference) allow a link.  Members of a
+hub that are then still in different components are decided in blocks of bounded
+size: those near the hub exactly, from their differences to it; those far from it
+by their sketches first, and what these allow exactly.  Near and far members cannot
+link, by the triangle inequality, and some count as both.  So no pair of a bucket
+stays undecided, while copies are never expanded into pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +52,10 @@ _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 MEMO_WORDS, MEMO_BYTES = 150_000, 64
 #: Members of a block, and hashes of a slice, when the members of one hub are compared.
 BLOCK, SLICE = 1_024, 2_048
+#: Cuts of the universe that a set tries; what a bucket's member beyond the first, and a pair in a bucket, cost in index rows.
+CUTS, HUB_COST, PAIR_COST = 6, 20.0, 0.05
+#: One in so many buckets of a segment is counted, whole, for the costs.
+SAMPLE = 16
 _FAR = np.iinfo(np.int64).max
 
 
@@ -78,14 +89,14 @@ def shingle_set(text: bytes, n: int, memo: _Memo) -> np.ndarray:
 
 
 class Bands:
-    """Size bands of a threshold num/den, and how many segments each has."""
+    """Size bands of a threshold num/den, and the cuts of the universe for each."""
 
     def __init__(self, num: int, den: int, step: float = 1.25):
         self.num, self.den = num, den
         lo = 1
         while self.most(lo) < 1:
             lo += 1
-        self.first, self.hi = lo, []
+        self.first, self.hi, self.known = lo, [], {}
         self.step = max(step, den / num)
 
     def most(self, x: int) -> int:
@@ -93,70 +104,158 @@ class Bands:
         y = x * self.den // self.num
         return (x + y) * (self.den - self.num) // (self.den + self.num)
 
-    def tags(self, n: int) -> list[tuple[int, int]]:
-        """(band, segments) that a set of n members indexes."""
+    def tags(self, n: int) -> list[int]:
+        """Bands that a set of n members indexes under."""
         if n < self.first:
             return []
         while not self.hi or self.hi[-1] < n:
             lo = self.hi[-1] + 1 if self.hi else self.first
             self.hi.append(max(lo, int(lo * self.step)))
         k = next(i for i, h in enumerate(self.hi) if n <= h)
-        return [(j, self.most(self.hi[j]) + 1) for j in range(k + 1) if j == k or self.hi[j] * self.den >= n * self.num]
+        return [j for j in range(k + 1) if j == k or self.hi[j] * self.den >= n * self.num]
+
+    def cuts(self, band: int, units: int) -> list[int]:
+        """Segments of each cut for a band: the first gives most sets of its smallest size units for H+1, up to `units` a segment; the next are finer."""
+        if (band, units) not in self.known:
+            lo, need = (self.hi[band - 1] + 1 if band else self.first), self.most(self.hi[band]) + 1
+            m = np.arange(max(2, need // units), 4 * need + 3)
+            rate = lo / m
+            mean = m * (units - np.exp(-rate) * (1 if units == 1 else 2 + rate))
+            spread = np.sqrt(m * np.exp(-rate) * (units + rate * (units - 1)))
+            k = int(np.argmax(mean >= need + 1.5 * spread)) if (mean >= need + 1.5 * spread).any() else 0
+            cut = [int(m[k])]
+            while len(cut) < CUTS:
+                cut.append(cut[-1] + max(1, cut[-1] // 6))
+            self.known[band, units] = cut
+        return self.known[band, units]
+
+    def salt(self, band: int, cut: int, m: int) -> np.ndarray:
+        """cut: its number, CUTS higher for long segments, -1 for the plain cut."""
+        if (band, cut, "salt") not in self.known:
+            self.known[band, cut, "salt"] = _mix(np.arange(m, dtype=np.uint64) + np.uint64(((band + 1) << 40) + ((cut + 1) << 32)))
+        return self.known[band, cut, "salt"]
+
+
+def _subsets(u: np.ndarray, total: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of m segments: where its members end (from 0), and their sum."""
+    segment = ((u >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # rises with u, so a segment is a slice
+    at = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
+    ends = total[at]
+    return at, ends[1:] - ends[:-1]
+
+
+def _entries(u: np.ndarray, w: np.ndarray, total: np.ndarray, m: int, units: int, salt: np.ndarray) -> tuple[np.ndarray, int]:
+    """What a set indexes at one cut, and the units it has there."""
+    at, subset = _subsets(u, total, m)
+    size = np.diff(at)
+    has = size > 0
+    out = _mix((subset + salt)[has])
+    if units == 1:
+        return out, len(out)
+    s = np.repeat(np.arange(m), np.where(size > 1, size, 0))
+    return np.concatenate([out, _mix(subset[s] - w[np.repeat(size > 1, size)] + salt[s])]), int(np.minimum(size, units).sum())
+
+
+def _prepared(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    w = _mix(u + _P)
+    return w, np.concatenate([np.zeros(1, np.uint64), np.cumsum(w, dtype=np.uint64)])
 
 
-def signatures(u: np.ndarray, bands: Bands) -> np.ndarray:
+def signatures(u: np.ndarray, bands: Bands, long_bands: frozenset[int] = frozenset()) -> np.ndarray:
     """What a sorted set of hashes indexes; see the module's text."""
     tags = bands.tags(len(u))
     if not tags:
         return np.empty(0, np.uint64)
-    w = _mix(u + _P)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w, dtype=np.uint64)])
-    high = u >> np.uint64(32)
+    w, total = _prepared(u)
     out = []
-    for band, m in tags:
-        segment = (high * np.uint64(m)) >> np.uint64(32)  # rises with u, so a segment is a slice
-        at = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
-        subset = total[at[1:]] - total[at[:-1]]
-        salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
-        empty = at[1:] == at[:-1]
-        e = int(empty.sum())
-        kept = slice(None) if 2 * e > m else ~empty
-        out.append(_mix(subset[kept] + salt[kept]))
-        if first := min(2 * e, m):
-            end = at[first]
-            s = segment[:end].astype(np.int64)
-            salt = _mix(salt + _P)
-            out += [_mix(subset[:first] + salt[:first]), _mix(subset[s] - w[:end] + salt[s])]
-    return np.unique(np.concatenate(out))
+    for band in tags:
+        units, need = 1 + (band in long_bands), bands.most(bands.hi[band]) + 1
+        for cut, m in enumerate(bands.cuts(band, units)):
+            found, has = _entries(u, w, total, m, units, bands.salt(band, cut + (units - 1) * CUTS, m))
+            out.append(found)
+            if has >= need:
+                break
+        else:
+            out.append(_mix(_subsets(u, total, need)[1] + bands.salt(band, -1, need)))
+    return np.concatenate(out)
+
+
+def _samples(u: np.ndarray, bands: Bands) -> np.ndarray:
+    """Entries of one segment of each band's first cut, short and long, as far as their hash is in the sample; the lowest seven bits tell band and kind."""
+    out = [np.empty(0, np.uint64)]
+    for band in bands.tags(len(u)):
+        for units in (1, 2):
+            m = bands.cuts(band, units)[0]
+            edge = [-(-k * (1 << 32) // m) << 32 for k in (m // 2, m // 2 + 1)]
+            part = u[np.searchsorted(u, np.uint64(edge[0])) : np.searchsorted(u, np.uint64(edge[1])) if edge[1] < 1 << 64 else len(u)]
+            w = _mix(part + _P)
+            whole = w.sum(dtype=np.uint64)
+            found = _mix(np.append(whole - w, whole)) if units == 2 and len(w) > 1 else _mix(whole[None]) if len(w) else w
+            out.append((found[(found >> np.uint64(7)) % np.uint64(SAMPLE) == 0] & ~np.uint64(127)) | np.uint64(2 * min(band, 63) + units - 1))
+    return np.concatenate(out)
 
 
 def _index(n: int, num: int, den: int):
+    """(doc_id, n, fp, cls, sketch, samples): a set's size, print and class, and for the first of a class in a task what is counted and compared."""
+
     def run(batches):
         memo, bands, seen = _Memo(), Bands(num, den), set()
         for b in batches:
-            sizes, prints, sigs, ends = [], [], [], [0]
+            sizes, prints, keys, marks, samples = [], [], [], [], []
             for key, text in zip(b.column(0), b.column(1)):
                 u = shingle_set(text.as_py() or b"", n, memo)
                 fp = xxhash.xxh3_128_digest(u.tobytes())
                 sizes.append(len(u))
                 prints.append(fp)
-                if key.is_valid and fp not in seen:  # an equal set of this task has been indexed already
+                keys.append(int.from_bytes(fp[:8], "little", signed=True))
+                new = key.is_valid and len(u) > 0 and fp not in seen
+                if new:
+                    seen.add(fp)
+                marks.append(sketch(u, _bits(len(u), bands)).tobytes() if new else None)
+                samples.append(_samples(u, bands).view(np.int64) if new else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.int64()), pa.array(marks, pa.binary()), pa.array(samples, pa.list_(pa.int64()))], ["doc_id", "n", "fp", "cls", "sketch", "samples"])
+
+    return run
+
+
+def _signed(n: int, num: int, den: int, long_bands: frozenset[int]):
+    """(sig, cls) rows; an equal set of the task is passed over."""
+
+    def run(batches):
+        memo, bands, seen = _Memo(), Bands(num, den), set()
+        for b in batches:
+            sigs, keys = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for key, text in zip(b.column(0), b.column(1)):
+                u = shingle_set(text.as_py() or b"", n, memo) if key.is_valid else ()
+                if len(u) and (fp := xxhash.xxh3_128_digest(u.tobytes())) not in seen:
                     seen.add(fp)
-                    sigs.append(signatures(u, bands))
-                    ends.append(ends[-1] + len(sigs[-1]))
-                else:
-                    ends.append(ends[-1])
-            flat = np.concatenate([*sigs, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "n", "fp", "sigs"])
+                    sigs.append(signatures(u, bands, long_bands))
+                    keys.append(np.full(len(sigs[-1]), int.from_bytes(fp[:8], "little", signed=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], ["sig", "cls"])
 
     return run
 
 
+def long_bands(samples: DataFrame, num: int, den: int) -> frozenset[int]:
+    """Bands for which long segments with one-deletion neighbours cost less than short ones.  samples: (cls, sample)."""
+    kind = F.col("sample").bitwiseAND(F.lit(127))
+    bucket = samples.distinct().groupBy("sample").agg(F.count("*").alias("c"))
+    cost = F.sum(F.col("c") + HUB_COST * (F.col("c") - 1) + PAIR_COST * F.col("c") * F.col("c"))
+    costs = {r.kind: r.cost for r in bucket.groupBy(kind.alias("kind")).agg(cost.alias("cost")).collect()}  # at most 128 rows
+    bands, out = Bands(num, den), set()
+    for band in {k // 2 for k in costs}:
+        while len(bands.hi) <= band:
+            bands.tags(bands.hi[-1] + 1 if bands.hi else bands.first)
+        short, long = (costs.get(2 * band + k, 0.0) * bands.cuts(band, k + 1)[0] for k in (0, 1))
+        if long < short:
+            out.add(band)
+    return frozenset(out)
+
+
 def sketch(u: np.ndarray, bits: int) -> np.ndarray:
     """Odd sketch: bit i tells whether an odd number of members falls on i.  The sketches of two sets differ in at most |x xor y| bits; folding halves a sketch."""
-    out = np.zeros(bits, np.uint8)
-    np.bitwise_xor.at(out, ((u * _P) >> np.uint64(40)).astype(np.int64) & (bits - 1), 1)
-    return np.packbits(out)
+    at = ((u * _P) >> np.uint64(40)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
 
 
 def fold(s: np.ndarray, size: int) -> np.ndarray:
@@ -170,16 +269,16 @@ def _bits(n: int, bands: Bands) -> int:
     return max(256, 1 << (4 * bands.most(n)).bit_length())
 
 
-def _sets(n: int, num: int, den: int, whole: bool):
-    """(cls, size, x): the set of a class's text, or its sketch; rows of the same id and another text are passed over."""
+def _sets(n: int):
+    """(cls, size, fp, x): the set of a class's text; rows of the same id and another text are passed over."""
 
     def run(batches):
-        memo, bands = _Memo(), Bands(num, den)
+        memo = _Memo()
         for b in batches:
             u = [shingle_set(x.as_py() or b"", n, memo) for x in b.column("text")]
             same = pa.array([xxhash.xxh3_128_digest(x.tobytes()) == f.as_py() for x, f in zip(u, b.column("fp"))], pa.bool_())
-            cols = [b.column("cls"), pa.array([len(x) for x in u], pa.int64()), pa.array([(x if whole else sketch(x, _bits(len(x), bands))).tobytes() for x in u], pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.filter(same) for c in cols], ["cls", "size", "x"])
+            cols = [b.column("cls"), pa.array([len(x) for x in u], pa.int64()), b.column("fp"), pa.array([x.tobytes() for x in u], pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(same) for c in cols], ["cls", "size", "fp", "x"])
 
     return run
 
@@ -316,44 +415,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
 
     Documents link at a Jaccard similarity of n-gram sets of num/den or more.
     Null or empty texts: 0 shingles, linked with nothing.  Null ids: linked with
-    nothing, component null.  Rows that repeat an id give a row each; their sets'
-    links are united under that id.  An empty table gives an empty result; other
-    columns are not looked at.
+    nothing, component null.  Rows that repeat an id give a row each; the links of
+    all their texts are united under that id.  An empty table gives an empty
+    result; other columns are not looked at.
     """
     small_batches(spark)
     ws = Workspace(spark, "ngram")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    index = ws.write(rows.mapInArrow(_index(n, num, den), "doc_id long, n long, fp binary, sigs array<long>"), "index")
-    classes = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("cls"))
-    member = ws.write(index.select("doc_id", "n", "fp").join(classes, "fp", "left"), "classes")  # copies of one text may be many: AQE splits them
-
-    by_sig = W.partitionBy("sig")
-    shared = index.where(F.size("sigs") > 0).select(F.explode("sigs").alias("sig"), "doc_id").withColumn("low", F.min("doc_id").over(by_sig)).withColumn("top", F.max("doc_id").over(by_sig)).where("low != top").select("sig", "doc_id")
-    names = member.where("cls IS NOT NULL").groupBy("doc_id").agg(F.min("cls").alias("cls"))
-    shared = ws.write(shared, "shared")
-    ws.drop(index)
-    named = shared.join(names, "doc_id").select("sig", "cls").distinct()
-    bucket = named.withColumn("hub", F.min("cls").over(by_sig)).where("cls != hub").select("hub", "cls").distinct()
-    bucket = ws.write(bucket, "buckets")  # every member of every bucket, with the bucket's hub
-    ws.drop(shared)
-
-    own = ws.write(member.where("doc_id = cls").select("cls", "fp").distinct(), "own")
-
-    def texts(ids: DataFrame, whole: bool, tag: str) -> DataFrame:
-        """Sets or sketches of some classes, from their texts; sets of all documents would be larger than the texts."""
-        some = ws.write(ids.toDF("cls").distinct().join(own, "cls"), "ids")
-        held = rows.join(checked_broadcast(some.withColumnRenamed("cls", "doc_id")), "doc_id").select(F.col("doc_id").alias("cls"), "text", "fp")
-        return ws.write(held.mapInArrow(_sets(n, num, den, whole), "cls long, size long, x binary").dropDuplicates(["cls"]), tag)
+    index = ws.write(rows.mapInArrow(_index(n, num, den), "doc_id long, n long, fp binary, cls long, sketch binary, samples array<long>"), "index")
+    member = index.select("doc_id", "n", "cls")
+    # partial sums first: copies of one text may be many
+    classes = index.where("n > 0 AND doc_id IS NOT NULL").groupBy("cls", "fp").agg(F.min("doc_id").alias("name"), F.max("n").alias("size"), F.max("sketch").alias("sketch"))
+    classes = ws.write(classes, "classes")
+    long = long_bands(index.select("cls", F.explode("samples").alias("sample")), num, den)
+
+    # rows of a signature come sorted by class, so that the first one seen is the hub and nothing is held back
+    signed = rows.mapInArrow(_signed(n, num, den, long), "sig long, cls long")
+    hub = F.first("cls").over(W.partitionBy("sig").orderBy("cls").rowsBetween(W.unboundedPreceding, W.currentRow))
+    bucket = ws.write(signed.withColumn("hub", hub).where("cls != hub").select("hub", "cls").distinct(), "buckets")  # every member of every bucket, with the bucket's hub
+
+    def texts(ids: DataFrame, tag: str) -> DataFrame:
+        """Sets of some classes, from their texts; sets of all documents would be larger than the texts."""
+        some = ws.write(ids.toDF("cls").distinct().join(classes.select("cls", "fp", F.col("name").alias("doc_id")), "cls"), "ids")
+        held = rows.join(checked_broadcast(some), "doc_id").select("cls", "fp", "text")
+        out = ws.write(held.mapInArrow(_sets(n), "cls long, size long, fp binary, x binary").dropDuplicates(["cls", "fp"]).drop("fp"), tag)
+        ws.drop(some)
+        return out
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        sets = texts(pairs.select("a").union(pairs.select("b")), True, "sets")
+        sets = texts(pairs.select("a").union(pairs.select("b")), "sets")
         x, y = sets.select(F.col("cls").alias("a"), "x"), sets.select(F.col("cls").alias("b"), F.col("x").alias("y"))
-        return ws.write(pairs.join(y, "b").join(x, "a").mapInArrow(_linked(num, den), "a long, b long"), tag)
+        out = ws.write(pairs.join(y, "b").join(x, "a").mapInArrow(_linked(num, den), "a long, b long"), tag)
+        ws.drop(sets)
+        return out
 
     # sizes and sketches bound the difference from below; only pairs that they allow move their sets
-    drawn = texts(bucket.select("cls").union(bucket.select("hub")), False, "sketches")
+    drawn = classes.select("cls", "size", F.col("sketch").alias("x"))
     x, y = drawn.select(F.col("cls").alias("a"), F.col("size").alias("n"), "x"), drawn.select(F.col("cls").alias("b"), F.col("size").alias("m"), F.col("x").alias("y"))
     first = ws.write(bucket.toDF("a", "b").join(y, "b").join(x, "a").mapInArrow(_bounded(num, den), "a long, b long, maybe boolean, near boolean"), "pairs")
+    ws.drop(bucket)
     links = verified(first.where("maybe").select("a", "b").distinct(), "links")
     roots = ws.write(connected_components(ws, links, "a", "b"), "roots")
 
@@ -361,6 +461,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
     hubbed = first.groupBy(F.col("a").alias("hub"), F.col("b").alias("cls")).agg(F.max("near").alias("near")).join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("hub", "cls", F.coalesce("root", "cls").alias("root"), "near")
     sized = hubbed.groupBy("hub", "root").agg(F.count("*").alias("k")).groupBy("hub").agg(F.max(F.struct("k", "root"))["root"].alias("main"), F.count("*").alias("roots"), F.sum("k").alias("k")).where("roots > 1")
     open_ = ws.write(hubbed.join(sized, "hub").select("hub", "cls", "root", "near", (F.col("root") != F.col("main")).alias("outside"), F.ceil(F.col("k") / BLOCK).cast("int").alias("parts")), "open")
+    ws.drop(first)
     if not open_.isEmpty():
         keys = ["hub", "cls", "root", "outside", "parts", "size"]
 
@@ -372,17 +473,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
             return ws.write(left.unionByName(right).groupBy("hub", "i", "j").applyInPandas(compare, "a long, b long"), tag)
 
         close = open_.where("near")
-        sets = texts(close.select("cls").union(close.select("hub")), True, "near_sets")
+        sets = texts(close.select("cls").union(close.select("hub")), "near_sets")
         x, y = sets.select(F.col("cls").alias("hub"), "x"), sets.select("cls", "size", F.col("x").alias("y"))
         apart = ws.write(close.join(y, "cls").join(x, "hub").select(*keys, "x", "y").mapInArrow(_apart(num, den), "hub long, cls long, root long, outside boolean, parts int, size long, apart binary, far boolean"), "apart")
+        ws.drop(sets)
         more = blocks(apart, _blocks(num, den), "more")
         marks = drawn.withColumnRenamed("x", "apart")
         far = open_.where("NOT near").join(marks, "cls").select(*keys, "apart").unionByName(apart.where("far").drop("apart", "far", "size").join(marks, "cls").select(*keys, "apart"))
         rest = ws.write(blocks(far, _far_blocks(num, den), "rest").distinct(), "rest")
+        ws.drop(apart)
         for found in (more, verified(rest, "rest_links")):
             links = links.unionByName(found)
         if not more.isEmpty() or not rest.isEmpty():
             roots = ws.write(connected_components(ws, links, "a", "b"), "roots")
-    ws.drop_all_but(member, roots)
-    found = member.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "cls", "doc_id").alias("component_id"))
+    rooted = ws.write(classes.select("cls", "name").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "name", F.coalesce("root", "cls").alias("root")), "rooted")
+    least = ws.write(rooted.groupBy("root").agg(F.min("name").alias("component")), "least")
+    named = ws.write(rooted.join(least, "root").groupBy("cls").agg(F.min("component").alias("component")), "named")
+    ws.drop(rooted, least)
+    # an id with several texts holds their components together
+    several = member.where("n > 0").groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi AND doc_id IS NOT NULL").select("doc_id")
+    held = ws.write(member.where("n > 0").join(several, "doc_id").join(named, "cls").select("doc_id", "component").distinct(), "held")
+    if not held.isEmpty():
+        joined = connected_components(ws, held, "doc_id", "component").withColumnRenamed("node", "component")
+        named = ws.write(named.join(joined, "component", "left").select("cls", F.coalesce("root", "component").alias("component")), "named")
+    ws.drop_all_but(index, named)
+    found = member.join(named, "cls", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
