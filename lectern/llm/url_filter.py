@@ -2,32 +2,35 @@
 
 URLs that a rule fits are the labelled ones.  Paths are first counted as whole
 (host, segments) rows, so everything later works on distinct paths.  Segments that
-look like numbers or hex ids become wildcards by their shape.  Then, level by
-level from the host down, a branch keeps its own name only if its labelled share of
-allowed URLs differs from the node's by more than Z standard errors; the other
-branches, alike in statistics or not labelled enough, merge into '*'.  Beyond
-CHILDREN children chance would name more and more branches, so that a branch must
-also be less likely by chance (Chernoff's bound) than CHILDREN in all children: at
-any width about as many are named by chance, and significant ones keep their node.
-A template's purity is its share of allowed among
-labelled URLs, smoothed towards its parent's with KAPPA pseudo-counts, up to the
-host and then to all hosts; templates below CUT are rejected.
-
-The first DEPTH levels are built for every path.  Below them a node whose labelled
-URLs disagree is split for as long as paths go on; one of a single verdict has
-nothing left to tell.  Segments that all paths going on there share are one level,
-and a level that leaves a node's labelled URLs together adds no evidence.
+look like numbers or hex ids become wildcards by their shape.  Then, from the host
+down, a node whose labelled URLs disagree is split by the next segment, for as long
+as paths go on; one of a single verdict has nothing left to tell.  Segments that all
+paths going on share are one level.
+
+Branches of a node that are alike in statistics merge: branches of equal counts are
+alike; in the order of their smoothed shares, each of these is tested against the
+next one (two shares, Z standard errors), and those that do not differ are one
+branch.  A merged branch is '*' and its number in that order, a branch alone keeps
+its segment, and branches without labels are '*'.  Merging joins counts, not single
+branches, so that a node of any width takes little room; neighbours in order are
+the most alike, so that chance alone rarely parts them at any width.
+
+A template's purity is its share of allowed among labelled URLs, smoothed towards
+its parent's with KAPPA pseudo-counts, up to the host and then to all hosts; a level
+that leaves a node's labelled URLs together adds no evidence.  Templates below CUT
+are rejected.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.workspace import Workspace
 
-#: Levels of the tree for every path, children beyond which the test of a branch gets stricter, standard errors, pseudo-counts, least purity.
-DEPTH, CHILDREN, Z, KAPPA, CUT = 3, 32, 1.96, 4.0, 0.5
+#: Standard errors, pseudo-counts, least purity.
+Z, KAPPA, CUT = 1.96, 4.0, 0.5
 #: The contract's rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,114 +61,99 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return best
 
 
-def segments(path: Column, depth: int) -> list[Column]:
-    """s1 to s<depth>, and the further ones as `rest`, joined by '/'; empty where there are none."""
+def shape_of(path: Column) -> Column:
+    """The path's segments, joined by '/', numbers and hex ids as wildcards; empty segments do not count."""
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
     shaped = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9]+(\.[A-Za-z]{1,5})?$", "<n>$1"), r"^[0-9a-fA-F-]{8,}$", "<h>"))
-    rest = F.array_join(F.slice(shaped, F.lit(depth + 1), F.greatest(F.size(shaped) - depth, F.lit(0))), "/")
-    return [*(F.coalesce(F.get(shaped, F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(depth)), F.coalesce(rest, F.lit("")).alias("rest")]
+    return F.coalesce(F.array_join(shaped, "/"), F.lit(""))
 
 
-def _own(children: Column, cn: Column, ca: Column, pn: Column, pa: Column) -> Column:
-    """Whether a branch of cn labelled and ca allowed URLs keeps its name in a node of pn and pa."""
-    q, share = (pa + 1.0) / (pn + 2.0), ca / F.greatest(cn, F.lit(1))
-    part = lambda x, y: F.when(x > 0, x * F.ln(x / y)).otherwise(0.0)
-    rare = cn * (part(share, q) + part(1.0 - share, 1.0 - q)) >= F.ln(F.greatest(children, F.lit(CHILDREN)) / CHILDREN)
-    return (F.abs(ca - cn * q) > Z * F.sqrt(cn * q * (1.0 - q))) & ((children <= CHILDREN) | rare)
+def merged(child: DataFrame, at: list[str]) -> DataFrame:
+    """(at..., cn, ca, g, tn, ta, k): for the counts that labelled branches of a node have, their merged branch, its sums and how many it merges."""
+    counts = child.where("cn > 0").groupBy(*at, "cn", "ca").agg(F.count("*").alias("k"))
+    sn, sa = F.col("cn") * F.col("k"), F.col("ca") * F.col("k")
+    order = W.partitionBy(*at).orderBy((F.col("ca") + 1.0) / (F.col("cn") + 2.0), "cn")
+    counts = counts.withColumns({"sn": sn, "sa": sa}).withColumns({"bn": F.lag("sn").over(order), "ba": F.lag("sa").over(order)})
+    q = (F.col("sa") + F.col("ba") + 1.0) / (F.col("sn") + F.col("bn") + 2.0)
+    apart = F.abs(F.col("sa") / F.col("sn") - F.col("ba") / F.col("bn")) > Z * F.sqrt(q * (1.0 - q) * (1.0 / F.col("sn") + 1.0 / F.col("bn")))
+    counts = counts.withColumn("g", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order))
+    whole = W.partitionBy(*at, "g")
+    return counts.select(*at, "cn", "ca", "g", F.sum("sn").over(whole).alias("tn"), F.sum("sa").over(whole).alias("ta"), F.sum("k").over(whole).alias("branches"))
 
 
-def _deepen(ws: Workspace, tree: DataFrame) -> DataFrame:
-    """tree (host, t, p, hn, ha, rest, left, n, a) with t, p, hn and ha of the last levels; left: what of rest is below t."""
+def _split(ws: Workspace, tree: DataFrame) -> DataFrame:
+    """tree (host, shape, n, a, t, p, hn, ha, left), split until no node disagrees; left: what of shape is below t."""
     done, at = [], ["host", "t"]
     while True:
         more = F.when(F.col("left") != "", F.split("left", "/", -1))
-        nodes = tree.groupBy(*at).agg(F.sum("n").alias("pn"), F.sum("a").alias("pa"), F.min(more).alias("lo"), F.max(more).alias("hi"))
-        nodes = nodes.where(F.col("lo").isNotNull() & (F.col("pa") > 0) & (F.col("pa") < F.col("pn")))
+        nodes = tree.where((F.col("ha") > 0) & (F.col("ha") < F.col("hn"))).groupBy(*at).agg(F.min(more).alias("lo"), F.max(more).alias("hi")).where(F.col("lo").isNotNull())
         # what the least and the greatest path share, all share; if nothing, one segment is a level
         same = F.size(F.filter(F.transform("lo", lambda s, i: F.slice("lo", F.lit(1), i + 1) == F.slice("hi", F.lit(1), i + 1)), lambda x: x))
-        nodes = ws.write(nodes.select(*at, "pn", "pa", F.greatest(same, F.lit(1)).alias("take")), "nodes")
+        nodes = ws.write(nodes.select(*at, F.greatest(same, F.lit(1)).alias("take")), "nodes")
         if nodes.isEmpty():
             break
-        done.append(ws.write(tree.join(nodes, at, "left_anti"), "done"))
+        going = tree.join(nodes, at, "left").withColumn("take", F.when(F.col("left") != "", F.col("take")))
+        done.append(ws.write(going.where("take IS NULL").drop("take"), "done"))
         parts = F.split("left", "/", -1)
-        cut = tree.join(nodes, at).withColumns({"head": F.array_join(F.slice(parts, F.lit(1), F.col("take")), "/"), "left": F.array_join(F.slice(parts, F.col("take") + 1, F.greatest(F.size(parts) - F.col("take"), F.lit(0))), "/")})
-        cut = ws.write(cut, "cut")
-        child = cut.groupBy(*at, "head").agg(F.sum("n").alias("cn"), F.sum("a").alias("ca"), F.first("pn").alias("pn"), F.first("pa").alias("pa"))
-        width = child.groupBy(*at).agg(F.count("*").alias("children"))
-        named = child.join(width, at).select(*at, "head", F.concat("t", F.lit("/"), F.when(_own(*map(F.col, ("children", "cn", "ca", "pn", "pa"))), F.col("head")).otherwise("*")).alias("to"), "cn", "ca")
-        named = ws.write(named, "named")
-        sums = named.groupBy("host", "t", "to").agg(F.sum("cn").alias("tn"), F.sum("ca").alias("ta"))
-        below = cut.drop("pn", "pa", "take").join(named.select(*at, "head", "to"), [*at, "head"]).join(sums, [*at, "to"])
+        cut = going.where("take IS NOT NULL").withColumns({"head": F.array_join(F.slice(parts, F.lit(1), F.col("take")), "/"), "left": F.array_join(F.slice(parts, F.col("take") + 1, F.greatest(F.size(parts) - F.col("take"), F.lit(0))), "/")})
+        cut = ws.write(cut.drop("take"), "cut")
+        child = ws.write(cut.groupBy(*at, "head").agg(F.sum("n").alias("cn"), F.sum("a").alias("ca")), "children")
+        name = F.when(F.col("branches") == 1, F.col("head")).when(F.col("g").isNotNull(), F.concat(F.lit("*"), F.col("g").cast("string"))).otherwise("*")
+        to = ws.write(child.join(ws.write(merged(child, at), "merged"), [*at, "cn", "ca"], "left").select(*at, "head", F.concat("t", F.lit("/"), name).alias("to"), F.coalesce("tn", F.lit(0)).alias("tn"), F.coalesce("ta", F.lit(0)).alias("ta")), "named")
+        below = cut.join(to, [*at, "head"])
         p = F.when(F.col("tn") == F.col("hn"), F.col("p")).otherwise((F.col("ta") + KAPPA * F.col("p")) / (F.col("tn") + KAPPA))
-        tree = ws.write(below.select("host", F.col("to").alias("t"), p.alias("p"), F.col("tn").alias("hn"), F.col("ta").alias("ha"), *(c for c in tree.columns if c not in ("host", "t", "p", "hn", "ha"))), "deeper")
+        old, tree = tree, ws.write(below.select("host", "shape", "n", "a", F.col("to").alias("t"), p.alias("p"), F.col("tn").alias("hn"), F.col("ta").alias("ha"), "left"), "deeper")
+        ws.drop(old, cut, child, to)
     for d in done:
         tree = tree.unionByName(d)
     return tree
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, template, n_labelled, n_allowed) for every row.
 
     Null urls and urls without '://' have empty host and path and are judged by
     the tree as such.  Repeated rows and null ids are kept row by row; no rows,
-    or no labelled rows, are fine (purity is then one half and allows).
+    or no labelled rows, are fine (purity is then one half and allows).  Other
+    columns are not looked at.
     """
     ws = Workspace(pages.sparkSession, "urls")
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     host, path = host_and_path(F.col("url"))
     base = base.select("page_id", host.alias("host"), path.alias("path"))
-    base = base.select("*", fitting_rule(F.col("host"), F.col("path"), rules).alias("best"), *segments(F.col("path"), depth))
-    names = [f"s{i + 1}" for i in range(depth)]
-    tree = base.groupBy("host", *names, "rest").agg(F.count("best.rule").alias("n"), F.count_if(F.col("best.verdict") == "allow").alias("a")).withColumn("t0", F.lit(""))
-    tree = ws.write(tree, "paths")
-    for d in range(1, depth + 1):
-        at = ["host", f"t{d - 1}"]
-        child = tree.groupBy(*at, f"s{d}").agg(F.sum("n").alias("cn"), F.sum("a").alias("ca"))
-        node = child.groupBy(*at).agg(F.count("*").alias("children"), F.sum("cn").alias("pn"), F.sum("ca").alias("pa"))
-        own = _own(*map(F.col, ("children", "cn", "ca", "pn", "pa")))
-        named = child.join(node, at).select(*at, f"s{d}", F.concat(f"t{d - 1}", F.lit("/"), F.when(own, F.col(f"s{d}")).otherwise("*")).alias(f"t{d}"))
-        tree = ws.write(tree.join(named, [*at, f"s{d}"]), "tree")
-    total = tree.agg(((F.coalesce(F.sum("a"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).alias("p")).first()[0]
-    scored = tree.groupBy("host", *(f"t{d}" for d in range(depth + 1))).agg(F.sum("n").alias("n"), F.sum("a").alias("a")).withColumn("p", F.lit(float(total)))
-    for d in range(depth + 1):
-        at = ["host", f"t{d}"]
-        here = scored.groupBy(*at).agg(F.sum("n").alias("hn"), F.sum("a").alias("ha"))
-        scored = scored.join(here, at).withColumn("p", (F.col("ha") + KAPPA * F.col("p")) / (F.col("hn") + KAPPA)).drop(*(("hn", "ha") if d < depth else ()))
-    scored = ws.write(scored, "purity")
-    last = tree.select("host", *names, "rest", F.col(f"t{depth}").alias("t"), "n", "a").join(scored.select("host", F.col(f"t{depth}").alias("t"), "p", "hn", "ha"), ["host", "t"])
-    last = _deepen(ws, last.withColumn("left", F.col("rest"))).select("host", *names, "rest", "t", "p", "hn", "ha")
-    judged = base.join(last, ["host", *names, "rest"], "left")
+    base = base.select("*", fitting_rule(F.col("host"), F.col("path"), rules).alias("best"), shape_of(F.col("path")).alias("shape"))
+    paths = ws.write(base.groupBy("host", "shape").agg(F.count("best.rule").alias("n"), F.count_if(F.col("best.verdict") == "allow").alias("a")), "paths")
+    total = float(paths.agg((F.coalesce(F.sum("a"), F.lit(0)) + 1.0) / (F.coalesce(F.sum("n"), F.lit(0)) + 2.0)).first()[0])
+    hosts = ws.write(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("a").alias("ha")), "hosts")
+    tree = paths.join(hosts, "host").select("host", "shape", "n", "a", F.lit("").alias("t"), ((F.col("ha") + KAPPA * F.lit(total)) / (F.col("hn") + KAPPA)).alias("p"), "hn", "ha", F.col("shape").alias("left"))
+    last = _split(ws, ws.write(tree, "tree")).select("host", "shape", "t", "p", "hn", "ha")
+    judged = base.join(last, ["host", "shape"], "left")
     by_tree = F.when(F.col("p") < CUT, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_tree).alias("verdict"), F.col("t").alias("template"), F.col("hn").alias("n_labelled"), F.col("ha").alias("n_allowed"))
 
 
-def filter_sql(rules: list[tuple[str, str, str]] = RULES, depth: int = DEPTH) -> str:
-    """The same query over the table pages, for DuckDB."""
-    names = [f"s{i + 1}" for i in range(depth)]
-    s, order = ", ".join(names), sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2]))
+def filter_sql(rules: list[tuple[str, str, str]] = RULES, levels: int = 4) -> str:
+    """The same query over the table pages, for DuckDB, as long as nodes that disagree have at most `levels` levels."""
+    order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2]))
     fits = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
-    shaped = lambda i: f"coalesce(regexp_replace(regexp_replace(parts[{i}], '^[0-9]+(\\.[A-Za-z]{{1,5}})?$', '<n>\\1'), '^[0-9a-fA-F-]{{8,}}$', '<h>'), '') AS s{i}"
+    shaped = "list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[0-9]+(\\.[A-Za-z]{1,5})?$', '<n>\\1'), '^[0-9a-fA-F-]{8,}$', '<h>'))"
     out = f"""WITH cut AS MATERIALIZED (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 named AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UP}', '{_LOW}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
-ruled AS (SELECT *, CASE {" ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in order)} END AS rule, CASE {" ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in order)} END AS said, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM named),
-base AS MATERIALIZED (SELECT page_id, host, path, rule, said, {", ".join(map(shaped, range(1, depth + 1)))} FROM ruled),
-tree0 AS MATERIALIZED (SELECT host, {s}, count(rule) AS n, count(*) FILTER (said = 'allow') AS a, '' AS t0 FROM base GROUP BY ALL)"""
-    for d in range(1, depth + 1):
-        q = "((pa + 1.0::DOUBLE) / (pn + 2.0::DOUBLE))"
+base AS MATERIALIZED (SELECT *, {shaped} AS segs, CASE {" ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in order)} END AS rule, CASE {" ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in order)} END AS said FROM named),
+paths AS MATERIALIZED (SELECT host, segs, count(rule) AS n, count(*) FILTER (said = 'allow') AS a FROM base GROUP BY ALL),
+hosts AS MATERIALIZED (SELECT host, sum(n)::BIGINT AS hn, sum(a)::BIGINT AS ha FROM paths GROUP BY ALL),
+tree0 AS MATERIALIZED (SELECT paths.*, hn, ha, '' AS t, FALSE AS ended, (ha + {KAPPA}::DOUBLE * (SELECT (coalesce(sum(a), 0)::BIGINT + 1.0::DOUBLE) / (coalesce(sum(n), 0)::BIGINT + 2.0::DOUBLE) FROM paths)) / (hn + {KAPPA}::DOUBLE) AS p FROM paths JOIN hosts USING (host))"""
+    for d in range(1, levels + 1):
+        q = "((sa + ba + 1.0::DOUBLE) / (sn + bn + 2.0::DOUBLE))"
         out += f""",
-child{d} AS MATERIALIZED (SELECT host, t{d - 1}, s{d}, sum(n)::BIGINT AS cn, sum(a)::BIGINT AS ca FROM tree{d - 1} GROUP BY ALL),
-node{d} AS (SELECT host, t{d - 1}, count(*) AS children, sum(cn)::BIGINT AS pn, sum(ca)::BIGINT AS pa FROM child{d} GROUP BY ALL),
-name{d} AS (SELECT host, t{d - 1}, s{d}, t{d - 1} || '/' || CASE WHEN children <= {CHILDREN} AND abs(ca - cn * {q}) > {Z}::DOUBLE * sqrt(cn * {q} * (1.0::DOUBLE - {q})) THEN s{d} ELSE '*' END AS t{d} FROM child{d} JOIN node{d} USING (host, t{d - 1})),
-tree{d} AS MATERIALIZED (SELECT * FROM tree{d - 1} JOIN name{d} USING (host, t{d - 1}, s{d}))"""
-    ts = ", ".join(f"t{d}" for d in range(depth + 1))
-    out += f""",
-score AS MATERIALIZED (SELECT host, {ts}, sum(n)::BIGINT AS n, sum(a)::BIGINT AS a, (SELECT (coalesce(sum(a), 0)::BIGINT + 1.0::DOUBLE) / (coalesce(sum(n), 0)::BIGINT + 2.0::DOUBLE) FROM tree{depth}) AS p FROM tree{depth} GROUP BY ALL)"""
-    for d in range(depth + 1):
-        before = f"score{d - 1}" if d else "score"
-        out += f""",
-here{d} AS (SELECT host, t{d}, sum(n)::BIGINT AS hn, sum(a)::BIGINT AS ha FROM {before} GROUP BY ALL),
-score{d} AS MATERIALIZED (SELECT host, {ts}, n, a, (ha + {KAPPA}::DOUBLE * p) / (hn + {KAPPA}::DOUBLE) AS p{", hn, ha" if d == depth else ""} FROM {before} JOIN here{d} USING (host, t{d}))"""
-    return out + f""",
-last AS (SELECT DISTINCT host, {s}, t{depth} FROM tree{depth}),
-leaf AS (SELECT DISTINCT host, t{depth}, p, hn, ha FROM score{depth})
-SELECT page_id, host, path, rule, coalesce(said, CASE WHEN p < {CUT} THEN 'block' ELSE 'allow' END) AS verdict, t{depth} AS template, hn AS n_labelled, ha AS n_allowed FROM base JOIN last USING (host, {s}) JOIN leaf USING (host, t{depth})"""
+going{d} AS MATERIALIZED (SELECT *, segs[{d}] AS head FROM tree{d - 1} WHERE NOT ended AND ha > 0 AND ha < hn AND len(segs) >= {d}),
+child{d} AS MATERIALIZED (SELECT host, t, head, sum(n)::BIGINT AS cn, sum(a)::BIGINT AS ca FROM going{d} GROUP BY ALL),
+count{d} AS (SELECT host, t, cn, ca, cn * count(*) AS sn, ca * count(*) AS sa, count(*) AS k FROM child{d} WHERE cn > 0 GROUP BY host, t, cn, ca),
+next{d} AS (SELECT *, lag(sn) OVER o AS bn, lag(sa) OVER o AS ba FROM count{d} WINDOW o AS (PARTITION BY host, t ORDER BY (ca + 1.0::DOUBLE) / (cn + 2.0::DOUBLE), cn)),
+run{d} AS (SELECT *, sum(CASE WHEN abs(sa::DOUBLE / sn - ba::DOUBLE / bn) > {Z}::DOUBLE * sqrt({q} * (1.0::DOUBLE - {q}) * (1.0::DOUBLE / sn + 1.0::DOUBLE / bn)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, t ORDER BY (ca + 1.0::DOUBLE) / (cn + 2.0::DOUBLE), cn) AS g FROM next{d}),
+merged{d} AS (SELECT host, t, cn, ca, g, sum(sn) OVER w AS tn, sum(sa) OVER w AS ta, sum(k) OVER w AS branches FROM run{d} WINDOW w AS (PARTITION BY host, t, g)),
+named{d} AS MATERIALIZED (SELECT c.host, c.t, head, CASE WHEN branches = 1 THEN head WHEN g IS NOT NULL THEN '*' || g::BIGINT ELSE '*' END AS name, coalesce(tn, 0)::BIGINT AS tn, coalesce(ta, 0)::BIGINT AS ta FROM child{d} c LEFT JOIN merged{d} USING (host, t, cn, ca)),
+tree{d} AS MATERIALIZED (SELECT host, segs, n, a, tn AS hn, ta AS ha, t || '/' || name AS t, FALSE AS ended, CASE WHEN tn = hn THEN p ELSE (ta + {KAPPA}::DOUBLE * p) / (tn + {KAPPA}::DOUBLE) END AS p FROM going{d} JOIN named{d} USING (host, t, head)
+ UNION ALL SELECT host, segs, n, a, hn, ha, t, TRUE, p FROM tree{d - 1} WHERE ended OR NOT (ha > 0 AND ha < hn AND len(segs) >= {d}))"""
+    return out + f"""
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN p < {CUT} THEN 'block' ELSE 'allow' END) AS verdict, t AS template, hn AS n_labelled, ha AS n_allowed FROM base JOIN tree{levels} USING (host, segs)"""
