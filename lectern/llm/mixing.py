@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.workspace import Workspace, checked_broadcast
+from lectern.llm.workspace import Workspace, checked_broadcast, free_names
 
 #: Share of all tokens to take, power of each margin's shares, sweeps, rounds for k, seed of the draw.
 TAKE, POWERS, SWEEPS, ROUNDS, SEED = 0.5, {"source": 0.5, "lang": 0.7, "topic": 0.7}, 12, 8, "mix"
@@ -78,25 +78,32 @@ def calibrate(fitted: DataFrame, take: float, rounds: int = ROUNDS) -> DataFrame
     return fitted.withColumn("p", F.least(F.lit(1.0), F.col("f") * k))
 
 
-def mix(spark: SparkSession, docs: DataFrame, take: float = TAKE, powers: dict[str, float] = POWERS, given: dict[str, DataFrame] | None = None, topic: str | None = None, seed: str = SEED) -> DataFrame:
-    """Every row of docs with _tokens, _topic, _p (probability) and _kept.
+#: Columns that mix adds.
+ADDED = ("_tokens", "_topic", "_p", "_kept")
+
+
+def mix(spark: SparkSession, docs: DataFrame, take: float = TAKE, powers: dict[str, float] = POWERS, given: dict[str, DataFrame] | None = None, topic: str | None = None, seed: str = SEED, added: tuple[str, str, str, str] = ADDED) -> DataFrame:
+    """Every row of docs with its tokens, topic, probability and whether it is kept, in columns named as in `added`.
 
     A null source, language or topic is a value of its own.  Texts without words
     weigh nothing, but are taken with their cell's probability.  Rows that repeat
-    an id share one draw.  All docs empty, or none: every probability 0.
+    an id share one draw.  All docs empty, or none: every probability 0.  Columns
+    called as in `added` are replaced, all others pass through, whatever their names.
     """
     ws = Workspace(spark, "mix")
-    words = tokens_of(F.col("text"))
-    sub = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("source", "lang")]
-    keyed = docs.withColumns({"_tokens": words})
-    keyed = keyed.withColumn("_topic", F.col(topic).cast("string") if topic else topic_of(F.coalesce("text", F.lit("")), F.col("_tokens")))
-    keyed = keyed.withColumns({"_m0": sub[0], "_m1": sub[1], "_m2": F.coalesce(F.concat(F.lit("="), "_topic"), F.lit(""))})
-    cells = ws.write(keyed.groupBy("_m0", "_m1", "_m2").agg(F.sum("_tokens").alias("t")).toDF(*MARGINS, "t"), "counts")
+    tokens, about, odds_of, kept = added
+    own = free_names([*docs.columns, *added], "m0", "m1", "m2")
+    value = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    keyed = docs.withColumn(own[2], F.col(topic).cast("string")) if topic else docs
+    keyed = keyed.withColumns({own[0]: value(F.col("source")), own[1]: value(F.col("lang")), tokens: tokens_of(F.col("text"))})
+    keyed = keyed.withColumn(about, F.col(own[2]) if topic else topic_of(F.coalesce("text", F.lit("")), F.col(tokens)))
+    keyed = keyed.withColumn(own[2], value(F.col(about)))
+    cells = ws.write(keyed.groupBy(*own).agg(F.sum(tokens).alias("t")).toDF(*MARGINS, "t"), "counts")
     fitted = calibrate(rake(ws, cells, powers, given), take)
-    odds = ws.write(fitted.select(*(F.col(m).alias(f"_m{i}") for i, m in enumerate(MARGINS)), F.col("p").alias("_p")), "odds")
+    odds = ws.write(fitted.select(*MARGINS, "p").toDF(*own, odds_of), "odds")
     ws.drop_all_but(odds)
-    out = keyed.join(checked_broadcast(odds), ["_m0", "_m1", "_m2"])
-    return out.withColumn("_kept", draw_of(F.col("doc_id"), seed) < F.col("_p")).drop("_m0", "_m1", "_m2")
+    out = keyed.drop(odds_of).join(checked_broadcast(odds), own)
+    return out.withColumn(kept, draw_of(F.col("doc_id"), seed) < F.col(odds_of)).drop(*own)
 
 
 def mix_sql(source: str = "documents", take: float = TAKE, powers: dict[str, float] = POWERS, seed: str = SEED) -> str:
