@@ -13,9 +13,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import line_dedup, media, mixing, packing, quality, queries, revisits, toxicity, url_filter
+from lectern.llm import line_dedup, media, mixing, ngram_join, packing, quality, queries, revisits, toxicity, url_filter
 from lectern.llm.components import connected_components
 from lectern.llm.ngram_join import near_duplicates
+from lectern.llm import range_join as range_join_module
 from lectern.llm.range_join import range_join
 from lectern.llm.workspace import Workspace
 
@@ -106,6 +107,47 @@ def test_near_duplicates_equal_brute_force(spark, n, num, den):
     assert got == {i: (len(sets[i]), want[i]) for i in texts}
 
 
+@pytest.mark.parametrize("n,num,den", [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
+def test_linked_sets_share_an_entry(n, num, den):
+    """Whatever the allocation: a set and its linked neighbours index an entry in common."""
+    rng = np.random.RandomState(n)
+    bands = ngram_join.Bands(num, den)
+    linked = 0
+    for _ in range(1500):
+        size = int(np.exp(rng.uniform(0.5, 6)))
+        x = np.unique(rng.randint(0, 2**63, size, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        y = np.unique(np.concatenate([x[rng.rand(len(x)) > rng.uniform(0, 1 - num / den)], rng.randint(0, 2**63, rng.randint(0, 2 + size // 8), np.int64).astype(np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if den * both >= num * (len(x) + len(y) - both) and len(y) and (x.tobytes() != y.tobytes()):
+            linked += 1
+            for long in (frozenset(), frozenset(range(64))):
+                assert np.intersect1d(ngram_join.signatures(x, bands, long), ngram_join.signatures(y, bands, long)).size
+    assert linked > 200
+
+
+def test_links_of_all_texts_of_an_id(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(rng.choices([f"w{i}" for i in range(900)], k=60)) for _ in "ab")
+    docs = spark.createDataFrame([(6, a), (6, b), (7, b + " more"), (8, a + " word"), (9, "own text")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark, docs, 3, 9, 10).collect()}
+    assert got == {6: 6, 7: 6, 8: 6, 9: 9}
+
+
+def test_long_segments_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "long_bands", lambda *a: frozenset(range(64)))
+    texts = dict(enumerate(close_texts(11, 220)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark, spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5, 4, 5).collect()}
+    assert got == components({i: shingles(t, 5) for i, t in texts.items()}, 4, 5)
+
+
+def test_allocation_weighs_counted_costs(spark):
+    """Short segments whose buckets are crowded make a band's segments long; otherwise their fewer rows win."""
+    kinds = lambda n: [(c, (s << 7) | 2 * 5) for c in range(n) for s in range(3)] + [(c, ((100 + 9 * c + s) << 7) | 2 * 5 + 1) for c in range(n) for s in range(9)]
+    crowded, apart = kinds(400), [(c, ((c << 10 | i) << 7) | 2 * 5 + k) for c in range(400) for k in (0, 1) for i in range(3 if not k else 9)]
+    make = lambda rows: spark.createDataFrame(rows, "cls long, sample long")
+    assert ngram_join.long_bands(make(crowded), 4, 5) == {5} and ngram_join.long_bands(make(apart), 4, 5) == set()
+
+
 def test_one_large_group_of_near_copies(spark):
     """Half the copies are too far from the group's smallest id, so that blocks decide them."""
     rng = random.Random(2)
@@ -183,6 +225,39 @@ def test_range_join_equals_brute_force(spark):
     assert range_join(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_range_join_of_extreme_lengths(spark):
+    """Squares that over- or underflow, subnormal numbers, and vectors alike but for their length."""
+    rows = [(1, [1e200, 0.0], 0), (2, [1e200, 0.0], 0), (3, [1e-170, 0.0], 0), (4, [1.0, 0.0], 0), (5, [5e-324, 0.0], 0), (6, [0.0, 1.7e308], 0), (7, [0.0, 1.0], 1), (8, [-1e300, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in range_join(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 1, i == 1) for i in range(1, 6)}, **{i: (0, i, True) for i in (6, 7, 8)}}
+
+
+def test_range_join_of_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (2, [1.0, 0.01], 0)]
+    got = sorted(map(tuple, range_join(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False)]
+
+
+def test_range_join_of_large_labels(spark, monkeypatch):
+    """Many pivots and several blocks a cell, labels beyond those with pivots, repeated rows and other columns."""
+    monkeypatch.setattr(module := range_join_module, "_block", lambda dim: 16)
+    monkeypatch.setattr(module, "BLOCK_NUMBERS", 64 * 6)
+    monkeypatch.setattr(module, "LABELS", 2)
+    rng = np.random.RandomState(7)
+    base = rng.normal(size=(60, 6))
+    x = np.concatenate([b + rng.normal(scale=0.05, size=(rng.randint(1, 25), 6)) for b in base])
+    lab = rng.choice(3, len(x), p=[0.7, 0.2, 0.1])
+    rows = [(i, v.tolist(), int(k), 1, "c") for i, (v, k) in enumerate(zip(x, lab))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in range_join(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep int, cell string")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.98) & (lab[:, None] == lab)
+    np.fill_diagonal(near, False)
+    root = np.arange(len(x))
+    while not (new := np.minimum(root, np.where(near, root, 10**9).min(1))).tolist() == root.tolist():
+        root = new
+    assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(x))}
+
+
 # --- packing and media
 
 
@@ -299,6 +374,28 @@ def test_lines_odd(spark, odd):
     assert line_dedup.dedup_lines(spark, many).where("_dropped > 0").count() == 0  # one document, repeated
 
 
+def test_clashing_names_pass_through(spark):
+    """Columns named like those the operators use inside keep their values, in the operators and in the stages."""
+    names = ["k1", "_k1", "K2", "drops", "m0", "_m1", "rk", "_rk", "pos", "line", "_tokens", "tokens", "_kept", "kept", "p", "_lines", "lines", "dropped", "cls", "sig", "hub"]
+    rows = [(i, "the quick brown fox jumps over it\nown %s text" % (chr(97 + i) * 3), "en", "s", 5, *range(i, i + len(names))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` long" for n in names))
+    want = {r[0]: r[5:] for r in rows}
+    lines = line_dedup.dedup_lines(spark, docs, n_dropped="gone")
+    assert {r.doc_id: r.gone for r in lines.collect()} == {0: 0, **{i: 1 for i in range(1, 8)}}
+    for out, but in ((lines, "_lines"), (mixing.mix(spark, docs), "_tokens _kept".split())):
+        for r in out.collect():
+            assert [r[n] for n in names if n not in but] == [v for n, v in zip(names, want[r.doc_id]) if n not in but]
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and all([r[n] for n in names] == list(want[r.doc_id]) for r in out.collect()), name
+
+
+def test_stage_keeps_one_row_of_a_repeated_id(spark):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (3, "alone"), (4, None), (4, None), (None, "x y"), (None, "x y")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted([r.doc_id for r in out], key=str) == [1, 3, 4, 4, None, None]
+
+
 def test_mixing_meets_its_margins(spark):
     rng = random.Random(3)
     rows = [(i, "w " * rng.randrange(50, 150), rng.choice(["en", "en", "de"]), rng.choice("abbbbbb"), 0) for i in range(3000)]
@@ -342,6 +439,64 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), rules=[]).first().rule is None
 
 
+def plain_tree(urls, rules):
+    """The verdict, template and counts of each (host, segments, label), by plain recursion."""
+    total = (sum(v == "allow" for *_, v in urls) + 1) / (sum(v is not None for *_, v in urls) + 2)
+    out = {}
+
+    def counts(rows):
+        return sum(v is not None for *_, v in rows), sum(v == "allow" for *_, v in rows)
+
+    def grow(rows, depth, t, p):
+        n, a = counts(rows)
+        heads = collections.defaultdict(list)
+        for r in rows:
+            heads[r[1][depth] if len(r[1]) > depth and 0 < a < n else None].append(r)
+        for r in heads.pop(None, []):
+            out[r[0], tuple(r[1])] = ("block" if p < 0.5 else "allow", t, n, a)
+        alike = collections.defaultdict(list)
+        for h, own in heads.items():
+            alike[counts(own)].append(h)
+        groups = [(["*"], alike.pop((0, 0)))] if (0, 0) in alike else []
+        g, before = -1, None
+        runs = []
+        for cn, ca in sorted(alike, key=lambda c: ((c[1] + 1) / (c[0] + 2), c[0])):
+            sn, sa = cn * len(alike[cn, ca]), ca * len(alike[cn, ca])
+            if before:
+                q = (sa + before[1] + 1) / (sn + before[0] + 2)
+                apart = abs(sa / sn - before[1] / before[0]) > 1.96 * (q * (1 - q) * (1 / sn + 1 / before[0])) ** 0.5
+            if not before or apart:
+                runs.append([])
+            runs[-1] += alike[cn, ca]
+            before = sn, sa
+        groups += [([run[0] if len(run) == 1 else f"*{g}"], run) for g, run in enumerate(runs)]
+        for (name,), members in groups:
+            rows_in = [r for h in members for r in heads[h]]
+            tn, ta = counts(rows_in)
+            grow(rows_in, depth + 1, f"{t}/{name}", p if tn == n else (ta + 4 * p) / (tn + 4))
+
+    for host in {r[0] for r in urls}:
+        own = [r for r in urls if r[0] == host]
+        n, a = counts(own)
+        grow(own, 0, "", (a + 4 * total) / (n + 4))
+    return out
+
+
+def test_url_tree_equals_plain_recursion(spark):
+    rng = random.Random(8)
+    names = ["fr", "de", "news", "casino", "x", "y", "p1"]
+    paths = {"/" + "/".join(rng.choice(names) for _ in range(rng.choice([0, 1, 2, 3, 5, 7]))) for _ in range(900)}
+    rules = [("allow", "a.com", "/fr"), ("block", "a.com", "/de/x"), ("block", "a.com", "/news/casino"), ("allow", "a.com", "/news/fr"), ("allow", "b.com", "/x/y/x"), ("block", "b.com", "/x/y/de"), ("block", "b.com", "/casino")]
+    rows = [(h, p) for h in ("a.com", "b.com", "c.com") for p in sorted(paths)]
+    fits = lambda h, p: max([(len(x + y), v) for v, x, y in rules if h == x and p.startswith(y)], default=(0, None))[1]
+    want = plain_tree([(h, [s for s in p.split("/") if s], fits(h, p)) for h, p in rows], rules)
+    got = url_filter.filter_urls(spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p) in enumerate(rows)], "page_id long, url string"), rules=rules).collect()
+    for r in got:
+        verdict, t, n, a = want[r.host, tuple(s for s in r.path.split("/") if s)]
+        assert (r.template, r.n_labelled, r.n_allowed) == (t, n, a) and (r.rule or r.verdict == verdict)
+    assert {t.count("/") for _, t, _, _ in want.values()} >= {0, 1, 2}
+
+
 def test_url_tree_learns_branches(spark):
     urls = [f"http://x.com/{lang}/page{i}" for lang in ("fr", "de", "it") for i in range(40)] + [f"http://x.com/fr/{i}" for i in range(40)]
     rules = [("allow", "x.com", "/fr/page"), ("block", "x.com", "/de/"), ("allow", "x.com", "/it/page1")]
@@ -349,12 +504,13 @@ def test_url_tree_learns_branches(spark):
     assert {r.l: (r.lo, r.hi) for r in got} == {"fr": ("allow", "allow"), "it": ("allow", "allow")}
 
 
-@pytest.mark.parametrize("width", [32, 33, 400])
+@pytest.mark.parametrize("width", [3, 32, 33, 400])
 def test_url_tree_keeps_significant_branches_of_wide_nodes(spark, width):
     urls = [f"http://x.com/d{k}/page{i}" for k in range(width - 1) for i in range(2)] + [f"http://x.com/bad/page{i}" for i in range(60)] + ["http://x.com/bad/free"]
     rules = [("block", "x.com", "/bad/page"), ("allow", "x.com", "/d")]
     got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
-    assert [(r.verdict, r.template.split("/")[1], r.n_labelled, r.n_allowed) for r in got if r.rule is None] == [("block", "bad", 60, 0)]
+    assert [(r.verdict, r.template, r.n_labelled, r.n_allowed) for r in got if r.rule is None] == [("block", "/bad", 60, 0)]
+    assert {r.template for r in got if r.rule == "x.com/d"} == {"/*1"}
 
 
 def test_url_tree_learns_below_its_first_levels(spark):
@@ -368,7 +524,7 @@ def test_url_tree_learns_below_its_first_levels(spark):
     by = {r.path: r for r in got if r.rule is None}
     for k, v in kinds.items():
         assert by[k + "free"].verdict == v and (by[k + "free"].n_labelled, by[k + "free"].n_allowed) in ((30, 30 * (v == "allow")), (60, 60 * (v == "allow")))
-    assert by["/a/b/c/news/free" + "/a" * 300].verdict == "allow" and by["/a/b/c/d/e/f"].template.count("/") == 3
+    assert by["/a/b/c/news/free" + "/a" * 300].verdict == "allow" and by["/a/b/c/d/e/f"].template == ""
 
 
 HEAD = "record_id long, url string, ts long, kind string, status int, headers map<string,string>, digest string"
