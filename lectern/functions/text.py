@@ -158,6 +158,12 @@ def hit_id(*parts: Column) -> Column:
     return F.left(F.sha2(F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")), 256), F.lit(24))
 
 
-def reasoning_level(model: Column, thinking: Column) -> Column:
-    """High or low reasoning for the models that know levels, else null."""
-    return F.when(F.lower(model).startswith("glm-"), F.when(thinking, "high").otherwise("low"))
+#: Fixed value: models of this name and its variants always think, and take a level.
+LEVELLED = "glm-5.3"
+
+
+def reasoning(model: Column, thinking: Column) -> Column:
+    """struct(thinking, effort) of a request: models with levels think at a high or low one, others are switched on or off and have none."""
+    levels = F.startswith(F.lower(strip(F.coalesce(model, F.lit("")))), F.lit(LEVELLED))
+    on = F.coalesce(thinking, F.lit(False))
+    return F.struct(F.when(levels | on, "enabled").otherwise("disabled").alias("thinking"), F.when(levels, F.when(on, "high").otherwise("low")).alias("effort"))

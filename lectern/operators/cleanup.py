@@ -107,6 +107,8 @@ def missing_fields(fields: Column, required: tuple[str, ...]) -> Column:
     return F.array_join(F.array_sort(F.array_except(F.array(*(F.lit(r) for r in required)), F.map_keys(fields))), ", ")
 
 
+#: Fixed value: a code fence.
+FENCE = "```"
 REQUIRED = ("needs_review", "review_reason", "sentence_id", "text")
 
 
@@ -184,9 +186,14 @@ def copies_verdict(rows: DataFrame) -> DataFrame:
 
 
 def json_object(answer: Column) -> Column:
-    """R2: the answer without code fences, or null if it is no JSON object."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```[A-Za-z]*\s*", ""), r"\s*```\s*$", ""))
-    return F.when(F.try_parse_json(bare).isNotNull() & bare.startswith("{"), bare)
+    """R2: the answer's JSON object, or null.  One that opens with a fence loses its first line, and all from its last fence on."""
+    said = X.strip(answer)
+    inner = F.regexp_replace(said, r"\A[^\n]*\n", "")
+    inner = X.strip(F.when(F.contains(inner, F.lit(FENCE)), F.regexp_replace(inner, r"(?s)```(?!.*```).*\z", "")).otherwise(inner))
+    bare = F.when(F.startswith(said, F.lit(FENCE)), inner).otherwise(said)
+    # the parser stops after a value; what stands behind one fails in an array or in an object
+    inside = [F.try_parse_json(F.concat(F.lit(a), bare, F.lit(z))).isNotNull() for a, z in ("[]", ('{"x":', "}"))]
+    return F.when(inside[0] & inside[1] & F.startswith(bare, F.lit("{")), bare)
 
 
 def audit(decided: DataFrame) -> DataFrame:

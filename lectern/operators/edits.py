@@ -118,11 +118,11 @@ def decision_counts(changes: DataFrame) -> DataFrame:
 
 
 def confirm(changes: DataFrame, documents: DataFrame, videos: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
-    """(changes, documents) after videos are confirmed: open and provisional suggestions count as confirmed with the video."""
+    """(changes, documents) after videos are confirmed: pending suggestions that are open or approved for the time being count as confirmed with the video; whatever else was decided, or never asked, stays."""
     ids = videos.select("video_id").distinct().withColumn("hit", F.lit(True))
     c = changes.join(ids, "video_id", "left")
-    open_ = F.col("hit") & (F.col("status") == "pending_review") & F.coalesce(F.col("decision").isin("pending", "auto_approved", ""), F.lit(True))
-    c = c.withColumn("decision", F.when(open_, "confirmed_by_video").otherwise(F.col("decision"))).select(changes.columns)
+    open_ = F.col("hit") & (F.col("status") == "pending_review") & F.col("decision").isin("pending", "auto_approved")
+    c = c.withColumns({"decision": F.when(open_, "confirmed_by_video").otherwise(F.col("decision")), "decided_at": F.when(open_, now).otherwise(F.col("decided_at"))}).select(changes.columns)
     d = documents.join(ids, "video_id", "left")
     put = lambda k, v: F.when(F.col("hit"), v).otherwise(F.col(k))
     d = d.withColumns({"review_status": put("review_status", F.lit("confirmed")), "confirmed_at": put("confirmed_at", now), "updated_at": put("updated_at", now), "revision": put("revision", F.coalesce("revision", F.lit(0)) + 1)}).select(documents.columns)

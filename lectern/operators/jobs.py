@@ -94,9 +94,10 @@ def log_tail(log: Column, new: Column) -> Column:
 
 
 def missing_inputs(requests: DataFrame, raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    """P10: (id, stage) requests whose stage lacks its input."""
+    """P10: (id, stage) requests whose stage lacks its input: raw sentences for both stages, cleaned ones for segments too."""
     x = requests.join(raw.select("id", F.lit(True).alias("r")), "id", "left").join(cleaned.select("id", F.lit(True).alias("c")), "id", "left")
-    return x.where(((F.col("stage") == "cleanup") & F.col("r").isNull()) | ((F.col("stage") == "segments") & F.col("c").isNull())).select("id", "stage")
+    lacks = F.col("stage").isin("cleanup", "segments") & F.col("r").isNull() | (F.col("stage") == "segments") & F.col("c").isNull()
+    return x.where(lacks).select("id", "stage")
 
 
 def usage(requests: DataFrame) -> DataFrame:

@@ -33,8 +33,13 @@ def raw_faults(raw: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.unionByName(_faults(h, F.lit(0), [("raw.video", F.col("id_in_file") != F.col("video_id")), ("raw.empty", F.col("last_end").isNull()), ("raw.late", late)]))
 
 
+def _other_source(rows: DataFrame, named: str, rule: str) -> DataFrame:
+    """Documents whose own name of their source is not the video's id; no name counts as an empty one."""
+    return _faults(rows, F.lit(0), [(rule, F.coalesce(F.col(named), F.lit("")) != F.col("video_id"))])
+
+
 def cleaned_faults(raw: DataFrame, cleaned: DataFrame, texts: DataFrame) -> DataFrame:
-    """V2, J1.  Rows are compared by position, only where a video has as many cleaned as raw ones; texts: keys, full_text."""
+    """V2, J1.  Rows are compared by position, only where a video has as many cleaned as raw ones; texts: keys, full_text, and source_id where documents carry one."""
     at = lambda df, key: df.withColumn("pos", F.row_number().over(W.partitionBy(*KEY).orderBy(key)))
     n = raw.groupBy(*KEY).agg(F.count("*").alias("n")).join(cleaned.groupBy(*KEY).agg(F.count("*").alias("m")), KEY)
     counts = _faults(n, F.lit(0), [("cleaned.count", F.col("n") != F.col("m"))])
@@ -42,6 +47,8 @@ def cleaned_faults(raw: DataFrame, cleaned: DataFrame, texts: DataFrame) -> Data
     both = at(raw, "id").select(*KEY, "pos", "id", "start_ms", "end_ms").join(same, KEY).join(at(cleaned, "sentence_id").select(*KEY, "pos", "sentence_id", F.col("start_ms").alias("c_start"), F.col("end_ms").alias("c_end"), "text"), [*KEY, "pos"])
     rows = _faults(both, F.col("pos"), [("cleaned.anchor", ~(F.col("id").eqNullSafe(F.col("sentence_id")) & F.col("start_ms").eqNullSafe(F.col("c_start")) & F.col("end_ms").eqNullSafe(F.col("c_end")))), ("cleaned.text", F.col("text").isNull())])
     whole = texts.join(same, KEY).join(full_text(cleaned).withColumnRenamed("full_text", "built"), KEY)
+    if "source_id" in texts.columns:
+        counts = counts.unionByName(_other_source(texts, "source_id", "cleaned.source"))
     return counts.unionByName(rows).unionByName(_faults(whole, F.lit(0), [("cleaned.full_text", ~F.col("full_text").eqNullSafe(F.col("built")))]))
 
 
@@ -53,8 +60,13 @@ def coverage(cleaned: DataFrame, segments: DataFrame) -> DataFrame:
     return s.join(g, on, "left").groupBy("s.partition", "s.video_id", "s.sentence_id").agg(F.count("g.segment_no").alias("covering"))
 
 
-def segment_faults(cleaned: DataFrame, segments: DataFrame, check_content: bool = True) -> DataFrame:
-    """V3, J3.  segments: keys, segment_no, anchors, times, content, manual (boolean)."""
+def segment_faults(cleaned: DataFrame, segments: DataFrame, check_content: bool = True, headers: DataFrame | None = None) -> DataFrame:
+    """V3, J3.  segments: keys, segment_no, anchors, times, content, manual (boolean); headers: keys, id_in_file, where documents carry an id.
+
+    Of a video without speech only the id and whether it has segments at all are judged.
+    """
+    silent = cleaned.groupBy(*KEY).agg(F.count_if(~X.is_blank(F.col("text"))).alias("spoken")).where("spoken = 0").select(*KEY)
+    every, segments = segments, segments.join(silent, KEY, "left_anti").select(segments.columns)
     w = W.partitionBy(*KEY).orderBy("segment_no")
     first = cleaned.select(*KEY, F.col("sentence_id").alias("start_sentence_id"), F.col("start_ms").alias("a_start"))
     last = cleaned.select(*KEY, F.col("sentence_id").alias("end_sentence_id"), F.col("end_ms").alias("a_end"))
@@ -63,9 +75,11 @@ def segment_faults(cleaned: DataFrame, segments: DataFrame, check_content: bool
     rows = _faults(x, F.col("pos"), [("segments.no", F.col("segment_no") != F.col("pos")), ("segments.anchor", ~there | (F.col("end_sentence_id") < F.col("start_sentence_id"))), ("segments.order", F.col("start_sentence_id") <= F.col("before")), ("segments.times", there & ~(F.col("start_ms").eqNullSafe(F.col("a_start")) & F.col("end_ms").eqNullSafe(F.col("a_end"))))])
     over = _faults(coverage(cleaned, segments), F.col("sentence_id"), [("segments.coverage", F.col("covering") != 1)])
     spoken = cleaned.groupBy(*KEY).agg(F.count_if(~X.is_blank(F.col("text"))).alias("spoken"))
-    n = spoken.join(segments.groupBy(*KEY).agg(F.count("*").alias("n")), KEY, "left")
+    n = spoken.join(every.groupBy(*KEY).agg(F.count("*").alias("n")), KEY, "left")
     some = _faults(n, F.lit(0), [("segments.missing", (F.col("spoken") > 0) & F.col("n").isNull()), ("segments.unspoken", (F.col("spoken") == 0) & F.col("n").isNotNull())])
     out = rows.unionByName(over).unionByName(some)
+    if headers is not None:
+        out = out.unionByName(_other_source(headers, "id_in_file", "segments.video"))
     if not check_content:
         return out
     c, g = cleaned.alias("c"), segments.alias("g")
@@ -82,8 +96,11 @@ def stage_faults(raw_ids: DataFrame, cleaned_ids: DataFrame, segment_ids: DataFr
     return _faults(x, F.lit(0), [("stage.cleaned", F.col("c").isNull()), ("stage.segments", F.col("c").isNotNull() & F.col("s").isNull())])
 
 
-def path_faults(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """V4.  documents: keys, video_path; files: path."""
+def path_faults(documents: DataFrame, files: DataFrame, root: str | None = None) -> DataFrame:
+    """V4.  documents: keys, video_path; files: path.  A path that does not begin with a slash lies below root, where one is given."""
+    if root is not None:
+        below = F.concat(F.lit(root.rstrip("/") + "/"), F.col("video_path"))
+        documents = documents.withColumn("video_path", F.when(X.is_blank(F.col("video_path")) | F.startswith("video_path", F.lit("/")), F.col("video_path")).otherwise(below))
     x = documents.join(files.select(F.col("path").alias("video_path"), F.lit(True).alias("there")).distinct(), "video_path", "left")
     empty = X.is_blank(F.col("video_path"))
     return _faults(x, F.lit(0), [("path.empty", empty), ("path.missing", ~empty & F.col("there").isNull())])

@@ -104,11 +104,11 @@ def j11_guard_semi(spark, d):
     return t["raw"].join(t["uploads"].select("id"), "id", "left_semi").select("id")
 
 
-@query(f"WITH {_CATALOG} SELECT sha256(page_id::VARCHAR) AS id, CASE WHEN page_id % 2 = 0 THEN 'cleanup' ELSE 'segments' END AS stage FROM pages LEFT JOIN n ON n.id = sha256(page_id::VARCHAR) WHERE (page_id % 2 = 0 AND n.id IS NULL) OR (page_id % 2 = 1 AND coalesce(n.n, 0) <= 2)")
+@query(f"WITH {_CATALOG} SELECT sha256(page_id::VARCHAR) AS id, CASE WHEN page_id % 2 = 0 THEN 'cleanup' ELSE 'segments' END AS stage FROM pages LEFT JOIN n ON n.id = sha256(page_id::VARCHAR) WHERE coalesce(n.n, 4) = 4 OR (page_id % 2 = 1 AND n.n <= 2)")
 def p10_missing_inputs(spark, d):
     t = _stages(spark, d)
     ask = R.table(spark, d, "pages").select(F.sha2(F.col("page_id").cast("string"), 256).alias("id"), F.when(F.col("page_id") % 2 == 0, "cleanup").otherwise("segments").alias("stage"))
-    return jobs.missing_inputs(ask, t["raw"], t["cleaned"])
+    return jobs.missing_inputs(ask, t["raw"].where("sentence_count <> 4"), t["cleaned"])  # four sentences: cleaned, but the raw ones are gone
 
 
 @query(f"WITH {R.DECIDED} SELECT video_id, id AS sentence_id, proposed_text, 'current' AS source FROM decided WHERE status = 'pending_review'")
@@ -141,11 +141,14 @@ same AS (SELECT video_id FROM raw GROUP BY video_id HAVING count(*) = (SELECT co
 v2 AS MATERIALIZED (SELECT partition, video_id, 'cleaned.count' AS rule, 0 AS pos FROM (SELECT DISTINCT partition, video_id FROM raw) WHERE video_id NOT IN (SELECT video_id FROM same)
 UNION ALL SELECT r.partition, r.video_id, 'cleaned.anchor', r.id FROM raw r JOIN damaged x ON x.video_id = r.video_id AND x.sentence_id = r.id WHERE r.end_ms <> x.end_ms AND r.video_id IN (SELECT video_id FROM same)
 UNION ALL SELECT partition, video_id, 'cleaned.text', sentence_id FROM damaged WHERE text IS NULL AND video_id IN (SELECT video_id FROM same)
-UNION ALL SELECT f.partition, f.video_id, 'cleaned.full_text', 0 FROM full_ f JOIN (SELECT video_id, coalesce(string_agg(text, chr(10) ORDER BY sentence_id) FILTER (text <> ''), '') AS t FROM damaged GROUP BY video_id) x USING (video_id) WHERE f.full_text <> x.t AND video_id IN (SELECT video_id FROM same))"""
+UNION ALL SELECT f.partition, f.video_id, 'cleaned.full_text', 0 FROM full_ f JOIN (SELECT video_id, coalesce(string_agg(text, chr(10) ORDER BY sentence_id) FILTER (text <> ''), '') AS t FROM damaged GROUP BY video_id) x USING (video_id) WHERE f.full_text <> x.t AND video_id IN (SELECT video_id FROM same)
+UNION ALL SELECT partition, video_id, 'cleaned.source', 0 FROM full_ WHERE ascii(video_id) % 8 IN (1, 2))"""
 
 
 def _v2(spark, d):
-    return validation.cleaned_faults(R.raw(spark, d), _damaged(spark, d), cleanup.full_text(R.cleaned(spark, d)))
+    h = F.ascii("video_id") % 8
+    named = F.when(h == 1, "other").when(h != 2, F.col("video_id"))
+    return validation.cleaned_faults(R.raw(spark, d), _damaged(spark, d), cleanup.full_text(R.cleaned(spark, d)).withColumn("source_id", named))
 
 
 @query(f"WITH {_DAMAGED} SELECT partition, video_id, rule, pos FROM v2")
@@ -176,9 +179,12 @@ held AS (SELECT b.partition, b.video_id, b.segment_no, b.content, string_agg(s.t
 SELECT b.partition, b.video_id, 'segments.anchor' AS rule, segment_no AS pos FROM bent b LEFT JOIN cleaned a ON a.video_id = b.video_id AND a.sentence_id = b.start_sentence_id WHERE a.sentence_id IS NULL OR b.end_sentence_id < b.start_sentence_id
 UNION ALL SELECT b.partition, b.video_id, 'segments.times', segment_no FROM bent b JOIN cleaned a ON a.video_id = b.video_id AND a.sentence_id = b.start_sentence_id JOIN cleaned z ON z.video_id = b.video_id AND z.sentence_id = b.end_sentence_id WHERE b.start_ms <> a.start_ms OR b.end_ms <> z.end_ms
 UNION ALL SELECT s.partition, s.video_id, 'segments.coverage', s.sentence_id FROM spoken s WHERE (SELECT count(*) FROM bent b WHERE b.video_id = s.video_id AND s.sentence_id BETWEEN b.start_sentence_id AND b.end_sentence_id) <> 1
+UNION ALL SELECT DISTINCT partition, video_id, 'segments.video', 0 FROM bent WHERE ascii(video_id) % 8 = 3
 UNION ALL SELECT partition, video_id, 'segments.content', segment_no FROM held WHERE content <> {R.sql_paragraph('t')}""")
 def v3_segment_errors(spark, d):
-    return validation.segment_faults(R.cleaned(spark, d), _bent(spark, d))
+    bent = _bent(spark, d)
+    headers = bent.select(*KEY).distinct().withColumn("id_in_file", F.when(F.ascii("video_id") % 8 == 3, "other").otherwise(F.col("video_id")))
+    return validation.segment_faults(R.cleaned(spark, d), bent, headers=headers)
 
 
 @query(f"WITH {_CATALOG} SELECT '0' AS partition, id AS video_id, CASE WHEN n <= 2 THEN 'stage.cleaned' ELSE 'stage.segments' END AS rule, 0::BIGINT AS pos FROM n WHERE n <= 3")
@@ -395,11 +401,13 @@ def a_dec(spark, d):
     return edits.decision_counts(_changes(spark, d)).select("video_id", text.alias("decisions"), "pending")
 
 
-@query(f"WITH {_CHANGES} SELECT video_id, sentence_id, CASE WHEN status = 'pending_review' AND ascii(video_id) % 2 = 0 THEN 'confirmed_by_video' ELSE decision END AS decision FROM changes")
+@query(f"WITH {_CHANGES} SELECT video_id, sentence_id, CASE WHEN hit THEN 'confirmed_by_video' ELSE was END AS decision, CASE WHEN hit THEN '{NOW}' END AS decided_at FROM (SELECT *, status = 'pending_review' AND ascii(video_id) % 2 = 0 AND sentence_id % 5 > 2 AS hit, CASE sentence_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'approved' ELSE decision END AS was FROM changes)")
 def e7_confirm(spark, d):
     c = _changes(spark, d)
+    k = F.col("sentence_id") % 5
+    c = c.withColumn("decision", F.when(k == 1, "").when(k == 2, "approved").when(k > 2, F.col("decision")))
     some = c.where(F.ascii("video_id") % 2 == 0).select("video_id")
-    return edits.confirm(c, _documents(spark, d), some, F.lit(NOW))[0].select("video_id", "sentence_id", "decision")
+    return edits.confirm(c, _documents(spark, d), some, F.lit(NOW))[0].select("video_id", "sentence_id", "decision", "decided_at")
 
 
 @query(f"WITH {_DOCS} SELECT video_id, CASE WHEN n > 6 OR n = 5 THEN 'confirmed' ELSE 'pending_review' END AS review_status, (revision + CASE WHEN n > 6 THEN 1 ELSE 0 END)::BIGINT AS revision FROM docs")

@@ -104,16 +104,19 @@ def v13_valid_id(spark, d):
     return _turns(spark, d).select("conv_id", "turn", X.valid_id(F.upper(i)).alias("good"), X.valid_id(F.left(i, F.lit(63))).alias("cut"))
 
 
-@query("SELECT event_id, CASE WHEN event_type <> 'error' THEN props END AS object FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 IN (0, 1, 2, 5) THEN props END AS object FROM events")
 def r2_json_object(spark, d):
-    said = F.when(F.col("event_type") == "error", F.concat(F.lit("sorry: "), F.col("props"))).when(F.col("event_type") == "view", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).otherwise(F.col("props"))
+    """Bare, fenced, fenced with text behind, behind other words, closed but not opened, fenced without a closing fence, fenced on one line."""
+    kinds = ["{}", "```json\n{}\n```", "\n```\n{}\n``` and more", "sorry: {}", "{}\n```", "```json\n{}", "```{}```"]
+    said = F.element_at(F.array(*(F.concat(F.lit(k.split("{}")[0]), F.col("props"), F.lit(k.split("{}")[1])) for k in kinds)), (F.col("event_id") % 7 + 1).cast("int"))
     return R.table(spark, d, "events").select("event_id", cleanup.json_object(said).alias("object"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN CASE WHEN value > 50 THEN 'high' ELSE 'low' END END AS level FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 5 < 2 OR coalesce(value > 50, FALSE) THEN 'enabled' ELSE 'disabled' END AS thinking, CASE WHEN event_id % 5 < 2 THEN CASE WHEN coalesce(value > 50, FALSE) THEN 'high' ELSE 'low' END END AS effort FROM events")
 def r5_reasoning(spark, d):
-    model = F.when(F.col("event_type").isin("view", "click"), "GLM-x").otherwise("other")
-    return R.table(spark, d, "events").select("event_id", X.reasoning_level(model, F.col("value") > 50).alias("level"))
+    models = F.array(*map(F.lit, (" GLM-5.3 ", "glm-5.3-air", "glm-4.5", "glm-5", "other")))
+    said = X.reasoning(F.element_at(models, (F.col("event_id") % 5 + 1).cast("int")), F.col("value") > 50)
+    return R.table(spark, d, "events").select("event_id", said["thinking"].alias("thinking"), said["effort"].alias("effort"))
 
 
 @query("SELECT doc_id, 'Title: ' || source || CASE WHEN lang <> 'en' THEN '. Category: ' || lang ELSE '' END || CASE WHEN n_chars > 500 THEN '. Vocabulary: ' || lang || ', ' || source ELSE '' END || '.' AS prompt FROM documents")

@@ -118,8 +118,10 @@ def write_documents(df: DataFrame, path: str) -> None:
 
 
 def write_markdown(df: DataFrame, path: str) -> None:
-    """SNK6: Markdown texts by partition and video, whole documents as single values."""
-    df.select("partition", "video_id", F.col("markdown").alias("value")).write.mode("overwrite").option("lineSep", "\n\u0000\n").partitionBy("partition", "video_id").text(path)
+    """SNK6: Markdown texts by partition and video, a file for each document; its bytes are the document's and one closing line feed."""
+    closed = F.regexp_replace("markdown", r"\n\z", "")  # the writer ends each value with a line feed
+    one = df.select("partition", "video_id", closed.alias("value")).repartition("partition", "video_id")
+    one.write.mode("overwrite").option("lineSep", "\n").partitionBy("partition", "video_id").text(path)
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:

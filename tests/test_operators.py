@@ -143,6 +143,18 @@ def test_cleanup_recovers():
     found, warnings = responder.clean_video("", ids, texts, partly, [])
     assert not warnings and [found[i]["text"] for i in ids] == texts
 
+    def windows(prompt, attempt, error):
+        """No answer for a batch; of the windows, the second fails, and the first has a row that fails alone as well."""
+        rows = json.loads(responder.echo(prompt, attempt, error))["results"]
+        told = [r["sentence_id"] for r in rows]
+        if len(rows) > 5 or told[0] == 6:
+            raise RuntimeError("busy")
+        return json.dumps({"results": [{**r, "text": 1 if r["sentence_id"] == 3 else r["text"]} for r in rows]})
+
+    found, warnings = responder.clean_video("", ids, texts, windows, [])
+    assert [(w["kind"], w["sentence_ids"]) for w in warnings] == [("batch_recovery", ids), ("sentence_fallback", [3]), ("range_fallback", [6, 7, 8, 9, 10])]
+    assert [i for i in ids if found[i]["needs_review"]] == [3, 6, 7, 8, 9, 10] and found[3]["review_reason"] == "not a string"
+
 
 def test_retries_tell_the_error_and_wait():
     told, waits = [], []
@@ -161,13 +173,51 @@ def test_sentences(spark, text, want):
     assert df.select(alignment.complete_sentences(F.col("t")).alias("s")).first().s == want
 
 
-def test_alignment():
-    units = [("甲", 0.0, 0.5), ("，", 0.5, 0.6), ("乙", 0.49, 0.49), ("c", 0.6, 0.7)]
-    assert alignment.timed(["甲。", "C."], [("甲", 0.0, 0.5), ("c", 0.485, 0.7)], 100) == [(1, "甲。", 100, 600, ""), (2, "C.", 600, 800, "clamped")]
-    assert alignment.timed(["甲。"], [("甲", 0.5, 0.5)])[0][2:] == (500, 501, "widened")
-    for sentences, units in ((["甲。"], [("乙", 0, 1)]), (["甲。"], [("甲", 0, 1), ("乙", 1, 2)]), (["甲。", "乙。"], [("甲", 0, 1), ("乙", 0.9, 2)]), (["甲。"], []), (["甲。", "乙。"], [("甲乙", 0, 1)])):
-        with pytest.raises(ValueError):
-            alignment.timed(sentences, units)
+def plain_times(sentences, units, offset=0):
+    """Times by walking along the units, or the error."""
+    units = [(k, s, e) for t, s, e in units if (k := alignment.lexical(t))]
+    if not units:
+        return "no units"
+    spelled, out, before, at = "".join(k for k, *_ in units), [], offset, 0
+    edges = np.cumsum([0] + [len(k) for k, *_ in units]).tolist()
+    for i, said in enumerate(sentences, 1):
+        to = at + len(alignment.lexical(said))
+        if to == at or spelled[at:to] != alignment.lexical(said) or to not in edges:
+            return f"sentence {i}: units spell another text"
+        start, end = offset + round(units[edges.index(at)][1] * 1000), offset + round(units[edges.index(to) - 1][2] * 1000)
+        note = ["clamped"] if start < before <= start + 20 else []
+        start = before if note else start
+        if end == start >= before:
+            end, note = end + 1, [*note, "widened"]
+        if start < before or end <= start:
+            return f"sentence {i}: times overlap or run backwards"
+        out.append((i, said, start, end, "+".join(note)))
+        before, at = end, to
+    return out if at == len(spelled) else "units are left over"
+
+
+def test_alignment(spark):
+    cases = [(["甲。", "C."], [("甲", 0.0, 0.5), ("c", 0.485, 0.7)], 100), (["甲。"], [("甲", 0.5, 0.5)], 0), (["甲。"], [("乙", 0, 1)], 0), (["甲。"], [("甲", 0, 1), ("乙", 1, 2)], 0), (["甲。", "乙。"], [("甲", 0, 1), ("乙", 0.9, 2)], 0), (["甲。"], [], 0), (["甲。", "乙。"], [("甲乙", 0, 1)], 0), (["甲。", "。"], [("甲", 0, 1)], 0)]
+    assert plain_times(*cases[0]) == [(1, "甲。", 100, 600, ""), (2, "C.", 600, 800, "clamped")] and plain_times(*cases[1])[0][2:] == (500, 501, "widened")
+    rng = random.Random(3)
+    for _ in range(60):
+        words, clock, units = [["ab", "c", "乙"][rng.randrange(3)] for _ in range(rng.randrange(1, 12))], 0.0, []
+        for w in words:
+            begin = max(0.0, clock - rng.choice([0, 0, 0, 0.01, 0.02, 0.3 if rng.random() < 0.1 else 0]))
+            clock = max(clock, begin + rng.choice([0, 0.0004, 0.25, 0.5005]))
+            units.append((w, begin, clock))
+            units += [("，", clock, clock)] * rng.randrange(2)
+        cut = sorted(rng.sample(range(1, len(words) + 1), rng.randrange(1, len(words) + 1)))
+        sentences = ["".join(words[a:b]) + "。" for a, b in zip([0, *cut], cut if rng.random() < 0.2 else [*cut[:-1], len(words)])]
+        cases.append((sentences, units if rng.random() < 0.9 else [*units, ("x", clock, clock + 1)], rng.choice([0, 7])))
+    rows = [(str(n), offset, sentences, [(t, float(a), float(b)) for t, a, b in units]) for n, (sentences, units, offset) in enumerate(cases)]
+    got = alignment.timed(spark.createDataFrame([*rows, ("none", 0, None, [])], "video_id string, offset_ms long, sentences array<string>, units array<struct<text:string,start:double,end:double>>")).collect()
+    for n, case in enumerate(cases):
+        want = plain_times(*case)
+        own = sorted((r for r in got if r.video_id == str(n)), key=lambda r: r.id or 0)
+        assert ([r.error for r in own] == [want]) if isinstance(want, str) else [(r.id, r.text, r.start_ms, r.end_ms, r.note) for r in own] == want
+    assert [r.error for r in got if r.video_id == "none"] == ["no complete sentences"]
+    assert sum(isinstance(plain_times(*c), list) for c in cases) > 20
 
 
 def test_long_sentences():
@@ -175,6 +225,20 @@ def test_long_sentences():
     got = alignment.split_long(text, 150)
     assert alignment.lexical(got) == alignment.lexical(text) and got == "一" * 100 + "。" + "二" * 100 + "。" + "三" * 100 + "。"
     assert alignment.split_long("一" * 400 + "。") == "一" * 400 + "。"
+    rng = random.Random(1)
+    for _ in range(200):
+        text = "".join(rng.choice("一二三。") if rng.random() < 0.02 else rng.choice("一二ab ，；") for _ in range(rng.randrange(0, 900)))
+        want, at = "", 0
+        for stop in [m.end() for m in alignment.ENDS.finditer(text)] + [len(text)]:
+            rest, at = text[at:stop], stop
+            while len(alignment.lexical(rest)) > 60:  # the rule, by trying every mark of what is left
+                sizes = [(i, len(alignment.lexical(rest[:i]))) for i, c in enumerate(rest) if c in "，；"]
+                fit = [i for i, n in sizes if 30 <= n <= 60][-1:] or [i for i, n in sizes if 60 < n <= 90][:1]
+                if not fit:
+                    break
+                want, rest = want + rest[: fit[0]] + "。", rest[fit[0] + 1 :]
+            want += rest
+        assert alignment.split_long(text, 60) == want
     with pytest.raises(ValueError):
         alignment.split_long("a", 31)
 
@@ -249,3 +313,24 @@ def test_chapter_save(spark):
 def test_job_bands(spark):
     df = spark.createDataFrame([("asr", 0.5), ("cleanup", 0.5), ("segments", 1.0), ("x", 1.0)], "s string, f double")
     assert [r.b for r in df.select(jobs.banded(F.col("s"), F.col("f")).alias("b")).collect()] == [5 + round(32.5), 72 + round(6.5), 100, None]
+
+
+def test_segments_of_a_silent_video_are_only_counted(spark):
+    c = spark.createDataFrame([(*V, 1, 0, 5, " ")], CLEAN)
+    g = spark.createDataFrame([(*V, 7, 9, 3, 1, 2, "x", False)], "partition string, video_id string, segment_no long, start_sentence_id long, end_sentence_id long, start_ms long, end_ms long, content string, manual boolean")
+    assert [r.rule for r in validation.segment_faults(c, g).collect()] == ["segments.unspoken"]
+    heads = spark.createDataFrame([(*V, "w")], "partition string, video_id string, id_in_file string")
+    assert {r.rule for r in validation.segment_faults(c, g, headers=heads).collect()} == {"segments.unspoken", "segments.video"}
+
+
+def test_paths_lie_below_the_root(spark):
+    docs = spark.createDataFrame([("p", "a", "in/a.mp4"), ("p", "b", "/in/a.mp4"), ("p", "c", "/data/in/a.mp4"), ("p", "d", None)], "partition string, video_id string, video_path string")
+    files = spark.createDataFrame([("/data/in/a.mp4",)], "path string")
+    assert {(r.video_id, r.rule) for r in validation.path_faults(docs, files, "/data/").collect()} == {("b", "path.missing"), ("d", "path.empty")}
+
+
+def test_inputs_of_stages(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    ask = spark.createDataFrame([(i, s) for i in "abcd" for s in ("cleanup", "segments", "asr")], "id string, stage string")
+    got = {(r.id, r.stage) for r in jobs.missing_inputs(ask, ids("a", "b"), ids("a", "c")).collect()}
+    assert got == {("b", "segments"), ("c", "cleanup"), ("c", "segments"), ("d", "cleanup"), ("d", "segments")}

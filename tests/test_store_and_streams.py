@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import alignment, jobs
 from lectern.sources import documents
+from lectern.sources import store
 from lectern.sources.store import ConflictError, Store, quarantine
 from lectern.streaming import progress
 
@@ -137,3 +138,11 @@ def test_config(tmp_path):
     put(tmp_path / "l.json", "[]")
     with pytest.raises(ValueError):
         load_config(tmp_path / "l.json")
+
+
+def test_markdown_files_hold_the_document(spark, tmp_path):
+    docs = [("0", "v1", "# x\n\ntext\n"), ("0", "v2", "# y"), ("1", "v3", "a\n\n")]
+    store.write_markdown(spark.createDataFrame(docs, "partition string, video_id string, markdown string"), f"file://{tmp_path}/md")
+    for part, video, text in docs:
+        found = [p.read_bytes() for p in (tmp_path / "md" / f"partition={part}" / f"video_id={video}").glob("part-*")]
+        assert found == [(text if text.endswith("\n") else text + "\n").encode()]

@@ -68,7 +68,7 @@ def test_progress_lines(spark, line, ok):
         assert (e.stage, round(e.fraction, 6), e.detail) == ("asr", 0.7, "x")
 
 
-@pytest.mark.parametrize("answer,ok", [('```json\n{"a": 1}\n```', True), ("[1]", False), ("no", False), ('{"a": }', False), (' {"a": 1} ', True)])
+@pytest.mark.parametrize("answer,ok", [('```json\n{"a": 1}\n```', True), ("[1]", False), ("no", False), ('{"a": }', False), (' {"a": 1} ', True), ('{"a": 1}\n```', False), ('```json\n{"a": 1}\n``` more', True), ('```json\n{"a": 1}', True), ('```{"a": 1}```', False), ('```\n{"a": "```"}\n```', True), (None, False)])
 def test_json_object(spark, answer, ok):
     assert (one(spark, cleanup.json_object(F.col("a")), a=answer) is not None) == ok
 
