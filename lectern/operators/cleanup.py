@@ -36,6 +36,14 @@ def changes(decided: DataFrame) -> DataFrame:
     return decided.where("status = 'pending_review' OR proposed_text != raw_text")
 
 
+def opened(changed: DataFrame) -> DataFrame:
+    """The audit of a run (changes) as reviewers find it: suggestions are open, and hold for the time being."""
+    asks = F.col("status") == "pending_review"
+    none = F.lit(None).cast("string")
+    text = F.coalesce(X.first_filled(F.col("proposed_text"), F.col("raw_text")), F.lit(""))
+    return changed.select(*KEY, F.col("id").alias("sentence_id"), "raw_text", "proposed_text", F.when(asks, text).otherwise(F.col("effective_text")).alias("effective_text"), "status", F.when(asks, "pending").alias("decision"), none.alias("approved_text"), F.lit(None).cast("boolean").alias("glossary_review_pending"), none.alias("decided_at"), none.alias("glossary_reviewed_at"), "review_reason")
+
+
 def provisional(decided: DataFrame) -> DataFrame:
     """Cleaned sentences, pending suggestions applied for the time being."""
     text = F.when(F.col("status") == "pending_review", F.coalesce(X.first_filled(F.col("proposed_text"), F.col("raw_text")), F.lit(""))).otherwise(F.col("effective_text"))

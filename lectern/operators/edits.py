@@ -117,6 +117,17 @@ def decision_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("video_id").agg(F.map_filter(m, lambda k, v: v > 0).alias("decisions"), (n("pending") + n("auto_approved")).alias("pending"))
 
 
+def snapshots(changes: DataFrame, cleaned: DataFrame, videos: DataFrame, now: Column) -> DataFrame:
+    """(keys, counts, decisions, final, updated_at) for those of the videos that have an audit: decisions that occur, how many of each, and the sentences as they are now."""
+    n = lambda d: F.count_if((F.col("status") == "pending_review") & (F.col("decision") == d))
+    kinds = ("approved", "rejected", "auto_approved", "confirmed_by_video")
+    made = lambda of: F.create_map(*(x for k, v in of.items() for x in (F.lit(k), v)))
+    own = lambda t: t.join(videos.select("video_id").distinct(), "video_id", "left_semi")
+    told = own(changes).groupBy(*KEY).agg(made({k: n(k) for k in kinds} | {"pending_review": n("pending") + n("auto_approved")}).alias("counts"), F.map_filter(made({k: n(k) for k in kinds}), lambda k, v: v > 0).alias("decisions"))
+    final = own(cleaned).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("sentence_id", "start_ms", "end_ms", "text"))).alias("final"))
+    return told.join(final, KEY, "left").select(*KEY, "counts", "decisions", "final", now.alias("updated_at"))
+
+
 def confirm(changes: DataFrame, documents: DataFrame, videos: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """(changes, documents) after videos are confirmed: pending suggestions that are open or approved for the time being count as confirmed with the video; whatever else was decided, or never asked, stays."""
     ids = videos.select("video_id").distinct().withColumn("hit", F.lit(True))

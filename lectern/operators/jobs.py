@@ -103,3 +103,9 @@ def missing_inputs(requests: DataFrame, raw: DataFrame, cleaned: DataFrame) -> D
 def usage(requests: DataFrame) -> DataFrame:
     """A-USE: tokens of model requests by video."""
     return requests.groupBy("video_id").agg(*(F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")), F.count("*").alias("requests"))
+
+
+def run_counters(results: DataFrame) -> DataFrame:
+    """A-RUN: written, skipped and failed videos of a run, and the segments of the written ones; results: video_id, outcome (written, skipped, failed), segments."""
+    n = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    return results.agg(n("written"), n("skipped"), n("failed"), F.count("*").alias("videos"), F.coalesce(F.sum(F.when(F.col("outcome") == "written", F.col("segments"))), F.lit(0)).alias("segments"))

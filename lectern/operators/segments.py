@@ -108,6 +108,12 @@ def boundary_faults(starts: DataFrame, sentences: DataFrame) -> DataFrame:
     return wrong.unionByName(none)
 
 
+def explained_starts(reasons: DataFrame, starts: DataFrame) -> DataFrame:
+    """(keys, same): whether exactly the starts are explained."""
+    ids = lambda t, name: t.groupBy(*KEY).agg(F.sort_array(F.collect_set("start_sentence_id")).alias(name))
+    return ids(starts, "a").join(ids(reasons, "b"), KEY, "full_outer").select(*KEY, F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
 def explanation_faults(reasons: DataFrame, starts: DataFrame, basis: DataFrame) -> DataFrame:
     """V9: (keys, start_sentence_id, fault): exactly one non-blank reason for each start, and a non-blank overall basis (id null)."""
     on = [*KEY, "start_sentence_id"]

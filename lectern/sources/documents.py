@@ -6,7 +6,9 @@ JSON has no column pruning or pushed filters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
@@ -88,3 +90,31 @@ def glossary(spark: SparkSession, path: str) -> DataFrame:
     shared = g.select(F.lit("global").alias("scope"), F.lit(None).cast("string").alias("video_id"), F.explode("global").alias("term", "aliases"))
     own = g.select(F.explode("sources").alias("video_id", "m")).select(F.lit("video").alias("scope"), "video_id", F.explode("m").alias("term", "aliases"))
     return shared.unionByName(own)
+
+
+def output_rows(timed: DataFrame) -> DataFrame:
+    """Rows of a recogniser (video_id, id, start, end, text) as raw sentences."""
+    return timed.select("video_id", F.col("id").cast("long").alias("id"), F.col("start").cast("long").alias("start_ms"), F.col("end").cast("long").alias("end_ms"), F.col("text").cast("string").alias("raw_text"))
+
+
+def stored_name(title: Column, video_id: Column, filename: Column) -> Column:
+    """SNK8: the name of a stored video: title, 16 digits of its content's hash, and the lower-cased suffix."""
+    return F.concat(title, F.lit("__"), F.left(video_id, F.lit(16)), F.lower(F.regexp_extract(filename, r"(\.[^./\\]+)$", 1)))
+
+
+def stored_name_clashes(uploads: DataFrame) -> DataFrame:
+    """SNK8: (stored_name, contents) of names that would hold several contents; uploads: id, filename."""
+    named = uploads.select("id", stored_name(X.upload_title(F.col("filename")), F.col("id"), F.col("filename")).alias("stored_name"))
+    return named.groupBy("stored_name").agg(F.count_distinct("id").alias("contents")).where("contents > 1")
+
+
+def model_value(value):
+    """A model's output as JSON can hold it: keys and unknown values as text, arrays as lists."""
+    if value is None or isinstance(value, (str, int, float, bool)):
+        return value
+    if isinstance(value, Mapping):
+        return {str(k): model_value(v) for k, v in value.items()}
+    if hasattr(value, "tolist"):
+        value = value.tolist()
+        return [model_value(v) for v in value] if isinstance(value, list) else model_value(value)
+    return [model_value(v) for v in value] if isinstance(value, (list, tuple)) else str(value)

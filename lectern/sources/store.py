@@ -1,7 +1,10 @@
 """Versioned tables with atomic commits and compare-and-set (SNK1-SNK7, SNK10).
 
-A commit writes new version directories of the relations it changes, then swaps
-one small pointer file by rename.  Readers resolve the pointer once, so they see
+A relation that names videos is kept in buckets by a hash of the video id, each with
+a version directory of its own, so that an edit reads and writes the buckets of its
+videos only.  A commit writes new version directories of the buckets it changes, then
+swaps one small pointer file by rename.  (On stores whose rename copies, such as S3,
+two writers may both pass; put the pointers on a store with atomic renames there.)  Readers resolve the pointer once, so they see
 all of a commit or nothing.  A crash before the swap leaves directories that no
 pointer names: recovery is to ignore them, `vacuum` deletes them.  The pointer's
 revision is checked before the swap; a stale writer gets a conflict.
@@ -10,10 +13,12 @@ revision is checked before the swap; a stale writer gets a conflict.
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from functools import reduce
+from functools import reduce, wraps
+from threading import RLock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,9 +27,15 @@ class ConflictError(RuntimeError):
     """Another commit came first; read again and repeat the edit."""
 
 
+#: Buckets of a relation: an edit of one video rewrites one of them.
+BUCKETS = 64
+#: The relations of an application that may be committed (SNK4).
+RELATIONS = ("raw", "cleaned", "segments", "documents", "changes", "history", "glossary", "uploads", "business", "explanations", "markdown")
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, relations: tuple[str, ...] = RELATIONS):
+        self.spark, self.root, self.relations = spark, root.rstrip("/"), relations
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,33 +63,78 @@ class Store:
             fs.delete(side, False)
         return done
 
+    def _names(self, path: str) -> list[str]:
+        fs, p = self._fs(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
     def pointer(self) -> dict:
-        """{"revision": n, "relations": {name: [directory, schema]}} of the newest commit."""
-        fs, p = self._fs(f"{self.root}/_commits")
-        if not fs.exists(p):
+        """{"revision": n, "relations": {name: {"parts": {bucket: directory}, "schema": ..}}} of the newest commit, its shape checked."""
+        names = [n for n in self._names(f"{self.root}/_commits") if n.endswith(".json")]
+        if not names:
             return {"revision": 0, "relations": {}}
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
-        return json.loads(self._read(f"{self.root}/_commits/{names[-1]}")) if names else {"revision": 0, "relations": {}}
+        try:
+            found = json.loads(self._read(f"{self.root}/_commits/{names[-1]}"))
+            fine = found["revision"] == int(names[-1][:-5]) and all(isinstance(r["schema"], dict) and all(re.fullmatch(rf"{re.escape(n)}/v-[0-9a-f]{{32}}(/_bucket=\d+)?", d) for d in r["parts"].values()) for n, r in found["relations"].items())
+        except (ValueError, KeyError, TypeError, AttributeError) as e:
+            raise RuntimeError(f"{names[-1]} is no commit") from e
+        if not fine:
+            raise RuntimeError(f"{names[-1]} names another revision, or directories outside its relations")
+        return found
+
+    def bucket_of(self, video_id: Column) -> Column:
+        return F.pmod(F.xxhash64(video_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+    def buckets_of(self, videos: DataFrame) -> set[int]:
+        """The buckets (BUCKETS at most) that hold some videos (video_id)."""
+        return {r.b for r in videos.select(self.bucket_of(F.col("video_id")).alias("b")).distinct().collect()}
+
+    def narrowed(self, at: dict, buckets: set[int]) -> dict:
+        """The pointer with these buckets only; relations without buckets stay whole."""
+        keep = lambda parts: {b: d for b, d in parts.items() if b == "" or int(b) in buckets}
+        return at | {"relations": {n: r | {"parts": keep(r["parts"])} for n, r in at["relations"].items()}}
 
     def table(self, relation: str, at: dict | None = None) -> DataFrame:
-        """A relation as of a pointer (the newest by default); partition filters prune directories."""
+        """A relation as of a pointer (the newest by default); SRC13: FileNotFoundError if there is none."""
         where = (at or self.pointer())["relations"].get(relation)
         if where is None:
             raise FileNotFoundError(relation)
-        path, schema = where
-        return self.spark.read.schema(StructType.fromJson(schema)).parquet(f"{self.root}/{path}")  # an empty relation has no files to tell its schema
-
-    def commit(self, changes: dict[str, DataFrame], expected_revision: int) -> int:
-        """SNK2: write the changed relations and publish them together; the new revision."""
+        schema = StructType.fromJson(where["schema"])  # an empty relation has no files to tell its schema
+        paths = [f"{self.root}/{d}" for _, d in sorted(where["parts"].items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def required(self, relation: str, video_id: str, at: dict | None = None) -> DataFrame:
+        """SRC13: one video's rows of a relation, read from its bucket; FileNotFoundError if there are none."""
+        one = self.spark.createDataFrame([(video_id,)], "video_id string")
+        t = self.table(relation, self.narrowed(at or self.pointer(), self.buckets_of(one))).where(F.col("video_id") == video_id)
+        if t.isEmpty():
+            raise FileNotFoundError(f"{relation} of {video_id}")
+        return t
+
+    def commit(self, changes: dict[str, DataFrame], expected_revision: int, buckets: set[int] | None = None) -> int:
+        """SNK2: write the changed relations and publish them together; the new revision.
+
+        With buckets, the frames hold all rows of these buckets, and the others of
+        the relations stay as they are.
+        """
+        if unknown := sorted(set(changes) - set(self.relations)):
+            raise ValueError(f"not relations of this store: {', '.join(unknown)}")
         now = self.pointer()
         if now["revision"] != expected_revision:
             raise ConflictError(f"revision is {now['revision']}, not {expected_revision}")
         relations = dict(now["relations"])
         for name, df in changes.items():
-            path = f"{name}/v-{uuid.uuid4().hex}"
-            relations[name] = [path, json.loads(df.schema.json())]
-            parts = ["partition"] if "partition" in df.columns and len(df.columns) > 1 else []
-            df.write.partitionBy(*parts).parquet(f"{self.root}/{path}")
+            path, schema = f"{name}/v-{uuid.uuid4().hex}", json.loads(df.schema.json())
+            if "video_id" not in df.columns or name == "glossary":
+                df.write.parquet(f"{self.root}/{path}")
+                relations[name] = {"parts": {"": path}, "schema": schema}
+                continue
+            df = df.withColumn("_bucket", self.bucket_of(F.col("video_id")))
+            if buckets is not None:
+                df = df.where(F.col("_bucket").isin(*buckets))
+            df.write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
+            old = {} if buckets is None else {b: d for b, d in relations.get(name, {"parts": {}})["parts"].items() if int(b) not in buckets}
+            new = {n.split("=")[1]: f"{path}/{n}" for n in self._names(f"{self.root}/{path}") if n.startswith("_bucket=")}
+            relations[name] = {"parts": old | new, "schema": schema}
         revision = expected_revision + 1
         # the name is the lock: of two writers with one expectation, one finds it taken
         if not self._put(f"{self.root}/_commits/{revision:012d}.json", json.dumps({"revision": revision, "relations": relations})):
@@ -88,23 +144,43 @@ class Store:
     def delete_video(self, video_id: str, expected_revision: int) -> tuple[int, int]:
         """SNK7: one video's rows out of every relation; (new revision, rows removed)."""
         now = self.pointer()
-        held = {n: t for n in now["relations"] if "video_id" in (t := self.table(n, now)).columns}
+        buckets = self.buckets_of(self.spark.createDataFrame([(video_id,)], "video_id string"))
+        part = self.narrowed(now, buckets)
+        held = {n: t for n in now["relations"] if "video_id" in (t := self.table(n, part)).columns}
         hit = F.coalesce(F.col("video_id") == video_id, F.lit(False))
         removed = {n: t.where(hit).count() for n, t in held.items()}
-        return self.commit({n: t.where(~hit) for n, t in held.items() if removed[n]}, expected_revision), sum(removed.values())
+        return self.commit({n: t.where(~hit) for n, t in held.items() if removed[n]}, expected_revision, buckets), sum(removed.values())
 
     def vacuum(self) -> int:
-        """SNK3: delete version directories that the newest pointer does not name (no reader may be on an older one)."""
-        kept, n = {path for path, _ in self.pointer()["relations"].values()}, 0
-        fs, p = self._fs(self.root)
-        for s in fs.listStatus(p) if fs.exists(p) else []:
-            name = s.getPath().getName()
-            if s.isDirectory() and name != "_commits":
-                for v in fs.listStatus(s.getPath()):
-                    if f"{name}/{v.getPath().getName()}" not in kept:
-                        fs.delete(v.getPath(), True)
-                        n += 1
-        return n
+        """SNK3: delete version directories, and buckets of others, that the newest pointer does not name (no reader may be on an older one)."""
+        kept = {d for r in self.pointer()["relations"].values() for d in r["parts"].values()}
+        whole = {"/".join(d.split("/")[:2]) for d in kept}
+        gone = []
+        for name in self._names(self.root):
+            for v in self._names(f"{self.root}/{name}") if name != "_commits" else []:
+                at = f"{name}/{v}"
+                gone += [at] if at not in whole else [f"{at}/{b}" for b in self._names(f"{self.root}/{at}") if b.startswith("_bucket=") and f"{at}/{b}" not in kept]
+        for path in gone:
+            fs, p = self._fs(f"{self.root}/{path}")
+            fs.delete(p, True)
+        return len(gone)
+
+
+def locked(act):
+    """X5, SNK5: a method (self, video_id, ...) of which one runs at a time for each video in this process; across processes the revision decides."""
+
+    @wraps(act)
+    def run(self, video_id, *args, **named):
+        with _LOCKS_LOCK:
+            own = _LOCKS.setdefault((self.store.root, video_id), RLock())
+        with own:
+            return act(self, video_id, *args, **named)
+
+    return run
+
+
+_LOCKS: dict[tuple[str, str], RLock] = {}
+_LOCKS_LOCK = RLock()
 
 
 def quarantine(rows: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

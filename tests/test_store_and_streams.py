@@ -57,7 +57,7 @@ def rows(spark, n):
 
 
 def test_commits_are_whole_and_checked(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "store"))
+    s = Store(spark, str(tmp_path / "store"), ("a", "b", "c"))
     with pytest.raises(FileNotFoundError):
         s.table("a")
     assert s.commit({"a": rows(spark, 4), "b": rows(spark, 2)}, 0) == 1
@@ -75,7 +75,7 @@ def test_commits_are_whole_and_checked(spark, tmp_path):
 
 
 def test_two_writers(spark, tmp_path):
-    s = Store(spark, str(tmp_path / "store"))
+    s = Store(spark, str(tmp_path / "store"), ("a", "b", "c"))
     assert s._put(f"{s.root}/_commits/000000000001.json", "{}") and not s._put(f"{s.root}/_commits/000000000001.json", "{}")
 
 

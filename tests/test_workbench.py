@@ -1,11 +1,13 @@
 """End to end over a store: search, apply, decide, save, confirm, delete, with stale pages and invalid edits."""
 
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import responder
+from lectern.job_queue import JobQueue
+from lectern.operators import cleanup, responder
 from lectern.sources.store import ConflictError, Store
 from lectern.workbench import Workbench
 
@@ -114,3 +116,139 @@ def test_chapter_plans(spark):
     assert responder.chapter_metadata("x", planner([]))["title"] == "t1"
     with pytest.raises(ValueError):
         responder.chapter_metadata(" ", planner([]))
+
+
+def test_history_follows_the_edits(bench):
+    bench.decide(V[1], 2, "approved")
+    h = bench.store.table("history").first()
+    assert h.decisions == {"approved": 1} and h.counts["approved"] == 1 and h.counts["pending_review"] == 0
+    assert [s.text for s in h.final] == ["第一句旧词。", "建议。", "Hello", "world."]
+    bench.save_sentences(V[1], {1: "新。"})
+    assert [s.text for s in bench.store.table("history").first().final][:2] == ["新。", "建议。"]
+    bench.confirm(V[1])
+    assert bench.store.table("history").first().decisions == {"approved": 1}
+
+
+def test_confirming_needs_valid_sentences(bench, spark):
+    at = bench.store.pointer()
+    bench.store.commit({"cleaned": bench.store.table("cleaned").withColumn("start_ms", F.when(F.col("sentence_id") == 2, F.col("start_ms") + 1).otherwise(F.col("start_ms")))}, at["revision"])
+    with pytest.raises(ValueError, match="cleaned.anchor"):
+        bench.confirm(V[1])
+
+
+def test_chapters_bring_terms_and_reviews(bench):
+    bench.decide(V[1], 2, "approved", "通达海办的。")
+    found = {r.term: r.aliases for r in bench.candidates(V[1], 1, "## 1. 一\n\n### 章节摘要\n\n摘要\n\n### 章节正文\n\n第一句 NewTerm。通达海办的。\n").collect()}
+    assert "NewTerm" in found and len(found) == 2
+    with pytest.raises(KeyError):
+        bench.candidates(V[1], 9, "")
+    bench.save_chapter(V[1], 1, {"title": "一", "summary": "摘要", "keywords": ["k"], "content": "第一句旧词。通达海办的。"}, expected_revision=1, terms=[("global", None, "通达海", ["第二"])])
+    row = bench.store.table("changes").first()
+    assert row.glossary_review_pending is False and row.glossary_reviewed_at == "now"
+    assert bench.store.table("glossary").first().term == "通达海"
+    assert bench.metadata(V[1], 1, "x", planner([]))["title"] == "t1"
+    with pytest.raises(ValueError):
+        bench.save_chapter(V[1], 1, {"title": "一", "summary": "摘要", "keywords": ["k"], "content": "x"}, expected_revision=2, terms=[("global", None, "a b", [])])
+    assert bench.store.table("documents").first().revision == 2
+
+
+def test_one_video(bench):
+    row = bench.video(V[1]).first()
+    assert row.record.title == "题" and [r.id for r in row.raw.rows] == [1, 2, 3, 4] and len(row.segments.rows) == 2
+    assert row.suggestions.sentence_ids == [2] and row.markdown.markdown == bench.markdown(V[1])
+    with pytest.raises(KeyError):
+        bench.video("none")
+
+
+def test_publishing_a_cleanup(bench, spark):
+    w = ("2026-09", "d" * 64)
+    raw = spark.createDataFrame([(*w, 1, 0, 5, "a 1"), (*w, 2, 5, 9, "b  c")], "partition string, video_id string, id long, start_ms long, end_ms long, raw_text string")
+    s = bench.store
+    s.commit({"raw": s.table("raw").unionByName(raw)}, 1)
+    proposals = spark.createDataFrame([(*w, 1, "A 1", True, "why"), (*w, 2, "b c", False, "")], "partition string, video_id string, id long, proposed string, needs_review boolean, review_reason string")
+    decided = cleanup.decide(raw, proposals)
+    with pytest.raises(ConflictError, match="changed"):
+        bench.publish_cleanup(raw.withColumn("raw_text", F.concat("raw_text", F.lit("x"))), decided)
+    with pytest.raises(ValueError, match="cleaned.count"):
+        bench.publish_cleanup(raw, decided.where("id = 1"))
+    bench.publish_cleanup(raw, decided)
+    mine = F.col("video_id") == w[1]
+    assert [r.text for r in s.table("cleaned").where(mine).orderBy("sentence_id").collect()] == ["A 1", "b c"]
+    assert [(r.sentence_id, r.decision, r.effective_text) for r in s.table("changes").where(mine).orderBy("sentence_id").collect()] == [(1, "pending", "A 1"), (2, None, "b c")]
+    assert s.table("cleaned").count() == 6 and s.table("history").where(mine).first().counts["pending_review"] == 1
+    with pytest.raises(ConflictError, match="audit"):
+        bench.publish_cleanup(raw, decided, overwrite=True)
+    s.commit({"changes": s.table("changes").where(~mine)}, s.pointer()["revision"])
+    with pytest.raises(ConflictError, match="meanwhile"):
+        bench.publish_cleanup(raw, decided)
+    bench.publish_cleanup(raw, decided, overwrite=True)
+
+
+def test_explanations_are_written_once(bench, spark):
+    make = lambda t: spark.createDataFrame([(V[1], t)], "video_id string, overall_basis string")
+    bench.publish_explanations(make("first"))
+    bench.publish_explanations(make("second"))
+    assert [(r.overall_basis, r.generated_at) for r in bench.store.table("explanations").collect()] == [("first", "now")]
+
+
+def test_uploads_by_content(bench, spark):
+    make = lambda *rows: spark.createDataFrame(list(rows), "id string, filename string, uploaded_at string")
+    bench.add_uploads(make(("b" * 64, "renamed.mp4", "2027"), ("e" * 64, "other.mov", "2026")))
+    assert sorted((r.id[0], r.filename) for r in bench.store.table("uploads").collect()) == [("b", "renamed.mp4"), ("e", "other.mov")]
+    with pytest.raises(ConflictError):
+        bench.add_uploads(make(("e" * 16 + "f" * 48, "other.MOV", "2028")))
+
+
+def test_edits_touch_their_buckets_only(bench, spark):
+    s = bench.store
+    many = spark.createDataFrame([("2026-09", f"{i:064d}", 1, 0, 5, "x") for i in range(40)], "partition string, video_id string, sentence_id long, start_ms long, end_ms long, text string")
+    s.commit({"cleaned": s.table("cleaned").unionByName(many)}, 1)
+    before = s.pointer()["relations"]["cleaned"]["parts"]
+    bench.save_sentences(V[1], {1: "改。"})
+    after = s.pointer()["relations"]["cleaned"]["parts"]
+    assert sum(before[b] != after[b] for b in before) == 1 and before.keys() == after.keys()
+    assert s.table("cleaned").count() == 44 and s.required("cleaned", V[1]).count() == 4
+    with pytest.raises(FileNotFoundError):
+        s.required("cleaned", "none")
+    s.vacuum()
+    assert s.table("cleaned").count() == 44
+    with pytest.raises(ValueError, match="not relations"):
+        s.commit({"../x": many}, 3)
+    assert s._put(f"{s.root}/_commits/{4:012d}.json", json.dumps({"revision": 4, "relations": {"cleaned": {"parts": {"0": "../../etc"}, "schema": {}}}}))
+    with pytest.raises(RuntimeError):
+        s.pointer()
+
+
+def test_job_queue(bench):
+    order, gate = [], threading.Event()
+
+    def step(video, log, cancelled):
+        order.append(video)
+        log(f"begun {video}")
+        if video == "hold":
+            while not cancelled():
+                gate.wait(0.01)
+        if video == "bad":
+            raise ValueError("no")
+
+    q = JobQueue(bench.store, {"cleanup": step}, iter(f"{i:03d}" for i in range(1000)).__next__)
+    a, b = q.create("cleanup", ["1", "2", "1"]), q.create("cleanup", ["bad", "3"])
+    assert q.wait(a["id"], 30)["status"] == "completed" and q.wait(b["id"], 30)["status"] == "failed"
+    assert order == ["1", "2", "bad"] and [i["status"] for i in q.snapshot(b["id"])["items"]] == ["failed", "cancelled"]
+    assert "ValueError: no" in q.snapshot(b["id"])["items"][0]["log"]
+    c, d = q.create("cleanup", ["hold", "4"]), q.create("cleanup", ["5"])
+    while "hold" not in order:
+        gate.wait(0.01)
+    assert q.busy("hold") and q.busy("5") and q.cancel(d["id"])["status"] == "cancelled" and not q.busy("5")
+    q.cancel(c["id"])
+    assert q.wait(c["id"], 30)["status"] == "cancelled" and [i["status"] for i in q.snapshot(c["id"])["items"]] == ["cancelled", "cancelled"]
+    for act, error in ((lambda: q.cancel(c["id"]), ValueError), (lambda: q.create("x", ["1"]), ValueError), (lambda: q.create("cleanup", []), ValueError), (lambda: q.snapshot("none"), KeyError)):
+        with pytest.raises(error):
+            act()
+    assert [j["id"] for j in q.listed(2)] == [d["id"], c["id"]]
+    q.close()
+    with q.changed:
+        q._save(q.jobs[a["id"]] | {"status": "running"})
+    again = JobQueue(bench.store, {})
+    assert again.snapshot(a["id"])["status"] == "interrupted" and again.snapshot(b["id"])["status"] == "failed"
+    again.close()
