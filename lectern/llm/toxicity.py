@@ -5,10 +5,11 @@ words of a text and the probabilities that the chain gave for the categories
 before it.  For training, those probabilities come from models that did not see
 the row (out of fold), so later links meet inputs like those at scoring time.
 
-The overall category is the label.  The earlier ones have no labels of their own;
-a toxic row belongs to one if it holds a word of that category's seed list.  The
-word features are those that tell toxic from other rows best (chi-square on
-document counts), learned from the sample, whatever their list.
+The first link is the labelled quality (poor or not) and the last one the labelled
+toxicity.  The kinds between them are learned: the words that tell toxic from other
+rows best (chi-square on document counts over the sample) describe the toxic rows,
+and these are parted into KINDS groups by those words, whatever their language.  A
+row is of a kind if it is toxic and of that group.
 """
 
 from __future__ import annotations
@@ -21,12 +22,8 @@ from pyspark.sql import functions as F
 from lectern.llm.quality import labelled
 from lectern.llm.workspace import Workspace, small_batches
 
-#: Seed words of the categories before the overall one.
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser", "fool", "dumb", "imbecile"),
-    "contempt": ("worthless", "trash", "scum", "garbage", "pathetic", "filth", "vermin"),
-    "disgust": ("disgusting", "vile", "gross", "revolting", "repulsive"),
-}
+#: Kinds of toxic rows that are learned, words that describe them, rounds of parting them.
+KINDS, KIND_WORDS, KIND_ROUNDS = 3, 64, 10
 #: Labelled rows to learn from at most, words used, folds, ridge, least documents with a word.
 MAX_TRAIN, WORDS, FOLDS, RIDGE, LEAST = 10_000, 256, 3, 0.1, 4
 #: Bytes of the beginnings of words that count as features.
@@ -94,6 +91,26 @@ def fit_chain(x: np.ndarray, targets: list[np.ndarray], names: list[str], words:
     return Chain(names, words, weights)
 
 
+def kinds_of(x: np.ndarray, y: np.ndarray, kinds: int = KINDS) -> list[np.ndarray]:
+    """For each kind 1 for the toxic rows (y) that belong to it: means of unit rows of x, begun with the row farthest from those before, ties by place."""
+    own = np.flatnonzero(y)
+    out = [np.zeros(len(y)) for _ in range(kinds)]
+    if not len(own) or not x.shape[1]:
+        return out
+    u = x[own] / np.maximum(1e-12, np.linalg.norm(x[own], axis=1, keepdims=True))
+    picked = [int(np.abs(u).sum(1).argmax())]
+    while len(picked) < min(kinds, len(own)):
+        picked.append(int((u @ u[picked].T).max(1).argmin()))
+    means = u[picked]
+    for _ in range(KIND_ROUNDS):
+        group = (u @ means.T).argmax(1)
+        means = np.stack([u[group == k].mean(0) if (group == k).any() else means[k] for k in range(len(means))])
+        means /= np.maximum(1e-12, np.linalg.norm(means, axis=1, keepdims=True))
+    for k in range(len(means)):
+        out[k][own[group == k]] = 1
+    return out
+
+
 def _words(batches):
     for b in batches:
         w = [sorted(words_of(t.as_py() or b"")) for t in b.column("text")]
@@ -101,24 +118,23 @@ def _words(batches):
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "toxic", max_train: int = MAX_TRAIN) -> Chain:
-    """From at most max_train labelled rows; none, or no toxic one: a chain that knows no word."""
+    """From at most max_train labelled ids; none, or no toxic one: a chain that knows no word.  Of rows that repeat an id the least set of words counts."""
     small_batches(spark)
-    rows = Workspace(spark, "toxic").write(labelled(docs, labels, column, max_train).mapInArrow(_words, "doc_id long, y double, words array<binary>").limit(max_train), "sample")
+    rows = labelled(docs, labels, column, max_train).mapInArrow(_words, "doc_id long, y double, words array<binary>")
+    rows = Workspace(spark, "toxic").write(rows.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("words").alias("words")), "sample")
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     count = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"), F.sum("y").alias("a")).where(F.col("df") >= LEAST)
     rate = bad / n if n else 0.0
     odd = (F.col("a") - F.col("df") * rate) / F.sqrt(F.col("df") * F.lit(max(rate * (1 - rate), 1e-9)) + 1)
     words = [bytes(r.word) for r in count.orderBy(F.abs(odd).desc(), "word").limit(WORDS).collect()]
-    seeds = {k: {s.encode() for s in v} for k, v in SEEDS.items()}
-    wanted = words + sorted(set().union(*seeds.values()) - set(words))
-    held = rows.select("doc_id", "y", F.array_intersect("words", F.array(*(F.lit(w) for w in wanted))).alias("words")).collect()
-    held = sorted(((r.doc_id, r.y, {bytes(w) for w in r.words}) for r in held), key=lambda r: (r[0], r[1], sorted(r[2])))
-    chain = Chain([*seeds, column], words, [])
-    x, y = np.zeros((len(held), len(words))), np.array([r[1] for r in held])
+    poor = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.min("quality") == 0).cast("double").alias("poor"))
+    held = rows.select("doc_id", "y", F.array_intersect("words", F.array(*(F.lit(w) for w in words)).cast("array<binary>")).alias("words")).join(poor, "doc_id", "left").orderBy("doc_id").collect()  # at most max_train rows
+    chain = Chain(["poor", *(f"kind_{k + 1}" for k in range(KINDS)), column], words, [])
+    x, y = np.zeros((len(held), len(words))), np.array([r.y for r in held])
     for i, r in enumerate(held):
-        for w in chain.at.keys() & r[2]:
+        for w in map(bytes, r.words):
             x[i, chain.at[w]] = 1
-    targets = [np.array([float(t and bool(own & r[2])) for t, r in zip(y, held)]) for own in seeds.values()] + [y]
+    targets = [np.array([r.poor or 0.0 for r in held]), *kinds_of(x[:, :KIND_WORDS], y), y]
     return fit_chain(x, targets, chain.names, words, np.arange(len(held)) % FOLDS)
 
 
@@ -135,7 +151,8 @@ def judge_toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut:
     """(doc_id, p_<category>..., toxic) for every row of docs, over whole texts.
 
     Null and empty texts hold no word and get the chain's base rates; repeated
-    rows and null ids are kept row by row; without labels nothing is toxic.
+    rows and null ids are kept row by row; without labels nothing is toxic.  Other
+    columns of docs are not looked at.
     """
     chain = train(spark, docs, labels, "toxic", max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
