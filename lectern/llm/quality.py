@@ -162,16 +162,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
-    """(doc_id, text, y) of at most `most` rows with a label of 0 or 1 that may be learned from; an id labelled twice counts by its larger label."""
+    """(doc_id, text, y) of the rows of at most `most` ids with a label of 0 or 1 that may be learned from; an id labelled twice counts by its larger label."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("double").alias("y")).where(F.col("y").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(own), "doc_id")  # at most `most` rows
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str = "quality", max_train: int = MAX_TRAIN) -> Additive:
+    """From at most max_train labelled ids; of rows that repeat an id the least features count."""
     small_batches(spark)
-    rows = labelled(docs, labels, column, max_train).mapInArrow(_measure, "doc_id long, y double, x array<double>").limit(max_train).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
+    measured = labelled(docs, labels, column, max_train).mapInArrow(_measure, "doc_id long, y double, x array<double>")
+    rows = measured.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in rows], np.float64).reshape(-1, len(FEATURES))
     return fit(x, np.array([r.y for r in rows], np.float64))
 
@@ -183,7 +184,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, model: Additive, cut: flo
 
 
 def judge_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, cut: float = 0.7, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs; repeated rows and null ids are kept row by row."""
+    """(doc_id, held_out, score, predicted) for every row of docs; repeated rows and null ids are kept row by row, other columns are not looked at."""
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     scored = rows.mapInArrow(_score(train(spark, docs, labels, "quality", max_train)), "doc_id long, score double")
