@@ -3,8 +3,10 @@
 import collections
 import glob
 import hashlib
+import math
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -582,6 +584,63 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.toxic for r in toxic) >= 0.85 * len(toxic) and sum(r.toxic for r in clean) <= 0.02 * len(clean)
 
 
+@tables
+def test_quality_equals_a_plain_scorer(spark):
+    """Scores of all rows, by adding a table's value for each feature and pair of a text, one row at a time."""
+    d = D.replace("0.001", "0.01")
+    docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = quality.train(spark, docs, lab)
+    got = {r.doc_id: r.score for r in quality.judge_quality(spark, docs, lab).collect()}
+    assert model.pairs and any(t.any() for t in model.tables)
+    for r in docs.collect():
+        x, f = quality.features((r.text or "").encode()), model.intercept
+        place = lambda borders, v: sum(b <= v for b in borders)
+        f += sum(t[place(b, v)] for t, b, v in zip(model.tables, model.borders, x))
+        f += sum(t[place(model.coarse[i], x[i])][place(model.coarse[j], x[j])] for i, j, t in model.pairs)
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-f))) < 1e-9
+    text = "Ab c1! | c1!\nZZ é.\nAb c1! | c1!"
+    plain = {"words": math.log(11), "upper_words": 1 / 10, "bars": 2 / 10, "bangs": 4 / 10, "stops": 1 / 10, "distinct": 5 / 10, "same_lines": 1 / 3, "long_words": math.log(4)}
+    assert all(abs(dict(zip(quality.FEATURES, quality.features(text.encode())))[k] - v) < 1e-9 for k, v in plain.items())
+
+
+@tables
+def test_toxicity_equals_a_plain_chain(spark):
+    """Probabilities of all rows, link by link and word by word."""
+    d = D.replace("0.001", "0.01")
+    docs, lab = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    chain = toxicity.train(spark, docs, lab)
+    got = {r.doc_id: [r[f"p_{n}"] for n in chain.names] for r in toxicity.judge_toxicity(spark, docs, lab).collect()}
+    assert chain.names == ["poor", "kind_1", "kind_2", "kind_3", "toxic"]
+    for r in docs.collect():
+        words = set(re.sub(rb"[^a-zA-Z\x80-\xff]", b" ", (r.text or "").encode()).lower().split())
+        words |= {b"^" + w[:k] for w in words for k in (4, 6) if len(w) > k}
+        has, before = [float(w in words) for w in chain.words], []
+        for weights in chain.weights:
+            z = sum(a * b for a, b in zip(weights, has + before)) + weights[-1]
+            before.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[r.doc_id], before))
+
+
+def test_kinds_part_the_toxic_rows():
+    rng = np.random.RandomState(2)
+    which = np.arange(90) % 3
+    x = np.concatenate([np.repeat(np.eye(3)[which], 4, axis=1) * (rng.rand(90, 12) < 0.8), rng.rand(60, 12) < 0.1])
+    y = np.r_[np.ones(90), np.zeros(60)]
+    kinds = toxicity.kinds_of(x.astype(float), y)
+    assert (sum(kinds) == y).all() and {tuple(np.unique(which[k[:90] == 1])) for k in kinds} == {(0,), (1,), (2,)}
+
+
+@pytest.mark.parametrize("train", [quality.train, toxicity.train])
+def test_training_does_not_depend_on_the_order_of_rows(spark, train):
+    rng = random.Random(9)
+    rows = [(i % 40, " ".join(rng.choices(["good", "bad!", "1", "|", "vile", "x."], k=rng.randrange(1, 30)))) for i in range(160)]
+    labels = spark.createDataFrame([(i, i % 2, i % 3 % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    make = lambda r, n: spark.createDataFrame(r, "doc_id long, text string").repartition(n)
+    column = "quality" if train is quality.train else "toxic"
+    a, b = (train(spark, make(r, n), labels, column, 20) for r, n in ((rows, 3), (rows[::-1], 5)))
+    assert all((x == y).all() for x, y in zip(a.tables if column == "quality" else a.weights, b.tables if column == "quality" else b.weights))
+
+
 def test_chain_uses_out_of_fold_probabilities():
     rng = np.random.RandomState(0)
     x = (rng.rand(300, 5) < 0.3).astype(float)
