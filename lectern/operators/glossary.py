@@ -45,11 +45,13 @@ def spans(text: Column, pairs: list[tuple[str, str]]) -> Column:
     start = F.array().cast("array<struct<alias:string,term:string,at:int,stop:int>>")
 
     def step(taken: Column, p: Column) -> Column:
-        free = F.filter(_positions(text, p["alias"]), lambda i: ~F.exists(taken, lambda s: (i < s["stop"]) & (i + F.length(p["alias"]) > s["at"])))
-        hit = F.struct(p["alias"].alias("alias"), p["term"].alias("term"), F.get(free, F.lit(0)).alias("at"), (F.get(free, F.lit(0)) + F.length(p["alias"])).alias("stop"))
-        return F.when(F.contains(text, p["alias"]) & (F.size(free) > 0), F.concat(taken, F.array(hit))).otherwise(taken)
+        end = lambda i: i + F.length(p["alias"])
+        free = F.filter(_positions(text, p["alias"]), lambda i: ~F.exists(taken, lambda s: (i < s["stop"]) & (end(i) > s["at"])))
+        # bound once: names in a fold are evaluated wherever they stand
+        return F.concat(taken, F.transform(F.slice(free, 1, 1), lambda i: F.struct(p["alias"].alias("alias"), p["term"].alias("term"), i.alias("at"), end(i).alias("stop"))))
 
-    return F.aggregate(given, start, step)
+    # most sentences hold no alias; only those that a text holds are located
+    return F.aggregate(F.filter(given, lambda p: F.contains(text, p["alias"])), start, step)
 
 
 def search(cleaned: DataFrame, pairs: list[tuple[str, str]], video_id: str | None = None) -> DataFrame:

@@ -55,11 +55,11 @@ def g1_term_candidates(spark, d):
     return x.select("video_id", "id", F.explode(diffs.term_candidates(F.col("proposed_text"), edited)).alias("t")).select("video_id", "id", "t.term", F.array_join("t.aliases", "|").alias("aliases"), "t.original", "t.change_type")
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '(?s).+?(?:[。！？!?]+|\\.(?:\\s|$))'), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), '|') AS sentences FROM conversations WHERE regexp_matches(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '[.!?]$') AND NOT regexp_matches(text, '[。！？!?]|\\.\\s*\\.|^\\s*\\.')")
+@query()
 def a1_sentences(spark, d):
-    """Texts with plain full stops only, where a simple pattern is the whole rule."""
-    x = R.table(spark, d, "conversations").where(F.col("text").rlike(r"[.!?]\s*$") & ~F.col("text").rlike(r"[。！？!?]|\.\s*\.|^\s*\."))
-    return x.select("conv_id", "turn", F.array_join(alignment.complete_sentences(F.col("text")), "|").alias("sentences"))
+    """All texts; null where one has no sentence or an open end."""
+    x = R.table(spark, d, "conversations")
+    return x.select("conv_id", "turn", F.array_join(alignment.complete_sentences(F.coalesce("text", F.lit(""))), "|").alias("sentences"))
 
 
 def _units(spark, d):

@@ -125,9 +125,9 @@ def r13_asr_prompt(spark, d):
     return R.table(spark, d, "documents").select("doc_id", alignment.asr_prompt(F.col("source"), F.when(F.col("lang") == "en", "未分类").otherwise(F.col("lang")), words).alias("prompt"))
 
 
-@query("WITH p AS (SELECT conv_id, turn, text, strpos(text, ' la ') - 1 AS k FROM conversations WHERE contains(text, ' la ')) SELECT conv_id, turn, trim(regexp_extract(left(text, k::BIGINT), '([^，,。！？!?；;：:\\n\\r]*)$', 1) || regexp_extract(substr(text, k + 1), '^([^，,。！？!?；;：:\\n\\r]*)', 1)) AS snippet FROM p")
+@query("WITH p AS (SELECT conv_id, turn, text, greatest(strpos(text, ' la ') - 1, 0) AS k FROM conversations) SELECT conv_id, turn, trim(regexp_extract(left(text, k::BIGINT), '([^，,。！？!?；;：:\\n\\r]*)$', 1) || regexp_extract(substr(text, k + 1), '^([^，,。！？!?；;：:\\n\\r]*)', 1)) AS snippet FROM p")
 def g3_snippet(spark, d):
-    x = _turns(spark, d).where(F.contains("text", F.lit(" la "))).withColumn("k", F.instr("text", F.lit(" la ")) - 1)
+    x = _turns(spark, d).withColumn("k", F.greatest(F.instr("text", F.lit(" la ")) - 1, F.lit(0)))  # or around the beginning
     return x.select("conv_id", "turn", X.snippet(F.col("text"), F.col("k")).alias("snippet"))
 
 
