@@ -486,14 +486,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n: int = 5, num: int =
             links = links.unionByName(found)
         if not more.isEmpty() or not rest.isEmpty():
             roots = ws.write(connected_components(ws, links, "a", "b"), "roots")
-    rooted = ws.write(classes.select("cls", "name").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "name", F.coalesce("root", "cls").alias("root")), "rooted")
-    least = ws.write(rooted.groupBy("root").agg(F.min("name").alias("component")), "least")
+    rooted = classes.select("cls", "name").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "name", F.coalesce("root", "cls").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("name").alias("component"))
     named = ws.write(rooted.join(least, "root").groupBy("cls").agg(F.min("component").alias("component")), "named")
-    ws.drop(rooted, least)
     # an id with several texts holds their components together
-    several = member.where("n > 0").groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi AND doc_id IS NOT NULL").select("doc_id")
-    held = ws.write(member.where("n > 0").join(several, "doc_id").join(named, "cls").select("doc_id", "component").distinct(), "held")
-    if not held.isEmpty():
+    several = ws.write(member.where("n > 0").groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi AND doc_id IS NOT NULL").select("doc_id"), "several")
+    if not several.isEmpty():
+        held = ws.write(member.where("n > 0").join(several, "doc_id").join(named, "cls").select("doc_id", "component").distinct(), "held")
         joined = connected_components(ws, held, "doc_id", "component").withColumnRenamed("node", "component")
         named = ws.write(named.join(joined, "component", "left").select("cls", F.coalesce("root", "component").alias("component")), "named")
     ws.drop_all_but(index, named)
