@@ -148,8 +148,8 @@ def json_text(c: Column) -> Column:
 
 def snippet(text: Column, position: Column) -> Column:
     """The clause around a 0-based position, stripped."""
-    left = F.regexp_extract(F.left(text, position), f"([^{CLAUSE_MARKS}]*)\\z", 1)
-    right = F.regexp_extract(F.substring(text, position + 1, F.length(text)), f"^([^{CLAUSE_MARKS}]*)", 1)
+    even = lambda c: F.translate(c, CLAUSE_MARKS, "\n" * len(CLAUSE_MARKS))
+    left, right = F.substring_index(even(F.left(text, position)), "\n", -1), F.substring_index(even(F.substring(text, position + 1, F.length(text))), "\n", 1)
     return strip(F.concat(left, right))
 
 
