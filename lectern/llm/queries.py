@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import line_dedup, mixing, quality, revisits, toxicity, url_filter
+from lectern.llm import centroids, hard_negatives, language, line_dedup, mixing, quality, revisits, toxicity, url_filter
 from lectern.llm.media import media_columns
 from lectern.llm.ngram_join import near_duplicates
 from lectern.llm.packing import pack
@@ -67,10 +67,28 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(spark, read(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_source_mixing, op4_url_filters, op5_ngram_jaccard_join, op6_warc_revisits, op7_quality_classifier, op8_packing, op9_media_columns, op10_embedding_near_dedup)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh vector's label is moved on by one first."""
+    rows = read(spark, sf_dir, "embeddings")
+    return hard_negatives.hard_negatives(spark, rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language mixture of all documents."""
+    return language.identify(spark, read(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components with the cluster that ten rounds give them."""
+    return centroids.lloyd(spark, read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_source_mixing, op4_url_filters, op5_ngram_jaccard_join, op6_warc_revisits, op7_quality_classifier, op8_packing, op9_media_columns, op10_embedding_near_dedup, op11_hard_negatives, op12_language_id, op13_centroid_clustering)}
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"WITH {line_dedup.dedup_sql()} SELECT doc_id, text, _lines AS n_lines, _dropped AS n_dropped FROM deduped",
     "op3_source_mixing": f"WITH {mixing.mix_sql()} SELECT doc_id, source, lang, _topic AS topic, _tokens AS n_tokens, round(_p, 6) AS probability, _kept AS kept FROM mixed",
     "op4_url_filters": url_filter.filter_sql(),
     "op6_warc_revisits": revisits.resolve_sql(),
+    "op11_hard_negatives": hard_negatives.hard_negatives_sql(),
+    "op13_centroid_clustering": centroids.lloyd_sql(),
 }

@@ -51,10 +51,10 @@ class Workspace:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{tag}"
 
-    def write(self, df: DataFrame, tag: str) -> DataFrame:
-        """The same rows, read back from a table of their own."""
+    def write(self, df: DataFrame, tag: str, **options: str) -> DataFrame:
+        """The same rows, read back from a table of their own; options of the Parquet writer."""
         path = self.path(tag)
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lectern_path = path
         self.tables.append(out)
