@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.functions.phrases import located
 
-SEP = "\u0001"
+#: Bytes of aliases and terms that may go to every task, and the lengths of beginnings that a larger glossary is met by.
+ALIAS_BYTES, ANCHORS = 8 << 20, (1, 2, 3, 5, 8, 13)
 
 
 def hotwords(*lists: Column) -> Column:
@@ -31,40 +33,82 @@ def replacements(entries: list[tuple[str, list[str]]]) -> list[tuple[str, str]]:
     return list(dict.fromkeys(sorted(pairs, key=lambda p: -len(p[0]))))
 
 
-def _positions(text: Column, alias: Column) -> Column:
-    """0-based starts of an alias in a text, left to right and not overlapping."""
-    parts = F.split(text, F.concat(F.lit(r"\Q"), alias, F.lit(r"\E")), -1)
-    lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length)
-    step = lambda a, n: F.struct(F.concat(a["out"], F.array(a["at"] + n)).alias("out"), (a["at"] + n + F.length(alias)).alias("at"))
-    return F.aggregate(lengths, F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")), step, lambda a: a["out"])
+def pairs_of(entries: DataFrame) -> DataFrame:
+    """S2 over a relation of entries (ord, term, aliases): (alias, term, n, ord, at), each pair once; n, ord, at is the order of search: longer aliases first, else as given.  Aliases that are blank, no terms or the term itself are left out; a null list is an empty one."""
+    x = entries.select("ord", X.strip(F.col("term")).alias("term"), F.posexplode("aliases").alias("at", "alias")).withColumn("alias", X.strip(F.col("alias")))
+    x = x.where((F.col("alias") != F.col("term")) & F.col("alias").rlike(f"^{X.TERM}\\z"))
+    first = x.groupBy("alias", "term").agg(F.min(F.struct("ord", "at")).alias("first"))
+    return first.select("alias", "term", (-F.length("alias")).alias("n"), "first.ord", "first.at")
 
 
-def spans(text: Column, pairs: list[tuple[str, str]]) -> Column:
-    """For each (alias, term) in order the first occurrence outside the spans taken so far; an array of (alias, term, at)."""
-    given = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(t).alias("term")) for a, t in pairs))
-    start = F.array().cast("array<struct<alias:string,term:string,at:int,stop:int>>")
+def _free(found: Column) -> Column:
+    """Of occurrences (alias, term, at) in the order of search, for each pair the first one outside the spans taken so far.  As a text search goes, an occurrence that overlaps the one counted before it of the same alias is none."""
+    end = lambda o: o["at"] + F.length(o["alias"])
+    start = F.struct(F.array().cast("array<struct<alias:string,term:string,at:int,stop:int>>").alias("taken"), F.lit("").alias("alias"), F.lit("").alias("term"), F.lit(0).alias("next"), F.lit(False).alias("hit"))
+
+    def step(s: Column, o: Column) -> Column:
+        same = (o["alias"] == s["alias"]) & (o["term"] == s["term"])
+        counted = ~same | (o["at"] >= s["next"])
+        free = counted & ~(same & s["hit"]) & ~F.exists(s["taken"], lambda t: (o["at"] < t["stop"]) & (end(o) > t["at"]))
+        own = F.struct(o["alias"].alias("alias"), o["term"].alias("term"), o["at"].alias("at"), end(o).alias("stop"))
+        return F.struct(F.when(free, F.concat(s["taken"], F.array(own))).otherwise(s["taken"]).alias("taken"), o["alias"].alias("alias"), o["term"].alias("term"), F.when(counted, end(o)).otherwise(s["next"]).alias("next"), ((same & s["hit"]) | free).alias("hit"))
+
+    return F.aggregate(found, start, step, lambda s: s["taken"])
 
-    def step(taken: Column, p: Column) -> Column:
-        end = lambda i: i + F.length(p["alias"])
-        free = F.filter(_positions(text, p["alias"]), lambda i: ~F.exists(taken, lambda s: (i < s["stop"]) & (end(i) > s["at"])))
-        # bound once: names in a fold are evaluated wherever they stand
-        return F.concat(taken, F.transform(F.slice(free, 1, 1), lambda i: F.struct(p["alias"].alias("alias"), p["term"].alias("term"), i.alias("at"), end(i).alias("stop"))))
 
-    # most sentences hold no alias; only those that a text holds are located
-    return F.aggregate(F.filter(given, lambda p: F.contains(text, p["alias"])), start, step)
+def spans(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """For each (alias, term) in order the first occurrence outside the spans taken so far; an array of (alias, term, at, stop)."""
+    return _free(located(pairs)(text))
+
 
+def search(cleaned: DataFrame, pairs: list[tuple[str, str]] | DataFrame, video_id: str | None = None, most_bytes: int = ALIAS_BYTES) -> DataFrame:
+    """Hits over all partitions, or in one video.  cleaned: partition, video_id, title, sentence_id, start_ms, text.
 
-def search(cleaned: DataFrame, pairs: list[tuple[str, str]], video_id: str | None = None) -> DataFrame:
-    """Hits over all partitions, or in one video.  cleaned: partition, video_id, title, sentence_id, start_ms, text."""
+    pairs are (alias, term) in the order of search, or a relation of them as
+    `pairs_of` gives it.  Up to most_bytes of aliases and terms go to every task as
+    one automaton, which reads a text once however many aliases there are.  A larger
+    relation stays where it is: texts meet it by an equi-join of their substrings
+    with the beginnings of the aliases.  Empty and null texts hold no alias.
+    """
     x = cleaned.where(F.col("video_id") == video_id) if video_id else cleaned
-    text = F.coalesce("text", F.lit(""))
+    x = x.withColumn("text", F.coalesce("text", F.lit("")))
+    if isinstance(pairs, DataFrame):
+        size, longest = pairs.agg(F.sum(F.octet_length("alias") + F.octet_length("term")), F.max(F.length("alias"))).first()
+        if (size or 0) > most_bytes:
+            return _told(_met(x, pairs, longest))
+        pairs = [(r.alias, r.term) for r in pairs.orderBy("n", "ord", "at", "alias", "term").collect()]  # within most_bytes
     if not pairs:
-        return x.limit(0).select("partition", "video_id", "sentence_id", F.lit("").alias("hit_id"), F.lit("").alias("video_title"), "start_ms", F.lit("").alias("alias"), F.lit("").alias("term"), F.lit("").alias("snippet"))
-    h = x.withColumn("text", text).withColumn("h", F.explode(spans(F.col("text"), pairs)))
+        return _told(x.limit(0).withColumn("h", F.struct(F.lit("").alias("alias"), F.lit("").alias("term"), F.lit(0).alias("at"))))
+    return _told(x.withColumn("h", F.explode(spans(F.col("text"), pairs))))
+
+
+def _told(h: DataFrame) -> DataFrame:
+    """Sentences with one hit each (h: alias, term, at) as the columns of a search."""
     key = X.hit_id(X.json_text(F.col("partition")), X.json_text(F.col("video_id")), F.col("sentence_id").cast("string"), X.json_text(F.col("h.alias")), X.json_text(F.col("h.term")), X.json_text(F.col("text")))
     return h.select("partition", "video_id", "sentence_id", key.alias("hit_id"), X.first_filled(F.col("title"), F.col("video_id")).alias("video_title"), "start_ms", F.col("h.alias").alias("alias"), F.col("h.term").alias("term"), X.snippet(F.col("text"), F.col("h.at")).alias("snippet"))
 
 
+def _met(x: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+    """Sentences with their hits, by a join of substrings with the beginnings of aliases.
+
+    A beginning is as long as the longest of ANCHORS that the alias reaches, so that
+    few aliases share one; a text gives its substrings of the lengths that occur.
+    """
+    length = F.length("alias")
+    anchored = pairs.withColumn("anchor", F.left("alias", F.greatest(*(F.when(length >= n, n) for n in ANCHORS))))
+    kinds = sorted(r.n for r in anchored.select(F.length("anchor").alias("n")).distinct().collect())  # as many as ANCHORS
+    own = ["partition", "video_id", "sentence_id", "start_ms", "title", "text"]
+    at = x.select(F.xxhash64(*own).alias("k1"), F.hash(*own).alias("k2"), "partition", "video_id", "sentence_id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).where("text != ''")
+    rest = at.select("k1", "k2", "partition", "video_id", "sentence_id", (F.col("at") - 1).alias("at"), F.substring("text", F.col("at"), F.lit(longest)).alias("rest"))
+    grams = rest.withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).where(F.length("rest") >= F.col("kind")).withColumn("anchor", F.left("rest", F.col("kind"))).drop("kind")
+    found = grams.withColumnRenamed("at", "place").join(anchored, "anchor").where(F.startswith("rest", F.col("alias")))
+    order = F.struct("n", "ord", "at", "alias", "term", F.col("place").alias("place"))
+    by = ["k1", "k2", "partition", "video_id", "sentence_id"]
+    held = found.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("found"))
+    hits = held.select(*by, F.explode(_free(F.transform("found", lambda o: F.struct(o["alias"].alias("alias"), o["term"].alias("term"), o["place"].alias("at"))))).alias("h"))
+    return x.withColumns({"k1": F.xxhash64(*own), "k2": F.hash(*own)}).join(hits, by)
+
+
 def stale(selected: DataFrame, hits: DataFrame) -> DataFrame:
     """Selected hit ids that no longer exist; any is a conflict."""
     return selected.select("hit_id").join(hits.select("hit_id"), "hit_id", "left_anti")

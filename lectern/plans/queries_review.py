@@ -266,6 +266,34 @@ def g5_search(spark, d):
     return glossary.search(_titled(spark, d), PAIRS)
 
 
+_WORDS = R.CLEANED + """,
+words AS MATERIALIZED (SELECT DISTINCT unnest(regexp_extract_all(raw_text, '[A-Za-z]{3,12}')) AS alias FROM raw),
+met AS MATERIALIZED (
+  SELECT partition, video_id, sentence_id, start_ms, text, alias, length(alias) AS n, string_split(text, alias) AS parts,
+    row_number() OVER (PARTITION BY video_id, sentence_id ORDER BY length(alias) DESC, alias) AS j
+  FROM cleaned JOIN words ON contains(text, alias) AND upper(alias) <> alias),
+placed AS MATERIALIZED (SELECT * EXCLUDE (parts), list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + (i - 1) * n) AS places FROM met),
+walk AS (
+  SELECT video_id, sentence_id, 0::BIGINT AS j, []::STRUCT(p BIGINT, n BIGINT)[] AS taken, NULL::BIGINT AS k FROM cleaned
+  UNION ALL
+  SELECT video_id, sentence_id, j, CASE WHEN q IS NULL THEN taken ELSE list_append(taken, {'p': q, 'n': n::BIGINT}) END, q
+  FROM (SELECT w.video_id, w.sentence_id, m.j, m.n, w.taken, list_filter(m.places, lambda p: len(list_filter(w.taken, lambda t: p < t.p + t.n AND p + m.n > t.p)) = 0)[1] AS q
+    FROM walk w JOIN placed m ON m.video_id = w.video_id AND m.sentence_id = w.sentence_id AND m.j = w.j + 1)),
+found AS MATERIALIZED (SELECT m.*, upper(alias) AS term, k FROM walk JOIN placed m USING (video_id, sentence_id, j) WHERE k IS NOT NULL)"""
+
+
+def _vocabulary(spark, d):
+    """A glossary entry for each word of the recordings."""
+    words = R.raw(spark, d).select(F.explode(F.regexp_extract_all("raw_text", F.lit("([A-Za-z]{3,12})"), 1)).alias("alias")).distinct()
+    return glossary.pairs_of(words.select(F.lit(0).alias("ord"), F.upper("alias").alias("term"), F.array("alias").alias("aliases")))
+
+
+@query(f"WITH RECURSIVE {_WORDS} SELECT video_id, sentence_id, alias, term, trim(regexp_extract(left(text, k), '([^，,。！？!?；;：:\\n\\r]*)$', 1) || regexp_extract(substr(text, k + 1), '^([^，,。！？!?；;：:\\n\\r]*)', 1)) AS snippet FROM found")
+def j9_search_vocabulary(spark, d):
+    """Every word of the recordings is an alias: tens of thousands in one search."""
+    return glossary.search(_titled(spark, d), _vocabulary(spark, d)).select("video_id", "sentence_id", "alias", "term", "snippet")
+
+
 _CHOSEN = "chosen AS MATERIALIZED (SELECT hit_id FROM hits WHERE hit_id < '8')"
 
 

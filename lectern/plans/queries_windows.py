@@ -244,12 +244,15 @@ def t7_chapter_markdown(spark, d):
     return R.labelled(spark, d).select("video_id", "segment_no", m.alias("markdown"))
 
 
-_ENTRIES = [("la", ["le", "les"]), ("the", ["thand", "ther", "the"]), ("und", ["der", "ungen"]), ("que", ["queque", "le"])]
-
-
-@query("SELECT * FROM (VALUES (0, 'queque', 'que'), (1, 'thand', 'the'), (2, 'ungen', 'und'), (3, 'ther', 'the'), (4, 'les', 'la'), (5, 'der', 'und'), (6, 'le', 'la'), (7, 'le', 'que')) t(rank, alias, term)")
+@query("""WITH e AS (SELECT p_partkey AS ord, p_type AS term, unnest(string_split(p_name || ' ' || p_type, ' ')) AS alias, generate_subscripts(string_split(p_name || ' ' || p_type, ' '), 1) AS place FROM part),
+p AS (SELECT alias, term, min(row(ord, place)) AS first FROM e WHERE alias <> term AND regexp_full_match(alias, '[㐀-鿿A-Za-z0-9·_-]+') GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY -length(alias), first, alias, term) - 1 AS rank, alias, term FROM p""")
 def s2_alias_order(spark, d):
-    return spark.createDataFrame([(i, a, t) for i, (a, t) in enumerate(glossary.replacements(_ENTRIES))], "rank int, alias string, term string")
+    """An entry for each part: its type, and the words of its name."""
+    words = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
+    pairs = glossary.pairs_of(R.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_type").alias("term"), words.alias("aliases")))
+    order = W.partitionBy(F.lit(0)).orderBy("n", "ord", "at", "alias", "term")  # distinct pairs of types and words, which are few
+    return pairs.select((F.row_number().over(order) - 1).cast("long").alias("rank"), "alias", "term")
 
 
 @query("SELECT user_id::VARCHAR AS video_id, event_id AS pos, event_type AS term FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events) WHERE rn <= 20")
