@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.functions.diffs import redistributed
+from lectern.operators import intervals
 from lectern.operators.segments import KEY, KEYWORD, SUMMARY, TITLE, ordered_text
 
 
@@ -43,9 +44,10 @@ def replace_sentences(cleaned: DataFrame, edited: DataFrame) -> DataFrame:
 
 
 def _held(cleaned: DataFrame, segments: DataFrame) -> DataFrame:
-    c, g = cleaned.alias("c"), segments.alias("g")
-    on = (F.col("c.partition") == F.col("g.partition")) & (F.col("c.video_id") == F.col("g.video_id")) & F.col("c.sentence_id").between(F.col("g.start_sentence_id"), F.col("g.end_sentence_id"))
-    return g.join(c, on).select("g.partition", "g.video_id", "g.segment_no", "c.sentence_id", F.coalesce("c.text", F.lit("")).alias("text"), F.col("c.start_ms").alias("s_start"), F.col("c.end_ms").alias("s_end"))
+    """The sentences of each segment."""
+    c = cleaned.select(*KEY, "sentence_id", F.coalesce("text", F.lit("")).alias("text"), F.col("start_ms").alias("s_start"), F.col("end_ms").alias("s_end"))
+    g = segments.select(*KEY, "segment_no", "start_sentence_id", "end_sentence_id")
+    return intervals.pairs(c, g, KEY, "sentence_id", "start_sentence_id", "end_sentence_id").select(*KEY, "segment_no", "sentence_id", "text", "s_start", "s_end")
 
 
 def contents(cleaned: DataFrame, segments: DataFrame) -> DataFrame:
@@ -142,8 +144,8 @@ def confirm(changes: DataFrame, documents: DataFrame, videos: DataFrame, now: Co
 
 def glossary_reviewed(changes: DataFrame, chapters: DataFrame, now: Column) -> DataFrame:
     """Custom approved texts inside saved chapters (video_id, start_sentence_id, end_sentence_id) need no glossary review any more."""
-    c, g = changes.alias("c"), chapters.alias("g")
-    inside = c.join(g, (F.col("c.video_id") == F.col("g.video_id")) & F.col("c.sentence_id").between(F.col("g.start_sentence_id"), F.col("g.end_sentence_id"))).select("c.video_id", "c.sentence_id").distinct().withColumn("hit", F.lit(True))
+    c, g = changes.select("video_id", "sentence_id"), chapters.select("video_id", "start_sentence_id", "end_sentence_id")
+    inside = intervals.pairs(c, g, ["video_id"], "sentence_id", "start_sentence_id", "end_sentence_id").select("video_id", "sentence_id").distinct().withColumn("hit", F.lit(True))
     x = changes.join(inside, ["video_id", "sentence_id"], "left")
     approved = X.paragraph(F.col("approved_text"))
     custom = F.col("hit") & (F.col("decision") == "approved") & (approved != "") & (approved != X.paragraph(X.first_filled(F.col("proposed_text"), F.col("raw_text")))) & F.coalesce("glossary_review_pending", F.lit(True))

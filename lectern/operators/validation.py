@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.operators import intervals
 from lectern.operators.cleanup import full_text
 from lectern.operators.segments import KEY, ordered_text
 
@@ -53,11 +54,9 @@ def cleaned_faults(raw: DataFrame, cleaned: DataFrame, texts: DataFrame) -> Data
 
 
 def coverage(cleaned: DataFrame, segments: DataFrame) -> DataFrame:
-    """J2, A-COV: for each non-blank sentence the number of segments over it; an equi-join on the video with the range as its residual condition."""
-    s = cleaned.where(~X.is_blank(F.col("text"))).select(*KEY, "sentence_id").alias("s")
-    g = segments.select(*KEY, "segment_no", "start_sentence_id", "end_sentence_id").alias("g")
-    on = (F.col("s.partition") == F.col("g.partition")) & (F.col("s.video_id") == F.col("g.video_id")) & F.col("s.sentence_id").between(F.col("g.start_sentence_id"), F.col("g.end_sentence_id"))
-    return s.join(g, on, "left").groupBy("s.partition", "s.video_id", "s.sentence_id").agg(F.count("g.segment_no").alias("covering"))
+    """J2, A-COV: for each non-blank sentence the number of segments over it."""
+    s = cleaned.where(~X.is_blank(F.col("text"))).select(*KEY, "sentence_id")
+    return intervals.counts(s, segments.where("segment_no IS NOT NULL"), KEY, "sentence_id", "start_sentence_id", "end_sentence_id")
 
 
 def segment_faults(cleaned: DataFrame, segments: DataFrame, check_content: bool = True, headers: DataFrame | None = None) -> DataFrame:
@@ -82,9 +81,9 @@ def segment_faults(cleaned: DataFrame, segments: DataFrame, check_content: bool
         out = out.unionByName(_other_source(headers, "id_in_file", "segments.video"))
     if not check_content:
         return out
-    c, g = cleaned.alias("c"), segments.alias("g")
-    on = (F.col("c.partition") == F.col("g.partition")) & (F.col("c.video_id") == F.col("g.video_id")) & F.col("c.sentence_id").between(F.col("g.start_sentence_id"), F.col("g.end_sentence_id"))
-    held = g.join(c, on).select("g.partition", "g.video_id", "g.segment_no", "g.content", F.coalesce("g.manual", F.lit(False)).alias("manual"), "c.sentence_id", F.coalesce("c.text", F.lit("")).alias("whole"), F.when(~X.is_blank(F.col("c.text")), F.col("c.text")).alias("lines"))
+    g = segments.select(*KEY, "segment_no", "start_sentence_id", "end_sentence_id", "content", F.coalesce("manual", F.lit(False)).alias("manual"))
+    held = intervals.pairs(cleaned.select(*KEY, "sentence_id", "text"), g, KEY, "sentence_id", "start_sentence_id", "end_sentence_id")
+    held = held.select(*KEY, "segment_no", "content", "manual", "sentence_id", F.coalesce("text", F.lit("")).alias("whole"), F.when(~X.is_blank(F.col("text")), F.col("text")).alias("lines"))
     built = held.groupBy(*KEY, "segment_no", "content", "manual").agg(X.paragraph(ordered_text("sentence_id", "lines", "\n")).alias("by_line"), X.paragraph(ordered_text("sentence_id", "whole", "")).alias("by_row"))
     fine = (X.paragraph(F.col("content")) == F.col("by_line")) | (F.col("manual") & (X.paragraph(F.col("content")) == F.col("by_row")))
     return out.unionByName(_faults(built, F.col("segment_no"), [("segments.content", ~fine)]))

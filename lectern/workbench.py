@@ -9,7 +9,7 @@ sentence_id, start_ms, end_ms, text), documents (partition, video_id, title,
 review_status, revision, updated_at, confirmed_at), segments, changes, glossary
 (scope, video_id, term, aliases), uploads (id, filename, uploaded_at), business,
 history (keys, counts, decisions, final, updated_at), explanations.  An edit reads and
-writes only the buckets that hold its videos.
+writes the rows of its videos only.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.diffs import term_candidates
 from lectern.operators import catalog, cleanup, edits, glossary, responder, segments, validation
+from lectern.operators.jobs import LIVE
 from lectern.sources import documents
 from lectern.sources.store import ConflictError, Store, locked
 
@@ -63,16 +64,20 @@ class Workbench:
         r = self.records()
         return catalog.counts(r), catalog.ordered(r)
 
-    def markdown(self, video_id: str) -> str:
-        at = self.store.pointer()
-        one = lambda n: self.store.table(n, at).where(F.col("video_id") == video_id)
-        row = segments.document_markdown(one("segments"), one("documents").select(*KEY, "title")).first()
+    def markdown(self, video_id: str, segment_no: int | None = None) -> str:
+        """The Markdown of a video, or of one of its chapters."""
+        _, part = self._near(self.store.pointer(), video_id)
+        seg = self.store.table("segments", part)
+        if segment_no is None:
+            row = segments.document_markdown(seg, self.store.table("documents", part).select(*KEY, "title")).first()
+        else:
+            row = seg.where(F.col("segment_no") == segment_no).select(segments.chapter_markdown(*(F.col(c) for c in ("title", "summary", "keywords", "start_ms", "end_ms", "content"))).alias("markdown")).first()
         if row is None:
-            raise KeyError(video_id)
+            raise KeyError(video_id if segment_no is None else f"{video_id} has no chapter {segment_no}")
         return row.markdown
 
     def suggestions(self, video_id: str) -> DataFrame:
-        return catalog.suggestions(self.store.table("changes").where(F.col("video_id") == video_id))
+        return catalog.suggestions(self.store.table("changes", self._near(self.store.pointer(), video_id)[1]))
 
     def validate(self) -> DataFrame:
         """V1-V3 over the newest version."""
@@ -83,15 +88,29 @@ class Workbench:
 
     def search_glossary(self, entries: list[tuple[str, list[str]]], video_id: str | None = None, at: dict | None = None) -> DataFrame:
         at = at or self.store.pointer()
+        at = self._near(at, video_id)[1] if video_id else at
         titled = self.store.table("cleaned", at).join(self.store.table("documents", at).select(*KEY, "title"), KEY, "left")
         return glossary.search(titled, glossary.replacements(entries), video_id)
 
     # --- edits
 
-    def _near(self, at: dict, *videos: str) -> tuple[set[int], dict]:
-        """The buckets of some videos, and the pointer narrowed to them: all that an edit of these videos reads."""
-        buckets = self.store.buckets_of(self.spark.createDataFrame([(v,) for v in videos], "video_id string"))
-        return buckets, self.store.narrowed(at, buckets)
+    def _near(self, at: dict, video_id: str) -> tuple[DataFrame, dict]:
+        """A video as a relation, and the pointer narrowed to it: all that is read of this video."""
+        one = self.store.one(video_id)
+        return one, self.store.narrowed(at, one)
+
+    def _editable(self, at: dict, video_id: str) -> tuple[DataFrame, dict]:
+        """The same for an edit, which a live job forbids."""
+        one, part = self._near(at, video_id)
+        self._free(at, one)
+        return one, part
+
+    def _free(self, at: dict, videos: DataFrame) -> None:
+        """No edit while a job works on the video."""
+        if "jobs" in at["relations"]:
+            live = self.store.table("jobs", at).where(F.col("job_status").isin(*LIVE) & F.col("status").isin(*LIVE))
+            if taken := live.join(videos, "video_id", "left_semi").first():
+                raise ConflictError(f"a job works on {taken.video_id}")
 
     def _history(self, part: dict, changes: DataFrame, cleaned: DataFrame, videos: DataFrame) -> DataFrame:
         """The snapshots of the audits, those of the videos made anew."""
@@ -100,18 +119,14 @@ class Workbench:
             return new
         return self.store.table("history", part).join(new.select(*KEY), KEY, "left_anti").select(new.columns).unionByName(new)
 
-    def _publish(self, at: dict, buckets: set[int], after: DataFrame, videos: DataFrame, **more: DataFrame) -> int:
-        """Commit changed sentences with all that follows from them; only buckets of the videos are read and written."""
-        part = self.store.narrowed(at, buckets)
-        ids = videos.select("video_id").distinct()
+    def _publish(self, at: dict, part: dict, after: DataFrame, videos: DataFrame, **more: DataFrame) -> int:
+        """Commit changed sentences of some videos (all rows of these) with all that follows from them; part is the pointer narrowed to them."""
         before, seg, changes = (self.store.table(n, part) for n in ("cleaned", "segments", "changes"))
-        own = lambda t: t.join(ids, "video_id", "left_semi")
-        rebuilt = edits.rebuild(own(before), own(after), own(seg))
-        validation.raise_on(validation.segment_faults(own(after), rebuilt))
-        kept = seg.join(ids, "video_id", "left_anti").select(seg.columns).unionByName(rebuilt)
+        rebuilt = edits.rebuild(before, after, seg)
+        validation.raise_on(validation.segment_faults(after, rebuilt))
         docs = edits.touched(self.store.table("documents", part), videos, F.lit(self.clock()))
-        history = self._history(part, more.get("changes", changes), after, ids)
-        return self.store.commit({"cleaned": after, "segments": kept, "documents": docs, "history": history, **more}, at["revision"], buckets)
+        history = self._history(part, more.get("changes", changes), after, videos)
+        return self.store.commit({"cleaned": after, "segments": rebuilt, "documents": docs, "history": history, **more}, at["revision"], videos)
 
     def apply_glossary(self, entries: list[tuple[str, list[str]]], hit_ids: list[str], video_id: str | None = None) -> dict:
         """Replace the selected hits; hits that are no longer there are a conflict and nothing changes."""
@@ -122,13 +137,14 @@ class Workbench:
             raise ConflictError("the hits have changed; search again")
         hits = hits.join(chosen, "hit_id", "left_semi").select(hits.columns).persist()  # few, and asked for several times
         try:
-            buckets = self.store.buckets_of(hits)
-            before = self.store.table("cleaned", self.store.narrowed(at, buckets))
+            before = self.store.table("cleaned", self.store.narrowed(at, hits))
             edited = glossary.apply_hits(before, hits, chosen)
             counts = glossary.applied_counts(edited, chosen).first().asDict()
             if counts["changed_sentences"]:
                 videos = edited.where(~F.col("new_text").eqNullSafe(F.col("text"))).select("video_id").distinct()
-                self._publish(at, buckets, edited.withColumn("text", F.col("new_text")).select(before.columns), videos)
+                self._free(at, videos)
+                after = edited.withColumn("text", F.col("new_text")).select(before.columns).join(videos, "video_id", "left_semi").select(before.columns)
+                self._publish(at, self.store.narrowed(at, videos), after, videos)
         finally:
             hits.unpersist()
         return counts
@@ -137,18 +153,18 @@ class Workbench:
     def save_sentences(self, video_id: str, texts: dict[int, str]) -> int:
         """Texts of some of a video's sentences; unknown ids are refused."""
         at = self.store.pointer()
-        buckets, part = self._near(at, video_id)
+        one, part = self._editable(at, video_id)
         before = self.store.table("cleaned", part)
-        new = before.where(F.col("video_id") == video_id).select(*KEY, "sentence_id").join(self.spark.createDataFrame(list(texts.items()), "sentence_id long, text string"), "sentence_id")
+        new = before.select(*KEY, "sentence_id").join(self.spark.createDataFrame(list(texts.items()), "sentence_id long, text string"), "sentence_id")
         if new.count() != len(texts):
             raise KeyError(f"{video_id}: not all of these sentences exist")
-        return self._publish(at, buckets, edits.replace_sentences(before, new), new)
+        return self._publish(at, part, edits.replace_sentences(before, new), one)
 
     @locked
     def save_chapter(self, video_id: str, segment_no: int, fields: dict, expected_revision: int | None = None, expected_updated_at: str | None = None, terms: list[tuple[str, str | None, str, list[str]]] = ()) -> int:
         """Title, summary, keywords and content of a chapter, with the revision that its page showed; SNK12, E9: glossary terms saved with it, and its custom texts reviewed."""
         at = self.store.pointer()
-        buckets, part = self._near(at, video_id)
+        one, part = self._editable(at, video_id)
         raw, docs, seg, before, changes = (self.store.table(n, part) for n in ("raw", "documents", "segments", "cleaned", "changes"))
         ask = self.spark.createDataFrame([(video_id, expected_revision, expected_updated_at)], "video_id string, expected_revision long, expected_updated_at string")
         if not edits.conflicts(docs, ask).isEmpty():
@@ -166,7 +182,7 @@ class Workbench:
         reviewed = edits.glossary_reviewed(changes, seg.where((F.col("video_id") == video_id) & (F.col("segment_no") == segment_no)), F.lit(self.clock()))
         new = {"cleaned": cleaned, "segments": changed, "documents": edits.touched(docs, edit, F.lit(self.clock())), "changes": reviewed, "history": self._history(part, reviewed, cleaned, ask)}
         merged, n = self._merged_terms(at, terms)
-        return self.store.commit(new | ({"glossary": merged} if n else {}), at["revision"], buckets)
+        return self.store.commit(new | ({"glossary": merged} if n else {}), at["revision"], one)
 
     @locked
     def save_markdown(self, video_id: str, segment_no: int, markdown: str, **expected) -> int:
@@ -182,7 +198,7 @@ class Workbench:
         if decision not in ("approved", "rejected"):
             raise ValueError("a decision is approved or rejected")
         at = self.store.pointer()
-        buckets, part = self._near(at, video_id)
+        one, part = self._editable(at, video_id)
         changes, before = self.store.table("changes", part), self.store.table("cleaned", part)
         say = self.spark.createDataFrame([(video_id, sentence_id, decision, approved_text)], "video_id string, sentence_id long, decision string, approved_text string")
         after = edits.decide_suggestions(changes, say, F.lit(self.clock()))
@@ -192,22 +208,20 @@ class Workbench:
         if decision == "approved" and not row.effective_text:
             raise ValueError("an approved text cannot be empty")
         new = before.where((F.col("video_id") == video_id) & (F.col("sentence_id") == sentence_id)).withColumn("text", F.lit(row.effective_text))
-        return self._publish(at, buckets, edits.replace_sentences(before, new), say, changes=after)
+        return self._publish(at, part, edits.replace_sentences(before, new), one, changes=after)
 
     @locked
     def confirm(self, video_id: str) -> int:
         """Only a video whose sentences and chapters are valid can be confirmed."""
         at = self.store.pointer()
-        buckets, part = self._near(at, video_id)
-        own = F.col("video_id") == video_id
-        raw, cleaned, seg = (self.store.table(n, part).where(own) for n in ("raw", "cleaned", "segments"))
+        one, part = self._editable(at, video_id)
+        raw, cleaned, seg = (self.store.table(n, part) for n in ("raw", "cleaned", "segments"))
         if seg.isEmpty():
             raise KeyError(video_id)
         validation.raise_on(validation.cleaned_faults(raw, cleaned, cleanup.full_text(cleaned)))
         validation.raise_on(validation.segment_faults(cleaned, seg))
-        one = self.spark.createDataFrame([(video_id,)], "video_id string")
         c, d = edits.confirm(self.store.table("changes", part), self.store.table("documents", part), one, F.lit(self.clock()))
-        return self.store.commit({"changes": c, "documents": d, "history": self._history(part, c, cleaned, one)}, at["revision"], buckets)
+        return self.store.commit({"changes": c, "documents": d, "history": self._history(part, c, cleaned, one)}, at["revision"], one)
 
     def publish_cleanup(self, raw_seen: DataFrame, decided: DataFrame, overwrite: bool = False) -> int:
         """SNK9: the result of a cleanup run over raw_seen, with open suggestions applied for the time being.
@@ -219,40 +233,36 @@ class Workbench:
         """
         at = self.store.pointer()
         ids = decided.select("video_id").distinct()
-        buckets = self.store.buckets_of(ids)
-        part = self.store.narrowed(at, buckets)
+        part = self.store.narrowed(at, ids)
         table = lambda n, like: self.store.table(n, part) if n in part["relations"] else like.limit(0)
-        own = lambda t: t.join(ids, "video_id", "left_semi").select(t.columns)
+        seen = raw_seen.join(ids, "video_id", "left_semi").select(raw_seen.columns)
         cleaned = cleanup.provisional(decided)
-        validation.raise_on(validation.cleaned_faults(own(raw_seen), cleaned, cleanup.full_text(cleaned)))
-        now = own(self.store.table("raw", part)).select(raw_seen.columns)
-        if not now.exceptAll(own(raw_seen)).isEmpty() or not own(raw_seen).exceptAll(now).isEmpty():
+        validation.raise_on(validation.cleaned_faults(seen, cleaned, cleanup.full_text(cleaned)))
+        now = self.store.table("raw", part).select(raw_seen.columns)
+        if not now.exceptAll(seen).isEmpty() or not seen.exceptAll(now).isEmpty():
             raise ConflictError("the raw sentences changed during the cleanup")
         audit = cleanup.opened(cleanup.changes(decided))
         old, audits = table("cleaned", cleaned), table("changes", audit)
-        if not own(audits).isEmpty():
+        if not audits.isEmpty():
             raise ConflictError("an audit of this cleanup is there already")
-        if not own(old).isEmpty():
+        if not old.isEmpty():
             if not overwrite:
                 raise ConflictError("cleaned sentences were published meanwhile")
-            if "segments" in part["relations"] and not own(self.store.table("segments", part)).isEmpty():
+            if "segments" in part["relations"] and not self.store.table("segments", part).isEmpty():
                 raise ConflictError("chapters are built on the cleaned sentences")
-        rest = lambda t, like: t.join(ids, "video_id", "left_anti").select(like.columns)
-        new_changes = audits.unionByName(audit, allowMissingColumns=True).select(audits.columns)
-        new = {"cleaned": rest(old, cleaned).unionByName(cleaned), "changes": new_changes, "history": self._history(part, new_changes, cleaned, ids)}
-        return self.store.commit(new, at["revision"], buckets)
+        opened = audits.unionByName(audit, allowMissingColumns=True).select(audits.columns)
+        return self.store.commit({"cleaned": cleaned, "changes": opened, "history": self._history(part, opened, cleaned, ids)}, at["revision"], ids)
 
     def publish_explanations(self, plans: DataFrame) -> int:
         """SNK14: explanations of chapters (video_id, one row each with its request), written once; a video that has one keeps it."""
         at = self.store.pointer()
-        buckets = self.store.buckets_of(plans)
-        part = self.store.narrowed(at, buckets)
+        part = self.store.narrowed(at, plans)
         old = self.store.table("explanations", part) if "explanations" in part["relations"] else plans.limit(0)
         new = plans.join(old.select("video_id").distinct(), "video_id", "left_anti").select(plans.columns)
         if new.isEmpty():
             return at["revision"]
         stamped = new if "generated_at" in plans.columns else new.withColumn("generated_at", F.lit(self.clock()))
-        return self.store.commit({"explanations": old.unionByName(stamped, allowMissingColumns=True)}, at["revision"], buckets)
+        return self.store.commit({"explanations": stamped}, at["revision"], new.select("video_id").distinct())
 
     def add_uploads(self, found: DataFrame) -> int:
         """SNK8: uploaded files (id, filename, path, size, uploaded_at), by content; the newest manifest of a content stands.  Refused: one stored name for two contents."""
@@ -262,7 +272,7 @@ class Workbench:
         newest = every.groupBy("id").agg(F.max_by(F.struct(*every.columns), F.struct("uploaded_at", "filename")).alias("x")).select("x.*")
         if clash := documents.stored_name_clashes(newest).first():
             raise ConflictError(f"{clash.stored_name} would hold {clash.contents} contents")
-        return self.store.commit({"uploads": newest}, at["revision"])
+        return self.store.commit({"uploads": newest}, at["revision"], found.select(F.col("id").alias("video_id")))
 
     # --- terms
 
@@ -331,4 +341,6 @@ class Workbench:
     @locked
     def delete(self, video_id: str) -> int:
         """SNK7: rows removed."""
-        return self.store.delete_video(video_id, self.store.pointer()["revision"])[1]
+        at = self.store.pointer()
+        self._free(at, self.store.one(video_id))
+        return self.store.delete_video(video_id, at["revision"])[1]

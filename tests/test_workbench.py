@@ -1,13 +1,12 @@
 """End to end over a store: search, apply, decide, save, confirm, delete, with stale pages and invalid edits."""
 
 import json
-import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.job_queue import JobQueue
-from lectern.operators import cleanup, responder
+from lectern.job_log import JobLog
+from lectern.operators import cleanup, jobs, responder
 from lectern.sources.store import ConflictError, Store
 from lectern.workbench import Workbench
 
@@ -199,13 +198,13 @@ def test_uploads_by_content(bench, spark):
         bench.add_uploads(make(("e" * 16 + "f" * 48, "other.MOV", "2028")))
 
 
-def test_edits_touch_their_buckets_only(bench, spark):
+def test_edits_touch_their_leaf_only(bench, spark):
     s = bench.store
     many = spark.createDataFrame([("2026-09", f"{i:064d}", 1, 0, 5, "x") for i in range(40)], "partition string, video_id string, sentence_id long, start_ms long, end_ms long, text string")
     s.commit({"cleaned": s.table("cleaned").unionByName(many)}, 1)
-    before = s.pointer()["relations"]["cleaned"]["parts"]
+    before = s.pointer()["relations"]["cleaned"]["leaves"]
     bench.save_sentences(V[1], {1: "改。"})
-    after = s.pointer()["relations"]["cleaned"]["parts"]
+    after = s.pointer()["relations"]["cleaned"]["leaves"]
     assert sum(before[b] != after[b] for b in before) == 1 and before.keys() == after.keys()
     assert s.table("cleaned").count() == 44 and s.required("cleaned", V[1]).count() == 4
     with pytest.raises(FileNotFoundError):
@@ -214,41 +213,47 @@ def test_edits_touch_their_buckets_only(bench, spark):
     assert s.table("cleaned").count() == 44
     with pytest.raises(ValueError, match="not relations"):
         s.commit({"../x": many}, 3)
-    assert s._put(f"{s.root}/_commits/{4:012d}.json", json.dumps({"revision": 4, "relations": {"cleaned": {"parts": {"0": "../../etc"}, "schema": {}}}}))
+    bad = {"cleaned": {"leaves": {"0-0": [{"rows": "../../etc", "gone": None, "bytes": 1}]}, "schema": {}}}
+    assert s._put(f"{s.root}/_commits/{4:012d}.json", json.dumps({"revision": 4, "relations": bad}))
     with pytest.raises(RuntimeError):
         s.pointer()
 
 
-def test_job_queue(bench):
-    order, gate = [], threading.Event()
-
-    def step(video, log, cancelled):
-        order.append(video)
-        log(f"begun {video}")
-        if video == "hold":
-            while not cancelled():
-                gate.wait(0.01)
-        if video == "bad":
-            raise ValueError("no")
-
-    q = JobQueue(bench.store, {"cleanup": step}, iter(f"{i:03d}" for i in range(1000)).__next__)
-    a, b = q.create("cleanup", ["1", "2", "1"]), q.create("cleanup", ["bad", "3"])
-    assert q.wait(a["id"], 30)["status"] == "completed" and q.wait(b["id"], 30)["status"] == "failed"
-    assert order == ["1", "2", "bad"] and [i["status"] for i in q.snapshot(b["id"])["items"]] == ["failed", "cancelled"]
-    assert "ValueError: no" in q.snapshot(b["id"])["items"][0]["log"]
-    c, d = q.create("cleanup", ["hold", "4"]), q.create("cleanup", ["5"])
-    while "hold" not in order:
-        gate.wait(0.01)
-    assert q.busy("hold") and q.busy("5") and q.cancel(d["id"])["status"] == "cancelled" and not q.busy("5")
-    q.cancel(c["id"])
-    assert q.wait(c["id"], 30)["status"] == "cancelled" and [i["status"] for i in q.snapshot(c["id"])["items"]] == ["cancelled", "cancelled"]
-    for act, error in ((lambda: q.cancel(c["id"]), ValueError), (lambda: q.create("x", ["1"]), ValueError), (lambda: q.create("cleanup", []), ValueError), (lambda: q.snapshot("none"), KeyError)):
-        with pytest.raises(error):
+def test_jobs(bench, spark):
+    log, state = JobLog(bench.store, lambda: "now"), lambda j: sorted((r.pos, r.status, r.job_status) for r in log.items().where(F.col("job_id") == j).collect())
+    one = spark.createDataFrame([(V[1],)], "video_id string")
+    for stage, videos in (("x", [V[1]]), ("cleanup", []), ("cleanup", [V[1], "none"])):
+        with pytest.raises(ValueError):
+            log.create(stage, videos)
+    a = log.create("asr", [V[1], "2", V[1], "3"])
+    assert state(a) == [(0, "queued", "queued"), (1, "queued", "queued"), (2, "queued", "queued")]
+    for act in (lambda: bench.save_sentences(V[1], {1: "改。"}), lambda: bench.confirm(V[1]), lambda: bench.decide(V[1], 2, "approved"), lambda: bench.delete(V[1]), lambda: bench.save_chapter(V[1], 2, {"title": "t", "summary": "s", "keywords": [], "content": "c"})):
+        with pytest.raises(ConflictError, match="a job works"):
             act()
-    assert [j["id"] for j in q.listed(2)] == [d["id"], c["id"]]
-    q.close()
-    with q.changed:
-        q._save(q.jobs[a["id"]] | {"status": "running"})
-    again = JobQueue(bench.store, {})
-    assert again.snapshot(a["id"])["status"] == "interrupted" and again.snapshot(b["id"])["status"] == "failed"
-    again.close()
+    hits = [r.hit_id for r in bench.search_glossary([("新词", ["旧词"])]).collect()]
+    with pytest.raises(ConflictError, match="a job works"):
+        bench.apply_glossary([("新词", ["旧词"])], hits)
+    log.record(a, 0, "running", "begun ")
+    log.record(a, 0, "completed", "ended")
+    assert log.busy(one).isEmpty() and [r.log for r in log.items().where("pos = 0").collect()] == ["begun ended"]
+    bench.save_sentences(V[1], {1: "改。"})
+    log.record(a, 1, "failed")
+    assert state(a) == [(0, "completed", "failed"), (1, "failed", "failed"), (2, "cancelled", "failed")]
+    with pytest.raises(ValueError):
+        log.cancel(a)
+    with pytest.raises(KeyError):
+        log.cancel("none")
+    b = log.create("segments", [V[1]])
+    log.record(b, 0, "running")
+    log.cancel(b)
+    assert state(b) == [(0, "cancelling", "cancelling")] and not log.busy(one).isEmpty()
+    log.interrupted()
+    assert state(b) == [(0, "interrupted", "interrupted")] and log.busy(one).isEmpty()
+    assert [r.job_id for r in jobs.latest(log.items().select("job_id", "seq").distinct(), 1).collect()] == [b]
+
+
+def test_markdown_of_a_chapter(bench):
+    assert bench.markdown(V[1], 2).startswith("## 二") and "Hello world." in bench.markdown(V[1], 2)
+    for args in ((V[1], 9), ("none", 1), ("none",)):
+        with pytest.raises(KeyError):
+            bench.markdown(*args)
