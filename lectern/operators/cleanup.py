@@ -10,11 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.functions.diffs import text_similarity
+from lectern.functions.diffs import nearest_offset
 from lectern.operators.segments import KEY, ordered_text
 
-#: Least similarity to a neighbour, least lead over one's own sentence, neighbours each way, least run.
-ALIKE, LEAD, NEAR, RUN = 0.45, 0.20, 2, 3
+#: Neighbours each way, least run.
+NEAR, RUN = 2, 3
 
 
 def routed(raw: Column, proposed: Column, needs_review: Column) -> tuple[Column, Column]:
@@ -90,16 +90,12 @@ def drift_offsets(proposed: DataFrame) -> DataFrame:
     lowest offset win ties.
     """
     w = W.partitionBy(*KEY).orderBy("id")
-    x = proposed.withColumn("idx", F.row_number().over(w))
-    for o in range(-NEAR, NEAR + 1):
-        x = x.withColumn(f"r{o + NEAR}", F.lag("raw_text", -o).over(w))
-    blank = X.is_blank(F.col("text"))
-    score = lambda o: F.when(~blank & F.col(f"r{o + NEAR}").isNotNull(), text_similarity(F.when(blank, "").otherwise(F.col("text")), F.coalesce(f"r{o + NEAR}", F.lit(""))))
-    scored = x.select(*KEY, "batch", "idx", "id", *(score(o).alias(f"s{o + NEAR}") for o in range(-NEAR, NEAR + 1)))
-    own = F.coalesce(f"s{NEAR}", F.lit(0.0))
-    best = F.array_max(F.array(*(F.struct(F.coalesce(f"s{o + NEAR}", F.lit(-1.0)).alias("s"), F.lit(-o).alias("o")) for o in range(-NEAR, NEAR + 1) if o)))
-    offset = F.when((best["s"] > own) & (best["s"] >= ALIKE) & (best["s"] >= own + LEAD), -best["o"]).otherwise(0)
-    return scored.select(*KEY, "batch", "idx", "id", offset.cast("long").alias("offset"))
+    near = F.array(*(F.struct(F.lit(o).cast("long").alias("offset"), F.lag("raw_text", -o).over(w).alias("text")) for o in range(-NEAR, NEAR + 1) if o))
+    x = proposed.withColumns({"idx": F.row_number().over(w), "near": F.filter(near, lambda n: n["text"].isNotNull())})
+    # blank proposals, and those that are their sentence, have no nearer neighbour and are not sent to Python's workers as texts
+    asked = ~X.is_blank(F.col("text")) & ~F.col("text").eqNullSafe(F.col("raw_text"))
+    offset = nearest_offset(F.when(asked, F.col("text")), F.when(asked, F.col("raw_text")), F.when(asked, F.col("near")).otherwise(F.slice("near", 1, 0)))
+    return x.select(*KEY, "batch", "idx", "id", offset.alias("offset"))
 
 
 def drift_runs(signals: DataFrame, least: int = RUN) -> DataFrame:

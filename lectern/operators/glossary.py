@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.functions.phrases import located
 
+#: Aliases that are looked for one by one.
+FEW = 16
 #: Bytes of aliases and terms that may go to every task, and the lengths of beginnings that a larger glossary is met by.
 ALIAS_BYTES, ANCHORS = 8 << 20, (1, 2, 3, 5, 8, 13)
 
@@ -41,6 +43,20 @@ def pairs_of(entries: DataFrame) -> DataFrame:
     return first.select("alias", "term", (-F.length("alias")).alias("n"), "first.ord", "first.at")
 
 
+def _few_located(text: Column, pairs: list[tuple[str, str]]) -> Column:
+    """The occurrences (alias, term, at) of a few pairs, without leaving the JVM: each alias that a text holds is located by what lies between its occurrences."""
+    given = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(t).alias("term")) for a, t in pairs))
+
+    def places(p: Column) -> Column:
+        parts = F.split(text, F.concat(F.lit(r"\Q"), p["alias"], F.lit(r"\E")), -1)
+        step = lambda a, n: F.struct(F.concat(a["out"], F.array(a["at"] + n)).alias("out"), (a["at"] + n + F.length(p["alias"])).alias("at"))
+        starts = F.aggregate(F.transform(F.slice(parts, 1, F.size(parts) - 1), F.length), F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")), step, lambda a: a["out"])
+        return F.transform(starts, lambda i: F.struct(p["alias"].alias("alias"), p["term"].alias("term"), i.alias("at")))
+
+    # most sentences hold no alias; only those that a text holds are located
+    return F.flatten(F.transform(F.filter(given, lambda p: F.contains(text, p["alias"])), places))
+
+
 def _free(found: Column) -> Column:
     """Of occurrences (alias, term, at) in the order of search, for each pair the first one outside the spans taken so far.  As a text search goes, an occurrence that overlaps the one counted before it of the same alias is none."""
     end = lambda o: o["at"] + F.length(o["alias"])
@@ -58,14 +74,14 @@ def _free(found: Column) -> Column:
 
 def spans(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """For each (alias, term) in order the first occurrence outside the spans taken so far; an array of (alias, term, at, stop)."""
-    return _free(located(pairs)(text))
+    return _free(_few_located(text, pairs) if len(pairs) <= FEW else located(pairs)(text))
 
 
 def search(cleaned: DataFrame, pairs: list[tuple[str, str]] | DataFrame, video_id: str | None = None, most_bytes: int = ALIAS_BYTES) -> DataFrame:
     """Hits over all partitions, or in one video.  cleaned: partition, video_id, title, sentence_id, start_ms, text.
 
     pairs are (alias, term) in the order of search, or a relation of them as
-    `pairs_of` gives it.  Up to most_bytes of aliases and terms go to every task as
+    `pairs_of` gives it.  A few are looked for one by one; up to most_bytes of aliases and terms go to every task as
     one automaton, which reads a text once however many aliases there are.  A larger
     relation stays where it is: texts meet it by an equi-join of their substrings
     with the beginnings of the aliases.  Empty and null texts hold no alias.

@@ -225,7 +225,7 @@ def test_flagship_has_no_faults(spark):
 
 def test_plans_stay_in_the_jvm(spark):
     """Nothing but the sequence-matching queries runs Python; ranges never become cartesian products."""
-    python = {"a6_similarity", "a7_drift", "a8_edit_script", "a9_redistribute", "g1_term_candidates", "a3_split_long", "r1_response_partial", "v7_first_error", "r8_cleanup"}
+    python = {"j9_search_vocabulary", "a6_similarity", "a7_drift", "a8_edit_script", "a9_redistribute", "g1_term_candidates", "a3_split_long", "r1_response_partial", "v7_first_error", "r8_cleanup"}
     for name, f in registry.QUERIES.items():
         plan = f(spark, D)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan

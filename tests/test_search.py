@@ -67,6 +67,14 @@ def test_both_ways_equal_the_loop(spark, cases):
     assert listed == small == large
 
 
+def test_few_aliases_are_found_without_the_automaton(spark, cases):
+    entries, texts = cases
+    pairs = glossary.replacements([*entries[-3:], ("Q", [r"\\E", "a.c"]), ("aa", ["a", "b", "c"])])
+    assert 3 < len(pairs) <= glossary.FEW
+    got = found(glossary.search(sentences(spark, texts), pairs))
+    assert [x[:3] for x in got] == sorted((i, a, t) for i, x in enumerate(texts) for a, t, _ in loop(x, pairs))
+
+
 def test_repeated_and_null_sentences(spark):
     rows = spark.createDataFrame([("p", "v", None, 1, 0, "ab ab"), ("p", "v", None, 1, 0, "ab ab"), ("p", "v", None, 2, 0, None), ("p", "v", None, 1, 0, "other ab")], ROWS)
     one = relation(spark, [("X", ["ab"]), ("Y", None)])
