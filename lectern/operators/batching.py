@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def batch_numbers(sizes: Column, most_items: int, most_size: int) -> Column:
-    """For an array of sizes, the 0-based batch of each: a batch closes before an item that would exceed a limit; an oversized item is alone."""
-    start = F.struct(F.array().cast("array<int>").alias("b"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"), F.lit(0).alias("k"))
+def batch_starts(sizes: Column, most_items: int, most_size: int) -> Column:
+    """For an array of sizes, the 0-based places where batches begin: a batch closes before an item that would exceed a limit; an oversized item is alone.
+
+    The fold appends once a batch, not once an item.
+    """
+    start = F.struct(F.array().cast("array<int>").alias("b"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("c"))
 
     def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= most_items) | (a["c"] + x > most_size))
-        k = F.when(full, a["k"] + 1).otherwise(a["k"])
-        return F.struct(F.concat(a["b"], F.array(k)).alias("b"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x).otherwise(a["c"] + x).alias("c"), k.alias("k"))
+        opens = (a["i"] == 0) | (a["n"] >= most_items) | (a["c"] + x > most_size)
+        return F.struct(F.when(opens, F.concat(a["b"], F.array(a["i"]))).otherwise(a["b"]).alias("b"), (a["i"] + 1).alias("i"), F.when(opens, 1).otherwise(a["n"] + 1).alias("n"), F.when(opens, x).otherwise(a["c"] + x).alias("c"))
 
     return F.aggregate(F.transform(sizes, lambda x: x.cast("long")), start, step, lambda a: a["b"])
 
 
+def batch_numbers(sizes: Column, most_items: int, most_size: int) -> Column:
+    """For an array of sizes, the 0-based batch of each."""
+    ends = F.concat(batch_starts(sizes, most_items, most_size), F.array(F.size(sizes)))
+    spread = lambda e: F.flatten(F.transform(F.slice(e, 1, F.size(e) - 1), lambda at, k: F.array_repeat(k, F.get(e, k + 1) - at)))
+    return F.element_at(F.transform(F.array(ends), spread), 1)  # the fold is bound to a name first, else each element repeats it
+
+
 def greedy_batches(rows: DataFrame, keys: list[str], order: str, size: str, most_items: int, most_size: int, out: str = "batch") -> DataFrame:
     """rows with the batch number of each within its keys, in order.  One row a group carries the fold: groups are recordings, which are bounded."""
     others = [c for c in rows.columns if c not in keys]
