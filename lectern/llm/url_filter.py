@@ -7,13 +7,15 @@ down, a node whose labelled URLs disagree is split by the next segment, for as l
 as paths go on; one of a single verdict has nothing left to tell.  Segments that all
 paths going on share are one level.
 
-Branches of a node that are alike in statistics merge: branches of equal counts are
-alike; in the order of their smoothed shares, each of these is tested against the
-next one (two shares, Z standard errors), and those that do not differ are one
-branch.  A merged branch is '*' and its number in that order, a branch alone keeps
-its segment, and branches without labels are '*'.  Merging joins counts, not single
-branches, so that a node of any width takes little room; neighbours in order are
-the most alike, so that chance alone rarely parts them at any width.
+Branches of a node that are alike in statistics merge.  Whether they are is asked of
+all of them at once: the chi-square of homogeneity tells how much more their shares
+scatter than chance makes shares of one chance scatter (Z deviates by the cube-root
+rule), so noise does not part them however many there are.  Branches that are not
+alike are cut in two, in the order of their shares, where the cut explains most, and
+each side is asked again.  So all branches of a merged one fit one chance, and
+nothing chains.  A merged branch is '*' and its number in that order, a branch alone
+keeps its segment, and branches without labels are '*'.  Branches of equal counts
+are handled as one row, so that a node of any width takes little room.
 
 A template's purity is its share of allowed among labelled URLs, smoothed towards
 its parent's with KAPPA pseudo-counts, up to the host and then to all hosts; a level
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.workspace import Workspace
 
-#: Standard errors, pseudo-counts, least purity.
-Z, KAPPA, CUT = 1.96, 4.0, 0.5
+#: Deviates beyond which branches are not alike, pseudo-counts, least purity.
+Z, KAPPA, CUT = 2.576, 4.0, 0.5
 #: The contract's rules.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,17 +70,37 @@ def shape_of(path: Column) -> Column:
     return F.coalesce(F.array_join(shaped, "/"), F.lit(""))
 
 
-def merged(child: DataFrame, at: list[str]) -> DataFrame:
-    """(at..., cn, ca, g, tn, ta, k): for the counts that labelled branches of a node have, their merged branch, its sums and how many it merges."""
-    counts = child.where("cn > 0").groupBy(*at, "cn", "ca").agg(F.count("*").alias("k"))
-    sn, sa = F.col("cn") * F.col("k"), F.col("ca") * F.col("k")
-    order = W.partitionBy(*at).orderBy((F.col("ca") + 1.0) / (F.col("cn") + 2.0), "cn")
-    counts = counts.withColumns({"sn": sn, "sa": sa}).withColumns({"bn": F.lag("sn").over(order), "ba": F.lag("sa").over(order)})
-    q = (F.col("sa") + F.col("ba") + 1.0) / (F.col("sn") + F.col("bn") + 2.0)
-    apart = F.abs(F.col("sa") / F.col("sn") - F.col("ba") / F.col("bn")) > Z * F.sqrt(q * (1.0 - q) * (1.0 / F.col("sn") + 1.0 / F.col("bn")))
-    counts = counts.withColumn("g", F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(order))
+def _parted(counts: DataFrame, at: list[str]) -> DataFrame:
+    """counts (at..., cn, ca, k, g) with parts g that are not alike cut in two where that explains most; cut tells which were."""
     whole = W.partitionBy(*at, "g")
-    return counts.select(*at, "cn", "ca", "g", F.sum("sn").over(whole).alias("tn"), F.sum("sa").over(whole).alias("ta"), F.sum("k").over(whole).alias("branches"))
+    x = counts.withColumns({"n": F.sum(F.col("cn") * F.col("k")).over(whole), "a": F.sum(F.col("ca") * F.col("k")).over(whole), "df": F.sum("k").over(whole) - 1})
+    p = F.col("a").cast("double") / F.col("n")
+    mixed = (F.col("df") > 0) & (F.col("a") > 0) & (F.col("a") < F.col("n"))
+    off = F.col("ca") - F.col("cn") * p
+    x = x.withColumn("x2", F.sum(F.when(mixed, F.col("k") * off * off / (F.col("cn") * p * (F.lit(1.0) - p)))).over(whole))
+    spread = F.lit(2.0) / (F.lit(9.0) * F.col("df"))
+    far = (F.pow(F.col("x2") / F.col("df"), F.lit(1.0 / 3.0)) - (F.lit(1.0) - spread)) / F.sqrt(spread)
+    x = x.withColumn("cut", F.coalesce(F.when(mixed, far > Z), F.lit(False)))
+    order = whole.orderBy(F.col("ca").cast("double") / F.col("cn"), "cn")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumns({"rn": F.row_number().over(order), "un": F.sum(F.col("cn") * F.col("k")).over(upto), "ua": F.sum(F.col("ca") * F.col("k")).over(upto)})
+    gap = F.col("ua").cast("double") * F.col("n") - F.col("un").cast("double") * F.col("a")
+    told = F.when(F.col("un") < F.col("n"), gap * gap / (F.col("un").cast("double") * (F.col("n") - F.col("un"))))
+    x = x.withColumn("best", F.max(F.when(told.isNotNull(), F.struct(told.alias("b"), (-F.col("rn")).alias("r")))).over(whole))
+    side = F.when(F.col("rn") <= -F.col("best.r"), "0").otherwise("1")
+    return x.select(*at, "cn", "ca", "k", F.when(F.col("cut"), F.concat("g", side)).otherwise(F.col("g")).alias("g"), "cut")
+
+
+def merged(ws: Workspace, child: DataFrame, at: list[str]) -> DataFrame:
+    """(at..., cn, ca, g, tn, ta, branches): for the counts that labelled branches of a node have, their merged branch, its sums and how many it merges."""
+    counts = child.where("cn > 0").groupBy(*at, "cn", "ca").agg(F.count("*").alias("k")).withColumn("g", F.lit(""))
+    parts = ws.write(_parted(counts, at), "parts")
+    while not parts.where("cut").isEmpty():
+        old, parts = parts, ws.write(_parted(parts.drop("cut"), at), "parts")
+        ws.drop(old)
+    whole = W.partitionBy(*at, "g")  # the names of parts sort as their shares do
+    number = F.dense_rank().over(W.partitionBy(*at).orderBy("g")) - 1
+    return parts.select(*at, "cn", "ca", number.alias("number"), F.sum(F.col("cn") * F.col("k")).over(whole).alias("tn"), F.sum(F.col("ca") * F.col("k")).over(whole).alias("ta"), F.sum("k").over(whole).alias("branches")).withColumnRenamed("number", "g")
 
 
 def _split(ws: Workspace, tree: DataFrame) -> DataFrame:
@@ -99,7 +121,7 @@ def _split(ws: Workspace, tree: DataFrame) -> DataFrame:
         cut = ws.write(cut.drop("take"), "cut")
         child = ws.write(cut.groupBy(*at, "head").agg(F.sum("n").alias("cn"), F.sum("a").alias("ca")), "children")
         name = F.when(F.col("branches") == 1, F.col("head")).when(F.col("g").isNotNull(), F.concat(F.lit("*"), F.col("g").cast("string"))).otherwise("*")
-        to = ws.write(child.join(ws.write(merged(child, at), "merged"), [*at, "cn", "ca"], "left").select(*at, "head", F.concat("t", F.lit("/"), name).alias("to"), F.coalesce("tn", F.lit(0)).alias("tn"), F.coalesce("ta", F.lit(0)).alias("ta")), "named")
+        to = ws.write(child.join(ws.write(merged(ws, child, at), "merged"), [*at, "cn", "ca"], "left").select(*at, "head", F.concat("t", F.lit("/"), name).alias("to"), F.coalesce("tn", F.lit(0)).alias("tn"), F.coalesce("ta", F.lit(0)).alias("ta")), "named")
         below = cut.join(to, [*at, "head"])
         p = F.when(F.col("tn") == F.col("hn"), F.col("p")).otherwise((F.col("ta") + KAPPA * F.col("p")) / (F.col("tn") + KAPPA))
         old, tree = tree, ws.write(below.select("host", "shape", "n", "a", F.col("to").alias("t"), p.alias("p"), F.col("tn").alias("hn"), F.col("ta").alias("ha"), "left"), "deeper")
@@ -132,8 +154,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, pag
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", by_tree).alias("verdict"), F.col("t").alias("template"), F.col("hn").alias("n_labelled"), F.col("ha").alias("n_allowed"))
 
 
-def filter_sql(rules: list[tuple[str, str, str]] = RULES, levels: int = 4) -> str:
-    """The same query over the table pages, for DuckDB, as long as nodes that disagree have at most `levels` levels."""
+def filter_sql(rules: list[tuple[str, str, str]] = RULES, levels: int = 4, rounds: int = 3) -> str:
+    """The same query over the table pages, for DuckDB, as long as nodes that disagree have at most `levels` levels and their branches are parted in at most `rounds` rounds."""
     order = sorted(rules, key=lambda r: (-len(r[1] + r[2]), -len(r[1]), r[1] + r[2]))
     fits = lambda h, p: f"(host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}')"
     shaped = "list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[0-9]+(\\.[A-Za-z]{1,5})?$', '<n>\\1'), '^[0-9a-fA-F-]{8,}$', '<h>'))"
@@ -144,14 +166,19 @@ paths AS MATERIALIZED (SELECT host, segs, count(rule) AS n, count(*) FILTER (sai
 hosts AS MATERIALIZED (SELECT host, sum(n)::BIGINT AS hn, sum(a)::BIGINT AS ha FROM paths GROUP BY ALL),
 tree0 AS MATERIALIZED (SELECT paths.*, hn, ha, '' AS t, FALSE AS ended, (ha + {KAPPA}::DOUBLE * (SELECT (coalesce(sum(a), 0)::BIGINT + 1.0::DOUBLE) / (coalesce(sum(n), 0)::BIGINT + 2.0::DOUBLE) FROM paths)) / (hn + {KAPPA}::DOUBLE) AS p FROM paths JOIN hosts USING (host))"""
     for d in range(1, levels + 1):
-        q = "((sa + ba + 1.0::DOUBLE) / (sn + bn + 2.0::DOUBLE))"
         out += f""",
 going{d} AS MATERIALIZED (SELECT *, segs[{d}] AS head FROM tree{d - 1} WHERE NOT ended AND ha > 0 AND ha < hn AND len(segs) >= {d}),
 child{d} AS MATERIALIZED (SELECT host, t, head, sum(n)::BIGINT AS cn, sum(a)::BIGINT AS ca FROM going{d} GROUP BY ALL),
-count{d} AS (SELECT host, t, cn, ca, cn * count(*) AS sn, ca * count(*) AS sa, count(*) AS k FROM child{d} WHERE cn > 0 GROUP BY host, t, cn, ca),
-next{d} AS (SELECT *, lag(sn) OVER o AS bn, lag(sa) OVER o AS ba FROM count{d} WINDOW o AS (PARTITION BY host, t ORDER BY (ca + 1.0::DOUBLE) / (cn + 2.0::DOUBLE), cn)),
-run{d} AS (SELECT *, sum(CASE WHEN abs(sa::DOUBLE / sn - ba::DOUBLE / bn) > {Z}::DOUBLE * sqrt({q} * (1.0::DOUBLE - {q}) * (1.0::DOUBLE / sn + 1.0::DOUBLE / bn)) THEN 1 ELSE 0 END) OVER (PARTITION BY host, t ORDER BY (ca + 1.0::DOUBLE) / (cn + 2.0::DOUBLE), cn) AS g FROM next{d}),
-merged{d} AS (SELECT host, t, cn, ca, g, sum(sn) OVER w AS tn, sum(sa) OVER w AS ta, sum(k) OVER w AS branches FROM run{d} WINDOW w AS (PARTITION BY host, t, g)),
+part{d}_0 AS MATERIALIZED (SELECT host, t, cn, ca, count(*) AS k, '' AS g FROM child{d} WHERE cn > 0 GROUP BY host, t, cn, ca)"""
+        for r in range(1, rounds + 1):
+            p, off = "(a::DOUBLE / n)", "(ca - cn * (a::DOUBLE / n))"
+            spread = "(2.0::DOUBLE / (9.0::DOUBLE * df))"
+            out += f""",
+sum{d}_{r} AS (SELECT *, sum(cn * k) OVER w::BIGINT AS n, sum(ca * k) OVER w::BIGINT AS a, sum(k) OVER w::BIGINT - 1 AS df, row_number() OVER o AS rn, sum(cn * k) OVER u::BIGINT AS un, sum(ca * k) OVER u::BIGINT AS ua FROM part{d}_{r - 1} WINDOW w AS (PARTITION BY host, t, g), o AS (PARTITION BY host, t, g ORDER BY ca::DOUBLE / cn, cn), u AS (PARTITION BY host, t, g ORDER BY ca::DOUBLE / cn, cn ROWS UNBOUNDED PRECEDING)),
+chi{d}_{r} AS (SELECT *, sum(CASE WHEN df > 0 AND a > 0 AND a < n THEN k * {off} * {off} / (cn * {p} * (1.0::DOUBLE - {p})) END) OVER w AS x2, max(CASE WHEN un < n THEN row((ua::DOUBLE * n - un::DOUBLE * a) * (ua::DOUBLE * n - un::DOUBLE * a) / (un::DOUBLE * (n - un)), -rn) END) OVER w AS best FROM sum{d}_{r} WINDOW w AS (PARTITION BY host, t, g)),
+part{d}_{r} AS MATERIALIZED (SELECT host, t, cn, ca, k, CASE WHEN coalesce((pow(x2 / df, 1.0::DOUBLE / 3.0::DOUBLE) - (1.0::DOUBLE - {spread})) / sqrt({spread}) > {Z}::DOUBLE, FALSE) THEN g || CASE WHEN rn <= -best[2] THEN '0' ELSE '1' END ELSE g END AS g FROM chi{d}_{r})"""
+        out += f""",
+merged{d} AS (SELECT host, t, cn, ca, dense_rank() OVER (PARTITION BY host, t ORDER BY g) - 1 AS g, sum(cn * k) OVER w AS tn, sum(ca * k) OVER w AS ta, sum(k) OVER w AS branches FROM part{d}_{rounds} WINDOW w AS (PARTITION BY host, t, g)),
 named{d} AS MATERIALIZED (SELECT c.host, c.t, head, CASE WHEN branches = 1 THEN head WHEN g IS NOT NULL THEN '*' || g::BIGINT ELSE '*' END AS name, coalesce(tn, 0)::BIGINT AS tn, coalesce(ta, 0)::BIGINT AS ta FROM child{d} c LEFT JOIN merged{d} USING (host, t, cn, ca)),
 tree{d} AS MATERIALIZED (SELECT host, segs, n, a, tn AS hn, ta AS ha, t || '/' || name AS t, FALSE AS ended, CASE WHEN tn = hn THEN p ELSE (ta + {KAPPA}::DOUBLE * p) / (tn + {KAPPA}::DOUBLE) END AS p FROM going{d} JOIN named{d} USING (host, t, head)
  UNION ALL SELECT host, segs, n, a, hn, ha, t, TRUE, p FROM tree{d - 1} WHERE ended OR NOT (ha > 0 AND ha < hn AND len(segs) >= {d}))"""

@@ -467,6 +467,25 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(spark.createDataFrame([(1, "http://a/b")], "page_id long, url string"), rules=[]).first().rule is None
 
 
+def alike_parts(branches):
+    """branches: (labelled, allowed, name), cut until the branches of each part scatter no more than chance makes one chance scatter."""
+    n, a = sum(b[0] for b in branches), sum(b[1] for b in branches)
+    p, df = a / n, len(branches) - 1
+    if not df or not 0 < p < 1:
+        return [branches]
+    x2 = sum((ca - cn * p) ** 2 / (cn * p * (1 - p)) for cn, ca, _ in branches)
+    if ((x2 / df) ** (1 / 3) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5 <= url_filter.Z:
+        return [branches]
+    kinds = sorted({b[:2] for b in branches}, key=lambda c: (c[1] / c[0], c[0]))
+    best = (-1, None)
+    for k in range(1, len(kinds)):
+        low = [b for b in branches if b[:2] in set(kinds[:k])]
+        un, ua = sum(b[0] for b in low), sum(b[1] for b in low)
+        best = max(best, ((float(ua) * n - float(un) * a) ** 2 / (float(un) * (n - un)), -k))
+    low = set(kinds[: -best[1]])
+    return alike_parts([b for b in branches if b[:2] in low]) + alike_parts([b for b in branches if b[:2] not in low])
+
+
 def plain_tree(urls, rules):
     """The verdict, template and counts of each (host, segments, label), by plain recursion."""
     total = (sum(v == "allow" for *_, v in urls) + 1) / (sum(v is not None for *_, v in urls) + 2)
@@ -482,23 +501,14 @@ def plain_tree(urls, rules):
             heads[r[1][depth] if len(r[1]) > depth and 0 < a < n else None].append(r)
         for r in heads.pop(None, []):
             out[r[0], tuple(r[1])] = ("block" if p < 0.5 else "allow", t, n, a)
-        alike = collections.defaultdict(list)
-        for h, own in heads.items():
-            alike[counts(own)].append(h)
-        groups = [(["*"], alike.pop((0, 0)))] if (0, 0) in alike else []
-        g, before = -1, None
-        runs = []
-        for cn, ca in sorted(alike, key=lambda c: ((c[1] + 1) / (c[0] + 2), c[0])):
-            sn, sa = cn * len(alike[cn, ca]), ca * len(alike[cn, ca])
-            if before:
-                q = (sa + before[1] + 1) / (sn + before[0] + 2)
-                apart = abs(sa / sn - before[1] / before[0]) > 1.96 * (q * (1 - q) * (1 / sn + 1 / before[0])) ** 0.5
-            if not before or apart:
-                runs.append([])
-            runs[-1] += alike[cn, ca]
-            before = sn, sa
-        groups += [([run[0] if len(run) == 1 else f"*{g}"], run) for g, run in enumerate(runs)]
+        told = {h: counts(own) for h, own in heads.items()}
+        groups = [(["*"], [h for h, c in told.items() if not c[0]])]
+        labelled = [(*c, h) for h, c in told.items() if c[0]]
+        for g, part in enumerate(alike_parts(labelled) if labelled else []):
+            groups.append(([part[0][2] if len(part) == 1 else f"*{g}"], [h for *_, h in part]))
         for (name,), members in groups:
+            if not members:
+                continue
             rows_in = [r for h in members for r in heads[h]]
             tn, ta = counts(rows_in)
             grow(rows_in, depth + 1, f"{t}/{name}", p if tn == n else (ta + 4 * p) / (tn + 4))
@@ -541,6 +551,28 @@ def test_url_tree_keeps_significant_branches_of_wide_nodes(spark, width):
     assert {r.template for r in got if r.rule == "x.com/d"} == {"/*1"}
 
 
+def test_url_branches_of_one_chance_are_one(spark):
+    """Ten thousand branches of ten labelled URLs each, allowed by a coin; and half of them by another coin."""
+    rng = random.Random(5)
+    for chances, most in (([0.5], 1), ([0.1, 0.9], 2)):
+        rows = [("h", "", f"d{k}", 10, sum(rng.random() < chances[k % len(chances)] for _ in range(10)), chances[k % len(chances)]) for k in range(10_000)]
+        child = spark.createDataFrame(rows, "host string, t string, head string, cn long, ca long, chance double")
+        to = url_filter.merged(Workspace(spark, "test"), child.drop("chance"), ["host", "t"])
+        got = child.join(to, ["host", "t", "cn", "ca"]).groupBy("g", "chance").count().collect()
+        assert len({r.g for r in got}) == most
+        if most == 2:
+            assert sum(max(r["count"] for r in got if r.g == g) for g in (0, 1)) > 9_900
+
+
+def test_url_branches_that_differ_stay_apart(spark):
+    """Eleven directories with 0, 1, .., 10 of 10 labelled URLs allowed: the ends never meet, and what stands in them is judged by them."""
+    urls = [f"http://x.com/d{k}/{'ok' if i < k else 'no'}{i}" for k in range(11) for i in range(10)] + [f"http://x.com/d{k}/free" for k in (0, 10)]
+    rules = [("allow", "x.com", f"/d{k}/ok") for k in range(11)] + [("block", "x.com", f"/d{k}/no") for k in range(11)]
+    got = {r.path: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert (got["/d0/free"].verdict, got["/d10/free"].verdict) == ("block", "allow")
+    assert got["/d0/free"].template.split("/")[1] != got["/d10/free"].template.split("/")[1]
+
+
 def test_url_tree_learns_below_its_first_levels(spark):
     """Labels that differ after the third segment, after a long common run, and a path far longer than the others."""
     kinds = {"/a/b/c/casino/": "block", "/a/b/c/news/": "allow", "/blog/2024/05/x/y/z/casino/": "block", "/blog/2024/05/x/y/z/news/": "allow"}
