@@ -3,7 +3,8 @@
 Vectors are scaled to length one; cosine >= c is then a chord distance of at most
 eps = sqrt(2 - 2c).  Each label (and vector length) has pivots of its own, picked by
 hash, whose number grows with the root of the label's size; what all labels have
-together is bounded, and where that runs out the smaller labels stay one cell.
+together is bounded, and where that runs out the smaller labels stay one cell, which
+is compared in blocks, quadratic in its size.
 Each vector has its home in the cell of its nearest pivot.  By the triangle
 inequality a partner of x lives in the cell of pivot p only if
 d(x,p) - d(x,home) <= 2 eps; and since both are points of a Euclidean space, only
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from lectern.llm.components import connected_components
 from lectern.llm.workspace import Workspace, small_batches
 
-#: Least pivots of a label, most labels with pivots, and most numbers that all pivots hold together (8 MB, which go to every task).
-PIVOTS, LABELS, PIVOT_NUMBERS = 8, 512, 1 << 20
+#: Least pivots of a label, and most numbers that all pivots hold together (8 MB, all that goes to every task).
+PIVOTS, PIVOT_NUMBERS = 8, 1 << 20
 #: Numbers of a block (2 MB), vectors of a slice of it.
 BLOCK_NUMBERS, SLICE = 1 << 18, 512
 #: Largest components outside these bounds are scaled to one, lest squares over- or underflow.
@@ -48,7 +49,6 @@ def _block(dim: int) -> int:
 def _cells(pivots: dict[tuple[str, int], np.ndarray], eps: float):
     """pivots: unit rows by (label, length); a label without any is one cell."""
     slack = 1e-9
-    between = {k: np.sqrt(np.maximum(0.0, 2 - 2 * p @ p.T)) for k, p in pivots.items()}
 
     def run(batches):
         for b in batches:
@@ -66,7 +66,9 @@ def _cells(pivots: dict[tuple[str, int], np.ndarray], eps: float):
                 d = np.sqrt(np.maximum(0.0, 2 - 2 * (v / np.linalg.norm(v, axis=1, keepdims=True)) @ p.T))
                 home = d.argmin(1)
                 near = d[np.arange(len(v)), home][:, None]
-                row, cell = np.nonzero((d - near <= 2 * eps + slack) & (d**2 - near**2 <= 2 * eps * between[key][home] + slack))
+                met, which = np.unique(home, return_inverse=True)  # distances of pivots are made for the homes of this batch only
+                between = np.sqrt(np.maximum(0.0, 2 - 2 * p[met] @ p.T))[which]
+                row, cell = np.nonzero((d - near <= 2 * eps + slack) & (d**2 - near**2 <= 2 * eps * between + slack))
                 rows, cells, homes = [*rows, at[row]], [*cells, cell.astype(np.int32)], [*homes, cell == home[row]]
             if rows:
                 taken = b.take(pa.array(np.concatenate(rows)))
@@ -106,24 +108,31 @@ def _blocks(cosine: float):
 
 
 def pick_pivots(classes: DataFrame) -> dict[tuple[str, int], np.ndarray]:
-    """Unit pivots by (label, length) for the LABELS largest groups, within PIVOT_NUMBERS in all.  classes: label, dim, rep, vec."""
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label", "dim").limit(LABELS).collect()
+    """Unit pivots by (label, length), the largest groups first, within PIVOT_NUMBERS in all.  classes: label, dim, rep, vec.
+
+    A group's pivots are the first by hash; only rows whose hash is low enough to be
+    among them, with room to spare, are put in order.
+    """
+    least = classes.agg(F.min("dim")).first()[0] or 1
+    # two pivots are the least that a group can have
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "label", "dim").limit(PIVOT_NUMBERS // (2 * least)).collect()
     left, wanted = PIVOT_NUMBERS, []
     for r in sizes:
         k = min(r.n, PIVOTS * math.ceil(math.sqrt(r.n / _block(r.dim))), left // r.dim)
         if k < 2:
             break
         left -= k * r.dim
-        wanted.append((r.label, r.dim, k))
+        wanted.append((r.label, r.dim, k, min(1.0, (2 * k + 32) / r.n)))
     if not wanted:
         return {}
     spark = classes.sparkSession
-    most = F.broadcast(spark.createDataFrame(wanted, "label string, dim int, k int"))  # at most LABELS rows
-    narrow = classes.select("label", "dim", "rep").join(most, ["label", "dim"])
-    order = W.partitionBy("label", "dim").orderBy(F.xxhash64("rep"), "rep")
-    picked = narrow.withColumn("i", F.row_number().over(order)).where((F.col("i") <= max(k for *_, k in wanted)) & (F.col("i") <= F.col("k"))).select("rep")
+    most = F.broadcast(spark.createDataFrame(wanted, "label string, dim int, k int, share double"))  # within PIVOT_NUMBERS
+    hashed = F.pmod(F.xxhash64("rep"), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    narrow = classes.select("label", "dim", "rep").join(most, ["label", "dim"]).where(hashed < F.col("share"))
+    order = W.partitionBy("label", "dim").orderBy(F.pmod(F.xxhash64("rep"), F.lit(1 << 53)), "rep")
+    picked = narrow.withColumn("i", F.row_number().over(order)).where(F.col("i") <= F.col("k")).select("rep")
     out: dict[tuple[str, int], list[np.ndarray]] = {}
-    for r in classes.join(F.broadcast(picked), "rep").select("label", "dim", "rep", "vec").orderBy("rep").collect():
+    for r in classes.join(F.broadcast(picked), "rep").select("label", "dim", "rep", "vec").orderBy("rep").collect():  # within PIVOT_NUMBERS
         v = np.asarray(r.vec, np.float64)
         out.setdefault((r.label, r.dim), []).append(v / np.linalg.norm(v))
     return {k: np.stack(v) for k, v in out.items()}

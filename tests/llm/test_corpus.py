@@ -240,11 +240,18 @@ def test_range_join_of_repeated_ids(spark):
     assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False)]
 
 
+def test_tasks_of_many_pivots_stay_small():
+    from pyspark import cloudpickle
+
+    p = np.random.RandomState(1).normal(size=(4_000, 64))
+    assert len(cloudpickle.dumps(range_join_module._cells({("a", 64): p}, 0.2))) < 10e6
+
+
 def test_range_join_of_large_labels(spark, monkeypatch):
     """Many pivots and several blocks a cell, labels beyond those with pivots, repeated rows and other columns."""
     monkeypatch.setattr(module := range_join_module, "_block", lambda dim: 16)
     monkeypatch.setattr(module, "BLOCK_NUMBERS", 64 * 6)
-    monkeypatch.setattr(module, "LABELS", 2)
+    monkeypatch.setattr(module, "PIVOT_NUMBERS", 485)  # the third label gets none
     rng = np.random.RandomState(7)
     base = rng.normal(size=(60, 6))
     x = np.concatenate([b + rng.normal(scale=0.05, size=(rng.randint(1, 25), 6)) for b in base])
