@@ -55,6 +55,23 @@ def g1_term_candidates(spark, d):
     return x.select("video_id", "id", F.explode(diffs.term_candidates(F.col("proposed_text"), edited)).alias("t")).select("video_id", "id", "t.term", F.array_join("t.aliases", "|").alias("aliases"), "t.original", "t.change_type")
 
 
+@query()
+def x6_terms_lateral(spark, d):
+    """The same edits from SQL, with the table function beside each row."""
+    diffs.register(spark)
+    edited = F.replace(F.replace("proposed_text", F.lit("que"), F.lit("Que-X")), F.lit("th"), F.lit("TH"))
+    x = R.decided(spark, d).select("video_id", "id", "proposed_text", edited.alias("edited"))
+    return spark.sql("SELECT x.video_id, x.id, t.no, t.term, array_join(t.aliases, '|') AS aliases, t.original, t.change_type FROM {x} x, LATERAL terms_of(x.proposed_text, x.edited) t", x=x)
+
+
+@query()
+def x6_redistributed_rows(spark, d):
+    """Each chapter's content, its e's doubled, cut over its sentences, with a chapter as a group of rows."""
+    s = R.numbered(spark, d).select("video_id", "segment_no", "sentence_id", "text")
+    new = s.groupBy("video_id", "segment_no").agg(F.replace(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_id", "text"))), lambda r: r["text"]), ""), F.lit("e"), F.lit("ee")).alias("new"))
+    return diffs.redistributed_rows(s.join(new, ["video_id", "segment_no"]), ["video_id", "segment_no"], "sentence_id", "text", "new")
+
+
 @query()
 def a1_sentences(spark, d):
     """All texts; null where one has no sentence or an open end."""

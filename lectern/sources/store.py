@@ -51,17 +51,24 @@ COMMITS = 10
 #: The relations of an application that may be committed (SNK4), and the keys of those that are not kept by video; None: as a whole.
 RELATIONS = ("raw", "cleaned", "segments", "documents", "changes", "history", "glossary", "uploads", "business", "explanations", "markdown", "jobs")
 KEYS = {"glossary": None, "uploads": "id", "jobs": "job_id"}
+#: What is kept of a relation for each key, in a relation of its own that each commit keeps up to date: columns and their aggregates.
+TALLIES = {"raw": {"n": "count(*)", "duration_ms": "max(end_ms)"}, "cleaned": {"n": "count(*)"}, "segments": {"n": "count(*)"}, "changes": {"n": "count(*)"}, "business": {"n": "count(*)"}}
 _DIRECTORY = r"v-[0-9a-f]{32}(/_leaf=\d+-\d+)?"
 
 
+def tally(relation: str) -> str:
+    """The relation that holds what is kept of another one for each key."""
+    return f"{relation}_tally"
+
+
 def _leaf(hashed: int, leaves) -> str:
     """The leaf of a hash."""
     return next(k for d in range(64) if (k := f"{d}-{hashed % (1 << d)}") in leaves)
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, relations: tuple[str, ...] = RELATIONS, keys: dict[str, str | None] = KEYS, depth: int = DEPTH, split_bytes: int = SPLIT_BYTES):
-        self.spark, self.root, self.relations, self.keys, self.depth, self.split_bytes = spark, root.rstrip("/"), relations, keys, depth, split_bytes
+    def __init__(self, spark: SparkSession, root: str, relations: tuple[str, ...] = RELATIONS, keys: dict[str, str | None] = KEYS, depth: int = DEPTH, split_bytes: int = SPLIT_BYTES, tallies: dict[str, dict[str, str]] = TALLIES):
+        self.spark, self.root, self.relations, self.keys, self.depth, self.split_bytes, self.tallies = spark, root.rstrip("/"), relations, keys, depth, split_bytes, tallies
 
     # --- files
 
@@ -282,7 +289,7 @@ class Store:
         return {"rows": rows[0], "gone": gone, "seq": layers[-1]["seq"], "bytes": rows[1]}
 
     def commit(self, changes: dict[str, DataFrame], expected_revision: int, videos: DataFrame | None = None) -> int:
-        """SNK2: write the changed relations and publish them together; the new revision.
+        """SNK2: write the changed relations, and what is kept of them, and publish all together; the new revision.
 
         With videos (video_id; for a relation kept by another key, that key under this
         name), the frames hold all rows of these, and those of others stay as they
@@ -296,7 +303,8 @@ class Store:
             raise ConflictError(f"revision is {now['revision']}, not {expected_revision}")
         relations, revision = dict(now["relations"]), expected_revision + 1
         named = self._named(videos) if videos is not None else None
-        for name, df in changes.items():
+        counted = {tally(n): df.groupBy(self.key_of(n)).agg(*(F.expr(e).alias(c) for c, e in self.tallies[n].items())) for n, df in changes.items() if n in self.tallies}
+        for name, df in (changes | counted).items():
             key = self.key_of(name)
             if key is None or key not in df.columns:
                 path = f"{name}/v-{uuid.uuid4().hex}"
@@ -316,7 +324,7 @@ class Store:
         """SNK7: one video's rows out of every relation; (new revision, rows removed)."""
         one = self.one(video_id)
         part = self.narrowed(self.pointer(), one)
-        removed = {n: t for n, r in part["relations"].items() if "leaves" in r and self.key_of(n) == "video_id" and (t := self.table(n, part)).count()}
+        removed = {n: t for n, r in part["relations"].items() if n in self.relations and "leaves" in r and self.key_of(n) == "video_id" and (t := self.table(n, part)).count()}
         n = sum(t.count() for t in removed.values())
         return self.commit({name: t.limit(0) for name, t in removed.items()}, expected_revision, one), n
 

@@ -25,7 +25,7 @@ from lectern.functions.diffs import term_candidates
 from lectern.operators import catalog, cleanup, edits, glossary, responder, segments, validation
 from lectern.operators.jobs import LIVE
 from lectern.sources import documents
-from lectern.sources.store import ConflictError, Store, locked
+from lectern.sources.store import ConflictError, Store, locked, tally
 
 KEY = segments.KEY
 #: What the rows of a relation are ordered by.
@@ -43,19 +43,19 @@ class Workbench:
 
     # --- reads
 
-    def _ids(self, name: str, at: dict, **columns) -> DataFrame:
-        if name not in at["relations"]:
-            return self.spark.createDataFrame([], "id string, " + ", ".join(f"{c} {t}" for c, (_, t) in columns.items()) if columns else "id string")
-        t = self.store.table(name, at).groupBy(F.col("video_id").alias("id"))
-        return t.agg(*(e.cast(k).alias(c) for c, (e, k) in columns.items())) if columns else t.agg(F.count("*").alias("_n")).select("id")
+    def _ids(self, name: str, at: dict, **columns: str) -> DataFrame:
+        """(id, columns) of the videos of a relation, from what is kept of it: no row of the relation is read.  columns: the names here, of those kept."""
+        if tally(name) not in at["relations"]:
+            return self.spark.createDataFrame([], ", ".join(["id string", *(f"{c} long" for c in columns)]))
+        return self.store.table(tally(name), at).select(F.col("video_id").alias("id"), *(F.col(kept).cast("long").alias(c) for c, kept in columns.items()))
 
     def records(self, at: dict | None = None) -> DataFrame:
-        """The catalog, not ordered."""
-        at, text = at or self.store.pointer(), lambda c: (F.max(c), "string")
-        docs = self._ids("documents", at, title=text("title"), review_status=text("review_status"))
-        raw = self._ids("raw", at, duration_ms=(F.max("end_ms"), "long"), sentence_count=(F.count("*"), "long")).withColumns({"title": F.lit(""), "processed_at": F.lit("")})
-        seg = self._ids("segments", at, segment_count=(F.count("*"), "long")).join(docs, "id", "left")
-        bus = self._ids("business", at, annotation_count=(F.count("*"), "long")).withColumn("title", F.lit(""))
+        """The catalog, not ordered; its counts are kept with each commit."""
+        at = at or self.store.pointer()
+        docs = self.store.table("documents", at).groupBy(F.col("video_id").alias("id")).agg(F.max("title").alias("title"), F.max("review_status").alias("review_status")) if "documents" in at["relations"] else self.spark.createDataFrame([], "id string, title string, review_status string")
+        raw = self._ids("raw", at, duration_ms="duration_ms", sentence_count="n").withColumns({"title": F.lit(""), "processed_at": F.lit("")})
+        seg = self._ids("segments", at, segment_count="n").join(docs, "id", "left")
+        bus = self._ids("business", at, annotation_count="n").withColumn("title", F.lit(""))
         up = self.store.table("uploads", at).groupBy("id").agg(F.max("filename").alias("filename"), F.max("uploaded_at").alias("uploaded_at")) if "uploads" in at["relations"] else self.spark.createDataFrame([], "id string, filename string, uploaded_at string")
         return catalog.records(raw, self._ids("cleaned", at).join(docs.select("id", "title"), "id", "left"), seg, bus, up, self._ids("changes", at), up.select("id"))
 

@@ -13,6 +13,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import diffs
 from lectern.plans import queries_model, registry
 from lectern.plans import relations as R
 
@@ -210,7 +211,27 @@ def test_times_of_all_sentences(spark):
 
 
 def test_every_query_without_a_twin_is_compared_above():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"a1_sentences", "a2_align", "a3_split_long", "a6_similarity", "a7_drift", "a8_edit_script", "a9_redistribute", "g1_term_candidates", "r1_response_partial", "v7_first_error"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"a1_sentences", "a2_align", "a3_split_long", "a6_similarity", "a7_drift", "a8_edit_script", "a9_redistribute", "g1_term_candidates", "r1_response_partial", "v7_first_error", "x6_terms_lateral", "x6_redistributed_rows"}
+
+
+def test_table_function_and_groups_equal_the_columns(spark):
+    """Candidates and cuts as rows are those of the arrays, in their order."""
+    key = lambda r: (r["video_id"], r["id"], r["term"], r["aliases"], r["original"], r["change_type"])
+    lateral = rows_of(spark, "x6_terms_lateral")
+    assert lateral and sorted(map(key, lateral)) == sorted(map(key, rows_of(spark, "g1_term_candidates")))
+    for r in R.decided(spark, D).limit(40).collect():
+        want = diffs.candidate_terms(r.proposed_text, r.proposed_text.replace("que", "Que-X").replace("th", "TH"))
+        assert [t["term"] for t in sorted((x for x in lateral if (x["video_id"], x["id"]) == (r.video_id, r.id)), key=lambda x: x["no"])] == [t["term"] for t in want]
+    ranked = {}
+    for r in sorted(rows_of(spark, "x6_redistributed_rows"), key=lambda r: r["sentence_id"]):
+        ranked.setdefault((r["video_id"], r["segment_no"]), []).append(r["text"])
+    cut = {}
+    for r in sorted(rows_of(spark, "a9_redistribute"), key=lambda r: r["no"]):
+        cut.setdefault((r["video_id"], r["segment_no"]), []).append(r["text"])
+    assert ranked == cut
+    assert spark.sql("SELECT count(*) AS n FROM terms_of(NULL, 'ab')").first().n == 1
+    with pytest.raises(Exception, match="two texts"):
+        spark.sql("SELECT * FROM terms_of(1, 'ab')").collect()
 
 
 def test_redistribution_joins_to_the_content(spark):
@@ -225,7 +246,7 @@ def test_flagship_has_no_faults(spark):
 
 def test_plans_stay_in_the_jvm(spark):
     """Nothing but the sequence-matching queries runs Python; ranges never become cartesian products."""
-    python = {"j9_search_vocabulary", "a6_similarity", "a7_drift", "a8_edit_script", "a9_redistribute", "g1_term_candidates", "a3_split_long", "r1_response_partial", "v7_first_error", "r8_cleanup"}
+    python = {"x6_terms_lateral", "x6_redistributed_rows", "j9_search_vocabulary", "a6_similarity", "a7_drift", "a8_edit_script", "a9_redistribute", "g1_term_candidates", "a3_split_long", "r1_response_partial", "v7_first_error", "r8_cleanup"}
     for name, f in registry.QUERIES.items():
         plan = f(spark, D)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan

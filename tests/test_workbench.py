@@ -1,6 +1,7 @@
 """End to end over a store: search, apply, decide, save, confirm, delete, with stale pages and invalid edits."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,33 @@ def test_edits_touch_their_leaf_only(bench, spark):
         s.pointer()
 
 
+def test_dashboard_reads_no_sentences(bench, spark):
+    """Counts kept with each commit equal those of the whole relations after edits, new videos and deletions."""
+    s, rng = bench.store, random.Random(1)
+    text = "partition string, video_id string, sentence_id long, start_ms long, end_ms long, text string"
+
+    def whole(name, **more):
+        return {r.video_id: r.asDict() for r in s.table(name).groupBy("video_id").agg(F.count("*").alias("n"), *(F.expr(e).alias(c) for c, e in more.items())).collect()}
+
+    def same():
+        kept = lambda n: {r.video_id: r.asDict() for r in s.table(f"{n}_tally").collect()}
+        assert kept("raw") == whole("raw", duration_ms="max(end_ms)") and kept("cleaned") == whole("cleaned") and kept("segments") == whole("segments")
+        got = {r.id: r for r in bench.records().collect()}
+        assert {k: r.sentence_count for k, r in got.items() if r.sentence_count} == {k: r["n"] for k, r in whole("raw").items()}
+
+    same()
+    for k in range(5):
+        videos = [f"{rng.randrange(4):064d}" for _ in range(2)]
+        rows = [("2026-09", v, i, i * 10, i * 10 + 5, "x") for v in set(videos) for i in range(1, rng.randrange(1, 4))]
+        cleaned = spark.createDataFrame(rows, text)
+        s.commit({"cleaned": cleaned, "raw": cleaned.toDF("partition", "video_id", "id", "start_ms", "end_ms", "raw_text")}, s.pointer()["revision"], spark.createDataFrame([(v,) for v in videos], "video_id string"))
+    same()
+    bench.delete(V[1])
+    same()
+    read = {f.split(str(s.root) + "/", 1)[1].split("/")[0] for f in bench.records().inputFiles()}
+    assert read <= {"raw_tally", "cleaned_tally", "segments_tally", "changes_tally", "business_tally", "documents", "uploads"}
+
+
 def test_jobs(bench, spark):
     log, state = JobLog(bench.store, lambda: "now"), lambda j: sorted((r.pos, r.status, r.job_status) for r in log.items().where(F.col("job_id") == j).collect())
     one = spark.createDataFrame([(V[1],)], "video_id string")
