@@ -37,9 +37,9 @@ def banded(stage: Column, fraction: Column) -> Column:
 
 
 def accepted(events: DataFrame) -> DataFrame:
-    """ST3: events (.., expected_stage, line) of the expected stage, with fraction, detail and percent."""
+    """ST3: events (.., expected_stage, line) of the expected stage, with fraction, detail and percent; those of a stage without a band are none."""
     x = events.withColumn("e", parsed(F.col("line"))).where("e IS NOT NULL AND e.stage = expected_stage")
-    return x.withColumns({"stage": F.col("e.stage"), "fraction": F.col("e.fraction"), "detail": F.col("e.detail"), "percent": banded(F.col("e.stage"), F.col("e.fraction"))}).drop("e")
+    return x.withColumns({"stage": F.col("e.stage"), "fraction": F.col("e.fraction"), "detail": F.col("e.detail"), "percent": banded(F.col("e.stage"), F.col("e.fraction"))}).drop("e").where("percent IS NOT NULL")
 
 
 def running_max(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -151,8 +151,9 @@ def j18_merged_candidates(spark, d):
 
 @query("WITH d AS (SELECT doc_id, md5(text) AS f FROM documents), c AS (SELECT f, min(doc_id) AS first FROM d GROUP BY f HAVING min(doc_id) % 2 = 0) SELECT doc_id, 'said ' || first AS raw_transcription FROM d LEFT JOIN c USING (f)")
 def snk13_resume(spark, d):
-    """Clips by content fingerprint, half of the contents transcribed before."""
-    clips = R.table(spark, d, "documents").select("doc_id", F.md5("text").alias("fingerprint"))
+    """Clips by their place in the tree of fingerprints, half of the contents transcribed before under the same settings."""
+    content = R.table(spark, d, "documents").select("doc_id", F.md5("text").alias("content"))
+    clips = content.select("doc_id", alignment.fingerprint(F.col("content"), {"model": "m", "language": None}).alias("fingerprint"))
     seen = clips.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).where("first % 2 = 0").select("fingerprint", F.concat(F.lit("said "), F.col("first").cast("string")).alias("raw_transcription"), F.lit("English").alias("language"))
     return alignment.resumable(clips, seen).select("doc_id", "raw_transcription")
 
@@ -165,5 +166,5 @@ def st4_item_progress(spark, d):
     """The stateless half of the progress stream, over the events at rest; the stream itself is run by the tests."""
     from lectern.plans.queries_text import progress_lines
 
-    x = progress_lines(spark, d).select(F.lit("j").alias("job_id"), F.col("user_id").cast("string").alias("item"), "expected_stage", F.col("event_id").alias("seq"), "line").where("expected_stage != 'other'")
+    x = progress_lines(spark, d).select(F.lit("j").alias("job_id"), F.col("user_id").cast("string").alias("item"), "expected_stage", F.col("event_id").alias("seq"), "line")
     return progress.item_progress(x).select("item", "progress")

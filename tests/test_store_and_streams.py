@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import wave
 
 import numpy as np
@@ -102,6 +103,47 @@ def test_progress_stream_never_falls(spark, tmp_path):
     assert [r.progress for r in got] == sorted(r.progress for r in got)
 
 
+def test_state_of_silent_items_ends(spark, tmp_path):
+    """Late and repeated lines change nothing, a restart goes on from the checkpoint, and silent items leave no state."""
+    feed, cp = tmp_path / "feed", str(tmp_path / "cp")
+    line = lambda item, seq, text: json.dumps({"job_id": "j", "item": item, "expected_stage": "asr", "seq": seq, "line": text})
+    seen = {}
+
+    def run(k, *lines, until):
+        put(feed / f"{k}.json", "\n".join(lines))
+        keep = lambda df, i: seen.update({r.item: (r.progress, r.log) for r in df.collect()})
+        q = progress.snapshots(progress.line_stream(spark, str(feed)), idle_ms=2_000).writeStream.outputMode("update").trigger(processingTime="200 milliseconds").foreachBatch(keep).option("checkpointLocation", cp).start()
+        end, held = time.time() + 60, lambda: [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]][-1:]
+        while not until(held()) and time.time() < end:
+            time.sleep(0.2)
+        fine = until(held())
+        q.stop()
+        return fine
+
+    assert run(0, line("a", 2, event("asr", 5)), line("a", 1, "first"), line("b", 1, event("asr", 10)), line("a", 2, event("asr", 5)), until=lambda n: len(seen) == 2)
+    assert seen == {"a": (37, "first\n"), "b": (70, "")}
+    assert run(1, line("a", 1, "first"), line("a", 3, "second"), line("c", 1, "x"), until=lambda n: "c" in seen and "second" in seen["a"][1])
+    assert seen["a"][1].endswith("second\n") and seen["b"] == (70, "")
+    assert run(2, line("d", 1, event("asr", 10)), until=lambda n: "d" in seen and n == [0])
+
+
+def test_fingerprints_follow_the_tree(spark):
+    clips = spark.createDataFrame([("v", i, f"c{i}") for i in range(4)] + [("v", 4, None)], "video_id string, no long, content string")
+    stages = {"asr": {"model": "a", "words": ["x"]}, "align": {"model": "b"}}
+    made = lambda c=clips, r={"cut": 180}, s=stages: {x.no: (x.asr, x.align) for x in alignment.fingerprinted(c, r, s).collect()}  # noqa: E731, B006
+    base = made()
+    assert len({f for x in base.values() for f in x if f}) == 8 and base[4] == (None, None)
+    assert made(s={"asr": {"words": ["x"], "model": "a"}, "align": {"model": "b"}}) == base
+    later, earlier, cut = made(s=stages | {"align": {"model": "c"}}), made(s=stages | {"asr": {"model": "z"}}), made(r={"cut": 60})
+    assert all(later[i][0] == base[i][0] and later[i][1] != base[i][1] for i in range(4))
+    assert all(x[i][k] != base[i][k] for x in (earlier, cut) for i in range(4) for k in (0, 1))
+    one = made(clips.withColumn("content", F.when(F.col("no") == 2, "other").otherwise(F.col("content"))))
+    assert [i for i in range(4) if one[i] != base[i]] == [2]
+    stored = alignment.fingerprinted(clips, {"cut": 180}, stages).where("no < 2").select(F.col("asr").alias("fingerprint"), F.lit("t").alias("raw_transcription"), F.lit("l").alias("language"))
+    again = alignment.resumable(alignment.fingerprinted(clips, {"cut": 180}, stages).withColumnRenamed("asr", "fingerprint"), stored)
+    assert {r.no: r.raw_transcription for r in again.collect()} == {0: "t", 1: "t", 2: None, 3: None, 4: None}
+
+
 def test_published_snapshots(spark, tmp_path):
     put(tmp_path / "feed/0.json", json.dumps({"job_id": "j", "item": "v", "expected_stage": "asr", "seq": 1, "line": event("asr", 5)}))
     seen = []
