@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators import jobs
-from lectern.sources.store import Store
+from lectern.sources.store import Store, locked
 from lectern.workbench import now
 
 SCHEMA = "job_id string, seq long, stage string, pos int, video_id string, status string, job_status string, log string, updated_at string"
@@ -43,6 +43,7 @@ class JobLog:
             raise KeyError(job_id)
         return own
 
+    @locked
     def create(self, stage: str, video_ids: list[str]) -> str:
         """P10: a queued job over distinct videos in their order; refused without videos, for a stage that is none, and where a video lacks the stage's input."""
         if stage not in jobs.BANDS or not video_ids:
@@ -57,6 +58,7 @@ class JobLog:
         self._put(self.spark.createDataFrame([(job_id, seq, stage, i, v, "queued", "queued", "", "") for i, v in enumerate(distinct)], SCHEMA), at)
         return job_id
 
+    @locked
     def record(self, job_id: str, pos: int, status: str, log: str = "") -> None:
         """ST5, ST6: what became of an item; later items of a failed one are cancelled, and the log keeps its end."""
         at = self.store.pointer()
@@ -64,6 +66,7 @@ class JobLog:
         own = self._of(job_id, at).withColumns({"status": F.when(hit, status).otherwise(F.col("status")), "log": F.when(hit, jobs.log_tail(F.col("log"), F.lit(log))).otherwise(F.col("log"))})
         self._put(own, at)
 
+    @locked
     def cancel(self, job_id: str) -> None:
         """ST6: items not begun are cancelled, one in work is asked to stop; ValueError if the job is over."""
         at = self.store.pointer()
@@ -72,6 +75,7 @@ class JobLog:
             raise ValueError(f"{job_id} is over")
         self._put(jobs.cancelled(own, own.select("job_id")), at)
 
+    @locked
     def interrupted(self) -> None:
         """SRC12: after a restart, what was live was interrupted."""
         at = self.store.pointer()

@@ -100,6 +100,21 @@ def missing_inputs(requests: DataFrame, raw: DataFrame, cleaned: DataFrame) -> D
     return x.where(lacks).select("id", "stage")
 
 
+def run_estimates(samples: DataFrame, runs: DataFrame) -> DataFrame:
+    """(video_id, sampled_seconds, estimated_seconds) of recordings of which some ranges were run for trial.
+
+    samples: video_id, start_ms, end_ms, each range once however often it is named;
+    runs: video_id, elapsed_seconds, init_ms (what models took to load), duration_seconds.
+    What is not loading grows with the length, and less than a second of samples
+    counts as one; a recording without samples is extrapolated from that second.
+    """
+    once = samples.select("video_id", "start_ms", "end_ms").distinct().groupBy("video_id").agg((F.sum(F.col("end_ms") - F.col("start_ms")) / 1000).alias("sampled"))
+    x = runs.join(once, "video_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0.0)))
+    loading = F.coalesce("init_ms", F.lit(0)) / 1000
+    whole = loading + F.greatest(F.lit(0.0), F.col("elapsed_seconds") - loading) * F.col("duration_seconds") / F.greatest(F.col("sampled"), F.lit(1.0))
+    return x.select("video_id", F.round("sampled", 3).alias("sampled_seconds"), F.round(whole, 1).alias("estimated_seconds"))
+
+
 def usage(requests: DataFrame) -> DataFrame:
     """A-USE: tokens of model requests by video."""
     return requests.groupBy("video_id").agg(*(F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")), F.count("*").alias("requests"))

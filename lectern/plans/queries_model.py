@@ -158,6 +158,18 @@ def snk13_resume(spark, d):
     return alignment.resumable(clips, seen).select("doc_id", "raw_transcription")
 
 
+@query("""WITH s AS (SELECT DISTINCT user_id, event_id % 5 AS a, event_id % 5 + 1 + event_id % 3 AS b FROM events), t AS (SELECT user_id, sum(b - a)::DOUBLE AS sampled FROM s GROUP BY user_id),
+r AS (SELECT user_id, count(*)::DOUBLE AS elapsed, min(event_id % 7) * 0.1::DOUBLE AS loading, max(event_id)::DOUBLE AS duration FROM events GROUP BY user_id)
+SELECT user_id::VARCHAR AS video_id, round(sampled, 3) AS sampled_seconds, round(loading + greatest(0.0::DOUBLE, elapsed - loading) * duration / greatest(sampled, 1.0::DOUBLE), 1) AS estimated_seconds FROM r JOIN t USING (user_id)""")
+def r14_run_estimate(spark, d):
+    """A user's events as a recording of which a few ranges were run for trial."""
+    e = R.table(spark, d, "events").withColumn("video_id", F.col("user_id").cast("string"))
+    start = F.col("event_id") % 5
+    samples = e.select("video_id", (start * 1000).alias("start_ms"), ((start + 1 + F.col("event_id") % 3) * 1000).alias("end_ms"))
+    runs = e.groupBy("video_id").agg(F.count("*").cast("double").alias("elapsed_seconds"), (F.min(F.col("event_id") % 7) * 100).alias("init_ms"), F.max("event_id").cast("double").alias("duration_seconds"))
+    return jobs.run_estimates(samples, runs)
+
+
 _FRACTION = "greatest(0.0, least(value, 100.0)) / 100.0"
 
 

@@ -345,19 +345,19 @@ class Store:
 
 
 def locked(act):
-    """X5, SNK5: a method (self, video_id, ...) of which one runs at a time for each video in this process; across processes the revision decides."""
+    """X5, SNK5: a method that commits to self.store, of which one runs at a time for each store in this process; as all commits count one revision, two edits of different videos wait for each other too.  Across processes the revision decides."""
 
     @wraps(act)
-    def run(self, video_id, *args, **named):
+    def run(self, *args, **named):
         with _LOCKS_LOCK:
-            own = _LOCKS.setdefault((self.store.root, video_id), RLock())
+            own = _LOCKS.setdefault(self.store.root, RLock())
         with own:
-            return act(self, video_id, *args, **named)
+            return act(self, *args, **named)
 
     return run
 
 
-_LOCKS: dict[tuple[str, str], RLock] = {}
+_LOCKS: dict[str, RLock] = {}
 _LOCKS_LOCK = RLock()
 
 

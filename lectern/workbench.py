@@ -128,6 +128,7 @@ class Workbench:
         history = self._history(part, more.get("changes", changes), after, videos)
         return self.store.commit({"cleaned": after, "segments": rebuilt, "documents": docs, "history": history, **more}, at["revision"], videos)
 
+    @locked
     def apply_glossary(self, entries: list[tuple[str, list[str]]], hit_ids: list[str], video_id: str | None = None) -> dict:
         """Replace the selected hits; hits that are no longer there are a conflict and nothing changes."""
         at = self.store.pointer()
@@ -223,6 +224,7 @@ class Workbench:
         c, d = edits.confirm(self.store.table("changes", part), self.store.table("documents", part), one, F.lit(self.clock()))
         return self.store.commit({"changes": c, "documents": d, "history": self._history(part, c, cleaned, one)}, at["revision"], one)
 
+    @locked
     def publish_cleanup(self, raw_seen: DataFrame, decided: DataFrame, overwrite: bool = False) -> int:
         """SNK9: the result of a cleanup run over raw_seen, with open suggestions applied for the time being.
 
@@ -253,6 +255,7 @@ class Workbench:
         opened = audits.unionByName(audit, allowMissingColumns=True).select(audits.columns)
         return self.store.commit({"cleaned": cleaned, "changes": opened, "history": self._history(part, opened, cleaned, ids)}, at["revision"], ids)
 
+    @locked
     def publish_explanations(self, plans: DataFrame) -> int:
         """SNK14: explanations of chapters (video_id, one row each with its request), written once; a video that has one keeps it."""
         at = self.store.pointer()
@@ -264,6 +267,7 @@ class Workbench:
         stamped = new if "generated_at" in plans.columns else new.withColumn("generated_at", F.lit(self.clock()))
         return self.store.commit({"explanations": stamped}, at["revision"], new.select("video_id").distinct())
 
+    @locked
     def add_uploads(self, found: DataFrame) -> int:
         """SNK8: uploaded files (id, filename, path, size, uploaded_at), by content; the newest manifest of a content stands.  Refused: one stored name for two contents."""
         at = self.store.pointer()
@@ -288,6 +292,7 @@ class Workbench:
         merged = glossary.upsert(stored, new)
         return merged.drop("changed"), merged.where("changed").count()
 
+    @locked
     def save_terms(self, entries: list[tuple[str, str | None, str, list[str]]]) -> int:
         """SNK12: (scope, video_id, term, aliases); the number of terms that changed, written only if any did."""
         at = self.store.pointer()

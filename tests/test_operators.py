@@ -334,3 +334,10 @@ def test_inputs_of_stages(spark):
     ask = spark.createDataFrame([(i, s) for i in "abcd" for s in ("cleanup", "segments", "asr")], "id string, stage string")
     got = {(r.id, r.stage) for r in jobs.missing_inputs(ask, ids("a", "b"), ids("a", "c")).collect()}
     assert got == {("b", "segments"), ("c", "cleanup"), ("c", "segments"), ("d", "cleanup"), ("d", "segments")}
+
+
+def test_run_estimates(spark):
+    samples = spark.createDataFrame([("a", 0, 2000), ("a", 0, 2000), ("a", 5000, 7000), ("b", 0, 100)], "video_id string, start_ms long, end_ms long")
+    runs = spark.createDataFrame([("a", 12.0, 2000, 100.0), ("b", 1.0, None, 10.0), ("c", 1.0, 5000, 10.0)], "video_id string, elapsed_seconds double, init_ms long, duration_seconds double")
+    got = {r.video_id: (r.sampled_seconds, r.estimated_seconds) for r in jobs.run_estimates(samples, runs).collect()}
+    assert got == {"a": (4.0, 2 + 10 * 100 / 4), "b": (0.1, 10.0), "c": (0.0, 5.0)}

@@ -2,6 +2,7 @@
 
 import json
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -280,6 +281,16 @@ def test_jobs(bench, spark):
     assert [r.job_id for r in jobs.latest(log.items().select("job_id", "seq").distinct(), 1).collect()] == [b]
 
 
+def test_edits_of_one_process_wait_for_each_other(bench, spark):
+    """Sentences, terms and uploads saved at once: all are there, and none ends in a conflict."""
+    up = spark.createDataFrame([("f" * 64, "other.mov", "2026")], "id string, filename string, uploaded_at string")
+    acts = [lambda: bench.save_sentences(V[1], {1: "改。"}), lambda: bench.save_terms([("global", None, "词", ["旧词"])]), lambda: bench.add_uploads(up)]
+    with ThreadPoolExecutor(3) as pool:
+        [f.result() for f in [pool.submit(a) for a in acts]]
+    assert bench.store.pointer()["revision"] == 4 and contents(bench)[0].startswith("改。")
+    assert bench.store.table("glossary").first().term == "词" and bench.store.table("uploads").count() == 2
+
+
 def test_markdown_of_a_chapter(bench):
     assert bench.markdown(V[1], 2).startswith("## 二") and "Hello world." in bench.markdown(V[1], 2)
     for args in ((V[1], 9), ("none", 1), ("none",)):
