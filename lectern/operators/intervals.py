@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Points of a part of a sweep, and of a part of a join.
+#: Places of a part of a sweep, and points of a part of a join.
 SWEEP, JOIN = 1 << 16, 1 << 8
 
 
-def _widths(points: DataFrame, keys: list[str], at: str, most: int) -> DataFrame:
-    """(keys, _lo, _hi, _width): parts of equal width, as many as hold `most` points each where points lie evenly."""
+def _widths(points: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys, _lo, _hi, _width): parts of equal width, as many as hold JOIN points each where points lie evenly."""
     spread = points.where(F.col(at).isNotNull()).groupBy(*keys).agg(F.min(at).alias("_lo"), F.max(at).alias("_hi"), F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / most)
+    parts = F.ceil(F.col("_n") / JOIN)
     return spread.select(*keys, "_lo", "_hi", F.ceil((F.col("_hi") - F.col("_lo") + 1) / parts).alias("_width"))
 
 
@@ -35,25 +35,20 @@ def counts(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start
 
     Ranges with a null or crossed border hold nothing; points whose place is null are held by nothing.
     """
-    widths = _widths(points, keys, at, SWEEP)
-    p = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(0).alias("_d"))
+    event = lambda t, c, kind, d: t.select(*keys, F.col(c).cast("long").alias("_at"), F.lit(kind).alias("_kind"), F.lit(d).alias("_d"))
     r = ranges.where(F.col(start) <= F.col(end))
-    first = r.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.lit(1).alias("_d"))
-    last = r.select(*keys, F.col(end).alias("_at"), F.lit(2).alias("_kind"), F.lit(-1).alias("_d"))
-    # what begins before the first point is open there; what ends after the last one never matters
-    events = p.unionByName(first).unionByName(last).join(widths, keys, "left").where((F.col("_kind") == 1) | (F.col("_at") <= F.col("_hi")))
-    events = events.select(*keys, "_at", "_kind", "_d", F.coalesce(_part(F.greatest("_at", "_lo")), F.lit(-1)).alias("_part"))
+    events = event(points, at, 1, 0).unionByName(event(r, start, 0, 1)).unionByName(event(r, end, 2, -1)).withColumn("_part", F.floor(F.col("_at") / SWEEP))
     by_part = W.partitionBy(*keys, "_part").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
     inside = events.withColumn("_open", F.sum("_d").over(by_part)).where("_kind = 1")
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as parts
     borders = events.groupBy(*keys, "_part").agg(F.sum("_d").alias("_sum")).withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    told = inside.join(borders, [*keys, "_part"]).withColumn("_open", F.when(F.col("_at").isNull(), 0).otherwise(F.col("_open") + F.col("_carry")))
+    told = inside.join(borders, [*keys, "_part"], "left").withColumn("_open", F.when(F.col("_at").isNull(), 0).otherwise(F.col("_open") + F.col("_carry")))
     return told.groupBy(*keys, F.col("_at").alias(at)).agg(F.sum("_open").alias("covering"))
 
 
 def pairs(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
     """Each point with each range that holds it: the columns of both, keys once.  Other columns of one name are the callers' to rename."""
-    widths = _widths(points, keys, at, JOIN)
+    widths = _widths(points, keys, at)
     p = points.join(widths, keys).withColumn("_part", _part(F.col(at))).drop("_lo", "_hi", "_width")
     r = ranges.join(widths, keys).withColumns({"_first": F.greatest(start, "_lo"), "_last": F.least(end, "_hi")}).where((F.col("_first") <= F.col("_last")) & (F.col(start) <= F.col(end)))
     r = r.withColumn("_part", F.explode(F.sequence(_part(F.col("_first")), _part(F.col("_last"))))).drop("_lo", "_hi", "_width", "_first", "_last")

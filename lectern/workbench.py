@@ -121,12 +121,17 @@ class Workbench:
 
     def _publish(self, at: dict, part: dict, after: DataFrame, videos: DataFrame, **more: DataFrame) -> int:
         """Commit changed sentences of some videos (all rows of these) with all that follows from them; part is the pointer narrowed to them."""
-        before, seg, changes = (self.store.table(n, part) for n in ("cleaned", "segments", "changes"))
-        rebuilt = edits.rebuild(before, after, seg)
-        validation.raise_on(validation.segment_faults(after, rebuilt))
-        docs = edits.touched(self.store.table("documents", part), videos, F.lit(self.clock()))
-        history = self._history(part, more.get("changes", changes), after, videos)
-        return self.store.commit({"cleaned": after, "segments": rebuilt, "documents": docs, "history": history, **more}, at["revision"], videos)
+        before, seg, changes = (self.store.table(n, part).persist() for n in ("cleaned", "segments", "changes"))
+        after = after.persist()
+        rebuilt = edits.rebuild(before, after, seg).persist()  # these are asked for many times, and hold the edited videos only
+        try:
+            validation.raise_on(validation.segment_faults(after, rebuilt))
+            docs = edits.touched(self.store.table("documents", part), videos, F.lit(self.clock()))
+            history = self._history(part, more.get("changes", changes), after, videos)
+            return self.store.commit({"cleaned": after, "segments": rebuilt, "documents": docs, "history": history, **more}, at["revision"], videos)
+        finally:
+            for held in (rebuilt, after, before, seg, changes):
+                held.unpersist()
 
     @locked
     def apply_glossary(self, entries: list[tuple[str, list[str]]], hit_ids: list[str], video_id: str | None = None) -> dict:

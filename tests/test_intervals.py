@@ -60,5 +60,3 @@ def test_one_recording_of_a_million_sentences(spark):
     twice = 5 * (n // 1000 - 1) + 5
     assert {x.covering: x["count"] for x in told} == {1: n - twice, 2: twice}
     assert intervals.pairs(p, r, KEY, "sentence_id", "first", "last").count() == n + twice
-    parts = intervals._widths(p, KEY, "sentence_id", intervals.SWEEP).first()
-    assert parts._width <= intervals.SWEEP
