@@ -352,7 +352,7 @@ def test_lines(spark, none):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[0].text == rows[0][1] and out[0]._dropped == 0
     for i in range(1, 8):
-        assert out[i].text == rows[i][1].split("\n")[0] + "\nshort" and (out[i]._lines, out[i]._dropped) == (4, 2)
+        assert out[i].text == rows[i][1].split("\n")[0] and (out[i]._lines, out[i]._dropped) == (4, 3)
     few = line_dedup.dedup_lines(spark, spark.createDataFrame(rows[:4], "doc_id long, text string"))
     assert few.where("_dropped > 0").count() == 0
     assert line_dedup.dedup_lines(spark, none).collect() == []
@@ -375,6 +375,85 @@ def test_lines_of_digits_go_as_a_whole(spark):
     assert all((out[i].text, out[i]._dropped) == (own(i), 3) for i in range(1, 6))
 
 
+def test_short_lines_go_as_a_whole(spark):
+    """But for blanks; a line of five documents goes, one of four stays; layout stays."""
+    rows = [(i, f"All  rights reserved.\nown{chr(97 + i)}\n  \n}}\nPage {i % 2}\n---\n{'four times' if i < 4 else 'less'}") for i in range(6)]
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0].text == rows[0][1]
+    assert all((out[i].text, out[i]._dropped) == (rows[i][1].split("\n", 1)[1], 1) for i in range(1, 6))
+
+
+def _dropped_plainly(rows):
+    """{doc_id: dropped places}, from the statement of the rules, line by line and with no tree of tables."""
+    lines = []
+    for i, text in rows:
+        for pos, line in enumerate(text.split("\n")):
+            raw = [t for t in re.split(r"[ \t\r\f\x0b]+", line) if t]
+            even = ["<*>" if re.search("[0-9]", t) else t for t in raw]
+            if raw and (len(raw) >= 4 or any(c.isalnum() for t in raw for c in t)):
+                whole = len(raw) < 4 or raw != even and sum(t != "<*>" for t in even) < max(4, 0.7 * len(raw))
+                lines.append((i, pos, (len(raw), *even[:3]), raw if whole else even, whole))
+    at = collections.Counter((leaf, k, t) for _, _, leaf, tokens, _ in lines for k, t in enumerate(tokens) if t != "<*>")
+    several = collections.defaultdict(set)
+    for (leaf, k, t), n in at.items():
+        if n >= 5 and not re.search("[0-9]", t):
+            several[leaf, k].add(t)
+    narrow, wide = {}, {}
+    for i, pos, leaf, tokens, whole in lines:
+        if whole:
+            narrow[i, pos] = tuple(tokens)
+            wide[i, pos] = None
+            continue
+        n = [at[leaf, k, t] for k, t in enumerate(tokens)]
+        n = [None if t == "<*>" or x < 5 else math.inf if several[leaf, k] == {t} else x for k, (t, x) in enumerate(zip(tokens, n))]
+        good = sorted((x for x in n if x is not None), reverse=True)
+        need = max(4, math.ceil(0.7 * len(tokens)))
+        if len(good) >= need:
+            narrow[i, pos] = tuple("<*>" if x is None else t for x, t in zip(n, tokens))
+            wide[i, pos] = (leaf, *("<*>" if x is None or x < good[need - 1] else t for x, t in zip(n, tokens)))
+    def recurring(names, least=5):
+        held = collections.defaultdict(list)
+        for place, name in names.items():
+            held[name].append(place)
+        return {name: min(p) for name, p in held.items() if name is not None and len({i for i, _ in p}) >= least}
+    own, spread, out = recurring(narrow), recurring(wide), collections.defaultdict(set)
+    for place, name in narrow.items():
+        first = own.get(name) if name in own else spread.get(wide[place])
+        if first is not None and first != place:
+            out[place[0]].add(place[1])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_against_plain_rules_and_twin(spark, seed):
+    """Random lines of few words, so that short, digit-heavy, wide and narrow templates all recur; the SQL says the same."""
+    rng = random.Random(seed)
+    words, names = ["user", "logged", "in", "from", "host", "to", "the", "page", "of"], [f"n{chr(97 + k)}{chr(97 + j)}" for k in range(5) for j in range(5)]
+    def line():
+        kind = rng.randrange(6)
+        if kind == 0:
+            return " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+        if kind == 1:
+            return f"user {rng.choice(names)} logged in from host {rng.choice(names)} today"
+        if kind == 2:
+            return f"{rng.choice(words)}\t{rng.randint(1, 3)} of  {rng.randint(1, 3)}" + rng.choice(["", " 4 5"])
+        if kind == 3:
+            return rng.choice(["}", "---", "", " ", "é", "<*> a", "Page 1", " Page  1 "])
+        if kind == 4:
+            return f"the {rng.choice(words)} of page {rng.randint(1, 9)} host {rng.choice(words)}"
+        return " ".join(rng.choice(words) for _ in range(rng.randint(4, 6)))
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(0, 6)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._dropped) for r in line_dedup.dedup_lines(spark, docs).collect()}
+    gone = _dropped_plainly(rows)
+    assert sum(map(len, gone.values())) > 100
+    want = {i: ("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in rows}
+    assert got == want
+    documents = docs.toPandas()  # noqa: F841
+    told = duckdb.sql(f"WITH {line_dedup.dedup_sql()} SELECT doc_id, text, _dropped FROM deduped").fetchall()
+    assert {i: (t, n) for i, t, n in told} == want
+
+
 def test_lines_odd(spark, odd):
     out = line_dedup.dedup_lines(spark, odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
