@@ -5,8 +5,8 @@ words of a text and the probabilities that the chain gave for the categories
 before it.  For training, those probabilities come from models that did not see
 the row (out of fold), so later links meet inputs like those at scoring time.
 
-The first link is the labelled quality (poor or not) and the last one the labelled
-toxicity.  The kinds between them are learned: the words that tell toxic from other
+The first link is the labelled quality (poor or not; only rows that have that label
+teach it) and the last one the labelled toxicity.  The kinds between them are learned: the words that tell toxic from other
 rows best (chi-square on document counts over the sample) describe the toxic rows,
 and these are parted into KINDS groups by those words, whatever their language.  A
 row is of a kind if it is toxic and of that group.
@@ -78,15 +78,17 @@ class Chain:
 
 
 def fit_chain(x: np.ndarray, targets: list[np.ndarray], names: list[str], words: list[bytes], folds: np.ndarray) -> Chain:
+    """A link learns from the rows whose target is a number; the others (NaN) get its probability like rows of another fold."""
     before, weights = np.zeros((len(x), 0)), []
     for y in targets:
         z = np.hstack([x, before])
-        weights.append(logistic(z, y))
+        known = ~np.isnan(y)
+        weights.append(logistic(z[known], y[known]))
         unseen = np.zeros(len(y))
         for k in range(FOLDS):
             out = folds == k
             if out.any():
-                unseen[out] = _apply(logistic(z[~out], y[~out]), z[out])
+                unseen[out] = _apply(logistic(z[known & ~out], y[known & ~out]), z[out])
         before = np.hstack([before, unseen[:, None]])
     return Chain(names, words, weights)
 
@@ -134,7 +136,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, column: str =
     for i, r in enumerate(held):
         for w in map(bytes, r.words):
             x[i, chain.at[w]] = 1
-    targets = [np.array([r.poor or 0.0 for r in held]), *kinds_of(x[:, :KIND_WORDS], y), y]
+    targets = [np.array([np.nan if r.poor is None else r.poor for r in held]), *kinds_of(x[:, :KIND_WORDS], y), y]
     return fit_chain(x, targets, chain.names, words, np.arange(len(held)) % FOLDS)
 
 

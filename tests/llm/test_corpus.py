@@ -795,6 +795,20 @@ def test_chain_uses_out_of_fold_probabilities():
     assert ((p[:, 1] > 0.5) == np.maximum(y1, x[:, 1])).mean() > 0.98
 
 
+def test_links_learn_only_from_rows_with_their_label():
+    """Rows without a target change no weight of its link, whatever they hold, but are fed its probability like all others."""
+    rng = np.random.RandomState(1)
+    x = (rng.rand(200, 4) < 0.4).astype(float)
+    known = rng.rand(200) < 0.5
+    y1, y2, folds = np.where(known, x[:, 0], np.nan), x[:, 1], np.arange(200) % 3
+    chain = toxicity.fit_chain(x, [y1, y2], ["a", "b"], [b"v"] * 4, folds)
+    assert (chain.weights[0] == toxicity.logistic(x[known], x[known, 0])).all() and not np.isnan(chain.weights[1]).any()
+    p = chain.predict(x)
+    assert ((p[:, 0] > 0.5) == (x[:, 0] == 1)).all()
+    none = toxicity.fit_chain(x, [np.full(200, np.nan), y2], ["a", "b"], [b"v"] * 4, folds)
+    assert none.predict(x)[:, 0].max() < 1e-3
+
+
 def test_classifiers_odd(spark, odd, none, labels):
     n = odd.count()
     for judge in (quality.judge_quality, toxicity.judge_toxicity):
