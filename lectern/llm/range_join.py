@@ -14,8 +14,9 @@ against all it holds, independently of other cells, in blocks of bounded bytes:
 one task compares two blocks, a slice at a time, and returns, for each home row, the number of links
 and one link into its component there; pairs are never written out.
 
-Equal vectors of a label are one class with a multiplicity from the start, named by
-a hash; ids only name the components in the end.
+Equal vectors of a label (told by 128 bits) are one class with a multiplicity from the
+start, numbered as the table of classes is written; ids only name the components in
+the end.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def range_join(spark: SparkSession, vectors: DataFrame, cosine: float = 0.98, ve
     fine = F.col("big").isNotNull()
     rows = rows.select("vec_id", "label", "vec", fine.alias("fine"), F.when(fine, F.xxhash64("label", "vec")).alias("k1"), F.when(fine, F.xxhash64("vec", "label", F.lit(1))).alias("k2"))
     good = rows.where("fine AND vec_id IS NOT NULL")
-    classes = ws.write(good.groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("name"), F.count("*").alias("mult")).withColumn("rep", F.col("k1")), "classes")
+    classes = ws.write(good.groupBy("k1", "k2").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("vec_id").alias("name"), F.count("*").alias("mult")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     eps = math.sqrt(2 - 2 * cosine)
     p = pick_pivots(classes.withColumn("dim", F.size("vec")))
 
