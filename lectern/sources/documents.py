@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.sources import files
 
 #: Document schemas by stage, file suffixes of videos.
 SCHEMAS = {
@@ -68,16 +69,17 @@ def video_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, root: str) -> DataFrame:
-    """SRC9, SRC10: uploaded files as a manifest by content hash; the same content under the same name counts once.  A file must fit in an executor (2 GB at most)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return df.select(F.sha2("content", 256).alias("id"), X.safe_filename(F.col("path")).alias("filename"), "path", F.col("length").alias("size"), F.col("modificationTime").cast("string").alias("uploaded_at")).dropDuplicates(["id", "filename"])
+    """SRC9, SRC10: uploaded files of any size as a manifest by content hash; the same content under the same name counts once."""
+    df = files.digests(files.listed(spark, root))
+    return df.select("id", X.safe_filename(F.col("path")).alias("filename"), "path", F.col("length").alias("size"), F.col("modificationTime").cast("string").alias("uploaded_at")).dropDuplicates(["id", "filename"])
 
 
 def upload_stream(spark: SparkSession, root: str) -> DataFrame:
     """ST9: the same as a stream."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     df = spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return df.select(F.sha2("content", 256).alias("id"), X.safe_filename(F.col("path")).alias("filename"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("uploaded_at")).withWatermark("uploaded_at", "1 day").dropDuplicatesWithinWatermark(["id", "filename"])
+    df = files.digests(df.select("path", "length", "modificationTime"))
+    return df.select("id", X.safe_filename(F.col("path")).alias("filename"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("uploaded_at")).withWatermark("uploaded_at", "1 day").dropDuplicatesWithinWatermark(["id", "filename"])
 
 
 def glossary(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Readers, the versioned store, and the progress stream."""
 
+import collections
+import hashlib
 import io
 import json
 import time
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import alignment, jobs
-from lectern.sources import documents
+from lectern.sources import documents, files
 from lectern.sources import store
 from lectern.sources.store import ConflictError, Store, quarantine
 from lectern.streaming import progress
@@ -170,6 +172,51 @@ def test_recordings(spark, tmp_path):
         alignment.wav_samples(wav(2))
 
 
+def test_files_of_any_size(spark, tmp_path):
+    """A recording of 3 GB, more than a row can hold: its hash, and its ranges with the first pause where silence was put into noise."""
+    rate, total = 16_000, 1_500_000_000
+    path = tmp_path / "a dir/long 1%.wav"
+    path.parent.mkdir()
+    with open(path, "wb") as f:
+        f.write(b"RIFF" + (36 + 2 * total).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"".join(n.to_bytes(k, "little") for n, k in ((1, 2), (1, 2), (rate, 4), (2 * rate, 4), (2, 2), (16, 2))) + b"data" + (2 * total).to_bytes(4, "little"))
+        noise = np.random.RandomState(0).randint(1, 9000, 12 * rate).astype("<i2")
+        noise[7 * rate : 8 * rate] = 0
+        f.seek(44 + 2 * 174 * rate)
+        f.write(noise.tobytes())
+        f.truncate(44 + 2 * total)  # the rest is a hole
+    listed = files.listed(spark, str(tmp_path))
+    got = alignment.audio_ranges(listed).orderBy("no").collect()
+    assert got[0].start == 0 and got[-1].stop == total and all(a.stop == b.start for a, b in zip(got, got[1:]))
+    assert 181 * rate < got[0].stop < 182 * rate and got[1].stop - got[1].start == (180 - 5) * rate + rate // 20
+    with open(path, "rb") as f:
+        want = hashlib.file_digest(f, "sha256").hexdigest()
+    assert [(r.id, r.size) for r in documents.uploads(spark, str(tmp_path)).collect()] == [(want, path.stat().st_size)]
+
+
+def test_ranges_by_windows_equal_those_of_samples_at_hand(spark, tmp_path):
+    for seed in range(3):
+        rng = np.random.RandomState(seed)
+        x = (rng.randn(1000 * (150 + 200 * seed)) * 3000 * np.abs(np.sin(np.arange(1000 * (150 + 200 * seed)) / 777))).astype("<i2")
+        with wave.open(str(tmp_path / f"{seed}.wav"), "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(2)
+            w.setframerate(1000)
+            w.writeframes(x.tobytes())
+    broken = (tmp_path / "2.wav").read_bytes()[:-201]
+    (tmp_path / "3.wav").write_bytes(broken)
+    (tmp_path / "4.wav").write_bytes((tmp_path / "2.wav").read_bytes()[:44])  # a header alone
+    got = collections.defaultdict(list)
+    for r in alignment.audio_ranges(files.listed(spark, str(tmp_path))).orderBy("no").collect():
+        got[int(r.path[-5])].append((r.start, r.stop))
+    for i in range(4):
+        rate, samples = alignment.wav_samples((tmp_path / f"{i}.wav").read_bytes())
+        assert rate == 1000 and got[i] == alignment.pause_cuts(samples, rate)
+    assert 4 not in got and got[3][-1][1] == got[2][-1][1] - 101
+    assert files.digests(spark.createDataFrame([(None,)], "path string")).first().id is None
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        files.digests(spark.createDataFrame([(str(tmp_path / "gone"),)], "path string")).collect()
+
+
 def test_config(tmp_path):
     from lectern.sources.config import load_config
 
