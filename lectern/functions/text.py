@@ -146,11 +146,20 @@ def json_text(c: Column) -> Column:
     return F.substring(j, F.lit(2), F.length(j) - 2)
 
 
+def evened(text: Column) -> Column:
+    """A text of the same length with line breaks for its clause marks; of texts that hold many hits, to be made once."""
+    return F.translate(text, CLAUSE_MARKS, "\n" * len(CLAUSE_MARKS))
+
+
+def clause(even: Column, position: Column) -> Column:
+    """G3 for an evened text."""
+    left, right = F.substring_index(F.left(even, position), "\n", -1), F.substring_index(F.substring(even, position + 1, F.length(even)), "\n", 1)
+    return strip(F.concat(left, right))
+
+
 def snippet(text: Column, position: Column) -> Column:
     """The clause around a 0-based position, stripped."""
-    even = lambda c: F.translate(c, CLAUSE_MARKS, "\n" * len(CLAUSE_MARKS))
-    left, right = F.substring_index(even(F.left(text, position)), "\n", -1), F.substring_index(even(F.substring(text, position + 1, F.length(text))), "\n", 1)
-    return strip(F.concat(left, right))
+    return clause(evened(text), position)
 
 
 def hit_id(*parts: Column) -> Column:

@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
-from lectern.functions.phrases import located
+from lectern.functions.phrases import block_hits, first_free
 
 #: Aliases that are looked for one by one.
 FEW = 16
 #: Bytes of aliases and terms that may go to every task, and the lengths of beginnings that a larger glossary is met by.
 ALIAS_BYTES, ANCHORS = 8 << 20, (1, 2, 3, 5, 8, 13)
+#: Characters of the texts that a larger glossary meets together.
+BLOCK = 4_000_000
 
 
 def hotwords(*lists: Column) -> Column:
@@ -74,7 +76,7 @@ def _free(found: Column) -> Column:
 
 def spans(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """For each (alias, term) in order the first occurrence outside the spans taken so far; an array of (alias, term, at, stop)."""
-    return _free(_few_located(text, pairs) if len(pairs) <= FEW else located(pairs)(text))
+    return _free(_few_located(text, pairs)) if len(pairs) <= FEW else first_free(pairs)(text)
 
 
 def search(cleaned: DataFrame, pairs: list[tuple[str, str]] | DataFrame, video_id: str | None = None, most_bytes: int = ALIAS_BYTES) -> DataFrame:
@@ -83,46 +85,55 @@ def search(cleaned: DataFrame, pairs: list[tuple[str, str]] | DataFrame, video_i
     pairs are (alias, term) in the order of search, or a relation of them as
     `pairs_of` gives it.  A few are looked for one by one; up to most_bytes of aliases and terms go to every task as
     one automaton, which reads a text once however many aliases there are.  A larger
-    relation stays where it is: texts meet it by an equi-join of their substrings
-    with the beginnings of the aliases.  Empty and null texts hold no alias.
+    relation stays where it is: texts are dealt into blocks, and each block gets the
+    aliases that its words hold.  Empty and null texts hold no alias.
     """
     x = cleaned.where(F.col("video_id") == video_id) if video_id else cleaned
     x = x.withColumn("text", F.coalesce("text", F.lit("")))
     if isinstance(pairs, DataFrame):
-        size, longest = pairs.agg(F.sum(F.octet_length("alias") + F.octet_length("term")), F.max(F.length("alias"))).first()
+        size, longest, kinds = pairs.agg(F.sum(F.octet_length("alias") + F.octet_length("term")), F.max(F.length("alias")), F.collect_set(_anchored(F.col("alias")))).first()
         if (size or 0) > most_bytes:
-            return _told(_met(x, pairs, longest))
+            return _told(_met(x, pairs, longest, sorted(kinds)))
         pairs = [(r.alias, r.term) for r in pairs.orderBy("n", "ord", "at", "alias", "term").collect()]  # within most_bytes
     if not pairs:
-        return _told(x.limit(0).withColumn("h", F.struct(F.lit("").alias("alias"), F.lit("").alias("term"), F.lit(0).alias("at"))))
-    return _told(x.withColumn("h", F.explode(spans(F.col("text"), pairs))))
+        return _told(x.limit(0).withColumn("h", F.array(F.struct(F.lit("").alias("alias"), F.lit("").alias("term"), F.lit(0).alias("at")))))
+    return _told(x.withColumn("h", spans(F.col("text"), pairs)))
 
 
 def _told(h: DataFrame) -> DataFrame:
-    """Sentences with one hit each (h: alias, term, at) as the columns of a search."""
+    """Sentences with their hits (h: array of alias, term, at) as the columns of a search, a row for each hit."""
+    h = h.withColumn("even", X.evened(F.col("text"))).withColumn("h", F.explode("h"))
     key = X.hit_id(X.json_text(F.col("partition")), X.json_text(F.col("video_id")), F.col("sentence_id").cast("string"), X.json_text(F.col("h.alias")), X.json_text(F.col("h.term")), X.json_text(F.col("text")))
-    return h.select("partition", "video_id", "sentence_id", key.alias("hit_id"), X.first_filled(F.col("title"), F.col("video_id")).alias("video_title"), "start_ms", F.col("h.alias").alias("alias"), F.col("h.term").alias("term"), X.snippet(F.col("text"), F.col("h.at")).alias("snippet"))
+    return h.select("partition", "video_id", "sentence_id", key.alias("hit_id"), X.first_filled(F.col("title"), F.col("video_id")).alias("video_title"), "start_ms", F.col("h.alias").alias("alias"), F.col("h.term").alias("term"), X.clause(F.col("even"), F.col("h.at")).alias("snippet"))
 
 
-def _met(x: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """Sentences with their hits, by a join of substrings with the beginnings of aliases.
+def _anchored(alias: Column) -> Column:
+    """The length of an alias's beginning by which it is met: the longest of ANCHORS that it reaches, so that few aliases share one."""
+    return F.greatest(*(F.when(F.length(alias) >= n, n) for n in ANCHORS))
 
-    A beginning is as long as the longest of ANCHORS that the alias reaches, so that
-    few aliases share one; a text gives its substrings of the lengths that occur.
+
+def _met(x: DataFrame, pairs: DataFrame, longest: int, kinds: list[int]) -> DataFrame:
+    """Sentences with their hits.
+
+    An alias is a term and so lies within a word, a stretch of term characters.  The
+    words of all sentences, each once, meet the beginnings of aliases by their own
+    substrings; a word is known by a hash, as one alias too many does no harm.  Each
+    block of sentences then gets the pairs of its words, and is searched for them.
     """
-    length = F.length("alias")
-    anchored = pairs.withColumn("anchor", F.left("alias", F.greatest(*(F.when(length >= n, n) for n in ANCHORS))))
-    kinds = sorted(r.n for r in anchored.select(F.length("anchor").alias("n")).distinct().collect())  # as many as ANCHORS
     own = ["partition", "video_id", "sentence_id", "start_ms", "title", "text"]
-    at = x.select(F.xxhash64(*own).alias("k1"), F.hash(*own).alias("k2"), "partition", "video_id", "sentence_id", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("at")).where("text != ''")
-    rest = at.select("k1", "k2", "partition", "video_id", "sentence_id", (F.col("at") - 1).alias("at"), F.substring("text", F.col("at"), F.lit(longest)).alias("rest"))
+    blocks = max(1, -(-(x.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK))
+    texts = x.select(*own).where("text != ''").withColumn("block", F.pmod(F.xxhash64(*own), F.lit(blocks)).cast("int"))
+    words = texts.select("block", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({X.TERM})"), 1))).alias("word")).where(F.length("word") >= kinds[0]).distinct()
+    at = words.select("word").distinct().select(F.xxhash64("word").alias("k"), "word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("place"))
+    rest = at.select("k", F.substring("word", F.col("place"), F.lit(longest)).alias("rest"))
     grams = rest.withColumn("kind", F.explode(F.array(*map(F.lit, kinds)))).where(F.length("rest") >= F.col("kind")).withColumn("anchor", F.left("rest", F.col("kind"))).drop("kind")
-    found = grams.withColumnRenamed("at", "place").join(anchored, "anchor").where(F.startswith("rest", F.col("alias")))
-    order = F.struct("n", "ord", "at", "alias", "term", F.col("place").alias("place"))
-    by = ["k1", "k2", "partition", "video_id", "sentence_id"]
-    held = found.groupBy(*by).agg(F.sort_array(F.collect_list(order)).alias("found"))
-    hits = held.select(*by, F.explode(_free(F.transform("found", lambda o: F.struct(o["alias"].alias("alias"), o["term"].alias("term"), o["place"].alias("at"))))).alias("h"))
-    return x.withColumns({"k1": F.xxhash64(*own), "k2": F.hash(*own)}).join(hits, by)
+    aliases = pairs.select("alias").distinct().withColumn("anchor", F.left("alias", _anchored(F.col("alias"))))
+    held = grams.join(aliases, "anchor").where(F.startswith("rest", F.col("alias"))).select("k", "alias")
+    asked = words.select("block", F.xxhash64("word").alias("k")).join(held, "k").select("block", "alias").distinct().join(pairs, "alias")
+    order = ["n", "ord", "at", "alias", "term"]
+    # texts have nulls where pairs have their order, and come after them
+    rows = asked.select("block", *order).unionByName(texts, allowMissingColumns=True)
+    return block_hits(rows.repartition(blocks, "block").sortWithinPartitions("block", *(F.asc_nulls_last(c) for c in order)), own)
 
 
 def stale(selected: DataFrame, hits: DataFrame) -> DataFrame:

@@ -102,3 +102,25 @@ def test_thousands_of_aliases_cost_little_more_than_a_few(spark):
     some = {i: loop(texts[i], [p for p in many if p[0] in texts[i]]) for i in range(0, 3_000, 300)}
     got = glossary.search(sentences(spark, texts).where("sentence_id % 300 = 0"), many).collect()
     assert sorted((r.sentence_id, r.alias) for r in got) == sorted((i, a) for i, x in some.items() for a, _, _ in x)
+
+
+def test_a_large_glossary_moves_few_times_the_texts(spark):
+    """What is sorted or shuffled carries no row for each place of a text: only distinct words are taken apart."""
+    texts = ["alpha beta gamma delta"] * 300
+    df = sentences(spark, texts).unionByName(sentences(spark, ["alphabet 省管办。"]))
+    made = glossary.search(df, relation(spark, [("X", ["alpha", "beta", "ph", "管办", "gammas"]), ("Y", ["alpha"])]), most_bytes=0)
+    assert len(found(made)) == 300 * 2 + 2
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Generate explode(sequence(" in line:
+            assert "word" in line and "text" not in line and "video_id" not in line
+    assert "Generate explode(sequence(" in plan
+
+
+def test_blocks_of_a_large_glossary(spark, cases, monkeypatch):
+    """However the texts are dealt, the hits are those of the loop."""
+    monkeypatch.setattr(glossary, "BLOCK", 300)
+    entries, texts = cases
+    want = sorted((i, a, t) for i, x in enumerate(texts) for a, t, _ in loop(x, glossary.replacements(entries)))
+    got = found(glossary.search(sentences(spark, texts), relation(spark, entries), most_bytes=0))
+    assert [x[:3] for x in got] == want
