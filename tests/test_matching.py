@@ -86,3 +86,20 @@ def test_nearest_equals_a_plain_comparison():
         seen.add(got)
     assert seen == {-2, -1, 0, 1, 2}
     assert diffs.nearest(None, "a", []) == diffs.nearest("a", None, [(1, None)]) == diffs.nearest("，", "b", [(1, "，")]) == 0
+
+
+def test_edits_of_long_texts_list_few_places(monkeypatch):
+    """Of a text and its edited form only the places of long runs are listed, not all equal characters."""
+    r, listed, runs = random.Random(3), [], matching._runs
+
+    def counted(a, b, *more):
+        found = runs(a, b, *more)
+        listed.append(sum(found[1] - found[0]))
+        return found
+
+    monkeypatch.setattr(matching, "_runs", counted)
+    for change in (("th", "TH"), ("e", "ee")):
+        a = "".join(r.choice("thequ ansior") for _ in range(1_500))
+        b = a.replace(*change)
+        assert matching.blocks(a, b, False) == [tuple(x) for x in SequenceMatcher(None, a, b, False).get_matching_blocks()[:-1]]
+    assert sum(listed) < 20 * 1_500
