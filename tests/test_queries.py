@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import diffs
+from lectern.operators import alignment
 from lectern.plans import queries_model, registry
 from lectern.plans import relations as R
 
@@ -251,3 +252,12 @@ def test_plans_stay_in_the_jvm(spark):
         plan = f(spark, D)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan
         assert ("Python" in plan or "InPandas" in plan) <= (name in python), name
+
+
+def test_alignment_moves_units_once(spark):
+    """Units and sentences are dealt out once, by narrow rows: what the units spell stays with the transcript."""
+    plan = registry.QUERIES["a2_align"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2
+    rows = [("v", 0, ["Ab.", "cd."], [("ab", 0.0, 1.0), ("c", 1.0, 2.0), ("x", 2.0, 3.0)]), ("w", 0, ["Ab."], [("a", 0.0, 1.0), ("b", 1.0, 2.0), ("c", 2.0, 3.0)])]
+    got = {r.video_id: r.error for r in alignment.timed(spark.createDataFrame(rows, "video_id string, offset_ms long, sentences array<string>, units array<struct<text:string,start:double,end:double>>")).collect()}
+    assert got == {"v": "sentence 2: units spell another text", "w": "units are left over"}
