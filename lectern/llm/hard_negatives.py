@@ -1,14 +1,17 @@
-"""Hard negatives by a two-dimensional block matrix multiply.
+"""Hard negatives by a two-dimensional block matrix multiply (SUMMA).
 
-Anchors and all rows are cut into blocks of rows, and each block into chunks of
-dimensions.  Block (i, k) of the anchors meets block (j, k) of the rows in one task,
-whose product is a partial int64 score tile; the partial tiles of (i, j) are shuffled
-together and added.  Anchors are the query set, so anchors times rows is the work and
-the number of scores, in blocks of bounded bytes.
+Anchors and all rows are cut into blocks of rows, and each block into panels of
+dimensions.  One task holds the place (i, j) of the grid: the panels of the anchors'
+block i are sent along row i, those of the rows' block j along column j, and their
+products are added up there, for a strip of anchors at a time.  Scores stay in the
+task; neither they nor partial ones are shuffled or stored.  Anchors are the query
+set, so anchors times rows is the work.
 
-Two passes over the added tiles follow: the first keeps each anchor's best rows of
-its own label by tile, the second the best rows of other labels within each window
-that a positive's score opens; both are then reduced over the tiles.
+The grid is gone over twice: the first time for each anchor's best rows of its own
+label, the second for the best rows of other labels within each window that a
+positive's score opens; both are then reduced over the places of a row of the grid.
+Panels meet by grouping and not by a join, as Spark takes a side for as small as it
+is before it is sent along, and would then send all copies by way of the driver.
 
 Rows equal in id, label and integer vector are one row with a multiplicity, so copies
 of a row cost nothing and cannot fill a block.
@@ -20,30 +23,29 @@ import math
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm.workspace import Workspace, checked_broadcast, small_batches
 
-#: Anchors and rows of a block, least dimensions of a chunk, most chunks of a vector, anchors of a strip of a stored tile.
-ANCHORS, ROWS, CHUNK, CHUNKS, STRIP = 512, 2048, 32, 8, 64
+#: Most anchors and rows of a block, and bytes of its integers; least dimensions of a panel, most panels of a vector, anchors whose scores are held at once.
+ANCHORS, ROWS, BYTES, CHUNK, CHUNKS, STRIP = 8192, 16384, 8 << 20, 32, 8, 128
 #: Squared length below which all scores, and the window's products with them, fit 64 bits.
 MOST = float(1 << 57)
-_BLOCK = "side int, dim int, shard int, k int, n int, mat binary, ids array<long>, labels array<string>, mults array<long>, norms array<long>"
+_BLOCK = "side int, dim int, shard int, others int, k int, n int, mat binary, ids array<long>, labels array<string>, mults array<long>, norms array<long>"
 _META = ("ids", "labels", "mults", "norms")
 
 
 def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block of rows as chunks of dimensions, its rows by id; ids, labels, multiplicities and squared lengths go with the first chunk."""
+    """One block of rows as panels of dimensions, its rows by id; ids, labels, multiplicities and squared lengths go with the first panel."""
     dim = int(pdf["dim"].iloc[0])
     m = np.array([np.asarray(v, np.int32) for v in pdf["vec"]], np.int32).reshape(len(pdf), dim)
     order = sorted(range(len(pdf)), key=lambda r, i=pdf["vec_id"].to_numpy(), t=pdf["label"].to_numpy(): (i[r], t[r], m[r].tobytes()))
     pdf, m = pdf.iloc[order], m[order]
     meta = {"ids": pdf["vec_id"].to_numpy(), "labels": pdf["label"].to_numpy(), "mults": pdf["mult"].to_numpy(), "norms": (m.astype(np.int64) ** 2).sum(1)}
     step, none = max(CHUNK, math.ceil(dim / CHUNKS)), dict.fromkeys(_META)
-    head = {"side": pdf["side"].iloc[0], "dim": dim, "shard": pdf["shard"].iloc[0], "n": len(pdf)}
+    head = {"side": pdf["side"].iloc[0], "dim": dim, "shard": pdf["shard"].iloc[0], "others": pdf["others"].iloc[0], "n": len(pdf)}
     return pd.DataFrame([head | {"k": k, "mat": m[:, at : at + step].tobytes()} | (none if k else meta) for k, at in enumerate(range(0, max(dim, 1), step))])
 
 
@@ -55,42 +57,29 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def _multiply(batches):
-    for batch in batches:
-        for r in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(f"{s}_mat")[r].as_buffer(), np.int32).reshape(batch.column(f"{s}_n")[r].as_py(), -1) for s in "ab")
-            tile = pa.array([product(a, b).tobytes()], pa.binary())
-            yield pa.RecordBatch.from_arrays([tile if f == "tile" else batch.column(f).slice(r, 1) for f in _PARTIAL], list(_PARTIAL))
+def _sides(pdf: pd.DataFrame) -> tuple[list[np.ndarray], dict, list[np.ndarray], dict] | None:
+    """Panels and first row of the anchors' and the rows' block at one place; none where a block is empty."""
+    out = []
+    for side in (0, 1):
+        own = pdf[pdf["side"] == side].sort_values("k")
+        if own.empty:
+            return None
+        first = own.iloc[0].to_dict()
+        out += [[np.frombuffer(m, np.int32).reshape(first["n"], -1) for m in own["mat"]], first]
+    both = pd.factorize(np.concatenate([out[1]["labels"], out[3]["labels"]]))[0]
+    out[1]["labels"], out[3]["labels"] = both[: out[1]["n"]], both[out[1]["n"] :]
+    return tuple(out)
 
 
-_PARTIAL = ("dim", "i", "j", "k", "tile", *(f"{s}_{m}" for s in "ab" for m in _META))
-_KINDS = {"dim": "int", "i": "int", "j": "int", "k": "int", "r": "int", "tile": "binary"} | {f"{s}_{m}": f"array<{'string' if m == 'labels' else 'long'}>" for s in "ab" for m in _META}
-_ADDED = ("dim", "i", "j", "r", "tile", *(f"{s}_{m}" for s in "ab" for m in _META))
-
-
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sum of the partial tiles of (i, j), in strips of anchors."""
-    first = pdf[pdf["k"] == 0].iloc[0]
-    total = np.zeros((len(first["a_ids"]), len(first["b_ids"])), np.int64)
-    for t in pdf["tile"]:
-        total += np.frombuffer(t, np.int64).reshape(total.shape)
-    rows = []
-    for r, at in enumerate(range(0, len(total), STRIP)):
-        s = slice(at, at + STRIP)
-        rows.append({"dim": first["dim"], "i": first["i"], "j": first["j"], "r": r, "tile": total[s].tobytes()} | {f"a_{m}": first[f"a_{m}"][s] for m in _META} | {f"b_{m}": first[f"b_{m}"] for m in _META})
-    return pd.DataFrame(rows, columns=list(_ADDED))
-
-
-def _strips(batch):
-    """(row of the batch, scores, ids and multiplicities of both sides, equal labels, the anchors' own rows) for each strip."""
-    for r in range(batch.num_rows):
-        meta = {f"{s}_{m}": batch.column(f"{s}_{m}")[r].values.to_numpy(zero_copy_only=False) for s in "ab" for m in _META}
-        scores = np.frombuffer(batch.column("tile")[r].as_buffer(), np.int64).reshape(len(meta["a_ids"]), -1)
-        names = pd.factorize(np.concatenate([meta["a_labels"], meta["b_labels"]]))[0]
-        same = names[: len(scores), None] == names[None, len(scores) :]
-        # equal id and label, and a vector at distance 0
-        own = same & (meta["a_ids"][:, None] == meta["b_ids"]) & (scores == meta["a_norms"][:, None]) & (scores == meta["b_norms"])
-        yield r, scores, meta, same, own
+def _strips(a: list[np.ndarray], b: list[np.ndarray], anchors: np.ndarray, rows: np.ndarray | slice = slice(None)):
+    """(anchors, their scores with the rows), a strip at a time, the panels' products added up."""
+    b = [q[rows] for q in b]
+    for at in range(0, len(anchors), STRIP):
+        strip = anchors[at : at + STRIP]
+        total = product(a[0][strip], b[0])
+        for p, q in zip(a[1:], b[1:]):
+            total += product(p[strip], q)
+        yield strip, total
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, mults: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,72 +94,92 @@ def _best(scores: np.ndarray, ids: np.ndarray, mults: np.ndarray, k: int) -> tup
     return scores[order], ids[order]
 
 
+_NEAR = "dim int, i int, a int, anchor_id long, anchor_mult long, positive_id long, positive_score long"
+_FAR = "dim int, i int, a int, slot int, negative_id long, negative_score long"
+
+
+def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
+    kinds = {c: {"int": "int32", "long": "int64"}[t] for c, t in (x.split() for x in schema.split(", "))}
+    return pd.DataFrame(rows, columns=list(kinds)).astype(kinds)
+
+
 def _positives(k: int):
-    """The k best rows of each anchor's label in each tile, without the anchor itself."""
-    names = ["dim", "i", "r", "a", "anchor_id", "anchor_mult", "positive_id", "positive_score"]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row, scores, m, same, own in _strips(batch):
-                head = [batch.column(c)[row].as_py() for c in ("dim", "i", "r")]
-                for a in range(len(scores)):
-                    some = np.flatnonzero(same[a])
-                    mults = m["b_mults"][some] - own[a][some]  # the anchor is no other row; its copies are
-                    some, mults = some[mults > 0], mults[mults > 0]
-                    best, ids = _best(scores[a][some], m["b_ids"][some], mults, k)
-                    out += [(*head, a, m["a_ids"][a], m["a_mults"][a], i, s) for s, i in zip(best, ids)]
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[:4], "int32") | dict.fromkeys(names[4:], "int64")), preserve_index=False)
+    """The k best rows of each anchor's label in each block of rows, without the anchor itself."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if sides := _sides(pdf):
+            a, m, b, n = sides
+            for label in np.intersect1d(m["labels"], n["labels"]):
+                rows = np.flatnonzero(n["labels"] == label)
+                ids, mults, norms = (n[c][rows] for c in ("ids", "mults", "norms"))
+                for strip, scores in _strips(a, b, np.flatnonzero(m["labels"] == label), rows):
+                    for at, s in zip(strip, scores):
+                        # the anchor is no other row; its copies are: equal id and label, and a vector at distance 0
+                        left = mults - ((ids == m["ids"][at]) & (s == m["norms"][at]) & (norms == m["norms"][at]))
+                        some = left > 0
+                        best, found = _best(s[some], ids[some], left[some], k)
+                        out += [(m["dim"], m["shard"], at, m["ids"][at], m["mults"][at], i, x) for i, x in zip(found, best)]
+        return _frame(out, _NEAR)
 
     return run
 
 
 def _negatives(k: int, low: tuple[int, int], high: tuple[int, int]):
-    """The k best rows of other labels in each tile, for each window of each anchor."""
-    names = ["dim", "i", "r", "a", "slot", "negative_id", "negative_score"]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row, scores, m, same, _ in _strips(batch):
-                head = [batch.column(c)[row].as_py() for c in ("dim", "i", "r")]
-                windows: dict[int, list[tuple[int, int, int]]] = {}
-                for w in batch.column("windows")[row].as_py():
-                    at_least, at_most = -((-low[0] * w["positive_score"]) // low[1]), high[0] * w["positive_score"] // high[1]
-                    if at_least <= at_most:
-                        windows.setdefault(w["a"], []).append((w["slot"], at_least, at_most))
-                for a, own in windows.items():
-                    s = scores[a]
-                    some = np.flatnonzero(~same[a] & (s >= min(x[1] for x in own)) & (s <= max(x[2] for x in own)))
-                    if not len(some):
-                        continue
+    """The k best rows of other labels in each block of rows, for each window of each anchor."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if (sides := _sides(pdf)) and sides[1]["window_a"] is not None:
+            a, m, b, n = sides
+            windows: dict[int, list[tuple[int, int, int]]] = {}
+            for at, slot, score in zip(*(m[f"window_{c}"].tolist() for c in ("a", "slot", "score"))):
+                at_least, at_most = -((-low[0] * score) // low[1]), high[0] * score // high[1]
+                if at_least <= at_most:
+                    windows.setdefault(at, []).append((slot, at_least, at_most))
+            for strip, scores in _strips(a, b, np.array(sorted(windows), np.int64)):
+                for at, s in zip(strip, scores):
+                    own = windows[at]
+                    some = np.flatnonzero((s >= min(x[1] for x in own)) & (s <= max(x[2] for x in own)))
+                    some = some[n["labels"][some] != m["labels"][at]]
                     some = some[np.argsort(-s[some], kind="stable")]  # rows of a block rise by id
                     falling = -s[some]
                     for slot, at_least, at_most in own:
                         part = some[np.searchsorted(falling, -at_most, "left") : np.searchsorted(falling, -at_least, "right")][:k]
-                        part = np.repeat(part, np.minimum(m["b_mults"][part], k))[:k]
-                        out += [(*head, a, slot, i, x) for i, x in zip(m["b_ids"][part], s[part])]
-            if out:
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names).astype(dict.fromkeys(names[:5], "int32") | dict.fromkeys(names[5:], "int64")), preserve_index=False)
+                        part = np.repeat(part, np.minimum(n["mults"][part], k))[:k]
+                        out += [(m["dim"], m["shard"], at, slot, i, x) for i, x in zip(n["ids"][part], s[part])]
+        return _frame(out, _FAR)
 
     return run
 
 
-def score_tiles(ws: Workspace, classes: DataFrame, every: int) -> DataFrame:
-    """Added score tiles of anchors (ids divisible by every) and all rows.  classes: vec_id, label, vec, mult."""
-    n, n_anchors = classes.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    parts = {0: math.ceil(n_anchors / ANCHORS) or 1, 1: math.ceil(n / ROWS) or 1}
-    key = F.xxhash64("vec_id", "label", "vec")
-    rows = lambda side, t: t.select(F.lit(side).alias("side"), F.size("vec").alias("dim"), F.pmod(key, F.lit(parts[side])).cast("int").alias("shard"), "vec_id", "label", "mult", "vec").groupBy("side", "dim", "shard").applyInPandas(_blocks, _BLOCK)
-    of = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("n", "mat", *_META)]
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = rows(0, classes.where(F.col("vec_id") % every == 0)).select("dim", "k", F.col("shard").alias("i"), all_of(parts[1]).alias("j"), *of("a"))
-    b = rows(1, classes).select("dim", "k", all_of(parts[0]).alias("i"), F.col("shard").alias("j"), *of("b"))
-    schema = lambda names: ", ".join(f"{c} {_KINDS[c]}" for c in names)
-    partial = a.join(b, ["dim", "i", "j", "k"]).mapInArrow(_multiply, schema(_PARTIAL))
-    # small row groups: a reader holds one of them whole
-    return ws.write(partial.groupBy("dim", "i", "j").applyInPandas(_add, schema(_ADDED)), "tiles", **{"parquet.block.size": str(16 << 20)})
+def panels(ws: Workspace, classes: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
+    """The panels of the anchors (ids divisible by every) and of all rows that meet an anchor.  classes: vec_id, label, vec, mult."""
+    is_anchor = F.col("vec_id") % every == 0
+    classes = classes.withColumn("dim", F.size("vec"))
+
+    def blocks(n: str, most: int) -> Column:
+        fit = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(BYTES) / (4 * F.greatest("dim", F.lit(1))))))
+        return F.ceil(F.col(n) / fit).cast("int")
+
+    sizes = classes.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_anchor, 1)).alias("n_anchors")).where("n_anchors > 0")
+    sizes = ws.write(sizes.select("dim", blocks("n_anchors", ANCHORS).alias("of_anchors"), blocks("n", ROWS).alias("of_rows")), "sizes")
+    classes = classes.join(checked_broadcast(sizes), "dim")
+
+    def side(k: int, t: DataFrame, own: str, others: str, tag: str) -> DataFrame:
+        shard = F.pmod(F.xxhash64("vec_id", "label", "vec"), F.col(own)).cast("int")
+        rows = t.select(F.lit(k).alias("side"), "dim", shard.alias("shard"), F.col(others).alias("others"), "vec_id", "label", "mult", "vec")
+        # small row groups: a reader holds one of them whole
+        return ws.write(rows.groupBy("side", "dim", "shard").applyInPandas(_blocks, _BLOCK), tag, **{"parquet.block.size": str(16 << 20)})
+
+    return side(0, classes.where(is_anchor), "of_anchors", "of_rows", "anchors"), side(1, classes, "of_rows", "of_anchors", "rows")
+
+
+def grid(a: DataFrame, b: DataFrame) -> GroupedData:
+    """Both sides' panels, sent along the rows and columns of the grid, by its places."""
+    along = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    a, b = a.withColumns({"i": F.col("shard"), "j": along}), b.withColumns({"j": F.col("shard"), "i": along})
+    return a.unionByName(b, allowMissingColumns=True).groupBy("dim", "i", "j")
 
 
 def hard_negatives(spark: SparkSession, vectors: DataFrame, every: int = 50, scale: int = 256, positives: int = 5, negatives: int = 3, low: tuple[int, int] = (1, 2), high: tuple[int, int] = (19, 20), vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -197,17 +206,16 @@ def hard_negatives(spark: SparkSession, vectors: DataFrame, every: int = 50, sca
     rows = rows.where(fine).select("vec_id", "label", F.transform("raw", lambda v: F.floor(F.least(F.greatest(v, F.lit(-1e12)), F.lit(1e12)) * scale)).alias("whole"))
     length = F.aggregate("whole", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double"))
     classes = rows.where(length < MOST).groupBy("vec_id", "label", F.col("whole").cast("array<int>").alias("vec")).agg(F.count("*").alias("mult"))
-    tiles = score_tiles(ws, ws.write(classes, "classes"), every)
-
-    kinds = "dim int, i int, r int, a int, "
-    near = tiles.mapInArrow(_positives(positives), kinds + "anchor_id long, anchor_mult long, positive_id long, positive_score long")
-    first = lambda t, keys, score, name, k, out: t.withColumn(out, F.row_number().over(W.partitionBy("dim", "i", "r", "a", *keys).orderBy(F.col(score).desc(), name))).where(F.col(out) <= k)
-    near = ws.write(first(near, (), "positive_score", "positive_id", positives, "slot"), "positives")
-    windows = ws.write(near.groupBy("dim", "i", "r").agg(F.collect_list(F.struct("a", "slot", "positive_score")).alias("windows")), "windows")
-    far = tiles.join(checked_broadcast(windows), ["dim", "i", "r"]).mapInArrow(_negatives(negatives, low, high), kinds + "slot int, negative_id long, negative_score long")
+    a, b = panels(ws, ws.write(classes, "classes"), every)
+
+    first = lambda t, keys, score, name, k, out: t.withColumn(out, F.row_number().over(W.partitionBy("dim", "i", "a", *keys).orderBy(F.col(score).desc(), name))).where(F.col(out) <= k)
+    near = ws.write(first(grid(a, b).applyInPandas(_positives(positives), _NEAR), (), "positive_score", "positive_id", positives, "slot"), "positives")
+    windows = near.groupBy("dim", F.col("i").alias("shard")).agg(F.collect_list(F.struct("a", "slot", "positive_score")).alias("w"))
+    windows = windows.select("dim", "shard", F.lit(0).alias("k"), *(F.col(f"w.{c}").alias(f"window_{n}") for c, n in (("a", "a"), ("slot", "slot"), ("positive_score", "score"))))
+    far = grid(a.join(windows.hint("merge"), ["dim", "shard", "k"], "left"), b).applyInPandas(_negatives(negatives, low, high), _FAR)
     far = ws.write(first(far, ("slot",), "negative_score", "negative_id", negatives, "rank"), "negatives")
     ws.drop_all_but(near, far)
-    out = near.join(far, ["dim", "i", "r", "a", "slot"])
+    out = near.join(far.hint("merge"), ["dim", "i", "a", "slot"])
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "anchor_mult"))).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from lectern.llm import centroids, hard_negatives, language
+from lectern.llm.workspace import stored_bytes
 
 VECTORS = "vec_id long, embedding array<double>, label int, dim int, mult long, side string"
 
@@ -84,6 +85,37 @@ def test_products_are_exact_beyond_doubles():
     assert hard_negatives.product(a, b).tolist() == [[sum(int(x) * int(y) for x, y in zip(a[0], w)) for w in b]]
 
 
+def test_copies_of_the_grid_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], hard_negatives.Workspace.write
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(hard_negatives.Workspace, "write", lambda ws, df, *a, **o: plans.append(plan_of(df)) or write(ws, df, *a, **o))
+    plans.append(plan_of(hard_negatives.hard_negatives(spark, vectors(spark, some(60, 4, 6)), every=2)))
+    along = [p for p in plans if "Generate explode" in p]
+    assert along and not any("BroadcastExchange" in p for p in along)
+
+
+def test_scores_are_not_stored(spark, monkeypatch):
+    stored, drop = [], hard_negatives.Workspace.drop_all_but
+    monkeypatch.setattr(hard_negatives.Workspace, "drop_all_but", lambda ws, *kept: stored.extend(stored_bytes(t) for t in ws.tables) or drop(ws, *kept))
+    assert hard_negatives.hard_negatives(spark, vectors(spark, some(2000, 8, 6)), every=2).count() > 0
+    assert 0 < sum(stored) < 1 << 20  # a thousand anchors have 16 MB of scores
+
+
+def test_blocks_of_bounded_bytes_and_vectors_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "BYTES", 2000)
+    rows = [(i + at, v, t) for dim, at in ((40, 0), (7, 100), (600, 200)) for i, v, t in some(50, dim, dim)]  # 12, 71 and one row of a block
+    n, panels = collections.Counter(), hard_negatives.panels
+
+    def counted(*a):
+        out = panels(*a)
+        n.update(r.dim for r in out[1].where("k = 0").select("dim").collect())
+        return out
+
+    monkeypatch.setattr(hard_negatives, "panels", counted)
+    assert rows_of(hard_negatives.hard_negatives(spark, vectors(spark, rows), every=10)) == mined(rows, 10)
+    assert n[7] == 1 and 2 <= n[40] <= 5 and n[600] > 20
+
+
 # --- centroids
 
 
