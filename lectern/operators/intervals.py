@@ -11,6 +11,8 @@ that it touches, a point in one, and only these meet.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,14 +37,18 @@ def counts(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start
 
     Ranges with a null or crossed border hold nothing; points whose place is null are held by nothing.
     """
-    event = lambda t, c, kind, d: t.select(*keys, F.col(c).cast("long").alias("_at"), F.lit(kind).alias("_kind"), F.lit(d).alias("_d"))
-    r = ranges.where(F.col(start) <= F.col(end))
-    events = event(points, at, 1, 0).unionByName(event(r, start, 0, 1)).unionByName(event(r, end, 2, -1)).withColumn("_part", F.floor(F.col("_at") / SWEEP))
-    by_part = W.partitionBy(*keys, "_part").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    inside = events.withColumn("_open", F.sum("_d").over(by_part)).where("_kind = 1")
+    event = lambda c, kind, d: F.struct(F.col(c).cast("long").alias("_at"), F.lit(kind).alias("_kind"), F.lit(d).alias("_d"))
+    r = ranges.where(F.col(start) <= F.col(end)).select(*keys, F.inline(F.array(event(start, 0, 1), event(end, 2, -1))))
+    events = points.select(*keys, F.inline(F.array(event(at, 1, 0)))).unionByName(r).withColumn("_part", F.floor(F.col("_at") / SWEEP))
+    by_part = W.partitionBy(*keys, "_part").orderBy("_at", "_kind")  # events of one place and kind are told alike, so the last ones tell their part's sum
+    swept = events.withColumn("_open", F.sum("_d").over(by_part))
+    inside = swept.where("_kind = 1")
     before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as parts
-    borders = events.groupBy(*keys, "_part").agg(F.sum("_d").alias("_sum")).withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    told = inside.join(borders, [*keys, "_part"], "left").withColumn("_open", F.when(F.col("_at").isNull(), 0).otherwise(F.col("_open") + F.col("_carry")))
+    carried = swept.groupBy(*keys, "_part").agg(F.max_by("_open", F.struct("_at", "_kind")).alias("_sum")).withColumn("_carry", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    # a part's carry goes to its points by a union: a join would ask for keys that are not null on one side only, and the events would be made for each side
+    told = inside.unionByName(carried, allowMissingColumns=True).withColumn("_carry", F.max("_carry").over(W.partitionBy(*keys, "_part"))).where("_kind = 1")
+    known = reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))
+    told = told.withColumn("_open", F.when(F.col("_at").isNull(), 0).when(known, F.col("_open") + F.col("_carry")))
     return told.groupBy(*keys, F.col("_at").alias(at)).agg(F.sum("_open").alias("covering"))
 
 

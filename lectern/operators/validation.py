@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import intervals
 from lectern.operators.cleanup import full_text
-from lectern.operators.segments import KEY, ordered_text
+from lectern.operators.segments import KEY
 
 #: Fixed value: milliseconds that the last sentence may end after the recording.
 SLACK_MS = 1_000
+#: What is known of a video beside its faults: that it has sentences, some that are not blank, segments.
+VIDEO, SPOKEN, SEGMENT = "video", "spoken", "segment"
 
 
 def _faults(rows: DataFrame, pos: Column, checks: list[tuple[str, Column]]) -> DataFrame:
@@ -64,29 +66,48 @@ def segment_faults(cleaned: DataFrame, segments: DataFrame, check_content: bool
 
     Of a video without speech only the id and whether it has segments at all are judged.
     """
-    silent = cleaned.groupBy(*KEY).agg(F.count_if(~X.is_blank(F.col("text"))).alias("spoken")).where("spoken = 0").select(*KEY)
-    every, segments = segments, segments.join(silent, KEY, "left_anti").select(segments.columns)
     w = W.partitionBy(*KEY).orderBy("segment_no")
     first = cleaned.select(*KEY, F.col("sentence_id").alias("start_sentence_id"), F.col("start_ms").alias("a_start"))
     last = cleaned.select(*KEY, F.col("sentence_id").alias("end_sentence_id"), F.col("end_ms").alias("a_end"))
     x = segments.withColumn("pos", F.row_number().over(w)).withColumn("before", F.lag("end_sentence_id").over(w)).join(first, [*KEY, "start_sentence_id"], "left").join(last, [*KEY, "end_sentence_id"], "left")
     there = F.col("a_start").isNotNull() & F.col("a_end").isNotNull()
-    rows = _faults(x, F.col("pos"), [("segments.no", F.col("segment_no") != F.col("pos")), ("segments.anchor", ~there | (F.col("end_sentence_id") < F.col("start_sentence_id"))), ("segments.order", F.col("start_sentence_id") <= F.col("before")), ("segments.times", there & ~(F.col("start_ms").eqNullSafe(F.col("a_start")) & F.col("end_ms").eqNullSafe(F.col("a_end"))))])
-    over = _faults(coverage(cleaned, segments), F.col("sentence_id"), [("segments.coverage", F.col("covering") != 1)])
-    spoken = cleaned.groupBy(*KEY).agg(F.count_if(~X.is_blank(F.col("text"))).alias("spoken"))
-    n = spoken.join(every.groupBy(*KEY).agg(F.count("*").alias("n")), KEY, "left")
-    some = _faults(n, F.lit(0), [("segments.missing", (F.col("spoken") > 0) & F.col("n").isNull()), ("segments.unspoken", (F.col("spoken") == 0) & F.col("n").isNotNull())])
-    out = rows.unionByName(over).unionByName(some)
-    if headers is not None:
-        out = out.unionByName(_other_source(headers, "id_in_file", "segments.video"))
-    if not check_content:
-        return out
-    g = segments.select(*KEY, "segment_no", "start_sentence_id", "end_sentence_id", "content", F.coalesce("manual", F.lit(False)).alias("manual"))
-    held = intervals.pairs(cleaned.select(*KEY, "sentence_id", "text"), g, KEY, "sentence_id", "start_sentence_id", "end_sentence_id")
-    held = held.select(*KEY, "segment_no", "content", "manual", "sentence_id", F.coalesce("text", F.lit("")).alias("whole"), F.when(~X.is_blank(F.col("text")), F.col("text")).alias("lines"))
-    built = held.groupBy(*KEY, "segment_no", "content", "manual").agg(X.paragraph(ordered_text("sentence_id", "lines", "\n")).alias("by_line"), X.paragraph(ordered_text("sentence_id", "whole", "")).alias("by_row"))
-    fine = (X.paragraph(F.col("content")) == F.col("by_line")) | (F.col("manual") & (X.paragraph(F.col("content")) == F.col("by_row")))
-    return out.unionByName(_faults(built, F.col("segment_no"), [("segments.content", ~fine)]))
+    rows = _faults(x, F.col("pos"), [("segments.no", F.col("segment_no") != F.col("pos")), ("segments.anchor", ~there | (F.col("end_sentence_id") < F.col("start_sentence_id"))), ("segments.order", F.col("start_sentence_id") <= F.col("before")), ("segments.times", there & ~(F.col("start_ms").eqNullSafe(F.col("a_start")) & F.col("end_ms").eqNullSafe(F.col("a_end")))), (SEGMENT, F.lit(True))])
+    if check_content:
+        rows = rows.unionByName(_content_faults(cleaned, segments))
+    covered = coverage(cleaned, segments)
+    out = _heard(rows, cleaned, covered).unionByName(_faults(covered, F.col("sentence_id"), [("segments.coverage", F.col("covering") != 1)]))
+    return out if headers is None else out.unionByName(_other_source(headers, "id_in_file", "segments.video"))
+
+
+def _heard(rows: DataFrame, cleaned: DataFrame, covered: DataFrame) -> DataFrame:
+    """The faults of segments without those of silent videos, and the videos whose segments are missing or should not be there.
+
+    All that is known of a video meets once under its keys, in narrow rows.  Null keys meet nothing: what has one is
+    not silent, and has no segments.
+    """
+    video = lambda rule, pos: [F.lit(rule).alias("rule"), pos.cast("long").alias("pos")]
+    seen = cleaned.select(*KEY).distinct().select(*KEY, *video(VIDEO, F.lit(0)))
+    spoken = covered.groupBy(*KEY).agg(*video(SPOKEN, F.count("covering")))
+    has = lambda rule: F.max(F.col("rule") == rule).over(W.partitionBy(*KEY))
+    told = rows.unionByName(seen).unionByName(spoken).withColumns({"video": has(VIDEO), "spoken": has(SPOKEN), "segments": has(SEGMENT)})
+    known = F.col("partition").isNotNull() & F.col("video_id").isNotNull()
+    held = F.col("segments") & known
+    whole = F.when(F.col("spoken") & ~held, "segments.missing").when(~F.col("spoken") & held, "segments.unspoken")
+    silent = F.col("video") & ~F.col("spoken") & known
+    rule = F.when(F.col("rule") == VIDEO, whole).when(~F.col("rule").isin(SPOKEN, SEGMENT) & ~silent, F.col("rule"))
+    return told.select(*KEY, rule.alias("rule"), "pos").where("rule IS NOT NULL")
+
+
+def _content_faults(cleaned: DataFrame, segments: DataFrame) -> DataFrame:
+    """Segments whose content is not what their sentences give.  Sentences find their segments by ids alone, so texts move once, to be joined; contents stay where they are, and are told by their digests."""
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    g = segments.select(*KEY, "segment_no", "start_sentence_id", "end_sentence_id", F.coalesce("manual", F.lit(False)).alias("manual"), digest("content").alias("content"), digest(X.paragraph(F.col("content"))).alias("told"))
+    held = intervals.pairs(cleaned.select(*KEY, "sentence_id").distinct(), g, KEY, "sentence_id", "start_sentence_id", "end_sentence_id")
+    texts = cleaned.select(*KEY, "sentence_id", F.coalesce("text", F.lit("")).alias("t"), (~X.is_blank(F.col("text"))).alias("spoken"))
+    built = held.join(texts, [*KEY, "sentence_id"]).groupBy(*KEY, "segment_no", "content", "told", "manual").agg(F.sort_array(F.collect_list(F.struct("sentence_id", "t", "spoken"))).alias("rows"))
+    joined = lambda rows, mark: digest(X.paragraph(F.array_join(F.transform(rows, lambda r: r["t"]), mark)))
+    fine = (F.col("told") == joined(F.filter("rows", lambda r: r["spoken"]), "\n")) | (F.col("manual") & (F.col("told") == joined(F.col("rows"), "")))
+    return _faults(built, F.col("segment_no"), [("segments.content", ~fine)])
 
 
 def stage_faults(raw_ids: DataFrame, cleaned_ids: DataFrame, segment_ids: DataFrame) -> DataFrame:
