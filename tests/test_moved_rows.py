@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from lectern.operators import intervals, validation
+from lectern.operators import glossary, intervals, validation
 from lectern.operators.segments import KEY
 
 CLEAN = "partition string, video_id string, sentence_id long, start_ms long, end_ms long, text string"
@@ -66,3 +66,22 @@ def test_faults_of_odd_rows(spark):
     g = [(None, "n", 1, 1, 1, 0, 5, "a", False), ("p", "twice", 1, 1, 1, 0, 5, "a b", False), *[("p", "copy", 1, 1, 1, 0, 5, "a", False)] * 2, ("p", "null", 1, 1, 2, 0, 9, None, True), ("p", "null", 2, None, 2, 0, 9, "b", False), ("p", "mute", 4, 1, 1, 0, 1, "x", False), ("p", "far", 1, 1, 1, 0, 1, "x", False)]
     got = Counter((r.video_id, r.rule, r.pos) for r in validation.segment_faults(spark.createDataFrame(c, CLEAN), spark.createDataFrame(g, SEGMENTS)).collect())
     assert got == {("copy", "segments.content", 1): 1, ("copy", "segments.coverage", 1): 1, ("copy", "segments.no", 2): 1, ("copy", "segments.order", 2): 1, ("far", "segments.anchor", 1): 1, ("lone", "segments.coverage", 1): 1, ("lone", "segments.missing", 0): 1, ("mute", "segments.unspoken", 0): 1, ("n", "segments.anchor", 1): 1, ("n", "segments.missing", 0): 1, ("null", "segments.anchor", 2): 1, ("null", "segments.content", 1): 1, ("twice", "segments.coverage", 1): 1, ("twice", "segments.times", 1): 2}
+
+
+def test_counts_of_replacements_run_nothing_before_they_are_read(spark):
+    """Hits of null keys and repeated hit ids count as before; null ids count as none."""
+    c = spark.createDataFrame([("p", "v", 1, "ab"), ("p", "v", 1, "ab c"), ("p", "w", 1, "zz"), (None, "v", 1, "ab"), ("p", "v", 2, None)], "partition string, video_id string, sentence_id long, text string")
+    hits = spark.createDataFrame([("p", "v", 1, "h", "ab", "x"), ("p", "v", 1, "h", "ab", "x"), (None, "v", 1, "n", "ab", "x"), ("p", "w", 1, None, "z", "x"), ("p", "v", 2, "m", "a", "x")], "partition string, video_id string, sentence_id long, hit_id string, alias string, term string")
+    chosen = spark.createDataFrame([("h",), ("h",), ("n",), ("m",), (None,)], "hit_id string")
+    edited = glossary.apply_hits(c, hits, chosen)
+    assert Counter((r.partition, r.video_id, r.sentence_id, r.new_text) for r in edited.collect()) == {("p", "v", 1, "x"): 1, ("p", "v", 1, "x c"): 1, ("p", "w", 1, "zz"): 1, (None, "v", 1, "ab"): 1, ("p", "v", 2, ""): 1}
+    spark.sparkContext.setJobGroup("counts", "counts")
+    try:
+        told = glossary.applied_counts(edited, chosen)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("counts")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert told.dtypes == [("selected", "bigint"), ("changed_sentences", "bigint"), ("changed_videos", "bigint")]
+    assert [tuple(r) for r in told.collect()] == [(3, 3, 1)]
+    none = glossary.applied_counts(edited.limit(0), chosen.limit(0))
+    assert [tuple(r) for r in none.collect()] == [(0, 0, 0)]
