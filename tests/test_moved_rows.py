@@ -4,6 +4,7 @@ from collections import Counter
 
 from lectern.operators import glossary, intervals, validation
 from lectern.operators.segments import KEY
+from lectern.plans import registry
 
 CLEAN = "partition string, video_id string, sentence_id long, start_ms long, end_ms long, text string"
 SEGMENTS = "partition string, video_id string, segment_no long, start_sentence_id long, end_sentence_id long, start_ms long, end_ms long, content string, manual boolean"
@@ -85,3 +86,10 @@ def test_counts_of_replacements_run_nothing_before_they_are_read(spark):
     assert [tuple(r) for r in told.collect()] == [(3, 3, 1)]
     none = glossary.applied_counts(edited.limit(0), chosen.limit(0))
     assert [tuple(r) for r in none.collect()] == [(0, 0, 0)]
+
+
+def test_the_flagship_decides_its_sentences_eight_times(spark):
+    """Once each for its output, its folds, its coverage's points and ranges, its speech, its anchors, its contents and what they are built from."""
+    nodes = planned(spark, registry.flagship(spark, "/root/testdata/sf0.001"))
+    columns = [{n.output().apply(i).name() for i in range(n.output().size())} for n in nodes if n.nodeName() == "SortMergeJoin"]
+    assert sum("proposed" in c for c in columns) <= 8
